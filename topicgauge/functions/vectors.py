@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ---- Column expressions ---------------------------------------------------
@@ -80,13 +80,28 @@ def vec_mean(a: Column) -> Column:
     return vector_to_array(Summarizer.mean(array_to_vector(doubles(a))))
 
 
-def cf_aggregates(a: Column) -> list[Column]:
-    """The CF of a group: columns n, ls, ss."""
-    return [
-        F.count(F.lit(1)).alias("n"),
-        vec_sum(a).alias("ls"),
-        F.sum(sq_norm_kernel(a)).alias("ss"),
-    ]
+def group_features(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
+    """The CF of every group: the keys with n, ls, ss.
+
+    One aggregate buffer per group in the JVM, combined before the shuffle, so
+    a group holding most of the rows still crosses the network as one row per
+    input partition. `ss` comes from the per-dimension L2 norms of that buffer.
+    """
+    summary = Summarizer.metrics("count", "sum", "normL2").summary(
+        array_to_vector(doubles(F.col(vector)))
+    )
+    norms = vector_to_array(F.col("s.normL2"))
+    return (
+        df.where(F.col(vector).isNotNull())
+        .groupBy(*keys)
+        .agg(summary.alias("s"))
+        .select(
+            *keys,
+            F.col("s.count").alias("n"),
+            vector_to_array(F.col("s.sum")).alias("ls"),
+            F.aggregate(norms, F.lit(0.0), lambda acc, x: acc + x * x).alias("ss"),
+        )
+    )
 
 
 # ---- clustering features ---------------------------------------------------
