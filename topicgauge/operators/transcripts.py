@@ -1,42 +1,97 @@
 """Server-sent-event transcripts → uniform rows.
 
-The lines of one call are reduced to the few facts they carry before the
-shuffle on request_id; the only thing a group gathers is the text that is its
-result. Lines after the terminal event are ignored, as is a call that never
-reached it.
+Lines are reduced to the few facts they carry before any shuffle, then joined
+in two steps: runs of `RUN` lines first, whole calls second. A call with very
+many lines is thus spread over many tasks, and the last step only sees the
+text that is its result. Lines after the terminal event are ignored, as is a
+call that never reached it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DATA_PREFIX = "data: "
+RUN = 4096
 
 
-def _data(lines: DataFrame) -> DataFrame:
-    """Data lines only, with the text behind the prefix in `body`."""
+def _data(lines: DataFrame, provider: str) -> DataFrame:
+    """Data lines of a provider, with the text behind the prefix in `body`."""
     line = F.col("line")
-    return lines.where(line.startswith(DATA_PREFIX)).withColumn(
+    return lines.where((F.col("provider") == provider) & line.startswith(DATA_PREFIX)).withColumn(
         "body", F.substring(line, F.lit(len(DATA_PREFIX) + 1), F.length(line))
     )
 
 
-def _ordered_text(piece: Column, until: Column) -> Column:
-    """Pieces of (seq, text) up to the terminal event, joined in order."""
-    ordered = F.array_sort(F.filter(piece, lambda p: p["seq"] < until))
-    return F.array_join(F.transform(ordered, lambda p: p["text"]), "")
+def _last(facts: Column) -> Column:
+    return F.try_element_at(facts, F.lit(-1))
 
 
-def _facts(struct_col: Column, until: Column) -> Column:
-    return F.array_sort(F.filter(struct_col, lambda p: p["seq"] < until))
+def _join_calls(facts: DataFrame) -> DataFrame:
+    """(request_id, seq, request_model, done, piece, start, change) lines → one
+    row per finished call: content, first_start, last_start, last_change.
+
+    `piece` is a text or NULL; `start` and `change` are structs led by seq, or
+    NULL.
+    """
+    seq = F.col("seq")
+    end = F.col("end")
+
+    def before_end(column: str) -> Column:
+        return F.array_sort(F.filter(column, lambda p: end.isNull() | (p["seq"] < end)))
+
+    runs = (
+        facts.groupBy("request_id", F.floor(seq / RUN).alias("run"))
+        .agg(
+            F.min(F.when(F.col("done"), seq)).alias("end"),
+            F.max("request_model").alias("request_model"),
+            F.collect_list(
+                F.when(F.length("piece") > 0, F.struct("seq", F.col("piece").alias("text")))
+            ).alias("pieces"),
+            F.collect_list("start").alias("starts"),
+            F.collect_list("change").alias("changes"),
+        )
+        .select(
+            "request_id",
+            "run",
+            "end",
+            "request_model",
+            F.array_join(F.transform(before_end("pieces"), lambda p: p["text"]), "").alias("text"),
+            F.try_element_at(before_end("starts"), F.lit(1)).alias("first_start"),
+            _last(before_end("starts")).alias("last_start"),
+            _last(before_end("changes")).alias("last_change"),
+        )
+    )
+    calls = runs.groupBy("request_id").agg(
+        F.min("end").alias("end"),
+        F.max("request_model").alias("request_model"),
+        F.array_sort(
+            F.collect_list(F.struct("run", "text", "first_start", "last_start", "last_change"))
+        ).alias("runs"),
+    )
+    kept = F.filter("runs", lambda r: r["run"] <= F.floor(end / RUN))
+
+    def present(field: str) -> Column:
+        return F.filter(F.transform(kept, lambda r: r[field]), lambda x: x.isNotNull())
+
+    return calls.where(end.isNotNull()).select(
+        "request_id",
+        "request_model",
+        F.array_join(F.transform(kept, lambda r: r["text"]), "").alias("content"),
+        F.try_element_at(present("first_start"), F.lit(1)).alias("first_start"),
+        _last(present("last_start")).alias("last_start"),
+        _last(present("last_change")).alias("last_change"),
+    )
 
 
 def assemble_openai(lines: DataFrame) -> DataFrame:
-    """Chat-completion chunks up to `[DONE]`: token counts 0, reason 'stop'."""
+    """Chat-completion chunks up to `[DONE]`: the first chunk names the model,
+    token counts are 0 and the reason is 'stop'."""
     v = F.col("v")
-    parsed = (
-        _data(lines.where(F.col("provider") == "openai"))
+    chunk = ~F.col("done") & v.isNotNull()
+    facts = (
+        _data(lines, "openai")
         .withColumn("done", F.trim(F.col("body")) == "[DONE]")
         .withColumn("v", F.try_parse_json(F.col("body")))
         .select(
@@ -44,30 +99,22 @@ def assemble_openai(lines: DataFrame) -> DataFrame:
             "seq",
             "request_model",
             "done",
-            F.when(~F.col("done") & v.isNotNull(), F.coalesce(
-                F.try_variant_get(v, "$.model", "string"), F.lit(""))).alias("chunk_model"),
-            F.try_variant_get(v, "$.choices[0].delta.content", "string").alias("delta"),
+            F.when(chunk, F.try_variant_get(v, "$.choices[0].delta.content", "string")).alias("piece"),
+            F.when(
+                chunk,
+                F.struct(
+                    "seq",
+                    F.coalesce(F.try_variant_get(v, "$.model", "string"), F.lit("")).alias("model"),
+                ),
+            ).alias("start"),
+            F.lit(None).cast("struct<seq:bigint>").alias("change"),
         )
-        .where(F.col("done") | F.col("chunk_model").isNotNull())
-    )
-    grouped = parsed.groupBy("request_id").agg(
-        F.min(F.when(F.col("done"), F.col("seq"))).alias("end"),
-        F.collect_list(
-            F.when(F.length("delta") > 0, F.struct("seq", F.col("delta").alias("text")))
-        ).alias("pieces"),
-        F.min_by("chunk_model", F.when(F.col("chunk_model").isNotNull(), F.col("seq"))).alias(
-            "first_model"
-        ),
-        F.min(F.when(F.col("chunk_model").isNotNull(), F.col("seq"))).alias("first_seq"),
-        F.max("request_model").alias("request_model"),
-    )
-    model = F.when(F.col("first_seq") < F.col("end"), F.col("first_model")).otherwise(
-        F.coalesce(F.col("request_model"), F.lit(""))
+        .where(F.col("done") | F.col("start").isNotNull())
     )
-    return grouped.where(F.col("end").isNotNull()).select(
+    return _join_calls(facts).select(
         "request_id",
-        _ordered_text(F.col("pieces"), F.col("end")).alias("content"),
-        model.alias("model"),
+        "content",
+        F.coalesce(F.col("first_start")["model"], F.col("request_model"), F.lit("")).alias("model"),
         F.lit(0).alias("prompt_tokens"),
         F.lit(0).alias("completion_tokens"),
         F.lit("stop").alias("finish_reason"),
@@ -83,16 +130,13 @@ def assemble_anthropic(lines: DataFrame) -> DataFrame:
     """
     v = F.col("v")
     kind = F.col("kind")
-    start = kind == "message_start"
-    change = kind == "message_delta"
-    text = (kind == "content_block_delta") & (
-        F.try_variant_get(v, "$.delta.type", "string") == "text_delta"
-    )
-    stop_reason = F.when(
-        F.variant_get(v, "$.delta.stop_reason", "variant").isNull(), F.lit("")
-    ).otherwise(F.try_variant_get(v, "$.delta.stop_reason", "string"))
-    parsed = (
-        _data(lines.where(F.col("provider") == "anthropic"))
+
+    def count(path: str) -> Column:
+        return F.coalesce(F.try_variant_get(v, path, "int"), F.lit(0))
+
+    reason_missing = F.variant_get(v, "$.delta.stop_reason", "variant").isNull()
+    facts = (
+        _data(lines, "anthropic")
         .withColumn("v", F.try_parse_json(F.col("body")))
         .withColumn("kind", F.try_variant_get(v, "$.type", "string"))
         .where(kind.isin("message_start", "content_block_delta", "message_delta", "message_stop"))
@@ -102,74 +146,53 @@ def assemble_anthropic(lines: DataFrame) -> DataFrame:
             "request_model",
             (kind == "message_stop").alias("done"),
             F.when(
-                start,
+                (kind == "content_block_delta")
+                & (F.try_variant_get(v, "$.delta.type", "string") == "text_delta"),
+                F.try_variant_get(v, "$.delta.text", "string"),
+            ).alias("piece"),
+            F.when(
+                kind == "message_start",
                 F.struct(
                     "seq",
                     F.try_variant_get(v, "$.message.model", "string").alias("model"),
-                    F.coalesce(
-                        F.try_variant_get(v, "$.message.usage.input_tokens", "int"), F.lit(0)
-                    ).alias("tokens"),
+                    count("$.message.usage.input_tokens").alias("tokens"),
                 ),
             ).alias("start"),
             F.when(
-                change,
+                kind == "message_delta",
                 F.struct(
                     "seq",
-                    stop_reason.alias("reason"),
-                    F.coalesce(
-                        F.try_variant_get(v, "$.usage.output_tokens", "int"), F.lit(0)
-                    ).alias("tokens"),
+                    F.when(reason_missing, F.lit(""))
+                    .otherwise(F.try_variant_get(v, "$.delta.stop_reason", "string"))
+                    .alias("reason"),
+                    count("$.usage.output_tokens").alias("tokens"),
                 ),
             ).alias("change"),
-            F.when(
-                text,
-                F.struct(
-                    "seq",
-                    F.coalesce(F.try_variant_get(v, "$.delta.text", "string"), F.lit("")).alias("text"),
-                ),
-            ).alias("piece"),
-        )
-        .where(
-            F.col("done")
-            | F.col("start").isNotNull()
-            | F.col("change").isNotNull()
-            | F.col("piece").isNotNull()
         )
     )
-    grouped = parsed.groupBy("request_id").agg(
-        F.min(F.when(F.col("done"), F.col("seq"))).alias("end"),
-        F.collect_list("piece").alias("pieces"),
-        F.collect_list("start").alias("starts"),
-        F.collect_list("change").alias("changes"),
-        F.max("request_model").alias("request_model"),
-    ).where(F.col("end").isNotNull())
-    end = F.col("end")
-    starts = _facts(F.col("starts"), end)
-    named = F.filter(starts, lambda s: s["model"].isNotNull())
-    last = lambda a: F.try_element_at(a, F.lit(-1))
-    change_seen = _facts(F.col("changes"), end)
-    return grouped.select(
+    start, change = F.col("last_start"), F.col("last_change")
+    return _join_calls(facts).select(
         "request_id",
-        _ordered_text(F.col("pieces"), end).alias("content"),
-        F.coalesce(last(named)["model"], F.col("request_model"), F.lit("")).alias("model"),
-        F.coalesce(last(starts)["tokens"], F.lit(0)).alias("prompt_tokens"),
-        F.coalesce(last(change_seen)["tokens"], F.lit(0)).alias("completion_tokens"),
-        F.when(F.size(change_seen) == 0, F.lit(""))
-        .otherwise(last(change_seen)["reason"])
-        .alias("finish_reason"),
+        "content",
+        F.coalesce(start["model"], F.col("request_model"), F.lit("")).alias("model"),
+        F.coalesce(start["tokens"], F.lit(0)).alias("prompt_tokens"),
+        F.coalesce(change["tokens"], F.lit(0)).alias("completion_tokens"),
+        F.when(change.isNull(), F.lit("")).otherwise(change["reason"]).alias("finish_reason"),
         F.lit("anthropic").alias("provider"),
     )
 
 
 def pair_turns(turns: DataFrame) -> DataFrame:
-    """User turn followed by an assistant turn, as request/response pairs.
+    """User turn answered by the next turn, as request/response pairs.
 
-    One shuffle on conv_id; lead over the turn order.
+    Turns are numbered without gaps, so "next" is an equi-join on
+    (conv_id, turn): rows spread by both keys and a very long conversation
+    does not land in one task.
     """
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    return (
-        turns.withColumn("next_role", F.lead("role").over(order))
-        .withColumn("response_text", F.lead("text").over(order))
-        .where((F.col("role") == "user") & (F.col("next_role") == "assistant"))
-        .select("conv_id", "turn", F.col("text").alias("request_text"), "response_text")
+    asked = turns.where(F.col("role") == "user").select(
+        "conv_id", "turn", F.col("text").alias("request_text")
+    )
+    answered = turns.where(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response_text")
     )
+    return asked.join(answered, ["conv_id", "turn"])
