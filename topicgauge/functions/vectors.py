@@ -17,6 +17,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # ---- Column expressions ---------------------------------------------------
 
@@ -176,13 +177,13 @@ def unit_rows(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return matrix / safe[:, None], lengths
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def sq_norm_kernel(v: pa.Array) -> pa.Array:
     matrix, valid = as_matrix(v)
     return pa.array(np.einsum("ij,ij->i", matrix, matrix), mask=~valid)
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def dot_kernel(a: pa.Array, b: pa.Array) -> pa.Array:
     left, left_ok = as_matrix(a)
     right, right_ok = as_matrix(b)
@@ -191,7 +192,7 @@ def dot_kernel(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(np.einsum("ij,ij->i", left, right), mask=~(left_ok & right_ok))
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def cosine_kernel(a: pa.Array, b: pa.Array) -> pa.Array:
     left, left_ok = as_matrix(a)
     right, right_ok = as_matrix(b)
@@ -202,7 +203,7 @@ def cosine_kernel(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(np.einsum("ij,ij->i", left, right), mask=~(left_ok & right_ok))
 
 
-@F.arrow_udf("array<double>")
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
 def unit_kernel(v: pa.Array) -> pa.Array:
     matrix, valid = as_matrix(v)
     scaled, _ = unit_rows(matrix)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from topicgauge.functions.vectors import cf_centroid, cf_radius, dot
 from topicgauge.params import LATENCY_BUCKETS_MS
 
 
@@ -50,17 +51,13 @@ def latest_score(scores: DataFrame) -> DataFrame:
 
 
 def golden_sizes(goldens: DataFrame) -> DataFrame:
-    """Golden-set size per cluster, and in total (cluster_id NULL, is_total)."""
-    per_cluster = goldens.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("goldens"))
-    total = per_cluster.agg(F.coalesce(F.sum("goldens"), F.lit(0)).alias("goldens"))
-    return per_cluster.withColumn("is_total", F.lit(False)).unionByName(
-        total.withColumn("cluster_id", F.lit(None).cast("string")).withColumn("is_total", F.lit(True))
+    """Golden-set size per cluster, and in total (is_total), in one pass."""
+    return goldens.rollup("cluster_id").agg(
+        F.count(F.lit(1)).alias("goldens"), (F.grouping("cluster_id") == 1).alias("is_total")
     )
 
 
 def cluster_report(clusters: DataFrame) -> DataFrame:
-    from topicgauge.functions.vectors import cf_centroid, cf_radius, dot
-
     ls = F.col("ls")
     return clusters.where(F.col("n") > 0).select(
         "cluster_id",
