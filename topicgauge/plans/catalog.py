@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from topicgauge.plans.checked import CHECKED
 from topicgauge.plans.sql import SQL
+from topicgauge.plans.stateful import STATEFUL
 
-QUERIES = {query.__name__: query for query in CHECKED}
+QUERIES = {query.__name__: query for query in [*CHECKED, *STATEFUL]}
 
 __all__ = ["QUERIES", "SQL"]

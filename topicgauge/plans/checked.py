@@ -27,7 +27,7 @@ def r6(column):
 def _long(df: DataFrame, key: str, vector: str) -> DataFrame:
     """(key, dim from 1, value) rows of a vector column."""
     return df.select(key, F.posexplode(vector).alias("pos", "x")).select(
-        key, (F.col("pos") + 1).cast("bigint").alias("dim"), r6("x").alias("value")
+        key, (F.col("pos") + 1).cast("bigint").alias("dim"), r6(F.col("x").cast("double")).alias("value")
     )
 
 

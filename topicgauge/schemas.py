@@ -14,6 +14,8 @@ TABLES: dict[str, str] = {
         "response_id string, cluster_id string, created_at timestamp, "
         "request_embedding array<float>, response_embedding array<float>"
     ),
+    # Written by splits: the cluster a response moved to; the latest epoch wins.
+    "remaps": "response_id string, cluster_id string",
     "scores": "response_id string, quality_score double, reject_reason string",
     "clusters": (
         "cluster_id string, n bigint, ls array<double>, ss double, "
