@@ -76,19 +76,18 @@ def merge_deltas(clusters: DataFrame, deltas: DataFrame, updated_at: Column) ->
         "cluster_id", F.col("n").alias("dn"), F.col("ls").alias("dls"), F.col("ss").alias("dss")
     )
     touched = F.col("dn").isNotNull()
-    joined = clusters.join(d, "cluster_id", "left")
-    n = F.col("n") + F.coalesce("dn", F.lit(0))
-    ls = F.when(touched, vec_add(F.col("ls"), F.col("dls"))).otherwise(F.col("ls"))
-    ss = F.col("ss") + F.coalesce("dss", F.lit(0.0))
-    return joined.select(
+    summed = clusters.join(d, "cluster_id", "left").select(
         "cluster_id",
-        n.alias("n"),
-        ls.alias("ls"),
-        ss.alias("ss"),
-        cf_centroid(n, ls).alias("centroid"),
+        (F.col("n") + F.coalesce("dn", F.lit(0))).alias("n"),
+        F.when(touched, vec_add(F.col("ls"), F.col("dls"))).otherwise(F.col("ls")).alias("ls"),
+        (F.col("ss") + F.coalesce("dss", F.lit(0.0))).alias("ss"),
         "created_at",
         F.when(touched, updated_at).otherwise(F.col("updated_at")).alias("updated_at"),
     )
+    # A step of its own: inside a lambda, `n` would mean the new column of the
+    # same projection.
+    centroid = cf_centroid(F.col("n"), F.col("ls")).alias("centroid")
+    return summed.select("cluster_id", "n", "ls", "ss", centroid, "created_at", "updated_at")
 
 
 @dataclass
