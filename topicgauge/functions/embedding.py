@@ -1,22 +1,23 @@
 """Text embedding behind one small interface.
 
-`HashedWords` needs no model: words are hashed in the JVM and each Arrow batch
-becomes vectors with one weighted bincount. `ModelEmbedder` wraps any model
+`HashedWords` needs no model. `ModelEmbedder` wraps any model
 that maps a list of texts to a matrix; it is loaded once per Python worker.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicgauge.functions.vectors import as_list_array, unit_rows
+from topicgauge.functions.vectors import as_list_array, once, unit_rows
 
 
 class Embedder(Protocol):
@@ -28,37 +29,40 @@ class Embedder(Protocol):
 class HashedWords:
     """Signed word hashing: a word adds ±1 to one of `dim` slots, scaled to length 1.
 
-    Words are what blanks separate in the lower-cased text, over the whole text.
+    Words are what blanks separate in the lower-cased text, over the whole
+    text. A batch is cut into words and dictionary-encoded by Arrow, so only
+    its distinct words are hashed and everything else is one bincount.
     """
 
     dim: int = 64
 
-    def words(self, text: Column) -> Column:
-        parts = F.split(F.lower(F.coalesce(text, F.lit(""))), "[ \t\r\n]+")
-        return F.filter(parts, lambda w: w != "")
-
-    def hashes(self, text: Column) -> Column:
-        """First 32 bits of each word's MD5, as numbers."""
-        return F.transform(
-            self.words(text),
-            lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("bigint"),
-        )
-
     def column(self, text: Column) -> Column:
         dim = self.dim
 
         @F.arrow_udf("array<float>")
-        def vectors(hashes: pa.Array) -> pa.Array:
-            rows = len(hashes)
-            sizes = np.asarray(hashes.value_lengths().fill_null(0))
-            h = hashes.flatten().to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(rows), sizes)
-            weight = np.where((h // dim) % 2 == 0, 1.0, -1.0)
-            flat = np.bincount(row * dim + h % dim, weights=weight, minlength=rows * dim)
-            matrix, _ = unit_rows(flat.reshape(rows, dim))
+        def vectors(texts: pa.Array) -> pa.Array:
+            flat = word_counts(texts, dim)
+            matrix, _ = unit_rows(flat)
             return as_list_array(matrix.astype(np.float32), pa.float32())
 
-        return vectors(self.hashes(text))
+        return once(vectors)(text)
+
+
+def word_counts(texts: pa.Array, dim: int) -> np.ndarray:
+    """(rows x dim) signed counts: slot and sign from the first 32 bits of a word's MD5."""
+    rows = len(texts)
+    if rows == 0:
+        return np.zeros((0, dim))
+    words = pc.ascii_split_whitespace(pc.utf8_lower(texts.fill_null("")))
+    row = np.repeat(np.arange(rows), np.asarray(words.value_lengths()))
+    coded = words.flatten().dictionary_encode()
+    code = np.asarray(coded.indices)
+    known = coded.dictionary.to_pylist()
+    h = np.array([int.from_bytes(hashlib.md5(w.encode()).digest()[:4]) for w in known], dtype=np.int64)
+    sign = np.where((h // dim) % 2 == 0, 1.0, -1.0)
+    sign[np.array([w == "" for w in known], dtype=bool)] = 0.0
+    flat = np.bincount(row * dim + (h % dim)[code], weights=sign[code], minlength=rows * dim)
+    return flat.reshape(rows, dim)
 
 
 @dataclass(frozen=True)
@@ -84,7 +88,7 @@ class ModelEmbedder:
                     [], type=pa.list_(pa.float32())
                 )
 
-        return vectors(F.coalesce(text, F.lit("")))
+        return once(vectors)(F.coalesce(text, F.lit("")))
 
 
 def embed_pairs(entries: DataFrame, embedder: Embedder) -> DataFrame:

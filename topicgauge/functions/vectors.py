@@ -177,6 +177,12 @@ def unit_rows(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return matrix / safe[:, None], lengths
 
 
+def once(kernel):
+    """Marks a costly kernel so that the optimizer never evaluates it twice
+    (as it would to push a filter on its result, or one inferred from an explode)."""
+    return kernel.asNondeterministic()
+
+
 @F.arrow_udf(T.DoubleType())
 def sq_norm_kernel(v: pa.Array) -> pa.Array:
     matrix, valid = as_matrix(v)

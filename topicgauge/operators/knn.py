@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from topicgauge.functions.vectors import as_matrix, unit_rows
+from topicgauge.functions.vectors import as_matrix, once, unit_rows
 from topicgauge.params import Params
 from topicgauge.schemas import CANDIDATES
 from topicgauge.session import materialize
@@ -137,7 +137,7 @@ def _by_broadcast(queries: DataFrame, live: DataFrame, params: Params) -> DataFr
         )
         return _candidate_array(block.value, found)
 
-    return queries.withColumn("candidates", candidates("n", "ls", "ss"))
+    return queries.withColumn("candidates", once(candidates)("n", "ls", "ss"))
 
 
 _CANDIDATES_ARROW = pa.list_(
@@ -187,13 +187,13 @@ def _by_cells(queries: DataFrame, live: DataFrame, rows: int, params: Params) ->
         ]
         return pa.array(out, type=pa.list_(pa.int32()))
 
-    first = materialize(asked.withColumn("blocks", home("ls")))
+    first = materialize(asked.withColumn("blocks", once(home)("ls")))
     found = materialize(_search_cells(first, cells, params))
     near = _best(found, k)
     second = (
         first.join(near, "item_id")
         .withColumn("worst", F.element_at("candidates", -1)["sim"])
-        .withColumn("blocks", remaining("ls", "worst", "blocks"))
+        .withColumn("blocks", once(remaining)("ls", "worst", "blocks"))
         .where(F.size("blocks") > 0)
         .select("item_id", "n", "ls", "ss", "blocks")
     )

@@ -24,64 +24,76 @@ def _data(lines: DataFrame, provider: str) -> DataFrame:
     )
 
 
-def _last(facts: Column) -> Column:
-    return F.try_element_at(facts, F.lit(-1))
+# What a line can contribute, as the `kind` of its event.
+TEXT, START, CHANGE = 0, 1, 2
+
+
+def _event(kind: int, text: Column | None = None, name: Column | None = None, tokens: Column | None = None) -> Column:
+    nothing = F.lit(None)
+    return F.struct(
+        F.col("seq").cast("bigint").alias("seq"),
+        F.lit(kind).alias("kind"),
+        (nothing if text is None else text).cast("string").alias("text"),
+        (nothing if name is None else name).cast("string").alias("name"),
+        (nothing if tokens is None else tokens).cast("int").alias("tokens"),
+    )
 
 
-def _join_calls(facts: DataFrame) -> DataFrame:
-    """(request_id, seq, request_model, done, piece, start, change) lines → one
-    row per finished call: content, first_start, last_start, last_change.
+def _of_kind(events: str, kind: int) -> Column:
+    return F.filter(events, lambda e: e["kind"] == kind)
 
-    `piece` is a text or NULL; `start` and `change` are structs led by seq, or
-    NULL.
-    """
-    seq = F.col("seq")
-    end = F.col("end")
 
-    def before_end(column: str) -> Column:
-        return F.array_sort(F.filter(column, lambda p: end.isNull() | (p["seq"] < end)))
+def _join_calls(lines: DataFrame) -> DataFrame:
+    """(request_id, seq, request_model, done, event) lines → one row per
+    finished call: content, the first and last START, the last CHANGE.
 
+    Lines without an event are not filtered out but simply not collected: a
+    filter on parsed values would be pushed down and parse every line twice.
+    """
+    seq, end = F.col("seq"), F.col("end")
     runs = (
-        facts.groupBy("request_id", F.floor(seq / RUN).alias("run"))
+        lines.groupBy("request_id", F.floor(seq / RUN).alias("run"))
         .agg(
             F.min(F.when(F.col("done"), seq)).alias("end"),
             F.max("request_model").alias("request_model"),
-            F.collect_list(
-                F.when(F.length("piece") > 0, F.struct("seq", F.col("piece").alias("text")))
-            ).alias("pieces"),
-            F.collect_list("start").alias("starts"),
-            F.collect_list("change").alias("changes"),
+            F.collect_list("event").alias("events"),
+        )
+        .withColumn(
+            "events",
+            F.sort_array(F.filter("events", lambda e: end.isNull() | (e["seq"] < end))),
         )
         .select(
             "request_id",
             "run",
             "end",
             "request_model",
-            F.array_join(F.transform(before_end("pieces"), lambda p: p["text"]), "").alias("text"),
-            F.try_element_at(before_end("starts"), F.lit(1)).alias("first_start"),
-            _last(before_end("starts")).alias("last_start"),
-            _last(before_end("changes")).alias("last_change"),
+            F.array_join(F.transform("events", lambda e: e["text"]), "").alias("text"),
+            F.try_element_at(_of_kind("events", START), F.lit(1)).alias("first_start"),
+            F.try_element_at(_of_kind("events", START), F.lit(-1)).alias("last_start"),
+            F.try_element_at(_of_kind("events", CHANGE), F.lit(-1)).alias("last_change"),
         )
     )
-    calls = runs.groupBy("request_id").agg(
-        F.min("end").alias("end"),
-        F.max("request_model").alias("request_model"),
-        F.array_sort(
-            F.collect_list(F.struct("run", "text", "first_start", "last_start", "last_change"))
-        ).alias("runs"),
+    calls = (
+        runs.groupBy("request_id")
+        .agg(
+            F.min("end").alias("end"),
+            F.max("request_model").alias("request_model"),
+            F.collect_list(F.struct("run", "text", "first_start", "last_start", "last_change")).alias("runs"),
+        )
+        .where(end.isNotNull())
+        .withColumn("runs", F.sort_array(F.filter("runs", lambda r: r["run"] <= F.floor(end / RUN))))
     )
-    kept = F.filter("runs", lambda r: r["run"] <= F.floor(end / RUN))
 
     def present(field: str) -> Column:
-        return F.filter(F.transform(kept, lambda r: r[field]), lambda x: x.isNotNull())
+        return F.filter(F.transform("runs", lambda r: r[field]), lambda x: x.isNotNull())
 
-    return calls.where(end.isNotNull()).select(
+    return calls.select(
         "request_id",
         "request_model",
-        F.array_join(F.transform(kept, lambda r: r["text"]), "").alias("content"),
+        F.array_join(F.transform("runs", lambda r: r["text"]), "").alias("content"),
         F.try_element_at(present("first_start"), F.lit(1)).alias("first_start"),
-        _last(present("last_start")).alias("last_start"),
-        _last(present("last_change")).alias("last_change"),
+        F.try_element_at(present("last_start"), F.lit(-1)).alias("last_start"),
+        F.try_element_at(present("last_change"), F.lit(-1)).alias("last_change"),
     )
 
 
@@ -89,32 +101,25 @@ def assemble_openai(lines: DataFrame) -> DataFrame:
     """Chat-completion chunks up to `[DONE]`: the first chunk names the model,
     token counts are 0 and the reason is 'stop'."""
     v = F.col("v")
-    chunk = ~F.col("done") & v.isNotNull()
-    facts = (
+    text = F.try_variant_get(v, "$.choices[0].delta.content", "string")
+    model = F.coalesce(F.try_variant_get(v, "$.model", "string"), F.lit(""))
+    parsed = (
         _data(lines, "openai")
         .withColumn("done", F.trim(F.col("body")) == "[DONE]")
-        .withColumn("v", F.try_parse_json(F.col("body")))
+        .withColumn("v", F.when(~F.col("done"), F.try_parse_json(F.col("body"))))
         .select(
             "request_id",
             "seq",
             "request_model",
             "done",
-            F.when(chunk, F.try_variant_get(v, "$.choices[0].delta.content", "string")).alias("piece"),
-            F.when(
-                chunk,
-                F.struct(
-                    "seq",
-                    F.coalesce(F.try_variant_get(v, "$.model", "string"), F.lit("")).alias("model"),
-                ),
-            ).alias("start"),
-            F.lit(None).cast("struct<seq:bigint>").alias("change"),
+            # Every chunk may carry text, and the first one names the model.
+            F.when(v.isNotNull(), _event(START, text, model)).alias("event"),
         )
-        .where(F.col("done") | F.col("start").isNotNull())
     )
-    return _join_calls(facts).select(
+    return _join_calls(parsed).select(
         "request_id",
         "content",
-        F.coalesce(F.col("first_start")["model"], F.col("request_model"), F.lit("")).alias("model"),
+        F.coalesce(F.col("first_start")["name"], F.col("request_model"), F.lit("")).alias("model"),
         F.lit(0).alias("prompt_tokens"),
         F.lit(0).alias("completion_tokens"),
         F.lit("stop").alias("finish_reason"),
@@ -131,53 +136,45 @@ def assemble_anthropic(lines: DataFrame) -> DataFrame:
     v = F.col("v")
     kind = F.col("kind")
 
+    def string(path: str) -> Column:
+        return F.try_variant_get(v, path, "string")
+
     def count(path: str) -> Column:
         return F.coalesce(F.try_variant_get(v, path, "int"), F.lit(0))
 
-    reason_missing = F.variant_get(v, "$.delta.stop_reason", "variant").isNull()
-    facts = (
+    reason = F.when(
+        F.variant_get(v, "$.delta.stop_reason", "variant").isNull(), F.lit("")
+    ).otherwise(string("$.delta.stop_reason"))
+    is_text = (kind == "content_block_delta") & (string("$.delta.type") == "text_delta")
+    parsed = (
         _data(lines, "anthropic")
         .withColumn("v", F.try_parse_json(F.col("body")))
-        .withColumn("kind", F.try_variant_get(v, "$.type", "string"))
-        .where(kind.isin("message_start", "content_block_delta", "message_delta", "message_stop"))
+        .withColumn("kind", string("$.type"))
         .select(
             "request_id",
             "seq",
             "request_model",
-            (kind == "message_stop").alias("done"),
-            F.when(
-                (kind == "content_block_delta")
-                & (F.try_variant_get(v, "$.delta.type", "string") == "text_delta"),
-                F.try_variant_get(v, "$.delta.text", "string"),
-            ).alias("piece"),
-            F.when(
+            F.coalesce(kind == "message_stop", F.lit(False)).alias("done"),
+            F.when(is_text, _event(TEXT, text=string("$.delta.text")))
+            .when(
                 kind == "message_start",
-                F.struct(
-                    "seq",
-                    F.try_variant_get(v, "$.message.model", "string").alias("model"),
-                    count("$.message.usage.input_tokens").alias("tokens"),
-                ),
-            ).alias("start"),
-            F.when(
+                _event(START, name=string("$.message.model"), tokens=count("$.message.usage.input_tokens")),
+            )
+            .when(
                 kind == "message_delta",
-                F.struct(
-                    "seq",
-                    F.when(reason_missing, F.lit(""))
-                    .otherwise(F.try_variant_get(v, "$.delta.stop_reason", "string"))
-                    .alias("reason"),
-                    count("$.usage.output_tokens").alias("tokens"),
-                ),
-            ).alias("change"),
+                _event(CHANGE, name=reason, tokens=count("$.usage.output_tokens")),
+            )
+            .alias("event"),
         )
     )
     start, change = F.col("last_start"), F.col("last_change")
-    return _join_calls(facts).select(
+    return _join_calls(parsed).select(
         "request_id",
         "content",
-        F.coalesce(start["model"], F.col("request_model"), F.lit("")).alias("model"),
+        F.coalesce(start["name"], F.col("request_model"), F.lit("")).alias("model"),
         F.coalesce(start["tokens"], F.lit(0)).alias("prompt_tokens"),
         F.coalesce(change["tokens"], F.lit(0)).alias("completion_tokens"),
-        F.when(change.isNull(), F.lit("")).otherwise(change["reason"]).alias("finish_reason"),
+        F.when(change.isNull(), F.lit("")).otherwise(change["name"]).alias("finish_reason"),
         F.lit("anthropic").alias("provider"),
     )
 

@@ -2,10 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
+
 from topicgauge.plans.checked import CHECKED
 from topicgauge.plans.sql import SQL
 from topicgauge.plans.stateful import STATEFUL
+from topicgauge.session import ship_package
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _shipped(query: Query) -> Query:
+    @wraps(query)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, folder)
+
+    return run
+
 
-QUERIES = {query.__name__: query for query in [*CHECKED, *STATEFUL]}
+QUERIES: dict[str, Query] = {query.__name__: _shipped(query) for query in [*CHECKED, *STATEFUL]}
 
 __all__ = ["QUERIES", "SQL"]

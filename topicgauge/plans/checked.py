@@ -12,6 +12,8 @@ from topicgauge.functions.embedding import HashedWords
 from topicgauge.operators import assign, drift, evaluate, golden, metrics, normalize, recover
 from topicgauge.operators import sampling, split, transcripts
 from topicgauge.params import Params
+from topicgauge.schemas import TABLES
+from topicgauge.session import materialize, spread
 from topicgauge.sources import tables as src
 
 RUN_TS = "2024-02-01 00:00:00"
@@ -204,8 +206,6 @@ def split_cluster_parts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _empty_goldens(spark: SparkSession) -> DataFrame:
-    from topicgauge.schemas import TABLES
-
     return spark.createDataFrame([], TABLES["goldens"])
 
 
@@ -260,7 +260,7 @@ def evaluate_without_self(spark: SparkSession, folder: str) -> DataFrame:
 
 def embed_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Document vectors in long form, zero components left out."""
-    docs = src.table(spark, folder, "documents")
+    docs = spread(src.table(spark, folder, "documents").select("doc_id", "text"))
     embedded = docs.select("doc_id", HashedWords(64).column(F.col("text")).alias("v"))
     return _long(embedded, "doc_id", "v").where(F.col("value") != 0)
 
@@ -268,8 +268,6 @@ def embed_documents(spark: SparkSession, folder: str) -> DataFrame:
 def document_topics(spark: SparkSession, folder: str) -> DataFrame:
     """Documents embedded, grouped by language and source, and assigned to the
     nearest of those groups that absorbs them."""
-    from topicgauge.session import materialize
-
     docs = materialize(src.embedded_documents(spark, folder))
     groups = vf.group_features(docs, ["group"], "request_embedding").withColumnRenamed(
         "group", "cluster_id"

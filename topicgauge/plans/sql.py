@@ -146,7 +146,7 @@ PAIRS = """pairs AS (SELECT * FROM (
 
 HASHED = """words AS (
   SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT AS h FROM (
-    SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[ \\t\\r\\n]+')) AS w FROM documents)
+    SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[ \\t\\r\\n\\v\\f]+')) AS w FROM documents)
   WHERE w <> ''),
 slots AS (
   SELECT doc_id, h % 64 AS slot, sum(CASE WHEN (h // 64) % 2 = 0 THEN 1.0 ELSE -1.0 END)::DOUBLE AS c

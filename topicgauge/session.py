@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import topicgauge
+
 # Settings the jobs are written for; shuffle partitions are left to the cluster
 # (AQE coalesces them), so size them to the data there.
 SETTINGS = {
@@ -45,6 +49,30 @@ def local_session(cores: int | str = "*", memory: str = "8g", **extra: str) -> S
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application.
+
+    Functions run in Python workers import it there, whatever folder the
+    driver was started in.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    top = os.path.dirname(os.path.abspath(topicgauge.__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="topicgauge-"), "topicgauge.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(top)))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -103,6 +131,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small input over all cores, ahead of work that is heavy per row.
+
+    A table of one row group scans as one task whatever its splits say. Inputs
+    with more splits than cores are left as they are, so large data never
+    shuffles for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() > cores else df.repartition(cores)
+
+
 def broadcast_if_small(df: DataFrame, row_bytes: int, limit_bytes: int) -> DataFrame:
     """Broadcast `df` only when its counted size is under the limit.
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from topicgauge.functions.embedding import Embedder, HashedWords
 from topicgauge.operators.transcripts import pair_turns
+from topicgauge.session import spread
 
 SIGN_DIMS = 5
 EPOCH_START = "2024-01-01 00:00:00"
@@ -66,14 +67,14 @@ def members(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return pair_turns(table(spark, folder, "conversations"))
+    return pair_turns(spread(table(spark, folder, "conversations")))
 
 
 def embedded_documents(
     spark: SparkSession, folder: str, embedder: Embedder = HashedWords(64)
 ) -> DataFrame:
     """Documents as responses to cluster; the topic hint is language and source."""
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents").select("doc_id", "text", "lang", "source")).select(
         F.col("doc_id").cast("string").alias("response_id"),
         F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id")).alias("created_at"),
         F.concat_ws("|", "lang", "source").alias("group"),

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -83,6 +85,9 @@ class RollingDrift(StatefulProcessor):
 
 def rolling_drift(scores: DataFrame, threshold: float) -> DataFrame:
     """Streaming scores → an updated detection for every cluster that got scores."""
+    # The processor is also started next to the driver, where shipped files are
+    # not on the path: send the class itself.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     return (
         scores.select(
             F.col("cluster_id").cast("string").alias("cluster_id"),
