@@ -12,7 +12,16 @@ from topicgauge.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, "4g", **{"spark.checkpoint.dir": tempfile.mkdtemp(prefix="run-", dir="/tmp")})
+    # Many tiny jobs: few partitions, and no time spent compiling plans.
+    session = local_session(
+        8,
+        "6g",
+        **{
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="run-", dir="/tmp"),
+            "spark.sql.shuffle.partitions": "3",
+            "spark.sql.codegen.wholeStage": "false",
+        },
+    )
     yield session
     session.stop()
 

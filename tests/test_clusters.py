@@ -110,7 +110,7 @@ def test_growth_in_one_group_is_the_sequential_algorithm(spark):
 
 
 def test_row_by_row_batches_are_the_online_algorithm(spark):
-    _, v = topics(3, 9, noise=0.2)
+    _, v = topics(2, 6, noise=0.25)
     clusters, owner = empty_clusters(spark), {}
     for i in range(len(v)):
         one = frame(spark, v).where(F.col("response_id") == f"r{i:05d}")
@@ -173,24 +173,24 @@ def two_means(v, rounds):
     return np.where(cos(c0) >= cos(c1), 0, 1)
 
 
-@pytest.mark.parametrize("limit", [128 << 20, 200])
+@pytest.mark.parametrize("limit", [128 << 20, 300])
 def test_split_matches_numpy_in_one_wave_or_many(spark, limit):
     frames, want = [], {}
-    for c in range(5):
+    for c in range(4):
         _, v = topics(2, 40, noise=0.6, seed=c)
         rows = frame(spark, v).withColumn("response_id", F.concat(F.lit(f"k{c}-"), "response_id"))
         frames.append(rows.withColumn("cluster_id", F.lit(f"k{c}")))
-        want.update({f"k{c}-r{i:05d}": int(x) for i, x in enumerate(two_means(v, 10))})
+        want.update({f"k{c}-r{i:05d}": int(x) for i, x in enumerate(two_means(v, 4))})
     members = frames[0]
     for f in frames[1:]:
         members = members.unionByName(f)
     wide = members.select("cluster_id").distinct()
-    done = split.split_clusters(members, wide, replace(P, broadcast_limit_bytes=limit), epoch=3)
+    done = split.split_clusters(members, wide, replace(P, broadcast_limit_bytes=limit), epoch=3, rounds=4)
     got = {r["response_id"]: r["label"] for r in done.members.collect()}
     assert got == want
     parts = done.parts.collect()
-    assert len(parts) == 10 and len({p["new_cluster_id"] for p in parts}) == 10
-    assert sum(p["n"] for p in parts) == 200
+    assert len(parts) == 8 and len({p["new_cluster_id"] for p in parts}) == 8
+    assert sum(p["n"] for p in parts) == 160
 
 
 def test_clusters_that_cannot_be_split_are_left_alone(spark):

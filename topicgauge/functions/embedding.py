@@ -91,8 +91,21 @@ class ModelEmbedder:
         return once(vectors)(F.coalesce(text, F.lit("")))
 
 
-def embed_pairs(entries: DataFrame, embedder: Embedder) -> DataFrame:
-    """Both vectors of every (request_text, response_text) row; pairing is by row."""
-    return entries.withColumn("request_embedding", embedder.column(F.col("request_text"))).withColumn(
-        "response_embedding", embedder.column(F.col("response_text"))
+def embed_pairs(entries: DataFrame, embedder: Embedder, dim: int) -> DataFrame:
+    """Both vectors of every (request_text, response_text) row; pairing is by row.
+
+    A vector of another size than `dim` fails the batch.
+    """
+    vectors = entries.withColumn("_request", embedder.column(F.col("request_text"))).withColumn(
+        "_response", embedder.column(F.col("response_text"))
+    )
+    return (
+        vectors.withColumn("request_embedding", _sized("_request", dim))
+        .withColumn("response_embedding", _sized("_response", dim))
+        .drop("_request", "_response")
     )
+
+
+def _sized(vector: str, dim: int) -> Column:
+    wrong = F.raise_error(F.format_string("embedding of size %d instead of " + str(dim), F.size(vector)))
+    return F.when(F.size(vector) == dim, F.col(vector)).otherwise(wrong)

@@ -12,13 +12,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicgauge.functions.vectors import (
-    cf_centroid,
-    doubles,
-    group_features,
-    sq_norm_kernel,
-    vec_add,
-)
+from topicgauge.functions.vectors import cf_centroid, group_features, vec_add
 from topicgauge.operators.grow import grow_clusters
 from topicgauge.operators.knn import top_candidates
 from topicgauge.params import Params
@@ -26,13 +20,8 @@ from topicgauge.session import materialize
 
 
 def as_points(rows: DataFrame, id_column: str, vector: str) -> DataFrame:
-    """Rows as single-point CFs: item_id, n=1, ls, ss next to their columns."""
-    return (
-        rows.withColumn("item_id", F.col(id_column).cast("string"))
-        .withColumn("n", F.lit(1).cast("bigint"))
-        .withColumn("ls", doubles(F.col(vector)))
-        .withColumn("ss", sq_norm_kernel(F.col(vector)))
-    )
+    """Rows with the item_id and vector `v` the search looks at."""
+    return rows.withColumn("item_id", F.col(id_column).cast("string")).withColumn("v", F.col(vector))
 
 
 def nearest_clusters(

@@ -36,8 +36,7 @@ def mean_similarity(responses: DataFrame, goldens: DataFrame, params: Params) ->
     `exclude_self` the response's own golden (same response) is taken out of
     its mean.
     """
-    sets = golden_directions(goldens)
-    sets = broadcast_if_small(sets, (params.embedding_dim + 8) * 8, params.broadcast_limit_bytes)
+    sets = broadcast_if_small(golden_directions(goldens), params.broadcast_limit_bytes, "direction")
     joined = responses.join(sets, "cluster_id").withColumn(
         "total", dot_kernel(unit_kernel("response_embedding"), F.col("direction"))
     )

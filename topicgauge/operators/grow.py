@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from topicgauge.functions.vectors import as_list_array, as_matrix, doubles, sq_norm_kernel
 from topicgauge.params import Params
-from topicgauge.session import materialize
+from topicgauge.session import broadcast_if_small, materialize
 
 MAX_BITS = 16
 MAX_LEVELS = 12
@@ -65,10 +65,10 @@ def grow_clusters(misses: DataFrame, params: Params) -> Grown:
         total = left
     founder = links[-1]
     for link in reversed(links[:-1]):
-        founder = link.join(
-            founder.withColumnRenamed("item_id", "via").withColumnRenamed("founder_id", "top"),
-            F.col("founder_id") == F.col("via"),
-        ).select("item_id", F.col("top").alias("founder_id"))
+        # A popular founder is a hot key here: broadcast its side when it fits.
+        tops = founder.select(F.col("item_id").alias("founder_id"), F.col("founder_id").alias("top"))
+        tops = broadcast_if_small(tops, params.broadcast_limit_bytes)
+        founder = link.join(tops, "founder_id").select("item_id", F.col("top").alias("founder_id"))
     return Grown(
         founder.select(F.col("item_id").alias("response_id"), cluster_id_of("founder_id").alias("cluster_id")),
         items.select(cluster_id_of("item_id").alias("cluster_id"), "n", "ls", "ss"),

@@ -36,10 +36,9 @@ PRODUCT_CELLS = 4 << 20
 def top_candidates(queries: DataFrame, clusters: DataFrame, params: Params) -> DataFrame:
     """`queries` plus `candidates`: up to K clusters, nearest first.
 
-    `queries` needs unique `item_id`, and a CF in `n`, `ls`, `ss` (a single
-    point is n=1, ls=the point, ss=its squared length). `clusters` needs
+    `queries` needs a unique `item_id` and a vector `v`; `clusters` needs
     cluster_id, n, ls, ss. Ties go to the smaller cluster_id. `absorbs` says
-    whether the union of the two CFs keeps its radius within birch_threshold.
+    whether the cluster with `v` added keeps its radius within birch_threshold.
     """
     live = clusters.where(F.col("ls").isNotNull() & (F.col("n") > 0)).select(
         "cluster_id", "n", "ls", "ss"
@@ -69,14 +68,14 @@ def _load(table: pa.Table) -> dict:
     }
 
 
-def _search(block: dict, n, ls, ss, k: int, threshold: float):
-    """(row offsets, cluster position, sim, absorbs) of the top K of every query."""
-    directions, lengths = unit_rows(ls)
+def _search(block: dict, points: np.ndarray, k: int, threshold: float):
+    """(kept per row, cluster positions, sims, absorbs) of the top K of every point."""
+    directions, lengths = unit_rows(points)
     clusters = len(block["n"])
     keep = min(k, clusters)
     step = max(1, PRODUCT_CELLS // clusters)
     positions, sims = [], []
-    for at in range(0, len(ls), step):
+    for at in range(0, len(points), step):
         exact = directions[at : at + step] @ block["unit"].T
         sim = np.round(exact, TIE_DIGITS)
         if keep < clusters:
@@ -96,9 +95,9 @@ def _search(block: dict, n, ls, ss, k: int, threshold: float):
     position = np.vstack(positions)
     sim = np.vstack(sims)
     c_len, c_n, c_ss = block["length"][position], block["n"][position], block["ss"][position]
-    total = c_n + n[:, None]
-    joined = c_len**2 + 2 * sim * c_len * lengths[:, None] + (lengths**2)[:, None]
-    variance = (c_ss + ss[:, None]) / total - joined / total**2
+    squared = (lengths**2)[:, None]
+    joined = c_len**2 + 2 * sim * c_len * lengths[:, None] + squared
+    variance = (c_ss + squared) / (c_n + 1) - joined / (c_n + 1) ** 2
     absorbs = np.sqrt(np.maximum(0.0, variance)) <= threshold
     return keep, position, sim, absorbs
 
@@ -127,17 +126,13 @@ def _by_broadcast(queries: DataFrame, live: DataFrame, params: Params) -> DataFr
     k, threshold = params.ann_candidates, params.birch_threshold
 
     @F.arrow_udf(CANDIDATES)
-    def candidates(n: pa.Array, ls: pa.Array, ss: pa.Array) -> pa.Array:
-        matrix, _ = as_matrix(ls)
+    def candidates(v: pa.Array) -> pa.Array:
+        matrix, _ = as_matrix(v)
         if matrix.shape[1] == 0:
-            return pa.array([[] for _ in range(len(ls))], type=_CANDIDATES_ARROW)
-        found = _search(
-            block.value, np.asarray(n, dtype=np.float64), matrix,
-            np.asarray(ss, dtype=np.float64), k, threshold,
-        )
-        return _candidate_array(block.value, found)
+            return pa.array([[] for _ in range(len(v))], type=_CANDIDATES_ARROW)
+        return _candidate_array(block.value, _search(block.value, matrix, k, threshold))
 
-    return queries.withColumn("candidates", once(candidates)("n", "ls", "ss"))
+    return queries.withColumn("candidates", once(candidates)("v"))
 
 
 _CANDIDATES_ARROW = pa.list_(
@@ -153,13 +148,13 @@ def _by_cells(queries: DataFrame, live: DataFrame, rows: int, params: Params) ->
     k = params.ann_candidates
     pivots, cells, meta = _build_cells(live, rows)
     shared = spark.sparkContext.broadcast((pivots, meta))
-    asked = queries.select("item_id", "n", "ls", "ss")
+    asked = queries.select("item_id", "v")
 
     @F.arrow_udf("array<int>")
-    def home(ls: pa.Array) -> pa.Array:
+    def home(v: pa.Array) -> pa.Array:
         """Blocks in order of pivot nearness until they hold K clusters."""
         pivot_unit, blocks = shared.value
-        directions, _ = unit_rows(as_matrix(ls)[0])
+        directions, _ = unit_rows(as_matrix(v)[0])
         out = []
         for near in np.argsort(-(directions @ pivot_unit.T), axis=1, kind="stable"):
             chosen, held = [], 0
@@ -173,10 +168,10 @@ def _by_cells(queries: DataFrame, live: DataFrame, rows: int, params: Params) ->
         return pa.array(out, type=pa.list_(pa.int32()))
 
     @F.arrow_udf("array<int>")
-    def remaining(ls: pa.Array, worst: pa.Array, done: pa.Array) -> pa.Array:
+    def remaining(v: pa.Array, worst: pa.Array, done: pa.Array) -> pa.Array:
         """Blocks that may hold something at least as near as the K-th so far."""
         pivot_unit, blocks = shared.value
-        directions, _ = unit_rows(as_matrix(ls)[0])
+        directions, _ = unit_rows(as_matrix(v)[0])
         cos = np.clip(directions @ pivot_unit.T, -1.0, 1.0)
         gap = np.arccos(cos)[:, blocks["pivot"]] - blocks["angle"][None, :]
         bound = np.cos(np.maximum(0.0, gap))
@@ -187,15 +182,15 @@ def _by_cells(queries: DataFrame, live: DataFrame, rows: int, params: Params) ->
         ]
         return pa.array(out, type=pa.list_(pa.int32()))
 
-    first = materialize(asked.withColumn("blocks", once(home)("ls")))
+    first = materialize(asked.withColumn("blocks", once(home)("v")))
     found = materialize(_search_cells(first, cells, params))
     near = _best(found, k)
     second = (
         first.join(near, "item_id")
         .withColumn("worst", F.element_at("candidates", -1)["sim"])
-        .withColumn("blocks", once(remaining)("ls", "worst", "blocks"))
+        .withColumn("blocks", once(remaining)("v", "worst", "blocks"))
         .where(F.size("blocks") > 0)
-        .select("item_id", "n", "ls", "ss", "blocks")
+        .select("item_id", "v", "blocks")
     )
     best = _best(found.unionByName(_search_cells(second, cells, params)), k)
     return queries.join(best, "item_id")
@@ -264,7 +259,7 @@ def _search_cells(asked: DataFrame, cells: DataFrame, params: Params) -> DataFra
     """
     spark = asked.sparkSession
     k, threshold = params.ann_candidates, params.birch_threshold
-    asked = materialize(asked.select("item_id", "n", "ls", "ss", "blocks"))
+    asked = materialize(asked.select("item_id", "v", "blocks"))
     visits = asked.withColumn("block", F.explode("blocks")).drop("blocks")
     load = [(r["block"], math.ceil(r["count"] / params.group_rows))
             for r in visits.groupBy("block").count().collect()]
@@ -281,14 +276,9 @@ def _search_cells(asked: DataFrame, cells: DataFrame, params: Params) -> DataFra
         if asked_rows.num_rows == 0 or cluster_rows.num_rows == 0:
             return schema.empty_table()
         block = _load(cluster_rows)
-        matrix, _ = as_matrix(asked_rows["ls"])
-        found = _search(
-            block, np.asarray(asked_rows["n"], dtype=np.float64), matrix,
-            np.asarray(asked_rows["ss"], dtype=np.float64), k, threshold,
-        )
-        return pa.table(
-            [asked_rows["item_id"], _candidate_array(block, found)], schema=schema
-        )
+        matrix, _ = as_matrix(asked_rows["v"])
+        found = _candidate_array(block, _search(block, matrix, k, threshold))
+        return pa.table([asked_rows["item_id"], found], schema=schema)
 
     return (
         left.groupBy("block", "slice")

@@ -15,15 +15,18 @@ from topicgauge.session import ship_package
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _shipped(query: Query) -> Query:
+def _prepared(query: Query) -> Query:
+    """The query, in a session that has the package and tells times in UTC."""
+
     @wraps(query)
     def run(spark: SparkSession, folder: str) -> DataFrame:
         ship_package(spark)
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
         return query(spark, folder)
 
     return run
 
 
-QUERIES: dict[str, Query] = {query.__name__: _shipped(query) for query in [*CHECKED, *STATEFUL]}
+QUERIES: dict[str, Query] = {query.__name__: _prepared(query) for query in [*CHECKED, *STATEFUL]}
 
 __all__ = ["QUERIES", "SQL"]

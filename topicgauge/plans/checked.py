@@ -238,7 +238,9 @@ def golden_admit_topup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def golden_list(spark: SparkSession, folder: str) -> DataFrame:
-    return golden.listing(_goldens(spark, folder)).select("golden_id", "description", "created_at")
+    return golden.listing(_goldens(spark, folder)).select(
+        "golden_id", "description", F.col("created_at").cast("timestamp_ntz").alias("created_at")
+    )
 
 
 def golden_size(spark: SparkSession, folder: str) -> DataFrame:

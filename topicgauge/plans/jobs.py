@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from topicgauge.functions.embedding import Embedder, embed_pairs
 from topicgauge.operators import assign, drift, evaluate, golden, normalize, recover, sampling, split
 from topicgauge.params import RECOVERY_LIMIT, Params
-from topicgauge.session import materialize, scratch
+from topicgauge.session import broadcast_if_small, materialize, scratch
 from topicgauge.sources import outbox
 from topicgauge.sources.state import Epoch, StateStore
 
@@ -39,7 +39,10 @@ def _write_calls(epoch: Epoch, store: StateStore, calls: DataFrame, params: Para
     seen = store.snapshot("sampling").agg(F.max("rows_seen").alias("n")).first()["n"] or 0
     order = ["created_at", "response_id"]
     marked = sampling.every_nth(good.select(*order), order, params.sampling_rate, start=seen)
-    responses = good.join(marked.select("response_id", "sampled"), "response_id")
+    # Only the marked ids join back, 1 in `sampling_rate` rows.
+    responses = good.join(
+        marked.where("sampled").select("response_id", "sampled"), "response_id", "left"
+    ).withColumn("sampled", F.coalesce("sampled", F.lit(False)))
     epoch.write("responses", responses)
     epoch.write("dead_letter", dead)
     total = seen + good.count()
@@ -76,7 +79,7 @@ def _write_batch(
         .where(F.length("request_text") > 0)
         .join(store.log("assignments").select("response_id"), "response_id", "left_anti")
     )
-    embedded = materialize(embed_pairs(fresh, embedder))
+    embedded = materialize(embed_pairs(fresh, embedder, params.embedding_dim))
     done = assign.assign_batch(embedded, store.snapshot("clusters"), params, _at(now))
     rows, clusters = materialize(done.rows), materialize(done.clusters)
     epoch.write("assignments", rows)
@@ -137,7 +140,14 @@ def split_wide_clusters(store: StateStore, params: Params, now: datetime) -> int
         if wide.isEmpty():
             return 0
         epoch = store.open("split")
-        done = split.split_clusters(store.members(), wide, params, epoch=epoch.number)
+        # Find the rows concerned on narrow columns, then fetch their vectors.
+        here = store.current_assignments().join(
+            broadcast_if_small(wide, params.broadcast_limit_bytes), "cluster_id", "left_semi"
+        )
+        vectors = store.log("assignments").select("response_id", "request_embedding")
+        done = split.split_clusters(
+            vectors.join(here, "response_id"), wide, params, epoch=epoch.number
+        )
         splits = done.parts.select("cluster_id").distinct().count()
         if splits:
             _write_split(epoch, store, clusters, done, now)

@@ -142,11 +142,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() > cores else df.repartition(cores)
 
 
-def broadcast_if_small(df: DataFrame, row_bytes: int, limit_bytes: int) -> DataFrame:
-    """Broadcast `df` only when its counted size is under the limit.
+def broadcast_if_small(df: DataFrame, limit_bytes: int, vector: str | None = None) -> DataFrame:
+    """Broadcast `df` only when its measured size is under the limit.
 
-    Past the limit the join is left to shuffle, with AQE splitting hot keys.
+    Size is rows times 200 bytes for ids and numbers, plus 8 bytes per element
+    of the widest `vector`. Past the limit the join is left to shuffle, with
+    AQE splitting hot keys.
     """
-    if df.count() * row_bytes <= limit_bytes:
+    width = F.max(F.size(vector)) if vector else F.lit(0)
+    size = df.agg(F.count(F.lit(1)).alias("rows"), width.alias("dims")).first()
+    if size["rows"] * (200 + 8 * (size["dims"] or 0)) <= limit_bytes:
         return F.broadcast(df)
     return df
