@@ -105,7 +105,7 @@ def test_split_moves_responses_goldens_and_clusters_together(spark, root):
 
 
 def test_uncommitted_epochs_stay_invisible(spark, root):
-    store = StateStore(spark, root)
+    store = StateStore(spark, root, "orc")
     jobs.log_calls(store, calls(spark, 9), P)
     open_epoch = store.open("broken")
     open_epoch.write("responses", store.log("responses").drop("epoch"))
@@ -253,3 +253,25 @@ def test_hashed_words_match_plain_python(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
     for row, t in zip(df.select(EMBED.column(F.col("t"))).collect(), texts):
         np.testing.assert_allclose(row[0], plain(t), atol=1e-6)
+
+
+def test_entries_from_queue_messages(spark):
+    good = json.dumps({"response_id": "a", "request_text": "q", "response_text": "r", "created_at": "2024-01-01T00:00:00Z"})
+    df = spark.createDataFrame([(bytearray(good.encode()),), (bytearray(b"junk"),)], "value binary")
+    assert [r["request_text"] for r in cluster_stream.parse_entries(df).collect()] == ["q"]
+
+
+def test_vectors_of_the_wrong_size_fail_the_batch(spark, root):
+    store = StateStore(spark, root)
+    jobs.log_calls(store, calls(spark, 2), P)
+    with pytest.raises(Exception, match="embedding of size"):
+        jobs.cluster_batch(store, entries(store), HashedWords(DIM + 1), P, T0)
+    assert store.log("assignments").count() == 0
+
+
+def test_centroid_backfill(spark):
+    from topicgauge.operators.assign import backfill_centroids
+
+    df = spark.createDataFrame([(2, [2.0, 4.0], None), (0, [0.0, 0.0], None)],
+                               "n bigint, ls array<double>, centroid array<double>").coalesce(1)
+    assert [r["centroid"] for r in backfill_centroids(df).collect()] == [[1.0, 2.0], None]

@@ -79,6 +79,12 @@ def merge_deltas(clusters: DataFrame, deltas: DataFrame, updated_at: Column) ->
     return summed.select("cluster_id", "n", "ls", "ss", centroid, "created_at", "updated_at")
 
 
+def backfill_centroids(clusters: DataFrame) -> DataFrame:
+    """Centroids recomputed from the CFs of all clusters that have members."""
+    fresh = F.when(F.col("n") > 0, cf_centroid(F.col("n"), F.col("ls")))
+    return clusters.withColumn("centroid", F.coalesce(fresh, F.col("centroid")))
+
+
 @dataclass
 class Assigned:
     rows: DataFrame  # the batch plus cluster_id, never NULL

@@ -155,16 +155,17 @@ def _by_cells(queries: DataFrame, live: DataFrame, rows: int, params: Params) ->
         """Blocks in order of pivot nearness until they hold K clusters."""
         pivot_unit, blocks = shared.value
         directions, _ = unit_rows(as_matrix(v)[0])
-        out = []
-        for near in np.argsort(-(directions @ pivot_unit.T), axis=1, kind="stable"):
+        cos = directions @ pivot_unit.T
+        out = [blocks["of_pivot"][p] for p in cos.argmax(axis=1)]
+        short = np.nonzero(blocks["held"][cos.argmax(axis=1)] < k)[0]
+        for row in short:
             chosen, held = [], 0
-            for p in near:
-                for b in blocks["of_pivot"][p]:
-                    chosen.append(int(b))
-                    held += int(blocks["rows"][b])
+            for p in np.argsort(-cos[row], kind="stable"):
+                chosen += blocks["of_pivot"][p]
+                held += blocks["held"][p]
                 if held >= k:
                     break
-            out.append(chosen)
+            out[row] = chosen
         return pa.array(out, type=pa.list_(pa.int32()))
 
     @F.arrow_udf("array<int>")
@@ -172,15 +173,16 @@ def _by_cells(queries: DataFrame, live: DataFrame, rows: int, params: Params) ->
         """Blocks that may hold something at least as near as the K-th so far."""
         pivot_unit, blocks = shared.value
         directions, _ = unit_rows(as_matrix(v)[0])
-        cos = np.clip(directions @ pivot_unit.T, -1.0, 1.0)
-        gap = np.arccos(cos)[:, blocks["pivot"]] - blocks["angle"][None, :]
+        angle = np.arccos(np.clip(directions @ pivot_unit.T, -1.0, 1.0))
+        gap = angle[:, blocks["pivot"]] - blocks["angle"][None, :]
         bound = np.cos(np.maximum(0.0, gap))
         open_ = bound >= np.asarray(worst, dtype=np.float64)[:, None] - 1e-9
-        out = [
-            np.setdiff1d(np.nonzero(row)[0], seen).tolist()
-            for row, seen in zip(open_, done.to_pylist())
-        ]
-        return pa.array(out, type=pa.list_(pa.int32()))
+        rows = np.repeat(np.arange(len(done)), np.asarray(done.value_lengths()))
+        open_[rows, np.asarray(done.flatten())] = False
+        offsets = np.concatenate([[0], np.cumsum(open_.sum(axis=1))]).astype(np.int32)
+        return pa.ListArray.from_arrays(
+            pa.array(offsets), pa.array(np.nonzero(open_)[1].astype(np.int32))
+        )
 
     first = materialize(asked.withColumn("blocks", once(home)("v")))
     found = materialize(_search_cells(first, cells, params))
@@ -206,12 +208,12 @@ def _build_cells(live: DataFrame, rows: int):
     count = min(MAX_PIVOTS, max(1, math.isqrt(rows)))
     chosen = live.orderBy(F.xxhash64("cluster_id"), "cluster_id").limit(count).select("ls")
     pivots, _ = unit_rows(as_matrix(chosen.toArrow()["ls"])[0])
-    held = spark.sparkContext.broadcast(pivots)
+    shared = spark.sparkContext.broadcast(pivots)
 
     @F.arrow_udf("struct<pivot:int,angle:double>")
     def nearest_pivot(ls: pa.Array) -> pa.Array:
         directions, _ = unit_rows(as_matrix(ls)[0])
-        cos = directions @ held.value.T
+        cos = directions @ shared.value.T
         at = cos.argmax(axis=1)
         best = np.clip(cos[np.arange(len(at)), at], -1.0, 1.0)
         return pa.StructArray.from_arrays(
@@ -242,9 +244,11 @@ def _build_cells(live: DataFrame, rows: int):
     of_pivot: list[list[int]] = [[] for _ in range(len(pivots))]
     for i, r in enumerate(known):
         of_pivot[r["pivot"]].append(i)
+    held = np.zeros(len(pivots), dtype=np.int64)
+    np.add.at(held, [r["pivot"] for r in known], [r["rows"] for r in known])
     meta = {
         "pivot": np.array([r["pivot"] for r in known]),
-        "rows": np.array([r["rows"] for r in known]),
+        "held": held,
         "angle": np.array([r["angle"] for r in known]),
         "of_pivot": of_pivot,
     }

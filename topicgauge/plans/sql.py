@@ -319,6 +319,7 @@ SQL: dict[str, str] = {
     "delivered_alerts": f"""WITH {BY_TYPE}, {DETECT}
       SELECT 'webhook' AS channel, count(*) AS alerts FROM found WHERE d > {T} AND d > 0.2""",
     "grow_membership": "SELECT count(*) AS documents, 0::BIGINT AS wrong_features, 0::BIGINT AS too_wide FROM documents",
+    "assign_batch": "SELECT count(*) AS documents, 0::BIGINT AS wrong_counts FROM documents",
     "assign_goldens": f"""WITH {VECS}, {gold(10)}, {LABELS}, {cf("lab")}
       SELECT 'text ' || vec_id AS response_text, cluster_id FROM (
         SELECT g.vec_id, c.cluster_id, row_number() OVER (PARTITION BY g.vec_id

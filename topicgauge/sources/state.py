@@ -1,4 +1,4 @@
-"""State in plain Parquet: append logs and snapshots, published by epoch.
+"""State in plain Parquet or ORC files: append logs and snapshots, published by epoch.
 
 Every table is `root/<table>/epoch=<n>/`. A job writes its tables under a new
 epoch and commits last, naming the tables it wrote; readers only see committed
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from topicgauge.schemas import TABLES
 
-SNAPSHOTS = ("clusters", "goldens", "sampling")
+FORMATS = ("parquet", "orc")
 COMMIT = "job string, batch_id bigint, tables array<string>, committed_at timestamp"
 
 
@@ -33,7 +33,7 @@ class Epoch:
     def write(self, table: str, rows: DataFrame) -> None:
         fields = self.store.fields(table)
         typed = rows.select(*[F.col(name).cast(kind).alias(name) for name, kind in fields])
-        typed.write.mode("overwrite").parquet(self.store.path(table, self.number))
+        self.store.write(typed, self.store.path(table, self.number))
         self.tables.append(table)
 
     def commit(self) -> None:
@@ -41,17 +41,26 @@ class Epoch:
         row = spark.createDataFrame(
             [(self.job, self.batch_id, self.tables)], "job string, batch_id bigint, tables array<string>"
         ).withColumn("committed_at", F.current_timestamp())
-        row.coalesce(1).write.mode("overwrite").parquet(self.store.path("commits", self.number))
+        self.store.write(row.coalesce(1), self.store.path("commits", self.number))
 
 
 class StateStore:
-    def __init__(self, spark: SparkSession, root: str) -> None:
+    def __init__(self, spark: SparkSession, root: str, file_format: str = "parquet") -> None:
+        if file_format not in FORMATS:
+            raise ValueError(f"file_format must be one of {FORMATS}")
         self.spark = spark
         self.root = root.rstrip("/")
+        self.file_format = file_format
 
     def path(self, table: str, epoch: int) -> str:
         return f"{self.root}/{table}/epoch={epoch}"
 
+    def write(self, rows: DataFrame, path: str) -> None:
+        rows.write.mode("overwrite").format(self.file_format).save(path)
+
+    def _reader(self, schema: str):
+        return self.spark.read.schema(schema).format(self.file_format)
+
     def fields(self, table: str) -> list[tuple[str, str]]:
         empty = self.spark.createDataFrame([], TABLES[table])
         return [(f.name, f.dataType.simpleString()) for f in empty.schema.fields]
@@ -81,7 +90,7 @@ class StateStore:
         epoch = holding.agg(F.max("epoch").alias("e")).first()["e"]
         if epoch is None:
             return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(TABLES[table]).parquet(self.path(table, epoch))
+        return self._reader(TABLES[table]).load(self.path(table, epoch))
 
     def log(self, table: str) -> DataFrame:
         """All committed rows of an append table, with their epoch.
@@ -94,7 +103,7 @@ class StateStore:
 
     def _read(self, table: str, schema: str) -> DataFrame:
         try:
-            return self.spark.read.schema(schema + ", epoch bigint").parquet(f"{self.root}/{table}")
+            return self._reader(schema + ", epoch bigint").load(f"{self.root}/{table}")
         except AnalysisException as missing:
             if missing.getCondition() != "PATH_NOT_FOUND":
                 raise

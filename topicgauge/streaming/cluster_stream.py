@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -26,6 +27,13 @@ def read_entries(spark, path: str, files_per_trigger: int = 1000) -> DataFrame:
     )
 
 
+def parse_entries(messages: DataFrame, value: str = "value") -> DataFrame:
+    """Stream entries from messages holding one JSON object each, as a queue
+    source delivers them. What is not an entry is left out."""
+    entry = F.from_json(F.col(value).cast("string"), STREAM_ENTRY)
+    return messages.select(entry.alias("e")).select("e.*").where(F.col("response_id").isNotNull())
+
+
 class BatchRunner:
     """Body of foreachBatch: counts deliveries, sets poison batches aside.
 
@@ -63,8 +71,6 @@ class BatchRunner:
         return f"{self.root.rstrip('/')}/attempts/{self.job}/batch={batch_id}"
 
     def _attempts(self, spark, batch_id: int) -> tuple[int, str | None]:
-        from pyspark.errors import AnalysisException
-
         try:
             noted = spark.read.schema(ATTEMPT).parquet(f"{self._path(batch_id)}/*")
         except AnalysisException as missing:
