@@ -209,6 +209,17 @@ def cosine_kernel(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(np.einsum("ij,ij->i", left, right), mask=~(left_ok & right_ok))
 
 
+@F.arrow_udf(T.DoubleType())
+def along_kernel(v: pa.Array, direction: pa.Array) -> pa.Array:
+    """Inner product of `v`, scaled to length 1, with `direction`."""
+    rows, rows_ok = as_matrix(v)
+    right, right_ok = as_matrix(direction)
+    if rows.shape[1] == 0 or right.shape[1] == 0:
+        return pa.nulls(len(v), pa.float64())
+    rows, _ = unit_rows(rows)
+    return pa.array(np.einsum("ij,ij->i", rows, right), mask=~(rows_ok & right_ok))
+
+
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
 def unit_kernel(v: pa.Array) -> pa.Array:
     matrix, valid = as_matrix(v)

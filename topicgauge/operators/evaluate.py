@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicgauge.functions.embedding import Embedder
-from topicgauge.functions.vectors import dot_kernel, unit_kernel, vec_sum
+from topicgauge.functions.vectors import along_kernel, once, sq_norm_kernel, unit_kernel, vec_sum
 from topicgauge.operators.golden import golden_id
 from topicgauge.params import Params
 from topicgauge.session import broadcast_if_small
@@ -38,7 +38,7 @@ def mean_similarity(responses: DataFrame, goldens: DataFrame, params: Params) ->
     """
     sets = broadcast_if_small(golden_directions(goldens), params.broadcast_limit_bytes, "direction")
     joined = responses.join(sets, "cluster_id").withColumn(
-        "total", dot_kernel(unit_kernel("response_embedding"), F.col("direction"))
+        "total", once(along_kernel)("response_embedding", "direction")
     )
     count = F.col("goldens").cast("double")
     total = F.col("total")
@@ -47,7 +47,7 @@ def mean_similarity(responses: DataFrame, goldens: DataFrame, params: Params) ->
         joined = joined.join(own, golden_id(F.col("response_id")) == F.col("golden_id"), "left")
         mine = F.coalesce("own", F.lit(False))
         # A vector's cosine with itself is 1, or 0 when it has no length.
-        itself = F.when(dot_kernel("response_embedding", "response_embedding") > 0, 1.0).otherwise(0.0)
+        itself = F.when(sq_norm_kernel("response_embedding") > 0, 1.0).otherwise(0.0)
         total = F.when(mine, total - itself).otherwise(total)
         count = F.when(mine, count - 1).otherwise(count)
         joined = joined.where(~mine | (F.col("goldens") > 1))

@@ -29,7 +29,7 @@ from topicgauge.functions.vectors import (
     vec_sum,
 )
 from topicgauge.params import SPLIT_MIN_N, SPLIT_ROUNDS, Params
-from topicgauge.session import materialize
+from topicgauge.session import broadcast_if_small, materialize
 
 STILL = 1e-12
 
@@ -100,8 +100,11 @@ def split_clusters(
         cf_centroid(F.col("n"), F.col("ls")).alias("centroid"),
     )
     parts = materialize(parts)
+    # One cluster may hold most rows, so its key must not be shuffled on if the
+    # two rows it meets can be sent instead.
+    names = parts.select("cluster_id", "label", "new_cluster_id")
     moved = labelled.select("response_id", "cluster_id", "label").join(
-        parts.select("cluster_id", "label", "new_cluster_id"), ["cluster_id", "label"]
+        broadcast_if_small(names, params.broadcast_limit_bytes), ["cluster_id", "label"]
     )
     return Split(moved, parts)
 

@@ -13,7 +13,7 @@ from topicgauge.operators import assign, drift, evaluate, golden, metrics, norma
 from topicgauge.operators import sampling, split, transcripts
 from topicgauge.params import Params
 from topicgauge.schemas import TABLES
-from topicgauge.session import materialize, spread
+from topicgauge.session import broadcast_if_small, materialize, spread
 from topicgauge.sources import tables as src
 
 RUN_TS = "2024-02-01 00:00:00"
@@ -105,7 +105,8 @@ def vector_functions(spark: SparkSession, folder: str) -> DataFrame:
     rows = src.vectors(spark, folder)
     means = rows.groupBy("label").agg(vf.vec_mean(F.col("embedding")).alias("mean"))
     v, m = F.col("embedding"), F.col("mean")
-    return rows.join(F.broadcast(means), "label").select(
+    means = broadcast_if_small(means, PARAMS.broadcast_limit_bytes, "mean")
+    return rows.join(means, "label").select(
         "vec_id",
         r6(vf.dot_kernel(v, m)).alias("inner_product"),
         r6(F.sqrt(vf.sq_norm_kernel(v))).alias("length"),

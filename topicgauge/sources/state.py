@@ -95,11 +95,12 @@ class StateStore:
     def log(self, table: str) -> DataFrame:
         """All committed rows of an append table, with their epoch.
 
-        The commit list is one row per epoch, so the join prunes partitions
-        at run time and never shuffles the table.
+        The commit list is one row per epoch and normally small enough for
+        Spark to broadcast, which prunes partitions at run time and leaves the
+        table unshuffled.
         """
         epochs = self.commits().where(F.array_contains("tables", table)).select("epoch")
-        return self._read(table, TABLES[table]).join(F.broadcast(epochs), "epoch", "left_semi")
+        return self._read(table, TABLES[table]).join(epochs, "epoch", "left_semi")
 
     def _read(self, table: str, schema: str) -> DataFrame:
         try:
