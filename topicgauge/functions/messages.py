@@ -10,6 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Text formats of an alert.
+SUMMARY = "Drift detected in %s: %.1f%% drop (baseline %.3f → current %.3f)"
+TELEGRAM = (
+    "*%s*\n\n%s\n\nBaseline: `%.4f`\nCurrent:  `%.4f`\n"
+    "Drop:     `%.1f%%` (threshold: %.1f%%)\nTime:     `%s`"
+)
+
+
 def alert_payload(events: DataFrame, threshold: float) -> DataFrame:
     """Event rows as alert payloads; percentages carry one decimal.
 
@@ -33,7 +41,7 @@ def summary_text() -> Column:
         F.concat(F.lit("cluster "), F.col("cluster_id").cast("string"))
     )
     return F.format_string(
-        "Drift detected in %s: %.1f%% drop (baseline %.3f → current %.3f)",
+        SUMMARY,
         where,
         F.col("delta_percent"),
         F.col("baseline_score"),
@@ -54,8 +62,7 @@ def iso_time(ts: Column, offset: str) -> Column:
 
 def telegram_text(title: str) -> Column:
     return F.format_string(
-        "*%s*\n\n%s\n\nBaseline: `%.4f`\nCurrent:  `%.4f`\n"
-        "Drop:     `%.1f%%` (threshold: %.1f%%)\nTime:     `%s`",
+        TELEGRAM,
         F.lit(title),
         F.col("summary"),
         F.col("baseline_score"),

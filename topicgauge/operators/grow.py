@@ -115,48 +115,60 @@ def absorb_in_order(group: pa.Table, k: int, threshold: float) -> pa.Table:
     """Absorb-or-create over one group's CFs in (created_at, item_id) order.
 
     Every row comes back with its founder; the founder's own row also carries
-    the finished CF.
+    the finished CF. All inner products come from one matrix product; a
+    cluster's products with every row are kept as running sums, so a step
+    costs the number of clusters, whatever the dimension.
     """
     group = group.combine_chunks().sort_by([("created_at", "ascending"), ("item_id", "ascending")])
     rows = group.num_rows
     vectors, _ = as_matrix(group["ls"])
     counts = np.asarray(group["n"], dtype=np.float64)
     squares = np.asarray(group["ss"], dtype=np.float64)
-    lengths = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
-    ls = np.empty_like(vectors)
-    n, ss, ls_sq = np.empty(rows), np.empty(rows), np.empty(rows)
+    gram = vectors @ vectors.T
+    length_sq = np.diagonal(gram).copy()
+    lengths = np.sqrt(length_sq)
+    inverse = np.divide(1.0, lengths, out=np.zeros(rows), where=lengths > 0)
+    with_row = np.empty((min(rows, 64), rows))  # cluster x row inner products
+    n, ss, ls_sq, inverse_ls = np.empty(rows), np.empty(rows), np.empty(rows), np.empty(rows)
     founder_row = np.empty(rows, dtype=np.int64)
     owner = np.empty(rows, dtype=np.int64)
     made = 0
+
+    def absorbs(c: int, i: int) -> bool:
+        total = n[c] + counts[i]
+        joined = ls_sq[c] + 2 * with_row[c, i] + length_sq[i]
+        return math.sqrt(max(0.0, (ss[c] + squares[i]) / total - joined / total**2)) <= threshold
+
     for i in range(rows):
         home = -1
         if made:
-            cross = ls[:made] @ vectors[i]
-            scale = np.sqrt(ls_sq[:made]) * lengths[i]
-            sim = np.divide(cross, scale, out=np.zeros(made), where=scale > 0)
-            total = n[:made] + counts[i]
-            variance = (ss[:made] + squares[i]) / total - (
-                ls_sq[:made] + 2 * cross + lengths[i] ** 2
-            ) / total**2
-            able = (np.sqrt(np.maximum(0.0, variance)) <= threshold) & (sim > -1.0)
-            if made > k:
-                nearest = np.argsort(-sim, kind="stable")[:k]
-                inside = np.zeros(made, dtype=bool)
-                inside[nearest] = True
-                able &= inside
-            if able.any():
-                home = int(np.argmax(np.where(able, sim, -2.0)))
+            sim = with_row[:made, i] * inverse_ls[:made] * inverse[i]
+            nearest = int(sim.argmax())
+            if sim[nearest] > -1.0 and absorbs(nearest, i):
+                home = nearest
+            else:
+                for c in np.argsort(-sim, kind="stable")[:k]:
+                    if sim[c] > -1.0 and absorbs(c, i):
+                        home = int(c)
+                        break
         if home < 0:
             home = made
             founder_row[made] = i
-            ls[made], n[made], ss[made] = vectors[i], counts[i], squares[i]
+            if made == len(with_row):
+                with_row = np.vstack([with_row, np.empty((min(rows - made, made), rows))])
+            with_row[made] = gram[i]
+            n[made], ss[made], ls_sq[made] = counts[i], squares[i], length_sq[i]
             made += 1
         else:
-            ls[home] += vectors[i]
+            ls_sq[home] += 2 * with_row[home, i] + length_sq[i]
+            with_row[home] += gram[i]
             n[home] += counts[i]
             ss[home] += squares[i]
-        ls_sq[home] = ls[home] @ ls[home]
+        inverse_ls[home] = 1.0 / math.sqrt(ls_sq[home]) if ls_sq[home] > 0 else 0.0
         owner[i] = home
+    by_owner = np.argsort(owner, kind="stable")
+    starts = np.searchsorted(owner[by_owner], np.arange(made))
+    ls = np.add.reduceat(vectors[by_owner], starts, axis=0)
     founders = founder_row[:made]
     cf_at = np.full(rows, -1)
     cf_at[founders] = np.arange(made)
@@ -167,7 +179,7 @@ def absorb_in_order(group: pa.Table, k: int, threshold: float) -> pa.Table:
             "founder_id": group["item_id"].take(pa.array(founders[owner])),
             "created_at": group["created_at"],
             "n": pa.array(n[:made].astype(np.int64)).take(take),
-            "ls": as_list_array(ls[:made]).take(take),
+            "ls": as_list_array(ls).take(take),
             "ss": pa.array(ss[:made]).take(take),
         }
     )

@@ -60,7 +60,8 @@ class Params:
             _at_least(name, getattr(self, name), 60)
         _at_least("recovery_min_age_s", self.recovery_min_age_s, 30)
         _at_least("embedding_dim", self.embedding_dim, 1)
-        _at_least("group_rows", self.group_rows, 2)
+        # A grower group holds two group_rows x group_rows matrices in a worker.
+        _between("group_rows", self.group_rows, 2, 4000)
         if self.golden_set_mode not in GOLDEN_SET_MODES:
             raise ValueError(f"golden_set_mode must be one of {GOLDEN_SET_MODES}")
         if self.notification_channel not in CHANNELS:
