@@ -102,11 +102,10 @@ def neighbours(docs: DataFrame, size: int = SIZE, width: int = WIDTH) -> DataFra
 
     ids = docs.select(F.coalesce(F.shiftright("doc_id", ID_BITS), lowest).alias("_group"))
     groups = numbered(ids.distinct(), F.col("_group").desc())
-    count = groups.agg(F.count(F.lit(1)).alias("_groups"))
     # The first group follows the last one.
-    follows = groups.crossJoin(F.broadcast(count)).select(
+    follows = groups.select(
         F.col("_group").alias("_follower"),
-        F.pmod(F.col("place") - 1, F.col("_groups")).alias("place"),
+        F.pmod(F.col("place") - 1, F.lit(max(groups.count(), 1))).alias("place"),
     )
     chain = groups.join(follows, "place").select("_group", "_follower")
     columns = ["doc_id", "text", "sketch", "next_text", "next_sketch"]

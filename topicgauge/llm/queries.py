@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from topicgauge.llm import fingerprint
-from topicgauge.llm.common import read
+from topicgauge.llm import fingerprint, licenses, lines, mixing, packing
+from topicgauge.llm.common import read, word_count
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +16,37 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(read(spark, sf_dir))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and template spans of all documents."""
+    return licenses.scan(read(spark, sf_dir)).drop("spans")
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words the mix takes from every document."""
+    docs = read(spark, sf_dir)
+    sized = docs.select("doc_id", "source", word_count(docs["text"]).alias("size"))
+    return mixing.mixed(sized).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in length buckets and batches."""
+    return packing.packed(read(spark, sf_dir))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that several documents repeat."""
+    found = lines.dedup(read(spark, sf_dir))
+    kept = F.sha2(F.col("kept").cast("binary"), 256)
+    return found.select("doc_id", "n_lines", "n_dropped", kept.alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    query.__name__: query for query in [op1_fingerprints]
+    query.__name__: query for query in [
+        op1_fingerprints,
+        op2_licenses,
+        op4_mixing,
+        op5_packing,
+        op6_line_dedup,
+    ]
 }
 SQL: dict[str, str] = {}
