@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicgauge.llm import fingerprint, licenses, lines, mixing, packing
+from topicgauge.llm import fingerprint, licenses, lines, mixing, near, packing
 from topicgauge.llm.common import read, word_count
 
 
@@ -40,6 +40,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", kept.alias("kept_sha256"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near copies among all documents."""
+    return near.linked(read(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query for query in [
         op1_fingerprints,
@@ -47,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_mixing,
         op5_packing,
         op6_line_dedup,
+        op8_near_dedup,
     ]
 }
 SQL: dict[str, str] = {}
