@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicgauge.llm import fingerprint, licenses, lines, mixing, near, packing
+from topicgauge.llm import (
+    fingerprint,
+    language,
+    licenses,
+    lines,
+    mixing,
+    near,
+    packing,
+    secret_scan,
+    topk,
+    toxicity,
+)
 from topicgauge.llm.common import read, word_count
 
 
@@ -45,14 +56,39 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.linked(read(spark, sf_dir))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents."""
+    return language.identify(read(spark, sf_dir))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents."""
+    return secret_scan.scan(read(spark, sf_dir))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents."""
+    return toxicity.toxicity(read(spark, sf_dir), read(spark, sf_dir, "labels"))
+
+
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best other vectors for every fiftieth id."""
+    return topk.search(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    query.__name__: query for query in [
+    query.__name__: query
+    for query in [
         op1_fingerprints,
         op2_licenses,
+        op3_language,
         op4_mixing,
         op5_packing,
         op6_line_dedup,
+        op7_secrets,
         op8_near_dedup,
+        op9_toxicity,
+        op10_top_k,
     ]
 }
 SQL: dict[str, str] = {}
