@@ -16,6 +16,7 @@ from topicgauge.llm import (
     near,
     packing,
     secret_scan,
+    sql,
     topk,
     toxicity,
 )
@@ -91,4 +92,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_top_k,
     ]
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_mixing": sql.MIXING,
+    "op5_packing": sql.PACKING,
+    "op6_line_dedup": sql.LINE_DEDUP,
+    "op10_top_k": sql.TOP_K,
+}
