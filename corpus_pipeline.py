@@ -16,7 +16,7 @@ from topicgauge.session import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 # Documents whose words are spread over languages more than this are no language.
-MIN_LANGUAGE_SHARE = 0.4
+MIN_LANGUAGE_SHARE = 0.3
 # Stages on word runs take five words.
 WIDTH = 5
 

@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -305,16 +306,19 @@ def sampled(docs: DataFrame, per_language: int = SAMPLE, limit: int = CHAINS) ->
     # One row for each language.
     chosen = docs.join(F.broadcast(counts), "lang").where(draw < F.lit(per_language) / F.col("n"))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema(
+            {"lang": pa.string(), "doc_id": pa.int64(), "place": pa.int64(), "words": pa.list_(pa.string())}
+        )
         for batch in batches:
             rows = [
-                (lang, doc_id, i, words)
-                for lang, doc_id, text in zip(batch["lang"], batch["doc_id"], batch["text"])
-                for i, words in enumerate(stretches(text))
+                {"lang": row["lang"], "doc_id": row["doc_id"], "place": i, "words": words}
+                for row in batch.to_pylist()
+                for i, words in enumerate(stretches(row["text"]))
             ]
-            yield pd.DataFrame(rows, columns=["lang", "doc_id", "place", "words"])
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    rows = chosen.select("lang", "doc_id", "text").mapInPandas(
+    rows = chosen.select("lang", "doc_id", "text").mapInArrow(
         cut, "lang string, doc_id long, place long, words array<string>"
     )
     order = F.xxhash64("doc_id", "place")

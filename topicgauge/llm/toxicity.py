@@ -25,6 +25,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ LEVEL = 0.7
 # Words whose verdict a worker remembers.
 MEMORY = 400_000
 
-_WORD = re.compile(r"[\w@$*]+")
+_WORD = re.compile(r"[^\W_]+(?:[@$*][^\W_]+)*")
 _OPEN, _CLOSE = "\"“„«‹‘", "\"”“»›’"
 
 
@@ -265,17 +266,23 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
     # At most about 2 * SAMPLE narrow rows.
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic, other = Counter(), Counter()
-            for text, label in zip(batch["text"], batch["toxic"]):
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 (toxic if label else other).update(_entries(text))
             names = list(toxic.keys() | other.keys())
-            yield pd.DataFrame(
-                {"entry": names, "k1": [toxic[x] for x in names], "k0": [other[x] for x in names]}
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(names, pa.string()),
+                    pa.array([toxic[x] for x in names], pa.int64()),
+                    pa.array([other[x] for x in names], pa.int64()),
+                ],
+                names=["entry", "k1", "k0"],
             )
 
-    counts = rows.where("part < 2").mapInPandas(counted, "entry string, k1 long, k0 long")
+    counts = rows.where("part < 2").select("text", "toxic")
+    counts = counts.mapInArrow(counted, "entry string, k1 long, k0 long")
     counts = materialize(counts.groupBy("entry").agg(F.sum("k1").alias("k1"), F.sum("k0").alias("k0")))
     # Entries far more frequent in toxic documents; the exact test follows.
     share = (F.col("k1") + 0.5) / (n1 + 1) * (n0 + 1) / (F.col("k0") + 0.5)
@@ -296,16 +303,17 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
     if not terms and not stems:
         return Model()
 
-    def other_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def other_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton(terms, {})
         for batch in batches:
-            near = [w for w in batch["entry"] if (v := automaton.judge(w)) and not v[1]]
-            yield pd.DataFrame({"entry": near})
+            words = batch.column(0).to_pylist()
+            near = [w for w in words if (v := automaton.judge(w)) and not v[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(near, pa.string())], names=["entry"])
 
     # Words of other documents that one edit turns into a term: fewer than a
     # term has neighbours.
     usual = counts.where("k0 > 0 AND k0 * 2 > k1 AND NOT endswith(entry, '**')").select("entry")
-    known = frozenset(r[0] for r in usual.mapInPandas(other_words, "entry string").collect())
+    known = frozenset(r[0] for r in usual.mapInArrow(other_words, "entry string").collect())
     lexicon = Model(terms, stems, known)
     measured = rows.where("part = 2").select("toxic", *_measured(lexicon, "text")).collect()
     if len({r["toxic"] for r in measured}) < 2:
