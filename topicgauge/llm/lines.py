@@ -158,7 +158,7 @@ def suspects(docs: DataFrame, twice: bytes, slices: int) -> DataFrame:
 
 
 def repeated(found: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc_id, drop): the keys that each document loses, counted exactly."""
+    """(doc_id, _drop): the keys that each document loses, counted exactly."""
     judged = (
         found.groupBy("key")
         .agg(
@@ -171,7 +171,7 @@ def repeated(found: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     judged = judged.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = found.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     losing = dealt.join(judged, ["key", "salt"]).where("NOT (doc_id <=> last_id)")
-    return losing.groupBy("doc_id").agg(F.collect_set("key").alias("drop"))
+    return losing.groupBy("doc_id").agg(F.collect_set("key").alias("_drop"))
 
 
 REWRITTEN = "n_dropped long, kept string"
@@ -192,7 +192,11 @@ def _rewritten(texts: pd.Series, drops: pd.Series) -> pd.DataFrame:
 
 
 def dedup(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """All rows and columns of `docs`, with n_lines, n_dropped and the text `kept`."""
+    """All rows and columns of `docs`, with n_lines, n_dropped and the text `kept`.
+
+    Input columns of these names are replaced.
+    """
+    docs = docs.drop("n_lines", "n_dropped", "kept", "_drop", "_losing", "_new")
     text = F.coalesce("text", F.lit(""))
     n_lines = F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
     total = docs.agg(F.sum(n_lines)).first()[0] or 0
@@ -201,11 +205,11 @@ def dedup(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     found = materialize(suspects(docs, twice_seen(docs, slices), slices))
     drops = repeated(found, min_docs).withColumnRenamed("doc_id", "_losing")
     rows = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("_losing")), "left")
-    new = F.pandas_udf(_rewritten, REWRITTEN)(F.when(F.col("drop").isNotNull(), text), "drop")
+    new = F.pandas_udf(_rewritten, REWRITTEN)(F.when(F.col("_drop").isNotNull(), text), "_drop")
     return (
         rows.withColumn("_new", new)
         .withColumn("n_lines", n_lines.cast("long"))
         .withColumn("n_dropped", F.coalesce("_new.n_dropped", F.lit(0)).cast("long"))
         .withColumn("kept", F.coalesce("_new.kept", text))
-        .drop("_new", "drop", "_losing")
+        .drop("_new", "_drop", "_losing")
     )

@@ -31,6 +31,8 @@ MOST = 2
 BLOCK = 16
 SHARD = 1 << 20
 SEED = "mix"
+# Columns that the mix adds; input columns of these names are replaced.
+ADDED = ["source_size", "target", "copies", "cut_from", "cut_to", "cut_end", "taken"]
 
 
 def targets(sources: DataFrame) -> DataFrame:
@@ -121,6 +123,7 @@ def mixed(docs: DataFrame, size: str = "size") -> DataFrame:
     The mix takes `copies` whole copies of a row, its words from cut_from up to
     cut_to, and its first cut_end words; taken is their number.
     """
+    docs = docs.drop(*ADDED)
     sized = materialize(docs.select("doc_id", "source", F.col(size).alias("_size")))
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
     totals = sized.groupBy("source").agg(

@@ -47,7 +47,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines that several documents repeat."""
-    found = lines.dedup(read(spark, sf_dir))
+    found = lines.dedup(read(spark, sf_dir).select("doc_id", "text"))
     kept = F.sha2(F.col("kept").cast("binary"), 256)
     return found.select("doc_id", "n_lines", "n_dropped", kept.alias("kept_sha256"))
 
