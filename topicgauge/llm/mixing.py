@@ -88,7 +88,7 @@ def apportion(parties: DataFrame, group: list[str], key: str, seats: str) -> Dat
     half = F.col("_parties") / 2
 
     def at(house: Column) -> Column:
-        share = F.col("votes") * F.greatest(house, F.lit(0.0)) / F.col("_votes")
+        share = F.try_divide(F.col("votes") * F.greatest(house, F.lit(0.0)), F.col("_votes"))
         return F.coalesce(F.floor(share + 0.5), F.lit(0))
 
     sure = F.least(F.greatest(at(F.col("house") - half) - 1, F.lit(0)), F.col("most"))
