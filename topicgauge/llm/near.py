@@ -10,9 +10,12 @@ probability of (1 - 0.8^5)^51, about 2e-9.
 Documents of equal sets are one node. In each bucket of nodes that share a
 band, nodes are compared with a head of the bucket; nodes that turn out to be
 connected need no further comparison, so a group of near copies costs a few
-pairs a node. Only nodes of a bucket that are still in different components
-are then compared with each other. Pairs pass a collision-corrected estimate
-from the registers (six standard errors wide), and are confirmed on full sets.
+pairs a node. Only buckets whose nodes are still in different components are
+looked at again: the nodes of small ones in pairs (at most SMALL / 2 for each
+node), those of large ones in blocks of bounded size, of which a task takes
+two, counts the shared runs of all their nodes at once and returns no more
+links than join components. Pairs pass a collision-corrected estimate from the
+registers (six standard errors wide), and links are confirmed on full sets.
 
 Defined results: texts without words are linked with nothing; a text with
 fewer words than a run is one run; rows that share an id are one document with
@@ -38,8 +41,12 @@ REGISTERS = 256
 ROWS = 5
 BANDS = REGISTERS // ROWS
 MANTISSA = 10
-# Rounds in which buckets are compared with a head of their own.
-HEAD_ROUNDS = 2
+# Nodes of a bucket that is compared in pairs.
+SMALL = 16
+# Runs of a block, each node counting for LEAST at least, and runs looked up at once.
+BLOCK_RUNS = 1 << 18
+LEAST = 512
+COLUMNS = 4096
 
 _MIX = np.random.Generator(np.random.PCG64(8))
 _WORD_FACTORS = _MIX.integers(1 << 62, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -259,6 +266,104 @@ def _pair(x: Column | str, y: Column | str) -> list[Column]:
     return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
 
 
+def _joining(roots: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Numbers of the links that connect components which earlier links left apart."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while above.get(x, x) != x:
+            x = above[x]
+        return x
+
+    take = []
+    for i, (x, y) in enumerate(zip(roots[a].tolist(), roots[b].tolist())):
+        x, y = top(x), top(y)
+        if x != y:
+            above[x] = y
+            take.append(i)
+    return take
+
+
+def shared_runs(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets on the left with all on the right."""
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    hashes = [np.concatenate([*side, np.empty(0, dtype=np.uint64)]) for side in (left, right)]
+    owners = [np.repeat(np.arange(len(side)), [len(x) for x in side]) for side in (left, right)]
+    common = np.intersect1d(*hashes)
+    places = []
+    for values, owner in zip(hashes, owners):
+        at = np.searchsorted(common, values)
+        at[at == len(common)] = 0
+        met = common[at] == values if len(common) else np.zeros(len(values), dtype=bool)
+        order = np.argsort(at[met], kind="stable")
+        places.append((at[met][order], owner[met][order]))
+    for start in range(0, len(common), COLUMNS):
+        parts = []
+        for (at, owner), side in zip(places, (left, right)):
+            low, high = np.searchsorted(at, [start, start + COLUMNS])
+            part = np.zeros((len(side), COLUMNS), dtype=np.float32)
+            part[owner[low:high], at[low:high] - start] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def block_links(rest: DataFrame, sizes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between components, from the nodes of large buckets in bounded blocks.
+
+    A node's home is the least root it meets in a bucket; homes are cut into
+    blocks by hash. Two blocks are compared if a bucket holds nodes of both.
+    """
+    low = rest.groupBy("bucket").agg(F.min("root").alias("low"))
+    homes = rest.join(low, "bucket").groupBy("node", "root").agg(F.min("low").alias("home"))
+    homes = homes.join(sizes, "node")
+    load = F.sum(F.greatest("n_shingles", F.lit(LEAST)))
+    cuts = homes.groupBy("home").agg(F.ceil(load / BLOCK_RUNS).cast("long").alias("cuts"))
+    name = F.struct("home", F.pmod(F.xxhash64("node"), F.col("cuts")).alias("cut"))
+    homes = materialize(homes.join(cuts, "home").select("node", "root", name.alias("block")))
+
+    def packed(group: pa.Table) -> pa.Table:
+        nodes, roots = (np.array(group[c].to_pylist(), dtype=np.int64) for c in ("node", "root"))
+        sets = [run_hashes(x, width) for x in group["text"].to_pylist()]
+        held = np.concatenate([[len(nodes)], nodes, roots, [len(x) for x in sets]]).astype(np.int64)
+        data = held.tobytes() + b"".join(x.tobytes() for x in sets)
+        return pa.table(
+            {"block": group["block"][:1], "data": pa.array([data], pa.binary())}
+        )
+
+    def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        n = int(np.frombuffer(data, dtype=np.int64, count=1)[0])
+        nodes, roots, many = np.frombuffer(data, dtype=np.int64, count=3 * n, offset=8).reshape(3, n)
+        runs = np.frombuffer(data, dtype=np.uint64, offset=8 * (3 * n + 1))
+        return nodes, roots, np.split(runs, np.cumsum(many)[:-1])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                left, right = unpacked(batch.column(0)[i].as_py()), unpacked(batch.column(1)[i].as_py())
+                both = shared_runs(left[2], right[2])
+                m, n = (np.array([len(x) for x in side[2]]) for side in (left, right))
+                linked = 100 * both >= percent * (m[:, None] + n[None, :] - both)
+                a, b = np.nonzero(linked & (left[1][:, None] != right[1][None, :]))
+                take = _joining(np.concatenate([left[1], right[1]]), a, b + len(m))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(left[0][a[take]]), pa.array(right[0][b[take]])], names=["a", "b"]
+                )
+
+    blocks = homes.join(texts, "node").select("block", "node", "root", "text")
+    blocks = materialize(
+        blocks.groupBy("block").applyInArrow(packed, "block struct<home:long,cut:long>, data binary")
+    )
+    met = rest.join(homes.select("node", "block"), "node").select("bucket", "block").distinct()
+    pairs = met.join(met.withColumnRenamed("block", "other"), "bucket").where("block <= other")
+    pairs = pairs.select("block", "other").distinct()
+    both = pairs.join(blocks, "block").join(
+        blocks.select(F.col("block").alias("other"), F.col("data").alias("data2")), "other"
+    )
+    found = both.select("data", "data2").mapInArrow(compared, "a long, b long")
+    return found.select(*_pair("a", "b")).distinct()
+
+
 def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of `docs`."""
     rows = materialize(signed(docs, width))
@@ -273,7 +378,7 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
             F.when(F.col("doc_id") == F.col("node"), F.col("registers")).alias("registers"),
         )
     )
-    nodes = placed.where("registers IS NOT NULL").select("node", "registers")
+    nodes = placed.where("registers IS NOT NULL").select("node", "registers", "n_shingles")
     keyed = bands(nodes)
     shared = keyed.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("_last"))
     spots = materialize(
@@ -297,37 +402,24 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     def test(pairs: DataFrame) -> DataFrame:
         return confirmed(likely(pairs, nodes, percent), texts, width, percent)
 
-    pairs = spots.where("node <> head").select(*_pair("node", "head")).distinct()
-    tested = materialize(pairs)
+    tested = materialize(spots.where("node <> head").select(*_pair("node", "head")).distinct())
     links = materialize(links.unionByName(test(tested)))
-    roots = components(links)
-    spots = spots.select("bucket", "node")
-    for turn in range(1, HEAD_ROUNDS):
-        # Another head, drawn by hash, for buckets that are not one component yet.
-        open_spots = materialize(_rooted(spots, roots))
-        heads = open_spots.groupBy("bucket").agg(
-            F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("head")
-        )
-        pairs = (
-            open_spots.join(heads, "bucket")
-            .where("root <> head.root")
-            .select(*_pair("node", "head.node"))
-            .distinct()
-        )
-        fresh = materialize(pairs.join(tested, ["a", "b"], "left_anti"))
-        links = materialize(links.unionByName(test(fresh)))
-        tested, roots = tested.unionByName(fresh), components(links)
-        spots = open_spots.select("bucket", "node")
-    rest = materialize(_rooted(spots, roots))
-    other = rest.toDF(*("bucket", "node2", "root2"))
+    rest = materialize(_rooted(spots.select("bucket", "node"), components(links)))
+    many = rest.groupBy("bucket").agg((F.count(F.lit(1)) > SMALL).alias("large"))
+    rest = rest.join(many, "bucket")
+    small, large = (
+        rest.where(F.col("large") == x).select("bucket", "node", "root") for x in (False, True)
+    )
     pairs = (
-        rest.join(other, "bucket")
+        small.join(small.toDF("bucket", "node2", "root2"), "bucket")
         .where("root < root2")
         .select(*_pair("node", "node2"))
         .distinct()
         .join(tested, ["a", "b"], "left_anti")
     )
-    roots = components(links.unionByName(test(pairs)))
+    sizes = nodes.select("node", "n_shingles")
+    found = confirmed(block_links(large, sizes, texts, width, percent), texts, width, percent)
+    roots = components(links.unionByName(test(pairs)).unionByName(found))
     out = placed.select("doc_id", "n_shingles", "node").join(roots, "node", "left")
     component = F.coalesce("root", "node")
     return out.select(
