@@ -17,6 +17,14 @@ T0 = datetime(2024, 1, 1)
 SCORE = "cluster_id string, response_id string, created_at timestamp, quality_score double"
 
 
+@pytest.fixture(scope="module", autouse=True)
+def compiled(spark):
+    """This module runs the plans as they ship, with whole-stage code."""
+    spark.conf.set("spark.sql.codegen.wholeStage", "true")
+    yield
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+
+
 def scores(spark, **clusters):
     rows = [
         (c, f"{c}{i:05d}", T0 + timedelta(minutes=i), s) for c, xs in clusters.items() for i, s in enumerate(xs)
@@ -147,14 +155,6 @@ def test_overshoot_is_cut(spark):
     assert [r[0] for r in df.select(evaluate.stored_score(F.col("m"))).collect()] == [1.0, None, 0.0, None]
 
 
-def test_poison_rows_go_to_dead_letters(spark):
-    batch = spark.createDataFrame([("a",), ("b",), ("c",)], "response_id string")
-    tries = spark.createDataFrame([("a", 1, "x"), ("a", 3, "y"), ("b", 2, "z")], "response_id string, attempts int, error string")
-    keep, dead = recover.drop_poison(batch, tries, 3)
-    assert sorted(r[0] for r in keep.collect()) == ["b", "c"]
-    assert [tuple(r) for r in dead.collect()] == [("a", 3, "y")]
-
-
 def test_params_keep_their_bounds():
     for bad in ({"drift_threshold": 1.0}, {"sampling_rate": 0}, {"ann_candidates": 101}, {"max_batch": 33},
                 {"detection_interval_s": 59}, {"golden_set_mode": "x"}, {"notification_channel": "telegram"},

@@ -13,7 +13,8 @@ from topicgauge.functions.vectors import group_features
 from topicgauge.operators import drift
 from topicgauge.params import Params
 from topicgauge.plans import jobs
-from topicgauge.sources.state import StateStore
+from topicgauge.schemas import STREAM_ENTRY, TABLES
+from topicgauge.sources.state import StateMoved, StateStore
 from topicgauge.streaming import cluster_stream, drift_stream
 
 T0 = datetime(2024, 1, 1)
@@ -111,7 +112,7 @@ def test_uncommitted_epochs_stay_invisible(spark, root):
     open_epoch.write("responses", store.log("responses").drop("epoch"))
     assert store.log("responses").count() == 9
     jobs.log_calls(store, calls(spark, 3, start=9), P)
-    assert store.log("responses").count() == 11 and store.last_epoch() == 1   # one of the three is null
+    assert store.log("responses").count() == 11 and store.last_epoch() == 2   # one of the three is null; 1 stays unused
 
 
 def test_recovery_takes_the_old_and_skips_the_textless(spark, root):
@@ -174,6 +175,17 @@ class Failing:
         return broken(text)
 
 
+class Poisoned:
+    def column(self, text):
+        @F.udf("string")
+        def checked(t):
+            if t.startswith("poison"):
+                raise ValueError("cannot read " + t)
+            return t
+
+        return EMBED.column(checked(text))
+
+
 def test_stream_batches_and_poison(spark, root, tmp_path):
     store = StateStore(spark, root)
     jobs.log_calls(store, calls(spark, 33), P)
@@ -190,15 +202,69 @@ def test_stream_batches_and_poison(spark, root, tmp_path):
     assert store.commits().where("job = 'stream'").count() == 3
     check_invariants(store, P.golden_set_warmup)
 
-    entries(store).limit(4).withColumn("response_id", F.concat(F.lit("x"), "response_id")).coalesce(1).write.mode(
-        "append").parquet(source)
-    for _ in range(P.max_delivery_attempts):
+    bad = F.when(F.col("response_id") < "8", F.concat(F.lit("poison "), "request_text")).otherwise(F.col("request_text"))
+    late = entries(store).withColumn("request_text", bad).withColumn("response_id", F.concat(F.lit("x"), "response_id"))
+    late.coalesce(1).write.mode("append").parquet(source)
+    poisoned = late.where("request_text LIKE 'poison%'").count()
+    assert 0 < poisoned < late.count()
+    good = late.count() - poisoned
+    for _ in range(P.max_delivery_attempts + 1):                   # an outage is no poison
         with pytest.raises(Exception):
             run(Failing())
+    for _ in range(P.max_delivery_attempts):
+        with pytest.raises(Exception):
+            run(Poisoned())
     assert store.log("dead_letter").where("attempts = 3").count() == 0
-    run(Failing())                                                 # set aside, the stream goes on
-    assert store.log("dead_letter").where("attempts = 3").count() == 4
-    assert store.log("assignments").count() == 30
+    run(Poisoned())                                                # only bad rows are set aside
+    dead = store.log("dead_letter").where("attempts = 3").collect()
+    assert len(dead) == poisoned and all("cannot read" in r["error"] for r in dead)
+    assert store.log("assignments").count() == 30 + good
+
+    # A stream of its own counts its batches from 0 again; none is taken for done.
+    again = entries(store).limit(2).withColumn("response_id", F.concat(F.lit("y"), "response_id"))
+    again.coalesce(1).write.parquet(str(tmp_path / "in2"))
+    stream = cluster_stream.read_entries(spark, str(tmp_path / "in2"))
+    cluster_stream.start(stream, root, str(tmp_path / "check2"), EMBED, P, available_now=True).awaitTermination()
+    assert store.log("assignments").count() == 30 + good + 2
+
+
+def test_open_epochs_of_two_jobs_both_stay(spark, root):
+    store = StateStore(spark, root)
+    first, second = store.open("a"), store.open("b")
+    assert first.number != second.number
+    row = spark.createDataFrame([("r", 0.5, None)], "response_id string, quality_score double, reject_reason string")
+    for epoch in (second, first):
+        epoch.write("scores", row)
+        epoch.commit()
+    assert store.log("scores").count() == 2
+    clusters = spark.createDataFrame([], TABLES["clusters"])
+    early, late = store.open("a"), store.open("b")
+    late.write("clusters", clusters)
+    late.commit()
+    early.write("clusters", clusters)
+    with pytest.raises(StateMoved):
+        early.commit()
+    tries = []
+    store.publish("a", lambda epoch: tries.append(epoch.number) or epoch.write("clusters", clusters))
+    assert len(tries) == 1 and store.version() == 1
+
+
+def test_a_moved_state_is_worked_on_again(spark, root):
+    store = StateStore(spark, root)
+    jobs.log_calls(store, calls(spark, 12), P)
+    rows = entries(store).where("response_text <> ''").collect()
+    part = lambda n: spark.createDataFrame([r for i, r in enumerate(rows) if i % 2 == n], STREAM_ENTRY)
+    inner = []
+
+    def embeds_late(epoch):
+        if not inner:                                              # another job commits meanwhile
+            inner.append(1)
+            jobs.cluster_batch(store, part(1), EMBED, P, T0)
+        jobs._write_batch(epoch, store, part(0), EMBED, P, T0)
+
+    store.publish("slow", embeds_late)
+    assert store.log("assignments").count() == len(rows)
+    check_invariants(store, P.golden_set_warmup)
 
 
 def test_rolling_drift_over_many_batches_with_late_rows(spark, tmp_path):
@@ -258,7 +324,11 @@ def test_hashed_words_match_plain_python(spark):
 def test_entries_from_queue_messages(spark):
     good = json.dumps({"response_id": "a", "request_text": "q", "response_text": "r", "created_at": "2024-01-01T00:00:00Z"})
     df = spark.createDataFrame([(bytearray(good.encode()),), (bytearray(b"junk"),)], "value binary")
-    assert [r["request_text"] for r in cluster_stream.parse_entries(df).collect()] == ["q"]
+    got = cluster_stream.parse_entries(df).collect()
+    assert [(r["request_text"], r["unreadable"]) for r in got] == [("q", None), (None, "junk")]
+    short = json.dumps({"response_id": "b", "request_text": "q", "response_text": "r"})
+    df = spark.createDataFrame([(short, T0)], "value string, timestamp timestamp")
+    assert cluster_stream.parse_entries(df).first()["created_at"] == T0
 
 
 def test_vectors_of_the_wrong_size_fail_the_batch(spark, root):

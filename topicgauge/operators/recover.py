@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicgauge.params import RECOVERY_LIMIT
-
 
 def unclustered(
     responses: DataFrame, assignments: DataFrame, cutoff: Column, dead: DataFrame | None = None
@@ -20,8 +18,8 @@ def unclustered(
     return waiting
 
 
-def oldest(waiting: DataFrame, limit: int | None = RECOVERY_LIMIT) -> DataFrame:
-    """The oldest rows first; `None` recovers all of them in one run."""
+def oldest(waiting: DataFrame, limit: int | None = None) -> DataFrame:
+    """All waiting rows, or only the oldest `limit` of them if the caller asks for that."""
     if limit is None:
         return waiting
     return waiting.orderBy("created_at", "response_id").limit(limit)
@@ -37,18 +35,3 @@ def split_recoverable(waiting: DataFrame) -> tuple[DataFrame, DataFrame]:
         "response_id", F.lit(0).alias("attempts"), F.lit("no_request_text").alias("error")
     )
     return entries, skipped
-
-
-def drop_poison(batch: DataFrame, attempts: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
-    """(rows to process, dead letters): rows delivered `limit` times or more are dropped.
-
-    `attempts`: response_id, attempts, error — one row per failed delivery or more.
-    """
-    spent = (
-        attempts.groupBy("response_id")
-        .agg(F.max("attempts").alias("attempts"), F.max_by("error", "attempts").alias("error"))
-        .where(F.col("attempts") >= limit)
-    )
-    keep = batch.join(spent.select("response_id"), "response_id", "left_anti")
-    dead = batch.select("response_id").join(spent, "response_id")
-    return keep, dead

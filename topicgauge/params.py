@@ -11,7 +11,6 @@ PROVIDERS = ("openai", "anthropic")
 ROLES = ("system", "user", "assistant", "tool")
 SCORE_WINDOW = 50
 MIN_SCORES = 10
-RECOVERY_LIMIT = 100
 SPLIT_MIN_N = 4
 SPLIT_ROUNDS = 10
 LATENCY_BUCKETS_MS = (50, 100, 250, 500, 1000, 2000, 5000)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from topicgauge.plans.checked import CHECKED
 from topicgauge.plans.sql import SQL
 from topicgauge.plans.stateful import STATEFUL
-from topicgauge.session import ship_package
+from topicgauge.session import apply_settings, ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,7 +21,7 @@ def _prepared(query: Query) -> Query:
     @wraps(query)
     def run(spark: SparkSession, folder: str) -> DataFrame:
         ship_package(spark)
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        apply_settings(spark)
         return query(spark, folder)
 
     return run

@@ -1,7 +1,8 @@
 """Batch entry points over the state store, to be run by any scheduler.
 
 Each opens an epoch, writes its tables and commits; a repeated run is a new
-epoch, a failed one leaves nothing visible.
+epoch, a failed one leaves nothing visible. Jobs may run side by side: one that
+writes a snapshot another job has replaced meanwhile is done again.
 """
 
 from __future__ import annotations
@@ -14,10 +15,10 @@ from pyspark.sql import functions as F
 
 from topicgauge.functions.embedding import Embedder, embed_pairs
 from topicgauge.operators import assign, drift, evaluate, golden, normalize, recover, sampling, split
-from topicgauge.params import RECOVERY_LIMIT, Params
+from topicgauge.params import Params
 from topicgauge.session import broadcast_if_small, materialize, scratch
 from topicgauge.sources import outbox
-from topicgauge.sources.state import Epoch, StateStore
+from topicgauge.sources.state import Epoch, StateMoved, StateStore
 
 
 def _at(now: datetime):
@@ -28,9 +29,8 @@ def log_calls(store: StateStore, calls: DataFrame, params: Params, batch_id: int
     """Captured calls → responses (every Nth marked as sampled) and dead letters."""
     if batch_id >= 0 and store.committed("log", batch_id):
         return
-    epoch = store.open("log", batch_id)
     with scratch(store.spark):
-        _write_calls(epoch, store, calls, params)
+        store.publish("log", lambda epoch: _write_calls(epoch, store, calls, params), batch_id)
 
 
 def _write_calls(epoch: Epoch, store: StateStore, calls: DataFrame, params: Params) -> None:
@@ -47,7 +47,6 @@ def _write_calls(epoch: Epoch, store: StateStore, calls: DataFrame, params: Para
     epoch.write("dead_letter", dead)
     total = seen + good.count()
     epoch.write("sampling", store.spark.createDataFrame([(total,)], "rows_seen bigint"))
-    epoch.commit()
 
 
 def cluster_batch(
@@ -58,17 +57,25 @@ def cluster_batch(
     now: datetime,
     job: str = "cluster",
     batch_id: int = -1,
+    stream: str = "",
+    dead: DataFrame | None = None,
 ) -> None:
     """Embed, assign, admit goldens and evaluate one batch of stream entries.
 
     Entries already assigned are left out, so a batch delivered twice, or
-    recovered while still on its way, is counted once.
+    recovered while still on its way, is counted once. `dead` letters of the
+    batch become visible with it.
     """
-    if batch_id >= 0 and store.committed(job, batch_id):
+    if batch_id >= 0 and store.committed(job, batch_id, stream):
         return
-    epoch = store.open(job, batch_id)
-    with scratch(store.spark):
+
+    def work(epoch: Epoch) -> None:
         _write_batch(epoch, store, entries, embedder, params, now)
+        if dead is not None:
+            epoch.write("dead_letter", dead)
+
+    with scratch(store.spark):
+        store.publish(job, work, batch_id, stream)
 
 
 def _write_batch(
@@ -76,7 +83,6 @@ def _write_batch(
 ) -> None:
     fresh = (
         entries.dropDuplicates(["response_id"])
-        .where(F.length("request_text") > 0)
         .join(store.log("assignments").select("response_id"), "response_id", "left_anti")
     )
     embedded = materialize(embed_pairs(fresh, embedder, params.embedding_dim))
@@ -92,7 +98,6 @@ def _write_batch(
     flagged = evaluate.flagged_in_batch(rows, store.log("responses"))
     sampled = rows.join(flagged, "response_id", "left_semi")
     epoch.write("scores", evaluate.evaluate(sampled, goldens, params))
-    epoch.commit()
 
 
 def evaluate_pending(store: StateStore, embedder: Embedder, params: Params) -> None:
@@ -134,12 +139,20 @@ def send_alerts(store: StateStore, send: Callable[[dict], None], params: Params,
 
 def split_wide_clusters(store: StateStore, params: Params, now: datetime) -> int:
     """Split every oversized cluster once; returns how many were split."""
+    while True:
+        try:
+            return _split_once(store, params, now)
+        except StateMoved:
+            continue
+
+
+def _split_once(store: StateStore, params: Params, now: datetime) -> int:
+    epoch = store.open("split")
     clusters = store.snapshot("clusters")
     with scratch(store.spark):
         wide = materialize(split.oversized(clusters, params.birch_threshold).select("cluster_id"))
         if wide.isEmpty():
             return 0
-        epoch = store.open("split")
         # Find the rows concerned on narrow columns, then fetch their vectors.
         here = store.current_assignments().join(
             broadcast_if_small(wide, params.broadcast_limit_bytes), "cluster_id", "left_semi"
@@ -166,25 +179,29 @@ def _write_split(epoch: Epoch, store: StateStore, clusters, done: split.Split, n
 
 def add_goldens(store: StateStore, entries: DataFrame, embedder: Embedder, params: Params, now: datetime) -> int:
     """Manual goldens from (response_text, description); returns the set's new size."""
-    epoch = store.open("goldens")
-    with scratch(store.spark):
+
+    def work(epoch: Epoch) -> None:
         rows = golden.manual_goldens(entries, embedder, _at(now))
         everything = materialize(golden.insert(store.snapshot("goldens"), rows))
         clusters = store.snapshot("clusters")
         if not clusters.isEmpty():
             everything = assign.assign_goldens(everything, clusters, params)
         epoch.write("goldens", everything)
-        epoch.commit()
+
+    with scratch(store.spark):
+        store.publish("goldens", work)
     return store.snapshot("goldens").count()
 
 
 def clear_goldens(store: StateStore) -> int:
     """Empty the golden set; returns how many it held."""
-    epoch = store.open("goldens")
-    empty, held = golden.cleared(store.snapshot("goldens"))
-    epoch.write("goldens", empty)
-    epoch.commit()
-    return held
+
+    def work(epoch: Epoch) -> int:
+        empty, held = golden.cleared(store.snapshot("goldens"))
+        epoch.write("goldens", empty)
+        return held
+
+    return store.publish("goldens", work)
 
 
 def recover_unclustered(
@@ -192,9 +209,12 @@ def recover_unclustered(
     embedder: Embedder,
     params: Params,
     now: datetime,
-    limit: int | None = RECOVERY_LIMIT,
+    limit: int | None = None,
 ) -> int:
-    """Cluster responses that were never queued; returns how many were picked up."""
+    """Cluster responses that were never queued; returns how many were picked up.
+
+    All that wait are taken, or the oldest `limit` of them.
+    """
     cutoff = _at(now - timedelta(seconds=params.recovery_min_age_s))
     waiting = recover.unclustered(
         store.log("responses"), store.log("assignments"), cutoff, store.log("dead_letter")

@@ -49,6 +49,13 @@ def local_session(cores: int | str = "*", memory: str = "8g", **extra: str) -> S
     return spark
 
 
+def apply_settings(spark: SparkSession) -> None:
+    """The settings above that a running session can still change."""
+    for key, value in SETTINGS.items():
+        if spark.conf.isModifiable(key) and spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
+
+
 _shipped: set[str] = set()
 
 

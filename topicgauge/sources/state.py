@@ -1,13 +1,17 @@
 """State in plain Parquet or ORC files: append logs and snapshots, published by epoch.
 
-Every table is `root/<table>/epoch=<n>/`. A job writes its tables under a new
-epoch and commits last, naming the tables it wrote; readers only see committed
-epochs. Re-running an epoch overwrites its own folders, so a retry changes
-nothing. There is one writer at a time, which hands out the epochs.
+Every table is `root/<table>/epoch=<n>/`. A job takes a number of its own,
+writes its tables under it and commits last, naming the tables it wrote;
+readers only see committed epochs. Jobs may run side by side: numbers and
+commits are files that are created only if they do not exist yet. An epoch
+that writes a snapshot commits as the next version of the state, and only if no
+other job has made one since it was opened; else it is done again (`publish`).
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
@@ -15,9 +19,19 @@ from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from topicgauge.schemas import TABLES
+from topicgauge.session import apply_settings
 
 FORMATS = ("parquet", "orc")
-COMMIT = "job string, batch_id bigint, tables array<string>, committed_at timestamp"
+# One JSON file for each commit, whatever the format of the tables.
+COMMIT = (
+    "epoch bigint, job string, batch_id bigint, stream string, tables array<string>, "
+    "version bigint, committed_at timestamp"
+)
+SNAPSHOTS = ("clusters", "goldens", "sampling")
+
+
+class StateMoved(Exception):
+    """Another job made a new version of the state since the epoch was opened."""
 
 
 @dataclass
@@ -28,6 +42,8 @@ class Epoch:
     number: int
     job: str
     batch_id: int
+    stream: str
+    base: int  # version of the state when the epoch was opened
     tables: list[str] = field(default_factory=list)
 
     def write(self, table: str, rows: DataFrame) -> None:
@@ -37,17 +53,28 @@ class Epoch:
         self.tables.append(table)
 
     def commit(self) -> None:
-        spark = self.store.spark
-        row = spark.createDataFrame(
-            [(self.job, self.batch_id, self.tables)], "job string, batch_id bigint, tables array<string>"
-        ).withColumn("committed_at", F.current_timestamp())
-        self.store.write(row.coalesce(1), self.store.path("commits", self.number))
+        """Publish the epoch; StateMoved if it is no longer built on the latest state."""
+        snapshot = any(t in SNAPSHOTS for t in self.tables)
+        version = self.base + 1 if snapshot else None
+        name = f"state-{version}" if snapshot else f"log-{self.number}"
+        entry = {
+            "epoch": self.number,
+            "job": self.job,
+            "batch_id": self.batch_id,
+            "stream": self.stream,
+            "tables": self.tables,
+            "version": version,
+            "committed_at": self.store.clock(),
+        }
+        if not self.store.create(f"commits/{name}.json", json.dumps(entry)):
+            raise StateMoved(f"version {version} of the state exists")
 
 
 class StateStore:
     def __init__(self, spark: SparkSession, root: str, file_format: str = "parquet") -> None:
         if file_format not in FORMATS:
             raise ValueError(f"file_format must be one of {FORMATS}")
+        apply_settings(spark)
         self.spark = spark
         self.root = root.rstrip("/")
         self.file_format = file_format
@@ -67,20 +94,63 @@ class StateStore:
 
     # ---- commits ----
 
+    def create(self, name: str, text: str) -> bool:
+        """Write a file of the state folder unless it is there already."""
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        try:
+            out = files.create(path, False)
+        except Exception as failure:
+            if files.exists(path):
+                return False
+            raise failure
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+        return True
+
+    def clock(self) -> str:
+        return self.spark.range(1).select(F.current_timestamp().cast("string")).first()[0]
+
     def commits(self) -> DataFrame:
-        """epoch, job, batch_id, tables, committed_at: one row per committed epoch."""
-        return self._read("commits", COMMIT)
+        """epoch, job, batch_id, stream, tables, version, committed_at: one row per commit."""
+        return self._found(self.spark.read.schema(COMMIT).json, f"{self.root}/commits", COMMIT)
 
     def last_epoch(self) -> int:
         found = self.commits().agg(F.max("epoch").alias("e")).first()["e"]
         return -1 if found is None else found
 
-    def committed(self, job: str, batch_id: int) -> bool:
-        done = self.commits().where((F.col("job") == job) & (F.col("batch_id") == batch_id))
+    def version(self) -> int:
+        found = self.commits().agg(F.max("version").alias("v")).first()["v"]
+        return -1 if found is None else found
+
+    def committed(self, job: str, batch_id: int, stream: str = "") -> bool:
+        done = self.commits().where(
+            (F.col("job") == job) & (F.col("batch_id") == batch_id) & (F.col("stream") == stream)
+        )
         return not done.isEmpty()
 
-    def open(self, job: str, batch_id: int = -1) -> Epoch:
-        return Epoch(self, self.last_epoch() + 1, job, batch_id)
+    def open(self, job: str, batch_id: int = -1, stream: str = "") -> Epoch:
+        """A new epoch with a number that no other job has."""
+        base, number = self.version(), self.last_epoch() + 1
+        while not self.create(f"numbers/{number}", job):
+            number += 1
+        return Epoch(self, number, job, batch_id, stream, base)
+
+    def publish(
+        self, job: str, work: Callable[[Epoch], object], batch_id: int = -1, stream: str = ""
+    ) -> object:
+        """Do `work` in an epoch and commit it; again from the start if the state has moved."""
+        while True:
+            epoch = self.open(job, batch_id, stream)
+            result = work(epoch)
+            try:
+                epoch.commit()
+            except StateMoved:
+                continue
+            return result
 
     # ---- reading ----
 
@@ -103,12 +173,16 @@ class StateStore:
         return self._read(table, TABLES[table]).join(epochs, "epoch", "left_semi")
 
     def _read(self, table: str, schema: str) -> DataFrame:
+        whole = schema + ", epoch bigint"
+        return self._found(self._reader(whole).load, f"{self.root}/{table}", whole)
+
+    def _found(self, load: Callable[[str], DataFrame], path: str, schema: str) -> DataFrame:
         try:
-            return self._reader(schema + ", epoch bigint").load(f"{self.root}/{table}")
+            return load(path)
         except AnalysisException as missing:
             if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], schema + ", epoch bigint")
+            return self.spark.createDataFrame([], schema)
 
     # ---- derived views ----
 

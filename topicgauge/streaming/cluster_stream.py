@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from topicgauge.functions.embedding import Embedder
+from topicgauge.functions.embedding import Embedder, embed_pairs
 from topicgauge.params import Params
 from topicgauge.plans.jobs import cluster_batch
 from topicgauge.schemas import STREAM_ENTRY
@@ -29,17 +29,44 @@ def read_entries(spark, path: str, files_per_trigger: int = 1000) -> DataFrame:
 
 def parse_entries(messages: DataFrame, value: str = "value") -> DataFrame:
     """Stream entries from messages holding one JSON object each, as a queue
-    source delivers them. What is not an entry is left out."""
-    entry = F.from_json(F.col(value).cast("string"), STREAM_ENTRY)
-    return messages.select(entry.alias("e")).select("e.*").where(F.col("response_id").isNotNull())
+    source delivers them.
+
+    `created_at` is the entry's own, else the message's `timestamp`, else the
+    time of processing. What is not an entry keeps its text in `unreadable`,
+    which the batch runner sends to the dead letters.
+    """
+    raw = F.col(value).cast("string")
+    when = [F.col("e.created_at"), F.current_timestamp()]
+    if "timestamp" in messages.columns:
+        when.insert(1, F.col("timestamp"))
+    good = F.col("e.response_id").isNotNull()
+    return messages.withColumn("e", F.from_json(raw, STREAM_ENTRY)).select(
+        F.when(good, F.col("e.response_id")).alias("response_id"),
+        F.col("e.request_text").alias("request_text"),
+        F.col("e.response_text").alias("response_text"),
+        F.coalesce(*when).alias("created_at"),
+        F.when(~good, F.coalesce(raw, F.lit(""))).alias("unreadable"),
+    )
+
+
+def _unreadable(batch: DataFrame) -> DataFrame:
+    """Dead letters of messages that hold no entry, named after their text."""
+    text = F.col("unreadable")
+    return batch.where(text.isNotNull()).select(
+        F.sha2(F.concat(F.lit("message|"), text), 256).substr(1, 32).alias("response_id"),
+        F.lit(1).alias("attempts"),
+        F.concat(F.lit("unreadable: "), text).alias("error"),
+    )
 
 
 class BatchRunner:
-    """Body of foreachBatch: counts deliveries, sets poison batches aside.
+    """Body of foreachBatch: counts deliveries, sets poison rows aside.
 
-    Every delivery of a batch is noted before it is processed. A batch that
-    has already failed `max_delivery_attempts` times goes to the dead letters
-    instead of blocking the stream; a committed batch is skipped.
+    A batch is committed once for each stream, whose id the checkpoint keeps. A
+    failure counts as a delivery unless the embedder fails on any text at all,
+    which is an outage and only delays the batch. After `max_delivery_attempts`
+    the batch is halved until the rows that fail on their own are found; those
+    go to the dead letters and all others are clustered.
     """
 
     def __init__(self, root: str, embedder: Embedder, params: Params, job: str = "stream") -> None:
@@ -48,31 +75,71 @@ class BatchRunner:
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         store = StateStore(spark, self.root)
-        if store.committed(self.job, batch_id):
+        stream = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
+        if store.committed(self.job, batch_id, stream):
             return
-        attempts, error = self._attempts(spark, batch_id)
         now = datetime.now(timezone.utc).replace(tzinfo=None)
+        dead = None
+        if "unreadable" in batch.columns:
+            dead, batch = _unreadable(batch), batch.where("unreadable IS NULL").drop("unreadable")
+        attempts, error = self._attempts(spark, stream, batch_id)
         if attempts >= self.params.max_delivery_attempts:
-            epoch = store.open(self.job, batch_id)
-            epoch.write(
-                "dead_letter",
-                batch.select("response_id", F.lit(attempts).alias("attempts"), F.lit(error).alias("error")),
-            )
-            epoch.commit()
+            poison = self._poison(store, batch, attempts, now)
+            good = batch.join(poison.select("response_id"), "response_id", "left_anti")
+            dead = poison if dead is None else dead.unionByName(poison)
+            cluster_batch(store, good, self.embedder, self.params, now, self.job, batch_id, stream, dead)
             return
-        self._note(spark, batch_id, attempts + 1, "started")
         try:
-            cluster_batch(store, batch, self.embedder, self.params, now, self.job, batch_id)
+            cluster_batch(store, batch, self.embedder, self.params, now, self.job, batch_id, stream, dead)
         except Exception as failure:
-            self._note(spark, batch_id, attempts + 1, str(failure)[:500])
+            if self._embeds(spark.createDataFrame([("probe", "probe", "probe", now)], STREAM_ENTRY)):
+                self._note(spark, stream, batch_id, attempts + 1, str(failure))
             raise
 
-    def _path(self, batch_id: int) -> str:
-        return f"{self.root.rstrip('/')}/attempts/{self.job}/batch={batch_id}"
+    def _embeds(self, rows: DataFrame) -> bool:
+        try:
+            embed_pairs(rows, self.embedder, self.params.embedding_dim).write.format("noop").mode(
+                "overwrite"
+            ).save()
+        except Exception:
+            return False
+        return True
+
+    def _poison(self, store: StateStore, batch: DataFrame, attempts: int, now: datetime) -> DataFrame:
+        """Dead letters of the rows that cannot be embedded, found by halving on a hash.
+
+        A half that embeds is done with; a half that does not is halved again
+        on the next bit, so good rows are never given up with a bad one.
+        """
+        spark = store.spark
+        found: list[tuple[str, int, str]] = []
+        parts = [(batch, 0)]
+        while parts:
+            rows, bit = parts.pop()
+            few = rows.select("response_id").distinct().limit(2).collect()
+            if not few or self._embeds(rows):
+                continue
+            if len(few) == 1 or bit == 63:
+                found += [(r[0], attempts, self._reason(rows)) for r in few]
+                continue
+            side = F.shiftright(F.xxhash64("response_id"), bit).bitwiseAND(F.lit(1))
+            parts += [(rows.where(side == x), bit + 1) for x in (0, 1)]
+        return spark.createDataFrame(found, "response_id string, attempts int, error string")
+
+    def _reason(self, rows: DataFrame) -> str:
+        try:
+            embed_pairs(rows, self.embedder, self.params.embedding_dim).count()
+            embed_pairs(rows, self.embedder, self.params.embedding_dim).collect()
+        except Exception as failure:
+            return str(failure)
+        return "failed"
+
+    def _path(self, stream: str, batch_id: int) -> str:
+        return f"{self.root.rstrip('/')}/attempts/{self.job}/stream={stream}/batch={batch_id}"
 
-    def _attempts(self, spark, batch_id: int) -> tuple[int, str | None]:
+    def _attempts(self, spark, stream: str, batch_id: int) -> tuple[int, str | None]:
         try:
-            noted = spark.read.schema(ATTEMPT).parquet(f"{self._path(batch_id)}/*")
+            noted = spark.read.schema(ATTEMPT).parquet(f"{self._path(stream, batch_id)}/*")
         except AnalysisException as missing:
             if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -80,9 +147,9 @@ class BatchRunner:
         row = noted.agg(F.max("attempt").alias("n"), F.max_by("error", "attempt").alias("error")).first()
         return row["n"] or 0, row["error"]
 
-    def _note(self, spark, batch_id: int, attempt: int, error: str) -> None:
+    def _note(self, spark, stream: str, batch_id: int, attempt: int, error: str) -> None:
         row = spark.createDataFrame([(batch_id, attempt, error)], ATTEMPT)
-        row.coalesce(1).write.mode("overwrite").parquet(f"{self._path(batch_id)}/attempt={attempt}")
+        row.coalesce(1).write.mode("overwrite").parquet(f"{self._path(stream, batch_id)}/attempt={attempt}")
 
 
 def start(
