@@ -1,32 +1,32 @@
 """New clusters from the rows no existing cluster absorbs.
 
-The online algorithm is sequential, so it runs inside groups of bounded size:
-rows that point the same way (equal signs of a few random projections) are
-gathered, a group passes its rows through the absorb-or-create step in time
-order, and the resulting CFs become the rows of the next level under fresh
-projections. Levels repeat until one group holds what is left, or a level no
-longer merges anything. A batch that fits one group is exactly sequential.
+Rows in time order are cut into blocks of `group_rows`; a block passes its rows
+through the sequential absorb-or-create step. Clusters of different blocks are
+then merged in rounds: each cluster looks among its `ann_candidates` nearest for
+the first one of another block that it can join within the radius, and pairs
+that are the best for both sides merge into the earlier founder's cluster. The
+rounds end when no cluster finds such a partner. One rule holds at every size:
+nothing but `group_rows` and the rows themselves decides, whatever their number
+or layout. Rows of one block are exactly the online algorithm.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from topicgauge.functions.vectors import as_list_array, as_matrix, doubles, sq_norm_kernel
+from topicgauge.functions.vectors import as_list_array, as_matrix, cf_radius, dot, doubles, sq_norm_kernel, vec_add
+from topicgauge.operators.knn import top_candidates
+from topicgauge.operators.sampling import arrival_positions
 from topicgauge.params import Params
 from topicgauge.session import broadcast_if_small, materialize
 
-MAX_BITS = 16
-MAX_LEVELS = 12
-SEED = 42
-
-ITEMS = "item_id string, created_at timestamp, n bigint, ls array<double>, ss double"
 GROWN = "item_id string, founder_id string, created_at timestamp, n bigint, ls array<double>, ss double"
 
 
@@ -50,65 +50,98 @@ def grow_clusters(misses: DataFrame, params: Params) -> Grown:
         doubles(F.col("request_embedding")).alias("ls"),
         sq_norm_kernel("request_embedding").alias("ss"),
     )
-    total = items.count()
-    links: list[DataFrame] = []
-    for level in range(MAX_LEVELS):
-        whole = total <= params.group_rows
-        passed = materialize(_pass(items, total, level, params))
-        links.append(passed.select("item_id", "founder_id"))
-        items = passed.where(F.col("n").isNotNull()).select(
-            F.col("founder_id").alias("item_id"), "created_at", "n", "ls", "ss"
-        )
-        left = items.count()
-        if whole or left == total or left == 0:
+    places = arrival_positions(items.select("created_at", "item_id"), ["created_at", "item_id"])
+    block = F.floor((F.col("position") - 1) / params.group_rows).cast("bigint")
+    blocks = places.select("item_id", block.alias("block"))
+    passed = materialize(_pass(items.join(blocks, "item_id"), params))
+    founder = passed.select("item_id", "founder_id")
+    clusters = passed.where(F.col("n").isNotNull()).drop("founder_id")
+    clusters = materialize(clusters.join(blocks, "item_id"))
+    while True:
+        pairs = materialize(_partners(clusters, params))
+        if pairs.isEmpty():
             break
-        total = left
-    founder = links[-1]
-    for link in reversed(links[:-1]):
-        # A popular founder is a hot key here: broadcast its side when it fits.
-        tops = founder.select(F.col("item_id").alias("founder_id"), F.col("founder_id").alias("top"))
-        tops = broadcast_if_small(tops, params.broadcast_limit_bytes)
-        founder = link.join(tops, "founder_id").select("item_id", F.col("top").alias("founder_id"))
+        clusters = materialize(_merged(clusters, pairs))
+        moved = pairs.select(F.col("late").alias("founder_id"), F.col("early").alias("top"))
+        moved = broadcast_if_small(moved, params.broadcast_limit_bytes)
+        founder = founder.join(moved, "founder_id", "left").select(
+            "item_id", F.coalesce("top", "founder_id").alias("founder_id")
+        )
+        founder = materialize(founder)
     return Grown(
         founder.select(F.col("item_id").alias("response_id"), cluster_id_of("founder_id").alias("cluster_id")),
-        items.select(cluster_id_of("item_id").alias("cluster_id"), "n", "ls", "ss"),
+        clusters.select(cluster_id_of("item_id").alias("cluster_id"), "n", "ls", "ss"),
     )
 
 
-def _pass(items: DataFrame, total: int, level: int, params: Params) -> DataFrame:
-    """One level: group, then absorb or create inside each group."""
-    cap, k, threshold = params.group_rows, params.ann_candidates, params.birch_threshold
+def _pass(items: DataFrame, params: Params) -> DataFrame:
+    """Absorb or create inside each block."""
+    k, threshold = params.ann_candidates, params.birch_threshold
 
     def run(group: pa.Table) -> pa.Table:
         return absorb_in_order(group, k, threshold)
 
-    if total <= cap:
-        grouped = items.groupBy(F.lit(0).alias("whole"))
-    else:
-        bits = min(MAX_BITS, math.ceil(math.log2(total / cap)) + 1)
-        marked = items.withColumn("side", _signs(bits, level)("ls"))
-        # At most 2^MAX_BITS counts; a crowded side is cut into parts of about
-        # half the cap, so random spread does not push a part over it.
-        crowd = marked.groupBy("side").agg(
-            F.ceil(F.count(F.lit(1)) * 2 / cap).cast("int").alias("parts")
-        )
-        grouped = (
-            marked.join(F.broadcast(crowd), "side")
-            .withColumn("part", F.pmod(F.xxhash64("item_id", F.lit(level)), F.col("parts")))
-            .drop("parts")
-            .groupBy("side", "part")
-        )
-    return grouped.applyInArrow(run, GROWN)
+    return items.groupBy("block").applyInArrow(run, GROWN)
 
 
-def _signs(bits: int, level: int):
-    @F.arrow_udf("int")
-    def side(v: pa.Array) -> pa.Array:
-        matrix, _ = as_matrix(v)
-        planes = np.random.RandomState(SEED + level).standard_normal((matrix.shape[1], bits))
-        return pa.array(((matrix @ planes) > 0) @ (1 << np.arange(bits)), type=pa.int32())
+def _partners(clusters: DataFrame, params: Params) -> DataFrame:
+    """(early, late): pairs of clusters that merge in this round.
 
-    return side
+    A cluster finds itself among its nearest, so one more is asked for.
+    """
+    named = clusters.withColumnRenamed("item_id", "cluster_id")
+    asked = clusters.select("item_id", "block", "created_at", "n", "ls", "ss", F.col("ls").alias("v"))
+    more = replace(params, ann_candidates=min(100, params.ann_candidates + 1))
+    near = top_candidates(asked, named, more).withColumn("c", F.explode("candidates"))
+    other = named.select(
+        F.col("cluster_id").alias("other_id"),
+        F.col("block").alias("other_block"),
+        F.col("created_at").alias("other_at"),
+        F.col("n").alias("other_n"),
+        F.col("ls").alias("other_ls"),
+        F.col("ss").alias("other_ss"),
+    )
+    near = near.select("*", F.col("c.cluster_id").alias("other_id"), F.col("c.sim").alias("sim"))
+    near = near.where("item_id <> other_id AND sim > -1").drop("candidates", "c", "v")
+    both = near.join(other, "other_id").where("block <> other_block")
+    joined = dot(F.col("ls"), F.col("ls")) + 2 * dot(F.col("ls"), F.col("other_ls")) + dot(
+        F.col("other_ls"), F.col("other_ls")
+    )
+    radius = cf_radius(F.col("n") + F.col("other_n"), joined, F.col("ss") + F.col("other_ss"))
+    first = F.struct("created_at", "item_id") < F.struct(
+        F.col("other_at").alias("created_at"), F.col("other_id").alias("item_id")
+    )
+    edges = both.where(radius <= params.birch_threshold).select(
+        "sim",
+        F.when(first, F.col("item_id")).otherwise(F.col("other_id")).alias("early"),
+        F.when(first, F.col("other_id")).otherwise(F.col("item_id")).alias("late"),
+    )
+    # An edge seen from both sides is one; the best of all is the best of both its ends.
+    edges = edges.groupBy("early", "late").agg(F.max("sim").alias("sim"))
+    ends = edges.withColumn("end", F.explode(F.array("early", "late")))
+    order = Window.partitionBy("end").orderBy(F.col("sim").desc(), "early", "late")
+    best = ends.withColumn("_rank", F.row_number().over(order)).where("_rank = 1")
+    return best.groupBy("early", "late").agg(F.count(F.lit(1)).alias("sides")).where("sides = 2").drop("sides")
+
+
+def _merged(clusters: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Clusters with the later one of each pair added to the earlier."""
+    gone = clusters.join(pairs.select(F.col("late").alias("item_id")), "item_id", "left_anti")
+    added = clusters.join(pairs.withColumnRenamed("late", "item_id"), "item_id").select(
+        F.col("early").alias("item_id"),
+        F.col("n").alias("more_n"),
+        F.col("ls").alias("more_ls"),
+        F.col("ss").alias("more_ss"),
+    )
+    touched = F.col("more_n").isNotNull()
+    return gone.join(added, "item_id", "left").select(
+        "item_id",
+        "created_at",
+        (F.col("n") + F.coalesce("more_n", F.lit(0))).alias("n"),
+        F.when(touched, vec_add(F.col("ls"), F.col("more_ls"))).otherwise(F.col("ls")).alias("ls"),
+        (F.col("ss") + F.coalesce("more_ss", F.lit(0.0))).alias("ss"),
+        "block",
+    )
 
 
 def absorb_in_order(group: pa.Table, k: int, threshold: float) -> pa.Table:
