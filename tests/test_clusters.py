@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from topicgauge.functions import vectors as vf
 from topicgauge.operators import assign, golden, grow, split
-from topicgauge.operators import knn
 from topicgauge.params import Params
 from topicgauge.schemas import TABLES
 
@@ -67,9 +66,8 @@ def cf_frame(spark, df, key="cluster_id"):
     return vf.group_features(df, [key], "request_embedding")
 
 
-@pytest.mark.parametrize("limit", [1, 1 << 20])
-def test_search_matches_brute_force(spark, limit, monkeypatch):
-    monkeypatch.setattr(knn, "BLOCK_CLUSTERS", 7)
+@pytest.mark.parametrize("limit", [2500, 1 << 20])
+def test_search_matches_brute_force(spark, limit):
     rng = np.random.RandomState(3)
     centres = rng.standard_normal((90, 8))
     centres[5] = centres[6]          # an exact tie
@@ -96,7 +94,7 @@ def test_fewer_clusters_than_k_and_none(spark):
     none = assign.snapshot_assign(rows, "response_id", "request_embedding", empty_clusters(spark), P)
     assert none.where("cluster_id IS NOT NULL").count() == 0 and none.count() == 6
     two = cf_frame(spark, rows.withColumn("cluster_id", F.lit("only")))
-    for limit in (1, 1 << 20):
+    for limit in (100, 1 << 20):
         near = assign.nearest_clusters(rows, "response_id", "request_embedding", two,
                                        replace(P, broadcast_limit_bytes=limit))
         assert near.count() == 6

@@ -4,12 +4,11 @@ Two ways with the same answer:
 
 * the cluster matrix fits the broadcast limit: every executor gets it once and
   each Arrow batch of queries is one matrix product; nothing shuffles;
-* it does not: clusters are packed into cells around pivots, each query first
-  searches its home cells, and then only those cells whose angle bound says
-  they may still hold something nearer. Queries meet cells in groups of
-  bounded size, so neither a crowded cell nor a popular one lands in one task.
+* it does not: the same in passes, each with a slice of the matrix under the
+  limit; a query carries its best K from pass to pass. Nothing shuffles either;
+  the price is one reading of the queries for each slice.
 
-Pairs are never emitted: a query carries at most K candidates per searched cell.
+Pairs are never emitted: a query carries at most K candidates.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicgauge.functions.vectors import as_matrix, once, unit_rows
@@ -27,8 +26,6 @@ from topicgauge.schemas import CANDIDATES
 from topicgauge.session import materialize
 
 TIE_DIGITS = 12
-BLOCK_CLUSTERS = 4096
-MAX_PIVOTS = 4096
 # Similarity cells one matrix product may hold at a time (32 MB of doubles).
 PRODUCT_CELLS = 4 << 20
 
@@ -46,9 +43,12 @@ def top_candidates(queries: DataFrame, clusters: DataFrame, params: Params) -> D
     size = live.agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("ls")).alias("dims")).first()
     if size["rows"] == 0:
         return queries.withColumn("candidates", F.array().cast(CANDIDATES))
-    if size["rows"] * (size["dims"] + 4) * 8 <= params.broadcast_limit_bytes:
+    bytes_needed = size["rows"] * (size["dims"] + 4) * 8
+    if bytes_needed <= params.broadcast_limit_bytes:
         return _by_broadcast(queries, live, params)
-    return _by_cells(queries, live, size["rows"], params)
+    # A slice needs a row, so no more slices than rows.
+    slices = min(size["rows"], math.ceil(bytes_needed / params.broadcast_limit_bytes))
+    return _by_slices(queries, live, slices, params)
 
 
 # ---- the search itself, on one batch of queries and one set of clusters ------
@@ -140,165 +140,75 @@ _CANDIDATES_ARROW = pa.list_(
 )
 
 
-# ---- cells ------------------------------------------------------------------
-
-
-def _by_cells(queries: DataFrame, live: DataFrame, rows: int, params: Params) -> DataFrame:
-    spark = queries.sparkSession
-    k = params.ann_candidates
-    pivots, cells, meta = _build_cells(live, rows)
-    shared = spark.sparkContext.broadcast((pivots, meta))
-    asked = queries.select("item_id", "v")
-
-    @F.arrow_udf("array<int>")
-    def home(v: pa.Array) -> pa.Array:
-        """Blocks in order of pivot nearness until they hold K clusters."""
-        pivot_unit, blocks = shared.value
-        directions, _ = unit_rows(as_matrix(v)[0])
-        cos = directions @ pivot_unit.T
-        out = [blocks["of_pivot"][p] for p in cos.argmax(axis=1)]
-        short = np.nonzero(blocks["held"][cos.argmax(axis=1)] < k)[0]
-        for row in short:
-            chosen, held = [], 0
-            for p in np.argsort(-cos[row], kind="stable"):
-                chosen += blocks["of_pivot"][p]
-                held += blocks["held"][p]
-                if held >= k:
-                    break
-            out[row] = chosen
-        return pa.array(out, type=pa.list_(pa.int32()))
-
-    @F.arrow_udf("array<int>")
-    def remaining(v: pa.Array, worst: pa.Array, done: pa.Array) -> pa.Array:
-        """Blocks that may hold something at least as near as the K-th so far."""
-        pivot_unit, blocks = shared.value
-        directions, _ = unit_rows(as_matrix(v)[0])
-        angle = np.arccos(np.clip(directions @ pivot_unit.T, -1.0, 1.0))
-        gap = angle[:, blocks["pivot"]] - blocks["angle"][None, :]
-        bound = np.cos(np.maximum(0.0, gap))
-        open_ = bound >= np.asarray(worst, dtype=np.float64)[:, None] - 1e-9
-        rows = np.repeat(np.arange(len(done)), np.asarray(done.value_lengths()))
-        open_[rows, np.asarray(done.flatten())] = False
-        offsets = np.concatenate([[0], np.cumsum(open_.sum(axis=1))]).astype(np.int32)
-        return pa.ListArray.from_arrays(
-            pa.array(offsets), pa.array(np.nonzero(open_)[1].astype(np.int32))
-        )
-
-    first = materialize(asked.withColumn("blocks", once(home)("v")))
-    found = materialize(_search_cells(first, cells, params))
-    near = _best(found, k)
-    second = (
-        first.join(near, "item_id")
-        .withColumn("worst", F.element_at("candidates", -1)["sim"])
-        .withColumn("blocks", once(remaining)("v", "worst", "blocks"))
-        .where(F.size("blocks") > 0)
-        .select("item_id", "v", "blocks")
-    )
-    best = _best(found.unionByName(_search_cells(second, cells, params)), k)
-    return queries.join(best, "item_id")
+# ---- the matrix in slices ------------------------------------------------------
 
 
-def _build_cells(live: DataFrame, rows: int):
-    """Pivot directions, clusters with their block, and what is known of a block.
+def _by_slices(queries: DataFrame, live: DataFrame, slices: int, params: Params) -> DataFrame:
+    """The whole-matrix search, one slice of the clusters after the other.
 
-    At most MAX_PIVOTS pivots and rows/BLOCK_CLUSTERS + MAX_PIVOTS blocks reach
-    the driver; the clusters stay in the shared folder.
+    Queries stay where they are; each pass merges a slice's candidates into the
+    running top K and is written, so only one slice is held at a time.
     """
-    spark = live.sparkSession
-    count = min(MAX_PIVOTS, max(1, math.isqrt(rows)))
-    chosen = live.orderBy(F.xxhash64("cluster_id"), "cluster_id").limit(count).select("ls")
-    pivots, _ = unit_rows(as_matrix(chosen.toArrow()["ls"])[0])
-    shared = spark.sparkContext.broadcast(pivots)
-
-    @F.arrow_udf("struct<pivot:int,angle:double>")
-    def nearest_pivot(ls: pa.Array) -> pa.Array:
-        directions, _ = unit_rows(as_matrix(ls)[0])
-        cos = directions @ shared.value.T
-        at = cos.argmax(axis=1)
-        best = np.clip(cos[np.arange(len(at)), at], -1.0, 1.0)
-        return pa.StructArray.from_arrays(
-            [pa.array(at.astype(np.int32)), pa.array(np.arccos(best))], ["pivot", "angle"]
-        )
+    context = queries.sparkSession.sparkContext
+    k, threshold = params.ann_candidates, params.birch_threshold
+    live = materialize(live.withColumn("slice", F.pmod(F.xxhash64("cluster_id"), F.lit(slices))))
+    out = queries.withColumn("candidates", F.array().cast(CANDIDATES))
+    for number in range(slices):
+        part = live.where(F.col("slice") == number).drop("slice").toArrow()
+        if part.num_rows == 0:
+            continue
+        block = context.broadcast(_load(part))
+        search = once(_pass_of(block, k, threshold))
+        out = materialize(out.withColumn("candidates", search("v", "candidates")))
+        block.destroy()
+    return out
+
+
+def _pass_of(block, k: int, threshold: float):
+    """Search of one slice, merged into what earlier slices gave."""
 
-    placed = live.withColumn("at", nearest_pivot("ls")).select("*", "at.pivot", "at.angle").drop("at")
-    placed = materialize(placed)
-    crowd = {r["pivot"]: r["count"] for r in placed.groupBy("pivot").count().collect()}
-    parts = spark.createDataFrame(
-        [(p, math.ceil(c / BLOCK_CLUSTERS)) for p, c in crowd.items()], "pivot int, parts int"
-    )
-    cells = placed.join(F.broadcast(parts), "pivot").withColumn(
-        "part", F.pmod(F.xxhash64("cluster_id"), F.col("parts")).cast("int")
-    )
-    known = (
-        cells.groupBy("pivot", "part")
-        .agg(F.count(F.lit(1)).alias("rows"), F.max("angle").alias("angle"))
-        .orderBy("pivot", "part")
-        .collect()
-    )
-    numbers = spark.createDataFrame(
-        [(r["pivot"], r["part"], i) for i, r in enumerate(known)], "pivot int, part int, block int"
-    )
-    cells = cells.join(F.broadcast(numbers), ["pivot", "part"]).select(
-        "block", "cluster_id", "n", "ls", "ss"
+    @F.arrow_udf(CANDIDATES)
+    def merged(v: pa.Array, held: pa.Array) -> pa.Array:
+        matrix, _ = as_matrix(v)
+        if matrix.shape[1] == 0:
+            return held
+        found = _candidate_array(block.value, _search(block.value, matrix, k, threshold))
+        return _merge(held, found, k)
+
+    return merged
+
+
+def _merge(a: pa.Array, b: pa.Array, k: int) -> pa.Array:
+    """Row-wise top K of two candidate lists, nearest first, ties to the smaller id."""
+    parts = []
+    for lists in (a, b):
+        rows = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths().fill_null(0)))
+        flat = lists.flatten()
+        parts.append(
+            pa.table(
+                {
+                    "row": pa.array(rows),
+                    "far": pa.array(-np.asarray(flat.field("sim"), dtype=np.float64)),
+                    "cluster_id": flat.field("cluster_id"),
+                    "absorbs": flat.field("absorbs"),
+                }
+            )
+        )
+    both = pa.concat_tables(parts).sort_by(
+        [("row", "ascending"), ("far", "ascending"), ("cluster_id", "ascending")]
     )
-    of_pivot: list[list[int]] = [[] for _ in range(len(pivots))]
-    for i, r in enumerate(known):
-        of_pivot[r["pivot"]].append(i)
-    held = np.zeros(len(pivots), dtype=np.int64)
-    np.add.at(held, [r["pivot"] for r in known], [r["rows"] for r in known])
-    meta = {
-        "pivot": np.array([r["pivot"] for r in known]),
-        "held": held,
-        "angle": np.array([r["angle"] for r in known]),
-        "of_pivot": of_pivot,
-    }
-    return pivots, materialize(cells), meta
-
-
-def _search_cells(asked: DataFrame, cells: DataFrame, params: Params) -> DataFrame:
-    """Queries with their `blocks` → (item_id, candidates) per searched block.
-
-    Each block's queries are cut into slices of about `group_rows` rows; the
-    block's clusters (at most about BLOCK_CLUSTERS) go to each slice.
-    """
-    spark = asked.sparkSession
-    k, threshold = params.ann_candidates, params.birch_threshold
-    asked = materialize(asked.select("item_id", "v", "blocks"))
-    visits = asked.withColumn("block", F.explode("blocks")).drop("blocks")
-    load = [(r["block"], math.ceil(r["count"] / params.group_rows))
-            for r in visits.groupBy("block").count().collect()]
-    slices = spark.createDataFrame(load, "block int, slices int")
-    left = visits.join(F.broadcast(slices), "block").withColumn(
-        "slice", F.pmod(F.xxhash64("item_id"), F.col("slices")).cast("int")
-    ).drop("slices")
-    right = cells.join(F.broadcast(slices), "block").withColumn(
-        "slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
-    ).drop("slices")
-
-    def search(asked_rows: pa.Table, cluster_rows: pa.Table) -> pa.Table:
-        schema = pa.schema([("item_id", pa.string()), ("candidates", _CANDIDATES_ARROW)])
-        if asked_rows.num_rows == 0 or cluster_rows.num_rows == 0:
-            return schema.empty_table()
-        block = _load(cluster_rows)
-        matrix, _ = as_matrix(asked_rows["v"])
-        found = _candidate_array(block, _search(block, matrix, k, threshold))
-        return pa.table([asked_rows["item_id"], found], schema=schema)
-
-    return (
-        left.groupBy("block", "slice")
-        .cogroup(right.groupBy("block", "slice"))
-        .applyInArrow(search, f"item_id string, candidates {CANDIDATES}")
+    both = both.combine_chunks()
+    row = np.asarray(both["row"])
+    first = np.searchsorted(row, np.arange(len(a) + 1))
+    keep = np.arange(len(row)) - first[row] < k
+    both = both.filter(pa.array(keep)).combine_chunks()
+    offsets = np.searchsorted(np.asarray(both["row"]), np.arange(len(a) + 1)).astype(np.int32)
+    sims = pa.array(-np.asarray(both["far"]))
+    columns = [_whole(both["cluster_id"]), sims, _whole(both["absorbs"])]
+    return pa.ListArray.from_arrays(
+        pa.array(offsets), pa.StructArray.from_arrays(columns, ["cluster_id", "sim", "absorbs"])
     )
 
 
-def _best(found: DataFrame, k: int) -> DataFrame:
-    """Candidates of all searched blocks of a query → its top K."""
-    nearest = Window.partitionBy("item_id").orderBy(F.col("c.sim").desc(), F.col("c.cluster_id"))
-    return (
-        found.select("item_id", F.explode("candidates").alias("c"))
-        .withColumn("rank", F.row_number().over(nearest))
-        .where(F.col("rank") <= F.lit(k))
-        .groupBy("item_id")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "c"))).alias("o"))
-        .select("item_id", F.transform("o", lambda x: x["c"]).alias("candidates"))
-    )
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks or [pa.array([], column.type)])
