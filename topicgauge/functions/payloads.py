@@ -46,7 +46,11 @@ def _reject(*checks: tuple[str, Column]) -> Column:
 
 def uniform_openai(raw: Column, model: Column) -> Column:
     """Chat-completion payload → uniform struct with a reject_reason."""
-    v = F.try_parse_json(raw)
+    return openai_fields(F.try_parse_json(raw), model)
+
+
+def openai_fields(v: Column, model: Column) -> Column:
+    """The same from a payload parsed in a step of its own, so it is parsed once."""
     # A null choice object, or a null message in it, is as broken as a bad type.
     shape = (
         F.coalesce(_kind(v, "$.choices[0]").startswith("OBJECT"), F.lit(True))
@@ -67,7 +71,10 @@ def uniform_openai(raw: Column, model: Column) -> Column:
 
 def uniform_anthropic(raw: Column, model: Column) -> Column:
     """Messages payload → uniform struct: text blocks joined without separator."""
-    v = F.try_parse_json(raw)
+    return anthropic_fields(F.try_parse_json(raw), model)
+
+
+def anthropic_fields(v: Column, model: Column) -> Column:
     blocks = F.filter(
         F.coalesce(F.try_variant_get(v, "$.content", BLOCKS), F.array().cast(BLOCKS)),
         lambda b: b["type"] == "text",
@@ -102,22 +109,22 @@ def _uniform(v, provider, content, model, prompt, completion, reason, *checks) -
 
 def route_provider(model: Column) -> Column:
     """Provider of a model name: ordered prefix rules, first match wins."""
-    # Routing prefixes; anything else goes to the default.
-    return (
-        F.when(model.startswith("claude-"), F.lit("anthropic"))
-        .when(model.startswith("gpt-"), F.lit("openai"))
-        .when(model.startswith("o1"), F.lit("openai"))
-        .when(model.startswith("o3"), F.lit("openai"))
-        .when(model.startswith("o4"), F.lit("openai"))
-        .otherwise(F.lit("openai"))
-    )
+    # The one routing prefix that is not the default's, and the default.
+    return F.when(model.startswith("claude-"), F.lit("anthropic")).otherwise(F.lit("openai"))
+
+
+def endpoint_provider(endpoint: Column | None, model: Column) -> Column:
+    """Provider of a call: the messages endpoint has one of its own, others route by model."""
+    if endpoint is None:
+        return route_provider(model)
+    return F.when(endpoint == "messages", F.lit("anthropic")).otherwise(route_provider(model))
 
 
-def uniform_response(raw: Column, model: Column) -> Column:
-    """Uniform struct by the provider the requested model routes to."""
+def uniform_response(v: Column, model: Column, endpoint: Column | None = None) -> Column:
+    """Uniform struct of a parsed payload, by the provider of its call."""
     return F.when(
-        route_provider(model) == "anthropic", uniform_anthropic(raw, model)
-    ).otherwise(uniform_openai(raw, model))
+        endpoint_provider(endpoint, model) == "anthropic", anthropic_fields(v, model)
+    ).otherwise(openai_fields(v, model))
 
 
 def request_text(messages_json: Column) -> Column:

@@ -13,12 +13,20 @@ def normalize_calls(calls: DataFrame) -> DataFrame:
     """Raw calls → one wide row each, with a reject_reason (NULL = good).
 
     `calls`: request_id, model, stream, messages_json, payload, started_at,
-    finished_at, created_at. One projection, no shuffle; the response id is a
-    hash of the request id, so a retried task writes the same id.
+    finished_at, created_at, and optionally endpoint (`messages` is always
+    Anthropic's, whatever the model is called). No shuffle; the response id is a
+    hash of the request id, so a retried task writes the same id. Requests whose
+    messages have an unknown role or no content are rejected.
     """
     u = F.col("u")
+    endpoint = F.col("endpoint") if "endpoint" in calls.columns else None
+    asked = F.try_variant_get(
+        F.try_parse_json("messages_json"), "$", "array<struct<role:string,content:variant>>"
+    )
     return (
-        calls.withColumn("u", payloads.uniform_response(F.col("payload"), F.col("model")))
+        calls.withColumn("_payload", F.try_parse_json("payload"))
+        .withColumn("u", payloads.uniform_response(F.col("_payload"), F.col("model"), endpoint))
+        .withColumn("_asked", asked)
         .select(
             response_id(F.col("request_id")).alias("response_id"),
             "request_id",
@@ -33,7 +41,7 @@ def normalize_calls(calls: DataFrame) -> DataFrame:
             u["content"].alias("raw_content"),
             empty_to_null(payloads.request_text(F.col("messages_json"))).alias("request_text"),
             "created_at",
-            u["reject_reason"].alias("reject_reason"),
+            F.coalesce(u["reject_reason"], validate_messages(F.col("_asked"))).alias("reject_reason"),
         )
     )
 
@@ -89,10 +97,3 @@ def split_rejects(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         "response_id", F.lit(1).alias("attempts"), F.col("reject_reason").alias("error")
     )
     return good, dead
-
-
-def stream_entries(responses: DataFrame) -> DataFrame:
-    """What the clustering job reads of a response."""
-    return responses.select(
-        "response_id", "request_text", F.col("raw_content").alias("response_text"), "created_at"
-    )

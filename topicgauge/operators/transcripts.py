@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 DATA_PREFIX = "data: "
 RUN = 4096
@@ -180,16 +181,29 @@ def assemble_anthropic(lines: DataFrame) -> DataFrame:
 
 
 def pair_turns(turns: DataFrame) -> DataFrame:
-    """User turn answered by the next turn, as request/response pairs.
+    """User turn answered by the conversation's next turn, as request/response pairs.
 
-    Turns are numbered without gaps, so "next" is an equi-join on
-    (conv_id, turn): rows spread by both keys and a very long conversation
-    does not land in one task.
+    Turn numbers may have gaps. Which turn comes next is found on narrow rows;
+    the texts then meet by (conv_id, turn), spread by both keys, so those of a
+    very long conversation do not land in one task.
     """
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    follows = turns.select(
+        "conv_id",
+        "turn",
+        "role",
+        F.lead("turn").over(order).alias("next_turn"),
+        F.lead("role").over(order).alias("next_role"),
+    ).where("role = 'user' AND next_role = 'assistant'")
     asked = turns.where(F.col("role") == "user").select(
         "conv_id", "turn", F.col("text").alias("request_text")
     )
     answered = turns.where(F.col("role") == "assistant").select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response_text")
+        "conv_id", F.col("turn").alias("next_turn"), F.col("text").alias("response_text")
+    )
+    return (
+        follows.select("conv_id", "turn", "next_turn")
+        .join(answered, ["conv_id", "next_turn"])
+        .join(asked, ["conv_id", "turn"])
+        .select("conv_id", "turn", "request_text", "response_text")
     )
-    return asked.join(answered, ["conv_id", "turn"])
