@@ -151,8 +151,32 @@ def knn_centroids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def knn_centroids_cells(spark: SparkSession, folder: str) -> DataFrame:
-    """The same search, over cells instead of one broadcast matrix."""
-    return _knn(spark, folder, replace(PARAMS, broadcast_limit_bytes=1))
+    """The same search past the broadcast limit, in several slices of the matrix."""
+    return _knn(spark, folder, replace(PARAMS, broadcast_limit_bytes=6000))
+
+
+def cf_points(spark: SparkSession, folder: str) -> DataFrame:
+    """Features of single points, of a point absorbed twice, and the absorb test."""
+    point = F.col("embedding")
+    one = src.vectors(spark, folder).withColumn("one", vf.cf_from_point(point))
+    two = one.withColumn("two", vf.cf_absorb(F.col("one.n"), F.col("one.ls"), F.col("one.ss"), point))
+    turned = F.transform(point, lambda x: -x)
+    return two.select(
+        "vec_id",
+        F.col("one.n").alias("n"),
+        r6("one.ss").alias("ss"),
+        F.col("two.n").alias("n2"),
+        r6("two.ss").alias("ss2"),
+        F.round(F.element_at("two.ls", 1), 6).alias("first2"),
+        vf.cf_would_absorb(F.col("one.n"), F.col("one.ls"), F.col("one.ss"), point, 0.01).alias("same"),
+        vf.cf_would_absorb(F.col("one.n"), F.col("one.ls"), F.col("one.ss"), turned, 0.9).alias("opposite"),
+    )
+
+
+def centroid_backfill(spark: SparkSession, folder: str) -> DataFrame:
+    """Centroids computed anew from the features of clusters that lost theirs."""
+    lost = _snapshot(spark, folder).withColumn("centroid", F.lit(None).cast("array<double>"))
+    return _long(assign.backfill_centroids(lost), "cluster_id", "centroid")
 
 
 def _assigned(spark: SparkSession, folder: str) -> DataFrame:
@@ -191,7 +215,7 @@ def oversized_clusters(spark: SparkSession, folder: str) -> DataFrame:
 
 def _split(spark: SparkSession, folder: str) -> split.Split:
     wide = split.oversized(_labels_as_clusters(spark, folder), 0.9)
-    return split.split_clusters(src.members(spark, folder), wide, PARAMS, rounds=2)
+    return split.split_clusters(src.members(spark, folder), wide, PARAMS)
 
 
 def split_two_means(spark: SparkSession, folder: str) -> DataFrame:
@@ -291,6 +315,46 @@ def pair_turns(spark: SparkSession, folder: str) -> DataFrame:
     return src.pairs(spark, folder)
 
 
+def pair_turns_gapped(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of conversations whose turn numbers leave gaps and lack some turns."""
+    turns = src.table(spark, folder, "conversations").where("(conv_id + turn) % 7 <> 3")
+    return transcripts.pair_turns(turns.withColumn("turn", F.col("turn") * 3 + F.col("conv_id") % 2))
+
+
+def normalize_by_endpoint(spark: SparkSession, folder: str) -> DataFrame:
+    """Messages-endpoint payloads under an alias that routes nowhere, and chat ones."""
+    pairs = src.pairs(spark, folder).withColumn(
+        "endpoint", F.when(F.col("conv_id") % 2 == 0, F.lit("messages")).otherwise(F.lit("chat"))
+    )
+    block = F.struct(F.lit("text").alias("type"), F.col("response_text").alias("text"))
+    message = F.struct(F.lit("assistant").alias("role"), F.col("response_text").alias("content"))
+    payload = F.when(
+        F.col("endpoint") == "messages",
+        F.to_json(
+            F.struct(
+                F.array(block).alias("content"),
+                F.struct(F.col("conv_id").alias("input_tokens"), F.col("turn").alias("output_tokens")).alias("usage"),
+            )
+        ),
+    ).otherwise(F.to_json(F.struct(F.array(F.struct(message.alias("message"))).alias("choices"))))
+    parsed = pairs.withColumn("v", F.try_parse_json(payload))
+    u = payloads.uniform_response(F.col("v"), F.lit("my-alias"), F.col("endpoint"))
+    return parsed.withColumn("u", u).select(
+        "conv_id", "turn", "u.provider", "u.content", "u.prompt_tokens", "u.completion_tokens", "u.reject_reason"
+    )
+
+
+def validate_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """Reject reasons of requests with unknown roles and missing contents."""
+    turns = src.table(spark, folder, "conversations")
+    role = F.when(F.col("conv_id") % 5 == 0, F.lit("robot")).otherwise(F.col("role"))
+    text = F.when(F.col("turn") % 3 != 1, F.col("text"))
+    asked = F.when(
+        F.col("conv_id") % 11 != 0, F.array(F.struct(role.alias("role"), text.alias("content")))
+    )
+    return turns.select("conv_id", "turn", normalize.validate_messages(asked).alias("reason"))
+
+
 def _messages(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs as chat messages: text content on even turns' halves, block lists else."""
     pairs = src.pairs(spark, folder)
@@ -550,7 +614,14 @@ def unclustered_recovery(spark: SparkSession, folder: str) -> DataFrame:
 def recovery_oldest(spark: SparkSession, folder: str) -> DataFrame:
     responses, done = _recovery(spark, folder)
     waiting = recover.unclustered(responses, done, F.lit("2024-01-25 00:00:00").cast("timestamp_ntz"))
-    return recover.oldest(waiting).select("response_id")
+    return recover.oldest(waiting, 100).select("response_id")
+
+
+def recovery_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Everything that waits, which is what a run takes unless told otherwise."""
+    responses, done = _recovery(spark, folder)
+    waiting = recover.unclustered(responses, done, F.lit("2024-01-25 00:00:00").cast("timestamp_ntz"))
+    return recover.oldest(waiting).select("response_id", "created_at")
 
 
 def flagged_semi_join(spark: SparkSession, folder: str) -> DataFrame:
@@ -595,9 +666,9 @@ CHECKED = [
     split_cluster_parts, split_golden_remap,
     golden_admit, golden_admit_topup, golden_list, golden_size, evaluate_quality,
     evaluate_without_self, embed_documents, document_topics,
-    request_text, pair_turns, request_text_json, prompt_hash, prompt_hash_blocks,
+    request_text, pair_turns, pair_turns_gapped, normalize_by_endpoint, validate_messages, request_text_json, prompt_hash, prompt_hash_blocks,
     normalize_openai, normalize_anthropic, sse_openai, sse_anthropic, route_provider,
     redact_headers, forwarded_headers, validate_responses, insert_responses,
-    sample_every_nth, unclustered_recovery, recovery_oldest, flagged_semi_join,
+    sample_every_nth, cf_points, centroid_backfill, unclustered_recovery, recovery_oldest, recovery_all, flagged_semi_join,
     pending_evaluations, requests_by_model, latency_histogram, latest_score, delivered_alerts,
 ]

@@ -162,6 +162,45 @@ docvec AS (
   LEFT JOIN lengths l ON l.doc_id = d.doc_id
   GROUP BY d.doc_id, d.lang, d.source)"""
 
+# The online absorb-or-create algorithm, one document after the other: each goes to
+# the first of its 10 nearest clusters that stays within the radius, else founds one.
+# Documents of one block of `group_rows` grow like this; the data checked has one block.
+GROWTH = """steps AS (
+  SELECT 0::BIGINT AS i, NULL::VARCHAR AS item, 0::BIGINT AS home,
+         []::STRUCT(f VARCHAR, n BIGINT, ls DOUBLE[], ss DOUBLE, len DOUBLE)[] AS cs
+  UNION ALL
+  SELECT i, item, home, CASE WHEN home > len(cs)
+      THEN list_append(cs, {'f': item, 'n': 1, 'ls': v, 'ss': vv, 'len': sqrt(vv)})
+      ELSE list_concat(list_concat(cs[:home - 1], [{'f': cs[home].f, 'n': cs[home].n + 1, 'ls': ls,
+        'ss': cs[home].ss + vv, 'len': sqrt(list_inner_product(ls, ls))}]), cs[home + 1:]) END
+  FROM (
+    SELECT *, list_transform(list_zip(cs[home].ls, v), lambda p: p[1] + p[2]) AS ls FROM (
+      SELECT t.i, t.response_id AS item, t.v, t.vv, s.cs, coalesce(list_filter(
+          list_sort(list_transform(s.cs, lambda c, k: {
+            'far': -coalesce(list_inner_product(c.ls, t.v) / nullif(c.len * sqrt(t.vv), 0), 0),
+            'k': k,
+            'fits': sqrt(greatest(0, (c.ss + t.vv) / (c.n + 1)
+              - (c.len * c.len + 2 * list_inner_product(c.ls, t.v) + t.vv) / (c.n + 1) ** 2)) <= 0.6}))[:10],
+          lambda x: x.fits AND x.far < 1)[1].k, len(s.cs) + 1) AS home
+      FROM steps s JOIN turn t ON t.i = s.i + 1))),
+grown AS (SELECT unnest(cs, recursive := true) FROM steps WHERE i = (SELECT max(i) FROM steps)),
+owners AS (SELECT s.item AS response_id, g.cs[s.home].f AS founder FROM steps s,
+  (SELECT cs FROM steps WHERE i = (SELECT max(i) FROM steps)) g WHERE s.i > 0)"""
+GROWN = f"""{DOCS},
+turn AS (SELECT row_number() OVER (ORDER BY response_id::BIGINT) AS i, response_id, v,
+  list_inner_product(v, v) AS vv FROM docvec),
+{GROWTH}"""
+# The same for the requests of all conversation pairs, in the order of their time.
+PAIRS_GROWN = f"""{PAIRS},
+asked AS (SELECT conv_id || '-' || turn AS doc_id, request_text AS text,
+  conv_id::VARCHAR AS lang, turn::VARCHAR AS source FROM pairs),
+{DOCS.replace("documents", "asked")},
+turn AS (SELECT row_number() OVER (ORDER BY split_part(response_id, '-', 1)::BIGINT * 100
+    + split_part(response_id, '-', 2)::BIGINT, response_id) AS i, response_id, v,
+  list_inner_product(v, v) AS vv FROM docvec),
+{GROWTH}"""
+GROWN_ID = "substr(sha256('cluster|' || {0}), 1, 32)"
+
 MODEL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{m}'" for k, m in MODELS.items()) + " ELSE 'other' END"
 CALLS = f"""calls AS (SELECT event_id, {MODEL} AS model, event_id % 2 = 0 AS stream,
   floor(value * 10)::INTEGER AS latency_ms, ts AS created_at FROM events)"""
@@ -213,6 +252,11 @@ SQL: dict[str, str] = {
       SELECT cluster_id, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM grouped) GROUP BY cluster_id, pos""",
     "knn_centroids": KNN,
     "knn_centroids_cells": KNN,
+    "cf_points": f"""WITH {VECS} SELECT vec_id, 1::BIGINT AS n, round(list_inner_product(v, v), 6) AS ss,
+      2::BIGINT AS n2, round(2 * list_inner_product(v, v), 6) AS ss2, round(2 * v[1], 6) AS first2,
+      true AS same, sqrt(list_inner_product(v, v)) <= 0.9 AS opposite FROM vecs""",
+    "interleaved_jobs": f"""WITH {PAIRS}
+      SELECT conv_id || '-' || turn AS response_id, round(turn / 100, 6) AS quality_score FROM pairs""",
     "birch_snapshot_assign": f"""WITH {ABSORBED}
       SELECT vec_id, h.cluster_id, round(h.sim, 6) AS sim FROM vecs LEFT JOIN hit h USING (vec_id)""",
     "birch_absorb_merge": f"""WITH {ABSORBED}, together AS (
@@ -306,6 +350,21 @@ SQL: dict[str, str] = {
       CASE WHEN event_type = 'error' THEN 'no_request_text' ELSE 'queue' END AS outcome FROM waiting""",
     "recovery_oldest": f"""WITH {RESPONSES}, {WAITING}
       SELECT response_id FROM waiting ORDER BY created_at, response_id LIMIT 100""",
+    "recovery_all": f"""WITH {RESPONSES}, {WAITING} SELECT response_id, created_at FROM waiting""",
+    "pair_turns_gapped": """WITH t AS (
+        SELECT conv_id, turn * 3 + conv_id % 2 AS turn, role, text FROM conversations
+        WHERE (conv_id + turn) % 7 <> 3),
+      n AS (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS response_text
+        FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+      SELECT conv_id, turn, text AS request_text, response_text FROM n
+      WHERE role = 'user' AND next_role = 'assistant'""",
+    "normalize_by_endpoint": f"""WITH {PAIRS} SELECT conv_id, turn,
+      CASE WHEN conv_id % 2 = 0 THEN 'anthropic' ELSE 'openai' END AS provider, response_text AS content,
+      CASE WHEN conv_id % 2 = 0 THEN conv_id ELSE 0 END::INTEGER AS prompt_tokens,
+      CASE WHEN conv_id % 2 = 0 THEN turn ELSE 0 END::INTEGER AS completion_tokens,
+      NULL::VARCHAR AS reject_reason FROM pairs""",
+    "validate_messages": """SELECT conv_id, turn, CASE WHEN conv_id % 11 = 0 THEN 'messages'
+      WHEN conv_id % 5 = 0 THEN 'role' WHEN turn % 3 = 1 THEN 'content' END AS reason FROM conversations""",
     "flagged_semi_join": f"""WITH {RESPONSES} SELECT response_id FROM done
       WHERE response_id IN (SELECT response_id FROM responses WHERE sampled)""",
     "pending_evaluations": f"""WITH {RESPONSES}, {BY_TYPE} SELECT r.response_id, s.cluster_id FROM responses r
@@ -318,7 +377,11 @@ SQL: dict[str, str] = {
       ORDER BY dayofmonth(created_at) DESC, created_at DESC, response_id DESC LIMIT 1""",
     "delivered_alerts": f"""WITH {BY_TYPE}, {DETECT}
       SELECT 'webhook' AS channel, count(*) AS alerts FROM found WHERE d > {T} AND d > 0.2""",
-    "grow_membership": "SELECT count(*) AS documents, 0::BIGINT AS wrong_features, 0::BIGINT AS too_wide FROM documents",
+    "grow_clusters": f"""WITH RECURSIVE {GROWN}
+      SELECT {GROWN_ID.format("f")} AS cluster_id, n,
+        round(sqrt(greatest(0, ss / n - len * len / (n * n))), 6) AS radius FROM grown""",
+    "grow_membership": f"""WITH RECURSIVE {GROWN}
+      SELECT response_id, {GROWN_ID.format("founder")} AS cluster_id FROM owners""",
     "assign_batch": "SELECT count(*) AS documents, 0::BIGINT AS wrong_counts FROM documents",
     "assign_goldens": f"""WITH {VECS}, {gold(10)}, {LABELS}, {cf("lab")}
       SELECT 'text ' || vec_id AS response_text, cluster_id FROM (
@@ -330,6 +393,10 @@ SQL: dict[str, str] = {
     "alert_outbox": f"""WITH {BY_TYPE}, {DETECT}
       SELECT cluster_id, d > 0.2 AS alert_sent, d <= 0.2 AS pending FROM found WHERE d > {T}""",
     "stream_drift": f"WITH {BY_USER}, {DETECT} {DRIFT_ROWS}",
+    "stream_cluster": f"""WITH RECURSIVE {PAIRS_GROWN}
+      SELECT {GROWN_ID.format("f")} AS cluster_id, n,
+        round(sqrt(greatest(0, ss / n - len * len / (n * n))), 6) AS radius FROM grown""",
     "stream_cluster_coverage": f"""WITH {PAIRS}
       SELECT conv_id || '-' || turn AS response_id, 1::BIGINT AS assignments, 1::BIGINT AS scores FROM pairs""",
 }
+SQL["centroid_backfill"] = SQL["cluster_centroids"]

@@ -44,20 +44,8 @@ def grow_clusters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def grow_membership(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document is in exactly one grown cluster, and every cluster's CF
-    is that of its members."""
-    docs = materialize(src.embedded_documents(spark, folder))
-    grown = grow.grow_clusters(docs, TOPIC)
-    actual = vf.group_features(
-        docs.join(grown.members, "response_id"), ["cluster_id"], "request_embedding"
-    ).select("cluster_id", F.col("n").alias("members"), F.col("ss").alias("member_ss"))
-    same = (F.col("n") == F.col("members")) & (F.abs(F.col("ss") - F.col("member_ss")) < 1e-6)
-    radius = vf.cf_radius(F.col("n"), vf.dot(F.col("ls"), F.col("ls")), F.col("ss"))
-    return grown.clusters.join(actual, "cluster_id", "left").agg(
-        F.sum("members").alias("documents"),
-        F.coalesce(F.sum(F.when(~F.coalesce(same, F.lit(False)), 1)), F.lit(0)).cast("bigint").alias("wrong_features"),
-        F.coalesce(F.sum(F.when(radius > TOPIC.birch_threshold + 1e-9, 1)), F.lit(0)).cast("bigint").alias("too_wide"),
-    )
+    """The cluster of every document."""
+    return _grown(spark, folder).members
 
 
 def assign_batch(spark: SparkSession, folder: str) -> DataFrame:
@@ -203,7 +191,22 @@ def stream_cluster_coverage(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def interleaved_jobs(spark: SparkSession, folder: str) -> DataFrame:
+    """Two jobs open at once, each with half of the pairs; both stay visible."""
+    pairs = src.pairs(spark, folder).select(
+        F.concat_ws("-", "conv_id", "turn").alias("response_id"), "conv_id",
+        (F.col("turn") / 100).alias("quality_score"), F.lit(None).cast("string").alias("reject_reason"),
+    )
+    store = StateStore(spark, f"{_work_dir(spark, 'interleaved')}/state")
+    first, second = store.open("first"), store.open("second")
+    for epoch, half in ((second, 1), (first, 0)):
+        epoch.write("scores", pairs.where(F.col("conv_id") % 2 == half))
+        epoch.commit()
+    return store.current_scores().select("response_id", r6("quality_score").alias("quality_score"))
+
+
 STATEFUL = [
+    interleaved_jobs,
     grow_clusters, grow_membership, assign_batch, assign_goldens, latest_assignment, alert_outbox,
     stream_drift, stream_cluster, stream_cluster_coverage,
 ]
