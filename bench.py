@@ -20,6 +20,7 @@ HEADLINE = [
     "golden_admit", "evaluate_quality", "split_two_means",
     "embed_documents", "document_topics", "grow_clusters",
     "normalize_openai", "sse_openai", "sse_anthropic", "unclustered_recovery", "stream_drift",
+    "knn_centroids_cells", "assign_batch", "stream_cluster",
 ]
 
 
