@@ -18,7 +18,6 @@ when no labelled document was there to learn from.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -58,15 +57,55 @@ def stretches(text: str | None) -> list[list[str]]:
     return out
 
 
-def hashed(word: str) -> list[int]:
-    """Hashed features of a word: affixes, 2- and 3-grams, the word."""
-    w = f"<{word}>"
-    parts = [f"p{w[:n]}" for n in (2, 3, 4)] + [f"s{w[-n:]}" for n in (2, 3, 4)]
-    parts += [f"2{w[i:i + 2]}" for i in range(len(w) - 1)]
-    parts += [f"3{w[i:i + 3]}" for i in range(len(w) - 2)]
-    parts.append(f"w{w}")
-    crc, mask = zlib.crc32, FEATURES - 1
-    return [crc(p.encode()) & mask for p in parts]
+# Odd factors of the hashes, one for each letter's place in a feature.
+_FACTORS = np.random.Generator(np.random.PCG64(3)).integers(
+    1 << 62, 1 << 63, STRETCH, dtype=np.uint64
+) | np.uint64(1)
+
+
+def _slots(values: np.ndarray, kind: int) -> np.ndarray:
+    """Weight numbers of the features of one kind."""
+    x = values + _FACTORS[-1:] * np.uint64(kind + 1)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((x ^ (x >> np.uint64(32))) & np.uint64(FEATURES - 1)).astype(np.int32)
+
+
+def hashed(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Hashed features of words: (slots, slots a word) for affixes and word, 2-grams, 3-grams.
+
+    A word stands between two marks, so every word has features of each kind.
+    """
+    letters = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le"), dtype=np.uint32)
+    letters = letters.astype(np.uint64)
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2
+    ends = np.cumsum(sizes)
+    begin = ends - sizes
+    whole = np.empty((len(words), 7), dtype=np.int32)
+    first = last = np.zeros(len(words), dtype=np.uint64)
+    for n in range(4):
+        inside = (n < sizes).astype(np.uint64)
+        first = first + letters[np.minimum(begin + n, ends - 1)] * _FACTORS[n] * inside
+        last = last + letters[np.maximum(ends - 1 - n, begin)] * _FACTORS[n] * inside
+        if n:
+            whole[:, n - 1], whole[:, n + 2] = _slots(first, n), _slots(last, n + 4)
+    # Places past the factors share the last one; the word is one feature of many.
+    place = np.minimum(np.arange(len(letters)) - np.repeat(begin, sizes), STRETCH - 1)
+    whole[:, 6] = _slots(np.add.reduceat(letters * _FACTORS[place], begin), 9)
+    out = [(whole.ravel(), np.full(len(words), 7))]
+    owner = np.repeat(np.arange(len(words)), sizes)
+    for n in (2, 3):
+        grams = sum(letters[k : len(letters) - n + 1 + k] * _FACTORS[k] for k in range(n))
+        same = owner[: len(letters) - n + 1] == owner[n - 1 :]
+        out.append((_slots(grams[same], 8 + n), sizes - n + 1))
+    return out
+
+
+def _by_word(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(slots of all features word by word, features a word)."""
+    kinds = hashed(words)
+    owners = np.concatenate([np.repeat(np.arange(len(words), dtype=np.int32), n) for _, n in kinds])
+    order = np.argsort(owners, kind="stable")
+    return np.concatenate([x for x, _ in kinds])[order], sum(n for _, n in kinds)
 
 
 @dataclass
@@ -82,11 +121,9 @@ class Field:
         """One row of scores for each word."""
         if not words:
             return np.zeros((0, len(self.languages)), dtype=np.float32)
-        each = [hashed(w) for w in words]
-        sizes = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
-        flat = np.fromiter((x for xs in each for x in xs), dtype=np.int64, count=int(sizes.sum()))
-        begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        rows = np.add.reduceat(self.weights[flat], begin, axis=0)
+        rows = np.zeros((len(words), len(self.languages)), dtype=np.float32)
+        for slots, many in hashed(words):
+            rows += np.add.reduceat(self.weights[slots], np.cumsum(many) - many, axis=0)
         for i, w in enumerate(words):
             if w in self.lexicon:
                 rows[i] += self.in_lexicon[self.lexicon[w]]
@@ -148,10 +185,8 @@ def train(chains: list[tuple[list[str], int]], languages: list[str], seed: int =
         (np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words]), label)
         for words, label in chains
     ]
-    each = [hashed(w) for w in vocabulary]
-    sizes = np.array([len(x) for x in each])
+    flat, sizes = _by_word(list(vocabulary))
     ends = np.cumsum(sizes)
-    flat = np.array([x for xs in each for x in xs], dtype=np.int64)
     lexical = np.array([lexicon.get(w, n) for w in vocabulary])
     weights, seen_w = np.zeros((FEATURES, n)), np.full((FEATURES, n), 1e-6)
     in_lexicon, seen_l = np.zeros((n + 1, n)), np.full((n + 1, n), 1e-6)
@@ -308,21 +343,21 @@ def sampled(docs: DataFrame, per_language: int = SAMPLE, limit: int = CHAINS) ->
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(
-            {"lang": pa.string(), "doc_id": pa.int64(), "place": pa.int64(), "words": pa.list_(pa.string())}
+            {"lang": pa.string(), "doc_id": pa.int64(), "place": pa.int64(), "words": pa.string()}
         )
         for batch in batches:
             rows = [
-                {"lang": row["lang"], "doc_id": row["doc_id"], "place": i, "words": words}
+                {"lang": row["lang"], "doc_id": row["doc_id"], "place": i, "words": " ".join(words)}
                 for row in batch.to_pylist()
                 for i, words in enumerate(stretches(row["text"]))
             ]
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     rows = chosen.select("lang", "doc_id", "text").mapInArrow(
-        cut, "lang string, doc_id long, place long, words array<string>"
+        cut, "lang string, doc_id long, place long, words string"
     )
     order = F.xxhash64("doc_id", "place")
-    return [(r[0], list(r[1])) for r in rows.orderBy(order, "doc_id", "place", "lang").limit(limit).select("lang", "words").collect()]
+    return [(r[0], r[1].split(" ")) for r in rows.orderBy(order, "doc_id", "place", "lang").limit(limit).select("lang", "words").collect()]
 
 
 def fit(docs: DataFrame) -> Field | None:

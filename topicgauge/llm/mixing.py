@@ -81,6 +81,7 @@ def apportion(parties: DataFrame, group: list[str], key: str, seats: str) -> Dat
     has the seats that a divisor safely too large gives it, and surely no more
     than one safely too small gives; about two quotients a party are ranked.
     """
+    parties = materialize(parties)
     whole = parties.groupBy(*group).agg(
         F.sum("votes").alias("_votes"), F.count(F.lit(1)).alias("_parties")
     )
@@ -93,7 +94,7 @@ def apportion(parties: DataFrame, group: list[str], key: str, seats: str) -> Dat
 
     sure = F.least(F.greatest(at(F.col("house") - half) - 1, F.lit(0)), F.col("most"))
     possible = F.least(at(F.col("house") + half) + 1, F.col("most"))
-    joined = joined.withColumn("_sure", sure).withColumn("_possible", possible)
+    joined = materialize(joined.withColumn("_sure", sure).withColumn("_possible", possible))
     taken = joined.groupBy(*group).agg(F.sum("_sure").alias("_given"))
     open_seats = joined.where("_possible > _sure").withColumn(
         "_j", F.explode(F.sequence(F.col("_sure") + 1, F.col("_possible")))
