@@ -156,6 +156,34 @@ def test_novel_strings_are_told_from_names():
     assert secret_scan.scan_text(None, novelty) == secret_scan.scan_text("", novelty)
 
 
+@pytest.mark.parametrize("size", [16, 32, 64, 128, 256, 512, 1024])
+def test_random_strings_are_novel_at_every_length(size):
+    novelty = secret_scan.Novelty()
+    digits, upper = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    alphabets = [digits + "ABCDEF", upper + "234567", digits + upper.lower(), digits + upper + upper.lower() + "+/"]
+    prose = "Some of the lines around it say little, and others go on about the weather at length. " * 6
+    draw = random.Random(size)
+    found = dict.fromkeys(itertools.product(alphabets, ["", prose[:256]]), 0)
+    for alphabet, before in found:
+        for _ in range(20):
+            # A digit and a letter are in every string.
+            string = "A7".lower() if "a" in alphabet and "A" not in alphabet else "A7"
+            string += "".join(draw.choices(alphabet, k=size - 2))
+            text = f"{before}Authorization: Bearer {string} {before}"
+            at = text.index(string)
+            found[alphabet, before] += f"novel:{at}:{at + size}" in secret_scan.scan_text(text, novelty)[4]
+    assert min(found.values()) >= 19
+
+
+def test_long_names_are_not_novel():
+    novelty = secret_scan.Novelty()
+    names = "alpha2 bravo customer delivery element format gateway handler index7 journal kernel".split()
+    draw = random.Random(5)
+    for _ in range(20):
+        name = "_".join(draw.choices(names, k=60))
+        assert secret_scan.scan_text(f"the token {name} there", novelty)[4] == ""
+
+
 def _edits(a, b):
     """Distance with swaps of neighbours, each part edited once."""
     d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}

@@ -5,7 +5,9 @@ that stand close after a sensitive word are candidates; each is measured by the
 bytes it adds when compressed together with the text around it, by a compressor
 primed with code words and common identifiers. Names and prose repeat what the
 dictionary or the surroundings hold, secrets do not: candidates that cost
-MIN_COST bytes a character or more are reported as `novel`.
+MIN_COST bytes a character or more are reported as `novel`. Long strings over
+few characters cannot cost that much, even random ones, so candidates that cost
+about what a random string of their own characters and length does are novel too.
 
 Defined results: a null text is an empty one; empty texts have no spans.
 Positions are code points, ends are exclusive.
@@ -14,6 +16,7 @@ Positions are code points, ends are exclusive.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
 
@@ -55,6 +58,9 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=~-]{16,}")
 AROUND = 256
 MIN_COST = 0.8
 MIN_BYTES = 12
+# Share of the least cost of DRAWN random strings; random strings differ by less than the rest.
+MIN_SHARE = 0.95
+DRAWN = 4
 
 # Code words and identifiers that are no secrets.
 IDENTIFIERS = """
@@ -86,6 +92,17 @@ class Novelty:
         around = (before + "\n" + after).encode()
         return len(self._pack(around + b"\n" + string.encode())) - len(self._pack(around))
 
+    def is_novel(self, string: str, before: str, after: str) -> bool:
+        cost = self.cost(string, before, after)
+        if cost < MIN_BYTES:
+            return False
+        if cost >= MIN_COST * len(string):
+            return True
+        # The same strings at each call, so results do not depend on the order of documents.
+        draw, letters = random.Random(len(string)), sorted(set(string))
+        drawn = ("".join(draw.choices(letters, k=len(string))) for _ in range(DRAWN))
+        return any(cost >= MIN_SHARE * self.cost(other, before, after) for other in drawn)
+
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all pattern matches, leftmost and non-overlapping in each kind."""
@@ -112,7 +129,7 @@ def _order(span: tuple[int, int, str]) -> tuple[int, int]:
 def novel_spans(
     text: str, novelty: Novelty, taken: list[tuple[int, int, str]]
 ) -> list[tuple[int, int, str]]:
-    """Incompressible strings after sensitive words, outside the spans of `taken`."""
+    """Incompressible strings after sensitive words, but those inside a span of `taken`."""
     lower = text.encode().lower()
     if not any(word.encode() in lower for word in SENSITIVE):
         return []
@@ -122,16 +139,20 @@ def novel_spans(
             # The reach may end inside a string; the string counts whole.
             match = _CANDIDATE.match(text, match.start())
             span = match.span()
-            if span in out or any(a < span[1] and span[0] < b for a, b, _ in taken):
+            # A long random string may hold a run of digits that is a span by itself.
+            if span in out or any(a <= span[0] and span[1] <= b for a, b, _ in taken):
                 continue
             string = match.group()
             has_digit = any(c.isdigit() for c in string)
             has_letter = any(c.isalpha() for c in string)
-            cost = novelty.cost(
-                string, text[max(0, span[0] - AROUND) : span[0]], text[span[1] : span[1] + AROUND]
-            )
             out[span] = (
-                has_digit and has_letter and cost >= max(MIN_BYTES, MIN_COST * len(string))
+                has_digit
+                and has_letter
+                and novelty.is_novel(
+                    string,
+                    text[max(0, span[0] - AROUND) : span[0]],
+                    text[span[1] : span[1] + AROUND],
+                )
             )
     return [(a, b, "novel") for (a, b), secret in out.items() if secret]
 
