@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
 import xxhash
@@ -141,6 +142,29 @@ def test_language_holds_out(spark, folder):
     assert language.identify(blind).exceptAll(language.identify(docs)).count() == 0
 
 
+@pytest.mark.parametrize(("few", "many", "limit"), [(3, 4, 60), (50, 20, 200), (1, 1, 40)])
+def test_every_language_is_sampled(spark, few, many, limit):
+    # Documents of twelve stretches in most languages, of one line in another.
+    long = [(1000 * x + i, f"l{x}", "\n".join(f"{chr(97 + x)}{'on' * (i % 5)} tua" for _ in range(12))) for x in range(many) for i in range(60)]
+    rows = long + [(90_000 + i, "xx", "zyx zywxe qqy") for i in range(few)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(5)
+    got = language.sampled(docs, limit=limit)
+    assert got == language.sampled(docs.repartition(2), limit=limit)
+    counts = Counter(lang for lang, _ in got)
+    allowed = language.shares({lang: n for lang, n in [("xx", few), *((f"l{x}", 720) for x in range(many))]}, limit)
+    assert counts["xx"] == allowed["xx"] if few <= language.LEAST else counts["xx"] >= language.LEAST / 2
+    assert all(allowed[lang] / 2 <= counts[lang] <= 2 * allowed[lang] for lang in allowed)
+    assert {lang for lang, _ in got} == {"xx"} | {f"l{x}" for x in range(many)}
+    model = language.fit(docs)
+    assert language.Labeller(model).texts(["zyx zywxe qqy"])[0][0] == "xx"
+
+
+def test_shares_of_languages():
+    assert language.shares({"a": 3, "b": 7500, "c": 7500}, 9000) == {"a": 3, "b": 4498, "c": 4499}
+    assert language.shares({str(i): 100 for i in range(1000)}, 9000) == {str(i): 30 for i in range(1000)}
+    assert language.shares({}, 9000) == {}
+
+
 def test_mix_of_odd_rows(odd, empty, spark):
     sized = odd.withColumn("size", common.word_count(F.col("text"))).withColumn("target", F.lit("x"))
     got = mixing.mixed(sized).collect()

@@ -8,8 +8,10 @@ that join pieces of documents of different languages, so switches inside a
 line are expected. Forward-backward gives each word's distribution, and a
 document's language is the one with the largest share over all its words.
 
-The field is fitted on a bounded sample (SAMPLE documents a language, CHAINS
-stretches in all); every word of every document is labelled.
+The field is fitted on a bounded sample: about SAMPLE documents a language, and
+CHAINS stretches shared out among the languages, LEAST or all of its own for
+each. Every language with a stretch in the sample is learned, and every word of
+every document is labelled.
 
 Defined results: `und` with score 0 for null texts, texts without letters, and
 when no labelled document was there to learn from.
@@ -36,6 +38,8 @@ FEATURES = 1 << 17
 # Bounds of the sample the field is fitted on.
 SAMPLE = 600
 CHAINS = 9000
+# Stretches a language may have even when there are too many languages for CHAINS.
+LEAST = 30
 # Words of a language's lexicon, and the share of their uses that must be its own.
 LEXICON = 400
 OWN_SHARE = 0.8
@@ -334,12 +338,25 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % parts
 
 
+def shares(counts: dict[str, int], limit: int) -> dict[str, int]:
+    """Stretches each language may have: even shares of `limit`, where small ones leave room to others."""
+    out, left = {}, limit
+    for i, lang in enumerate(sorted(counts, key=lambda x: (counts[x], x))):
+        out[lang] = min(counts[lang], max(LEAST, left // (len(counts) - i)))
+        left = max(0, left - out[lang])
+    return out
+
+
 def sampled(docs: DataFrame, per_language: int = SAMPLE, limit: int = CHAINS) -> list[tuple[str, list[str]]]:
-    """(language, words) of at most `limit` stretches, about equally many documents a language."""
-    counts = materialize(docs.where("lang IS NOT NULL").groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    """(language, words) of about `limit` stretches, about equally many a language; none is left out."""
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    counts = materialize(
+        docs.where("lang IS NOT NULL").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(draw).alias("least"))
+    )
     # One row for each language.
-    chosen = docs.join(F.broadcast(counts), "lang").where(draw < F.lit(per_language) / F.col("n"))
+    chosen = docs.join(F.broadcast(counts), "lang").where(
+        (draw < F.lit(per_language) / F.col("n")) | (draw == F.col("least"))
+    )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(
@@ -350,19 +367,33 @@ def sampled(docs: DataFrame, per_language: int = SAMPLE, limit: int = CHAINS) ->
                 {"lang": row["lang"], "doc_id": row["doc_id"], "place": i, "words": " ".join(words)}
                 for row in batch.to_pylist()
                 for i, words in enumerate(stretches(row["text"]))
+                if words
             ]
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    rows = chosen.select("lang", "doc_id", "text").mapInArrow(
-        cut, "lang string, doc_id long, place long, words string"
+    rows = materialize(
+        chosen.select("lang", "doc_id", "text")
+        .mapInArrow(cut, "lang string, doc_id long, place long, words string")
+        .withColumn("draw", F.xxhash64("doc_id", "place"))
+    )
+    # The first stretch of each language stays whatever the draw.
+    order = ["draw", "doc_id", "place", "words"]
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*order)).alias("first")).collect()
+    allowed = shares({r["lang"]: r["n"] for r in sizes}, limit)
+    rates = rows.sparkSession.createDataFrame(
+        [(r["lang"], allowed[r["lang"]] / r["n"]) for r in sizes], "lang string, rate double"
     )
-    order = F.xxhash64("doc_id", "place")
-    return [(r[0], r[1].split(" ")) for r in rows.orderBy(order, "doc_id", "place", "lang").limit(limit).select("lang", "words").collect()]
+    part = F.pmod(F.col("draw"), F.lit(1 << 30)) / float(1 << 30)
+    kept = rows.join(F.broadcast(rates), "lang").where(part < F.col("rate")).select("lang", *order).collect()
+    found = {r["lang"] for r in kept}
+    kept += [(r["lang"], *r["first"]) for r in sizes if r["lang"] not in found]
+    kept.sort(key=lambda r: (r[1], r[2] is not None, r[2] or 0, *r[3:], r[0]))
+    return [(r[0], r[4].split(" ")) for r in kept]
 
 
 def fit(docs: DataFrame) -> Field | None:
     """Field from the labelled rows of `docs`; None without any."""
-    chains = [(lang, words) for lang, words in sampled(docs) if words]
+    chains = sampled(docs)
     if not chains:
         return None
     languages = sorted({lang for lang, _ in chains})
