@@ -184,6 +184,25 @@ def test_long_names_are_not_novel():
         assert secret_scan.scan_text(f"the token {name} there", novelty)[4] == ""
 
 
+@pytest.mark.parametrize("gap", [0, 1, 32, 33, 40, 47, 48])
+def test_reach_after_a_sensitive_word(gap):
+    secret = "Zk3+q9XvT7/wLm2R"
+    text = "token" + " " * gap + secret
+    found = secret_scan.scan_text(text, secret_scan.Novelty())[4]
+    assert found == (f"novel:{5 + gap}:{21 + gap}" if gap < secret_scan.REACH else "")
+
+
+def test_random_strings_without_digits_are_told_from_words():
+    novelty = secret_scan.Novelty()
+    draw = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    before, after = "The harbour was quiet before the storm; token ", " and nobody had answered the last letters."
+    strings = ["".join(draw.choices(letters, k=16)) for _ in range(100)]
+    assert sum(secret_scan.scan_text(before + s + after, novelty)[4] != "" for s in strings) >= 90
+    for name in ["internationalization", "getAuthorizationHeader", "/usr/local/share/applications"]:
+        assert secret_scan.scan_text(before + name + after, novelty)[4] == ""
+
+
 def _edits(a, b):
     """Distance with swaps of neighbours, each part edited once."""
     d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}

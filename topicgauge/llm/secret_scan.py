@@ -54,13 +54,16 @@ SENSITIVE = (
 )
 REACH = 48
 _CONTEXT = re.compile("|".join(map(_any_case, SENSITIVE)))
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=~-]{16,}")
+MIN_STRING = 16
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=~-]{%d,}" % MIN_STRING)
 AROUND = 256
 MIN_COST = 0.8
 MIN_BYTES = 12
 # Share of the least cost of DRAWN random strings; random strings differ by less than the rest.
 MIN_SHARE = 0.95
 DRAWN = 4
+# Strings without digits are words when more of their letter pairs are known ones.
+MAX_KNOWN = 0.6
 
 # Code words and identifiers that are no secrets.
 IDENTIFIERS = """
@@ -77,6 +80,11 @@ abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 1234567890 xxxx
 """
 
 
+def pairs(text: str) -> set[str]:
+    """Pairs of neighbouring ASCII letters, in lower case."""
+    return {a + b for run in re.findall("[a-z]+", text.lower()) for a, b in zip(run, run[1:])}
+
+
 class Novelty:
     """Marginal compressed bytes of a string, given the text around it."""
 
@@ -84,6 +92,7 @@ class Novelty:
         primed = zstandard.ZstdCompressionDict(
             identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT
         )
+        self._pairs = pairs(identifiers)
         self._pack = zstandard.ZstdCompressor(
             level=9, dict_data=primed, write_checksum=False, write_content_size=False
         ).compress
@@ -94,7 +103,7 @@ class Novelty:
 
     def is_novel(self, string: str, before: str, after: str) -> bool:
         cost = self.cost(string, before, after)
-        if cost < MIN_BYTES:
+        if cost < MIN_BYTES or (not any(map(str.isdigit, string)) and self._is_wording(string, before, after)):
             return False
         if cost >= MIN_COST * len(string):
             return True
@@ -103,6 +112,10 @@ class Novelty:
         drawn = ("".join(draw.choices(letters, k=len(string))) for _ in range(DRAWN))
         return any(cost >= MIN_SHARE * self.cost(other, before, after) for other in drawn)
 
+    def _is_wording(self, string: str, before: str, after: str) -> bool:
+        own = pairs(string)
+        return len(own & (self._pairs | pairs(before) | pairs(after))) > MAX_KNOWN * len(own)
+
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all pattern matches, leftmost and non-overlapping in each kind."""
@@ -135,7 +148,8 @@ def novel_spans(
         return []
     out: dict[tuple[int, int], bool] = {}
     for word in _CONTEXT.finditer(text):
-        for match in _CANDIDATE.finditer(text, word.end(), word.end() + REACH):
+        # A string that starts within the reach has its least length by then.
+        for match in _CANDIDATE.finditer(text, word.end(), word.end() + REACH + MIN_STRING - 1):
             # The reach may end inside a string; the string counts whole.
             match = _CANDIDATE.match(text, match.start())
             span = match.span()
@@ -143,11 +157,9 @@ def novel_spans(
             if span in out or any(a <= span[0] and span[1] <= b for a, b, _ in taken):
                 continue
             string = match.group()
-            has_digit = any(c.isdigit() for c in string)
             has_letter = any(c.isalpha() for c in string)
             out[span] = (
-                has_digit
-                and has_letter
+                has_letter
                 and novelty.is_novel(
                     string,
                     text[max(0, span[0] - AROUND) : span[0]],
