@@ -43,10 +43,23 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group of near copies."""
+    """Keeps the document of smallest id of each group of near copies, repeated rows of it once.
+
+    Rows of one id are one document; those of different texts all stay, and rows
+    without an id are documents of their own.
+    """
     prepare(spark)
-    gone = near.linked(docs, width=WIDTH).where("NOT kept").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(gone, "doc_id", "left_anti").select(COLUMNS)
+    docs = docs.select(COLUMNS)
+    gone = materialize(near.linked(docs, width=WIDTH).where("NOT kept").select("doc_id").distinct())
+    ids = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    # Usually few: only rows of these ids are compared by their texts.
+    repeated = materialize(ids.where("n > 1").select("doc_id").join(gone, "doc_id", "left_anti"))
+    others = docs.join(gone.unionAll(repeated), "doc_id", "left_anti").select(COLUMNS)
+    rest = [c for c in COLUMNS if c != "doc_id"]
+    text = F.sha2(F.col("text").cast("binary"), 256)
+    rows = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id", text.alias("_text"))
+    once = rows.agg(F.min(F.struct(rest)).alias("_row")).select("doc_id", "_row.*")
+    return others.unionByName(once.select(COLUMNS))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

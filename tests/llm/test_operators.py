@@ -262,6 +262,19 @@ def test_near_copies_equal_brute_force(odd, empty, spark):
     assert near.linked(empty).count() == 0
 
 
+def test_near_stage_keeps_repeated_rows_once(odd, spark):
+    got = corpus_pipeline.near_stage(spark, odd, None).collect()
+    assert [r.doc_id for r in got].count(1) == 1
+    # Rows 6 are near copies of 1 and go; of equal rows one stays, other texts and rows without an id all do.
+    words = [f"w{i}" for i in range(60)]
+    text, other = " ".join(words), " ".join(reversed(words))
+    rows = [(7, text, "en", "a", 1), (7, text, "en", "b", 1), (7, other, "en", "a", 1), (8, text, "en", "a", 1)]
+    rows += [(9, None, "en", "a", 1)] * 3 + [(None, "x y", "en", "a", 1)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_stage(spark, docs.repartition(4), None).collect()
+    assert Counter(tuple(r) for r in got) == Counter([rows[0], rows[2], rows[4], *rows[-2:]])
+
+
 def test_secrets_of_odd_rows(odd, empty):
     got = secret_scan.scan(odd).collect()
     none = hashlib.sha256(b"").hexdigest()
