@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from topicgauge.params import SPLIT_ROUNDS
 from topicgauge.plans.checked import ABSORB, PARAMS, RUN_TS, SECRET
 from topicgauge.sources.tables import MODELS, SIGN_DIMS
 
@@ -128,7 +129,7 @@ def _two_means(rounds: int) -> str:
     return ", ".join(parts)
 
 
-TWO_MEANS = _two_means(2)
+TWO_MEANS = _two_means(SPLIT_ROUNDS)
 PARTS = f"""tagged AS (SELECT *, cluster_id || '/' || label AS part FROM labelled), {cf("tagged", key="part", name="parts")}"""
 
 
