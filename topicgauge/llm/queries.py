@@ -15,6 +15,7 @@ from topicgauge.llm import (
     mixing,
     near,
     packing,
+    quality_rules,
     secret_scan,
     sql,
     topk,
@@ -77,6 +78,13 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(read(spark, sf_dir, "embeddings"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line rules and the verdict on all documents."""
+    found = quality_rules.cleaned(read(spark, sf_dir))
+    digest = F.sha2(F.col("cleaned").cast("binary"), 256).alias("cleaned_sha256")
+    return found.select(*[c for c in found.columns if c not in ("cleaned", "removed_by")], digest)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in [
@@ -90,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_near_dedup,
         op9_toxicity,
         op10_top_k,
+        op11_quality,
     ]
 }
 SQL: dict[str, str] = {
@@ -97,4 +106,5 @@ SQL: dict[str, str] = {
     "op5_packing": sql.PACKING,
     "op6_line_dedup": sql.LINE_DEDUP,
     "op10_top_k": sql.TOP_K,
+    "op11_quality": sql.QUALITY,
 }

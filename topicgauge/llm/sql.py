@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from topicgauge.llm import lines, mixing, packing, topk
+from topicgauge.llm import lines, mixing, packing, quality_rules, topk
 
 _SPACES = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -50,6 +50,66 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {topk.K}
 """
 
 
+def _quality() -> str:
+    rules = quality_rules
+
+    def count(pattern: str) -> str:
+        return f"len(regexp_extract_all(bare, '{pattern}'))"
+
+    marks = rules.LAST_MARKS.replace("'", "''")
+    again = "len(list_filter(list_zip(ws[2:], ws), lambda p: p[1] = p[2]))"
+    rule = f"""n > 0 AND (
+      {count(rules.SEPARATORS)} >= greatest(3, n / 5.0)
+      OR ({count(rules.SYMBOLS)} >= 3 AND {count(rules.SYMBOLS)} * 10 > n)
+      OR (n >= {rules.SHOUT_WORDS} AND {count(r"\p{Lu}{2,}")} * 2 > n)
+      OR (n >= 3 AND {count("[!?]{2,}")} * 4 > n)
+      OR (n >= {rules.SHORT_WORDS} AND {again} * 10 > n * 3)
+      OR (n < {rules.BOILERPLATE_WORDS} AND regexp_matches(bare, '(?i){"|".join(rules.BOILERPLATE)}'))
+      OR (n < {rules.SHORT_WORDS} AND NOT regexp_matches(bare, '{marks}')))"""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+l AS (
+  SELECT rid, doc_id, unnest(string_split(text, chr(10))) AS line,
+         unnest(range(len(string_split(text, chr(10))))) AS i
+  FROM d),
+b AS (
+  SELECT *, trim(line, {_SPACES}) AS bare, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM l),
+f AS (SELECT *, len(ws) AS n FROM b),
+g AS (SELECT *, {rule} AS failed FROM f),
+t AS (
+  SELECT rid, doc_id, sum(n)::BIGINT AS n_words,
+         sum(length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')))::BIGINT AS word_chars,
+         sum(len(regexp_extract_all(line, '{rules.SYMBOLS}')))::BIGINT AS n_symbols,
+         (count(*) FILTER (WHERE n > 0) - count(DISTINCT line) FILTER (WHERE n > 0))::BIGINT AS n_dup_lines,
+         count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE failed))::BIGINT AS n_removed,
+         coalesce(sum(n) FILTER (WHERE failed), 0)::BIGINT AS lost_words,
+         sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT failed), ''))
+           AS cleaned_sha256
+  FROM g GROUP BY rid, doc_id),
+w AS (SELECT rid, flatten(list(ws ORDER BY i)) AS ws FROM b GROUP BY rid),
+p AS (SELECT rid, ws, unnest(range(len(ws) - {rules.WINDOW - 1})) AS place FROM w),
+r AS (
+  SELECT rid, list(place) AS places FROM p
+  GROUP BY rid, ws[place + 1:place + {rules.WINDOW}] HAVING count(*) > 1),
+c AS (SELECT rid, unnest(places) AS place FROM r),
+h AS (
+  SELECT rid, count(DISTINCT place + k)::BIGINT AS n_repeat_words
+  FROM c, (SELECT unnest(range({rules.WINDOW})) AS k) GROUP BY rid),
+v AS (
+  SELECT t.*, coalesce(n_repeat_words, 0) AS n_repeat_words,
+         n_words < {rules.MIN_WORDS}
+           OR 100 * coalesce(n_repeat_words, 0) > {rules.MAX_REPEATED} * n_words AS base_failed
+  FROM t LEFT JOIN h USING (rid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_removed,
+       lost_words, base_failed,
+       NOT base_failed AND 100 * lost_words <= {rules.MAX_LOST} * n_words AS kept, cleaned_sha256
+FROM v
+"""
+
+
+QUALITY = _quality()
+
+
 def _packing() -> str:
     """Dynamic programming over the histogram, one pair of steps for each further bucket."""
     steps, path = [], ["p0 AS (SELECT max(j) AS j FROM h)"]
