@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from topicgauge.llm import (
     fingerprint,
+    hard_negatives,
     language,
+    lexical,
     licenses,
     lines,
     mixing,
@@ -85,6 +87,18 @@ def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*[c for c in found.columns if c not in ("cleaned", "removed_by")], digest)
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return lexical.rank(read(spark, sf_dir), read(spark, sf_dir, "benchmark"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth id; every seventh has the next label."""
+    vectors = hard_negatives.usable(read(spark, sf_dir, "embeddings"))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in [
@@ -99,6 +113,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_toxicity,
         op10_top_k,
         op11_quality,
+        op12_lexical,
+        op13_hard_negatives,
     ]
 }
 SQL: dict[str, str] = {
@@ -107,4 +123,6 @@ SQL: dict[str, str] = {
     "op6_line_dedup": sql.LINE_DEDUP,
     "op10_top_k": sql.TOP_K,
     "op11_quality": sql.QUALITY,
+    "op12_lexical": sql.LEXICAL,
+    "op13_hard_negatives": sql.HARD_NEGATIVES,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from topicgauge.llm import lines, mixing, packing, quality_rules, topk
+from topicgauge.llm import hard_negatives, lexical, lines, mixing, packing, quality_rules, topk
 
 _SPACES = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -50,6 +50,63 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {topk.K}
 """
 
 
+_TERMS = (
+    r"regexp_extract_all(translate(text, '%s', '%s'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    % (_UPPER, _LOWER)
+)
+
+LEXICAL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS terms FROM documents WHERE text IS NOT NULL),
+c AS (
+  SELECT count(*) FILTER (WHERE len(terms) > 0)::BIGINT AS docs, sum(len(terms))::BIGINT AS whole FROM d),
+t AS (
+  SELECT rid, doc_id, n, term, count(*)::BIGINT AS tf
+  FROM (SELECT rid, doc_id, len(terms)::BIGINT AS n, unnest(terms) AS term FROM d) GROUP BY ALL),
+f AS (SELECT term, count(*)::BIGINT AS df FROM t GROUP BY term),
+q AS (
+  SELECT item_id, term, count(*)::BIGINT AS times
+  FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+w AS (
+  SELECT item_id, term, times * floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT AS worth
+  FROM q JOIN f USING (term), c),
+s AS (
+  SELECT item_id, rid, doc_id, sum(worth * ((1000000000 * tf) // (1000 * tf
+           + 8 * (100 - 75 + (75 * n * docs) // whole))))::BIGINT AS score
+  FROM w JOIN t USING (term), c GROUP BY ALL),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank
+  FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= {lexical.K}
+"""
+
+
+HARD_NEGATIVES = f"""
+WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id,
+         CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS parts
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.rid AS arid, a.vec_id AS anchor_id, v.rid, v.vec_id, a.label = v.label AS same,
+         list_inner_product(a.parts, v.parts)::BIGINT AS score
+  FROM v AS a JOIN v ON a.rid <> v.rid WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY arid ORDER BY score DESC, vec_id NULLS LAST) AS place
+  FROM s WHERE same),
+n AS (
+  SELECT p.arid, p.anchor_id, p.place, p.vec_id AS positive_id, p.score AS positive_score,
+         s.vec_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.arid, p.place ORDER BY s.score DESC, s.vec_id NULLS LAST)::INTEGER AS rank
+  FROM p JOIN s ON p.arid = s.arid AND NOT s.same
+    AND {hard_negatives.LOW} * p.score <= 100 * s.score AND 100 * s.score <= {hard_negatives.HIGH} * p.score
+  WHERE p.place <= {hard_negatives.POSITIVES})
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score
+FROM n WHERE rank <= {hard_negatives.NEGATIVES}
+"""
+
+
 def _quality() -> str:
     rules = quality_rules
 
