@@ -141,6 +141,83 @@ def test_growth_over_levels_with_a_hot_topic(spark, parts):
         {r["response_id"]: r["cluster_id"] for r in grow.grow_clusters(frame(spark, v, 5), P).members.collect()}.items()))
 
 
+def merge_plainly(clusters, k, threshold):
+    """Rounds of merging with a full search each: clusters are [id, time, n, ls, ss, block, members]."""
+    rounds = 0
+    while True:
+        clusters = sorted(clusters, key=lambda c: c[0])
+        edges = {}
+        for a in clusters:
+            others = [b for b in clusters if b[5] != a[5]]
+            far = lambda b: (-round(a[3] @ b[3] / np.linalg.norm(a[3]) / np.linalg.norm(b[3]), 12), b[0])  # noqa: B023, E731
+            for b in sorted(others, key=far)[:k]:
+                n, ls = a[2] + b[2], a[3] + b[3]
+                if np.sqrt(max(0, (a[4] + b[4]) / n - ls @ ls / n**2)) <= threshold:
+                    early, late = sorted((a, b), key=lambda c: (c[1], c[0]))
+                    edges[early[0], late[0]] = far(b)[0]
+                    break
+        best = {}
+        for (early, late), sim in edges.items():
+            for end in (early, late):
+                best[end] = min(best.get(end, (9, "", "")), (sim, early, late))
+        pairs = {(e, l) for s, e, l in best.values() if best[e][1:] == best[l][1:] == (e, l)}
+        if not pairs:
+            return clusters, rounds
+        rounds += 1
+        by_id = {c[0]: c for c in clusters}
+        for early, late in pairs:
+            a, b = by_id[early], by_id.pop(late)
+            by_id[early] = [a[0], a[1], a[2] + b[2], a[3] + b[3], a[4] + b[4], a[5], a[6] + b[6]]
+        clusters = list(by_id.values())
+
+
+def grow_plainly(v, k, threshold, group_rows):
+    """Blocks, groups and rounds of the growth, all in full: founder of every row."""
+    v = np.float32(v).astype(float)
+    clusters = []
+    for block, start in enumerate(range(0, len(v), group_rows)):
+        part = v[start : start + group_rows]
+        owner = online(part, k, threshold)
+        for home in dict.fromkeys(owner):
+            at = [start + i for i, o in enumerate(owner) if o == home]
+            x = v[at]
+            clusters.append([f"r{at[0]:05d}", at[0], len(at), x.sum(0), (x * x).sum(), block, at])
+    left = []
+    for start in range(0, len(clusters), group_rows):
+        left += merge_plainly(clusters[start : start + group_rows], k, threshold)[0]
+    left, rounds = merge_plainly(left, k, threshold)
+    return {f"r{i:05d}": c[0] for c in left for i in c[6]}, rounds, len(clusters)
+
+
+@pytest.mark.parametrize(("parts", "limit", "k"), [(2, 1 << 20, 4), (7, 3000, 4), (3, 1 << 20, 1)])
+def test_growth_over_many_blocks_equals_full_search(spark, parts, limit, k):
+    """Twenty blocks, more clusters than a group holds, and merges over several
+    rounds of the frontier: the clusters of the plain algorithm, in one search or in slices."""
+    _, v = topics(8, 240, noise=0.12, seed=5)
+    params = replace(P, group_rows=12, ann_candidates=k, broadcast_limit_bytes=limit)
+    want, rounds, made = grow_plainly(v, k, P.birch_threshold, 12)
+    assert made > 3 * 12 and rounds >= 2
+    grown = grow.grow_clusters(frame(spark, v, parts), params)
+    got = {r["response_id"]: r["cluster_id"] for r in grown.members.collect()}
+    assert same_partition([got[i] for i in sorted(want)], [want[i] for i in sorted(want)])
+    sizes = sorted(r["n"] for r in grown.clusters.collect())
+    assert sizes == sorted(list(want.values()).count(c) for c in set(want.values()))
+
+
+def test_own_block_neighbours_hide_no_partner(spark):
+    """Ten nearer clusters of the own block, none of them joinable, beside one of another block."""
+    rng = np.random.RandomState(2)
+    near = np.eye(8)[0] + 0.28 * rng.standard_normal((11, 8))
+    rows = [(f"a{i:02d}", T0 + timedelta(seconds=i), 40, [float(x) for x in 40 * c], float(40 * (c @ c + 0.06)), 0)
+            for i, c in enumerate(near)]
+    last = near[0] + 0.2 * np.eye(8)[7]
+    rows.append(("b", T0 + timedelta(seconds=50), 1, [float(x) for x in last], float(last @ last), 1))
+    clusters = spark.createDataFrame(rows, "item_id string, created_at timestamp, n bigint, ls array<double>, ss double, block bigint")
+    for group_rows in (3, 50):
+        left, tops = grow.merge_clusters(clusters, replace(P, ann_candidates=1, group_rows=group_rows))
+        assert left.count() == 11 and {r["top"] for r in tops.where("item_id = 'b'").collect()} < {f"a{i:02d}" for i in range(11)}
+
+
 def test_assign_merges_deltas_without_loss(spark):
     _, v = topics(3, 60, noise=0.05)
     rows = frame(spark, v)

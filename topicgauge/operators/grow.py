@@ -2,32 +2,40 @@
 
 Rows in time order are cut into blocks of `group_rows`; a block passes its rows
 through the sequential absorb-or-create step. Clusters of different blocks are
-then merged in rounds: each cluster looks among its `ann_candidates` nearest for
-the first one of another block that it can join within the radius, and pairs
-that are the best for both sides merge into the earlier founder's cluster. The
-rounds end when no cluster finds such a partner. One rule holds at every size:
-nothing but `group_rows` and the rows themselves decides, whatever their number
-or layout. Rows of one block are exactly the online algorithm.
+then merged in rounds: each cluster looks among its `ann_candidates` nearest
+clusters of other blocks for the first it can join within the radius, and a pair
+merges into the earlier founder's cluster if neither end is in a nearer pair. A
+merged cluster belongs to the earlier one's block. The rounds end when no
+cluster finds a partner.
+
+The rounds run twice by that one rule: first inside groups of `group_rows`
+clusters in time order, all in one task, then over all clusters. There only the
+frontier searches anew: clusters that have changed, and those that held a
+changed one among their candidates; the others only add the changed clusters to
+what they hold. Nothing but `group_rows` and the rows themselves decides,
+whatever their number or layout. Rows of one block are exactly the online
+algorithm.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from topicgauge.functions.vectors import as_list_array, as_matrix, cf_radius, dot, doubles, sq_norm_kernel, vec_add
-from topicgauge.operators.knn import top_candidates
+from topicgauge.functions.vectors import as_list_array, as_matrix, doubles, sq_norm_kernel, vec_add
+from topicgauge.operators.knn import APART, TIE_DIGITS, joinable, joined_radius, nearest_columns
 from topicgauge.operators.sampling import arrival_positions
 from topicgauge.params import Params
+from topicgauge.schemas import CANDIDATES
 from topicgauge.session import broadcast_if_small, materialize
 
 GROWN = "item_id string, founder_id string, created_at timestamp, n bigint, ls array<double>, ss double"
+CLUSTERS = "item_id string, top string, created_at timestamp, n bigint, ls array<double>, ss double, block bigint"
 
 
 @dataclass
@@ -50,30 +58,56 @@ def grow_clusters(misses: DataFrame, params: Params) -> Grown:
         doubles(F.col("request_embedding")).alias("ls"),
         sq_norm_kernel("request_embedding").alias("ss"),
     )
-    places = arrival_positions(items.select("created_at", "item_id"), ["created_at", "item_id"])
-    block = F.floor((F.col("position") - 1) / params.group_rows).cast("bigint")
-    blocks = places.select("item_id", block.alias("block"))
+    blocks = _groups(items, params).withColumnRenamed("group", "block")
     passed = materialize(_pass(items.join(blocks, "item_id"), params))
     founder = passed.select("item_id", "founder_id")
-    clusters = passed.where(F.col("n").isNotNull()).drop("founder_id")
-    clusters = materialize(clusters.join(blocks, "item_id"))
-    while True:
-        pairs = materialize(_partners(clusters, params))
-        if pairs.isEmpty():
-            break
-        clusters = materialize(_merged(clusters, pairs))
-        moved = pairs.select(F.col("late").alias("founder_id"), F.col("early").alias("top"))
-        moved = broadcast_if_small(moved, params.broadcast_limit_bytes)
-        founder = founder.join(moved, "founder_id", "left").select(
-            "item_id", F.coalesce("top", "founder_id").alias("founder_id")
-        )
-        founder = materialize(founder)
+    clusters = passed.where(F.col("n").isNotNull()).drop("founder_id").join(blocks, "item_id")
+    clusters, tops = merge_clusters(materialize(clusters), params)
+    tops = broadcast_if_small(tops.withColumnRenamed("item_id", "founder_id"), params.broadcast_limit_bytes)
+    named = founder.join(tops, "founder_id")
     return Grown(
-        founder.select(F.col("item_id").alias("response_id"), cluster_id_of("founder_id").alias("cluster_id")),
+        named.select(F.col("item_id").alias("response_id"), cluster_id_of("top").alias("cluster_id")),
         clusters.select(cluster_id_of("item_id").alias("cluster_id"), "n", "ls", "ss"),
     )
 
 
+def _groups(rows: DataFrame, params: Params) -> DataFrame:
+    """(item_id, group): runs of `group_rows` in the order of time."""
+    places = arrival_positions(rows.select("created_at", "item_id"), ["created_at", "item_id"])
+    group = F.floor((F.col("position") - 1) / params.group_rows).cast("bigint")
+    return places.select("item_id", group.alias("group"))
+
+
+def merge_clusters(clusters: DataFrame, params: Params) -> tuple[DataFrame, DataFrame]:
+    """Clusters of several blocks merged until none can be, and (item_id, top): what each is part of.
+
+    `clusters`: item_id, created_at, n, ls, ss, block.
+    """
+    k, threshold = params.ann_candidates, params.birch_threshold
+
+    def run(group: pa.Table) -> pa.Table:
+        return merge_group(group, k, threshold)
+
+    grouped = clusters.join(_groups(clusters, params), "item_id")
+    merged = materialize(grouped.groupBy("group").applyInArrow(run, CLUSTERS))
+    tops = merged.select("item_id", "top")
+    left = merged.where(F.col("n").isNotNull()).drop("top")
+    if clusters.count() <= params.group_rows:
+        # One group held them all: its rounds have ended, there are no others to meet.
+        return left, tops
+    none = F.array().cast(CANDIDATES)
+    left = left.withColumn("candidates", none).withColumn("changed", F.lit(True)).withColumn("frontier", F.lit(True))
+    while True:
+        left = materialize(_searched(left, params))
+        pairs = materialize(_partners(left))
+        if pairs.isEmpty():
+            return left.drop("candidates", "changed", "frontier"), tops
+        moved = pairs.select(F.col("late").alias("top"), "early")
+        moved = tops.join(broadcast_if_small(moved, params.broadcast_limit_bytes), "top", "left")
+        tops = materialize(moved.select("item_id", F.coalesce("early", "top").alias("top")))
+        left = materialize(_merged(left, pairs, params))
+
+
 def _pass(items: DataFrame, params: Params) -> DataFrame:
     """Absorb or create inside each block."""
     k, threshold = params.ann_candidates, params.birch_threshold
@@ -84,63 +118,142 @@ def _pass(items: DataFrame, params: Params) -> DataFrame:
     return items.groupBy("block").applyInArrow(run, GROWN)
 
 
-def _partners(clusters: DataFrame, params: Params) -> DataFrame:
-    """(early, late): pairs of clusters that merge in this round.
-
-    A cluster finds itself among its nearest, so one more is asked for.
-    """
+def _searched(clusters: DataFrame, params: Params) -> DataFrame:
+    """The frontier's candidates among all clusters; the others' among the changed ones."""
     named = clusters.withColumnRenamed("item_id", "cluster_id")
-    asked = clusters.select("item_id", "block", "created_at", "n", "ls", "ss", F.col("ls").alias("v"))
-    more = replace(params, ann_candidates=min(100, params.ann_candidates + 1))
-    near = top_candidates(asked, named, more).withColumn("c", F.explode("candidates"))
-    other = named.select(
-        F.col("cluster_id").alias("other_id"),
-        F.col("block").alias("other_block"),
-        F.col("created_at").alias("other_at"),
-        F.col("n").alias("other_n"),
-        F.col("ls").alias("other_ls"),
-        F.col("ss").alias("other_ss"),
-    )
-    near = near.select("*", F.col("c.cluster_id").alias("other_id"), F.col("c.sim").alias("sim"))
-    near = near.where("item_id <> other_id AND sim > -1").drop("candidates", "c", "v")
-    both = near.join(other, "other_id").where("block <> other_block")
-    joined = dot(F.col("ls"), F.col("ls")) + 2 * dot(F.col("ls"), F.col("other_ls")) + dot(
-        F.col("other_ls"), F.col("other_ls")
-    )
-    radius = cf_radius(F.col("n") + F.col("other_n"), joined, F.col("ss") + F.col("other_ss"))
+    fresh = joinable(clusters.where("frontier"), named, params)
+    held = joinable(clusters.where("NOT frontier"), named.where("changed"), params)
+    return fresh.unionByName(held)
+
+
+def _partners(clusters: DataFrame) -> DataFrame:
+    """(early, late): pairs of clusters that merge in this round."""
+    first = F.try_element_at(F.filter("candidates", lambda c: c["absorbs"] & (c["sim"] > -1.0)), F.lit(1))
+    found = clusters.select("item_id", "created_at", first.alias("c")).where("c IS NOT NULL")
+    found = found.select("item_id", "created_at", F.col("c.cluster_id").alias("other_id"), F.col("c.sim").alias("sim"))
+    other = clusters.select(F.col("item_id").alias("other_id"), F.col("created_at").alias("other_at"))
+    both = found.join(other, "other_id")
     first = F.struct("created_at", "item_id") < F.struct(
         F.col("other_at").alias("created_at"), F.col("other_id").alias("item_id")
     )
-    edges = both.where(radius <= params.birch_threshold).select(
+    edges = both.select(
         "sim",
         F.when(first, F.col("item_id")).otherwise(F.col("other_id")).alias("early"),
         F.when(first, F.col("other_id")).otherwise(F.col("item_id")).alias("late"),
     )
     # An edge seen from both sides is one; the best of all is the best of both its ends.
-    edges = edges.groupBy("early", "late").agg(F.max("sim").alias("sim"))
     ends = edges.withColumn("end", F.explode(F.array("early", "late")))
-    order = Window.partitionBy("end").orderBy(F.col("sim").desc(), "early", "late")
-    best = ends.withColumn("_rank", F.row_number().over(order)).where("_rank = 1")
-    return best.groupBy("early", "late").agg(F.count(F.lit(1)).alias("sides")).where("sides = 2").drop("sides")
+    # A hub is the end of many edges: least is an aggregate, so it needs no sorting in one task.
+    best = ends.groupBy("end").agg(F.min(F.struct(-F.col("sim"), "early", "late")).alias("e"))
+    pairs = best.select(F.col("e.early").alias("early"), F.col("e.late").alias("late"))
+    return pairs.groupBy("early", "late").agg(F.count(F.lit(1)).alias("sides")).where("sides = 2").drop("sides")
 
 
-def _merged(clusters: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Clusters with the later one of each pair added to the earlier."""
-    gone = clusters.join(pairs.select(F.col("late").alias("item_id")), "item_id", "left_anti")
+def _merged(clusters: DataFrame, pairs: DataFrame, params: Params) -> DataFrame:
+    """Clusters with the later one of each pair added to the earlier, and the next frontier."""
+    gone = pairs.select(F.col("late").alias("item_id"))
     added = clusters.join(pairs.withColumnRenamed("late", "item_id"), "item_id").select(
         F.col("early").alias("item_id"),
         F.col("n").alias("more_n"),
         F.col("ls").alias("more_ls"),
         F.col("ss").alias("more_ss"),
     )
-    touched = F.col("more_n").isNotNull()
-    return gone.join(added, "item_id", "left").select(
-        "item_id",
-        "created_at",
-        (F.col("n") + F.coalesce("more_n", F.lit(0))).alias("n"),
-        F.when(touched, vec_add(F.col("ls"), F.col("more_ls"))).otherwise(F.col("ls")).alias("ls"),
-        (F.col("ss") + F.coalesce("more_ss", F.lit(0.0))).alias("ss"),
-        "block",
+    touched = pairs.select(F.explode(F.array("early", "late")).alias("other"))
+    touched = broadcast_if_small(touched, params.broadcast_limit_bytes)
+    held = clusters.select("item_id", F.explode("candidates.cluster_id").alias("other"))
+    lost = held.join(touched, "other", "left_semi").select("item_id").distinct().withColumn("lost", F.lit(True))
+    changed = F.col("more_n").isNotNull()
+    frontier = changed | F.coalesce("lost", F.lit(False))
+    return (
+        clusters.join(gone, "item_id", "left_anti")
+        .join(added, "item_id", "left")
+        .join(lost, "item_id", "left")
+        .select(
+            "item_id",
+            "created_at",
+            (F.col("n") + F.coalesce("more_n", F.lit(0))).alias("n"),
+            F.when(changed, vec_add(F.col("ls"), F.col("more_ls"))).otherwise(F.col("ls")).alias("ls"),
+            (F.col("ss") + F.coalesce("more_ss", F.lit(0.0))).alias("ss"),
+            "block",
+            F.when(frontier, F.array().cast(CANDIDATES)).otherwise(F.col("candidates")).alias("candidates"),
+            changed.alias("changed"),
+            frontier.alias("frontier"),
+        )
+    )
+
+
+def merge_group(group: pa.Table, k: int, threshold: float) -> pa.Table:
+    """The rounds of merging inside one group of clusters.
+
+    Every cluster comes back with the one it is part of; those that are left
+    also carry their features. Inner products are kept as a matrix, to which a
+    merge adds one row and one column.
+    """
+    # In the order of ids, which settles ties, as everywhere.
+    group = group.combine_chunks().sort_by("item_id")
+    count = group.num_rows
+    vectors = as_matrix(group["ls"])[0].copy()
+    n, ss = (np.asarray(group[c], dtype=np.float64).copy() for c in ("n", "ss"))
+    block = np.asarray(group["block"])
+    in_time = group.append_column("at", pa.array(np.arange(count))).sort_by(
+        [("created_at", "ascending"), ("item_id", "ascending")]
+    )
+    age = np.empty(count, np.int64)
+    age[np.asarray(in_time["at"])] = np.arange(count)
+    gram = vectors @ vectors.T
+    top = np.arange(count)
+    alive = np.arange(count)
+    while len(alive) > 1:
+        length = np.sqrt(np.maximum(np.diagonal(gram), 0.0))
+        inverse = np.divide(1.0, length, out=np.zeros(len(alive)), where=length > 0)
+        sim = np.round(gram * inverse[:, None] * inverse[None, :], TIE_DIGITS)
+        sim[block[alive][:, None] == block[alive][None, :]] = APART
+        near = nearest_columns(sim, min(k, len(alive)))
+        sim = np.take_along_axis(sim, near, axis=1)
+        weight, square = n[alive], ss[alive]
+        radius = joined_radius(
+            sim, weight[near], square[near], length[near], weight[:, None], square[:, None], length[:, None]
+        )
+        fits = (radius <= threshold) & (sim > -1.0)
+        asks = np.flatnonzero(fits.any(axis=1))
+        if not len(asks):
+            break
+        first = fits[asks].argmax(axis=1)
+        other, sim = near[asks, first], sim[asks, first]
+        older = age[alive[asks]] < age[alive[other]]
+        early, late = np.where(older, asks, other), np.where(older, other, asks)
+        # The best edge of each end, then the edges that are the best of both.
+        end = np.concatenate([early, late])
+        edge = np.tile(np.arange(len(early)), 2)
+        order = np.lexsort((late[edge], early[edge], -sim[edge], end))
+        _, head = np.unique(end[order], return_index=True)
+        best = edge[order][head]
+        pairs, sides = np.unique(np.stack([early[best], late[best]], axis=1), axis=0, return_counts=True)
+        early, late = pairs[sides == 2].T
+        for values in (n, ss):
+            np.add.at(values, alive[early], values[alive[late]])
+        vectors[alive[early]] += vectors[alive[late]]
+        top[alive[late]] = alive[early]
+        gram[early] += gram[late]
+        gram[:, early] += gram[:, late]
+        stay = np.ones(len(alive), bool)
+        stay[late] = False
+        alive, gram = alive[stay], gram[np.ix_(stay, stay)]
+    while (top[top] != top).any():
+        top = top[top]
+    left = np.zeros(count, bool)
+    left[alive] = True
+    gone = ~left
+    return pa.table(
+        {
+            "item_id": group["item_id"],
+            "top": group["item_id"].take(pa.array(top)),
+            "created_at": group["created_at"],
+            "n": pa.array(n.astype(np.int64), mask=gone),
+            "ls": as_list_array(vectors).take(pa.array(np.arange(count), mask=gone)),
+            "ss": pa.array(ss, mask=gone),
+            "block": group["block"],
+        }
     )
 
 

@@ -28,6 +28,8 @@ from topicgauge.session import materialize
 TIE_DIGITS = 12
 # Similarity cells one matrix product may hold at a time (32 MB of doubles).
 PRODUCT_CELLS = 4 << 20
+# Below any cosine: marks clusters that a query must not find.
+APART = -2.0
 
 
 def top_candidates(queries: DataFrame, clusters: DataFrame, params: Params) -> DataFrame:
@@ -40,17 +42,61 @@ def top_candidates(queries: DataFrame, clusters: DataFrame, params: Params) -> D
     live = clusters.where(F.col("ls").isNotNull() & (F.col("n") > 0)).select(
         "cluster_id", "n", "ls", "ss"
     )
-    size = live.agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("ls")).alias("dims")).first()
-    if size["rows"] == 0:
+    slices = _slices(live, params)
+    if slices == 0:
         return queries.withColumn("candidates", F.array().cast(CANDIDATES))
-    bytes_needed = size["rows"] * (size["dims"] + 4) * 8
-    if bytes_needed <= params.broadcast_limit_bytes:
+    if slices == 1:
         return _by_broadcast(queries, live, params)
-    # A slice needs a row, so no more slices than rows.
-    slices = min(size["rows"], math.ceil(bytes_needed / params.broadcast_limit_bytes))
     return _by_slices(queries, live, slices, params)
 
 
+def _slices(live: DataFrame, params: Params) -> int:
+    """Slices of the cluster matrix that each keep under the broadcast limit."""
+    size = live.agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("ls")).alias("dims")).first()
+    bytes_needed = size["rows"] * ((size["dims"] or 0) + 4) * 8
+    # A slice needs a row, so no more slices than rows.
+    return min(size["rows"], math.ceil(bytes_needed / params.broadcast_limit_bytes))
+
+
+def joinable(queries: DataFrame, clusters: DataFrame, params: Params) -> DataFrame:
+    """`queries` with their `candidates` joined by the nearest of `clusters`, K in all.
+
+    Both are clusters: queries with item_id, n, ls, ss, block and the candidates
+    held so far, clusters with cluster_id, n, ls, ss, block. Clusters of a
+    query's own block are not found. `absorbs` says whether the two together
+    keep their radius within birch_threshold.
+    """
+    context = queries.sparkSession.sparkContext
+    k, threshold = params.ann_candidates, params.birch_threshold
+    live = clusters.select("cluster_id", "n", "ls", "ss", "block")
+    slices = _slices(live, params)
+    if slices > 1:
+        live = materialize(live)
+    slice_of = F.pmod(F.xxhash64("cluster_id"), F.lit(max(slices, 1)))
+    for number in range(slices):
+        part = live.where(slice_of == number).toArrow()
+        if part.num_rows == 0:
+            continue
+        search = once(_joinable_with(context.broadcast(_load(part)), k, threshold))
+        queries = queries.withColumn("candidates", search("ls", "n", "ss", "block", "candidates"))
+        if slices > 1:
+            queries = materialize(queries)
+    return queries
+
+
+def _joinable_with(block, k: int, threshold: float):
+    @F.arrow_udf(CANDIDATES)
+    def merged(ls: pa.Array, n: pa.Array, ss: pa.Array, own: pa.Array, held: pa.Array) -> pa.Array:
+        matrix, _ = as_matrix(ls)
+        if matrix.shape[1] == 0:
+            return held
+        weights = (np.asarray(a, dtype=np.float64) for a in (n, ss))
+        found = _search(block.value, matrix, k, threshold, *weights, own=np.asarray(own))
+        return _merge(held, _candidate_array(block.value, found), k)
+
+    return merged
+
+
 # ---- the search itself, on one batch of queries and one set of clusters ------
 
 
@@ -59,7 +105,8 @@ def _load(table: pa.Table) -> dict:
     table = table.combine_chunks().sort_by("cluster_id")
     matrix, _ = as_matrix(table["ls"])
     directions, lengths = unit_rows(matrix)
-    return {
+    own = {"block": np.asarray(table["block"])} if "block" in table.column_names else {}
+    return own | {
         "ids": table["cluster_id"].combine_chunks(),
         "unit": directions,
         "length": lengths,
@@ -68,8 +115,36 @@ def _load(table: pa.Table) -> dict:
     }
 
 
-def _search(block: dict, points: np.ndarray, k: int, threshold: float):
-    """(kept per row, cluster positions, sims, absorbs) of the top K of every point."""
+def nearest_columns(sim: np.ndarray, keep: int) -> np.ndarray:
+    """Columns of the `keep` greatest of each row, greatest first, ties to the first column."""
+    columns = sim.shape[1]
+    if keep < columns:
+        # Everything at least as near as the K-th, then the K first of those.
+        edge = np.partition(sim, columns - keep, axis=1)[:, columns - keep]
+        over = sim > edge[:, None]
+        level = sim == edge[:, None]
+        room = keep - over.sum(axis=1)
+        chosen = over | (level & (np.cumsum(level, axis=1) <= room[:, None]))
+        cols = np.nonzero(chosen)[1].reshape(len(sim), keep)
+    else:
+        cols = np.tile(np.arange(columns), (len(sim), 1))
+    order = np.argsort(-np.take_along_axis(sim, cols, axis=1), axis=1, kind="stable")
+    return np.take_along_axis(cols, order, axis=1)
+
+
+def joined_radius(sim, a_n, a_ss, a_length, b_n, b_ss, b_length) -> np.ndarray:
+    """Radius of two clustering features together, from their cosine."""
+    joined = a_length**2 + 2 * sim * a_length * b_length + b_length**2
+    variance = (a_ss + b_ss) / (a_n + b_n) - joined / (a_n + b_n) ** 2
+    return np.sqrt(np.maximum(0.0, variance))
+
+
+def _search(block: dict, points: np.ndarray, k: int, threshold: float, n=None, ss=None, own=None):
+    """(cluster positions, sims, absorbs) of the top K of every point.
+
+    `n` and `ss` make the points clusters themselves; clusters of a point's
+    `own` block are not found: their sims are APART.
+    """
     directions, lengths = unit_rows(points)
     clusters = len(block["n"])
     keep = min(k, clusters)
@@ -78,40 +153,33 @@ def _search(block: dict, points: np.ndarray, k: int, threshold: float):
     for at in range(0, len(points), step):
         exact = directions[at : at + step] @ block["unit"].T
         sim = np.round(exact, TIE_DIGITS)
-        if keep < clusters:
-            # Everything at least as near as the K-th, then the K first of those.
-            edge = np.partition(sim, clusters - keep, axis=1)[:, clusters - keep]
-            over = sim > edge[:, None]
-            level = sim == edge[:, None]
-            room = keep - over.sum(axis=1)
-            chosen = over | (level & (np.cumsum(level, axis=1) <= room[:, None]))
-            cols = np.nonzero(chosen)[1].reshape(len(sim), keep)
-        else:
-            cols = np.tile(np.arange(clusters), (len(sim), 1))
-        picked = np.take_along_axis(sim, cols, axis=1)
-        order = np.argsort(-picked, axis=1, kind="stable")
-        positions.append(np.take_along_axis(cols, order, axis=1))
-        sims.append(np.take_along_axis(picked, order, axis=1))
+        if own is not None:
+            sim[block["block"][None, :] == own[at : at + step, None]] = APART
+        cols = nearest_columns(sim, keep)
+        positions.append(cols)
+        sims.append(np.take_along_axis(sim, cols, axis=1))
     position = np.vstack(positions)
     sim = np.vstack(sims)
-    c_len, c_n, c_ss = block["length"][position], block["n"][position], block["ss"][position]
-    squared = (lengths**2)[:, None]
-    joined = c_len**2 + 2 * sim * c_len * lengths[:, None] + squared
-    variance = (c_ss + squared) / (c_n + 1) - joined / (c_n + 1) ** 2
-    absorbs = np.sqrt(np.maximum(0.0, variance)) <= threshold
-    return keep, position, sim, absorbs
+    n = np.ones(len(points)) if n is None else n
+    ss = lengths**2 if ss is None else ss
+    radius = joined_radius(
+        sim, block["n"][position], block["ss"][position], block["length"][position],
+        n[:, None], ss[:, None], lengths[:, None],
+    )
+    return position, sim, radius <= threshold
 
 
 def _candidate_array(block: dict, found) -> pa.Array:
-    keep, position, sim, absorbs = found
-    offsets = np.arange(0, position.size + 1, keep, dtype=np.int32)
+    position, sim, absorbs = found
+    there = sim > APART
+    offsets = np.concatenate([[0], np.cumsum(there.sum(axis=1))]).astype(np.int32)
     return pa.ListArray.from_arrays(
         pa.array(offsets),
         pa.StructArray.from_arrays(
             [
-                block["ids"].take(pa.array(position.ravel())),
-                pa.array(sim.ravel()),
-                pa.array(absorbs.ravel()),
+                block["ids"].take(pa.array(position[there])),
+                pa.array(sim[there]),
+                pa.array(absorbs[there]),
             ],
             ["cluster_id", "sim", "absorbs"],
         ),
