@@ -1,8 +1,10 @@
 """The jobs over the state store, and the streams, end to end."""
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -246,7 +248,80 @@ def test_open_epochs_of_two_jobs_both_stay(spark, root):
         early.commit()
     tries = []
     store.publish("a", lambda epoch: tries.append(epoch.number) or epoch.write("clusters", clusters))
-    assert len(tries) == 1 and store.version() == 1
+    assert len(tries) == 1 and store.version() == 3
+
+
+def test_a_job_killed_while_committing_leaves_no_trace(spark, root, monkeypatch):
+    store = StateStore(spark, root)
+    clusters = spark.createDataFrame([], TABLES["clusters"])
+    broken = store.open("killed")
+    broken.write("clusters", clusters)
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    for step in ("_fill", "_name"):                                # before and after the text is written
+        with monkeypatch.context() as patch:
+            patch.setattr(StateStore, step, killed)
+            with pytest.raises(KeyboardInterrupt):
+                broken.commit()
+        assert store.version() == -1 and store.last_epoch() == -1
+    (Path(root) / "commits" / f"{0:020d}.json").write_text("")     # a name that another tool has spoilt
+    tries = []
+    store.publish("after", lambda epoch: tries.append(epoch.number) or epoch.write("clusters", clusters))
+    assert len(tries) == 1 and store.version() == 1 and store.commits().count() == 1
+
+
+def test_names_are_given_once(spark, root):
+    store = StateStore(spark, root)
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda i: store.create("numbers/0", str(i)), range(16)))
+    assert won.count(True) == 1
+    assert [p.name for p in (Path(root) / "numbers").iterdir() if not p.name.endswith(".crc")] == ["0"]
+    assert (Path(root) / "numbers" / "0").read_text() == str(won.index(True))
+
+
+def test_batches_and_a_split_side_by_side_repeat_no_work(spark, root):
+    """Two batches, a split and a compaction, open at once: all commit, nothing is lost or counted twice."""
+    store = StateStore(spark, root)
+    jobs.log_calls(store, calls(spark, 48), P)
+    loose = replace(P, birch_threshold=0.99)
+    rows = entries(store).where("response_text <> ''").orderBy("created_at").collect()
+    part = lambda n: spark.createDataFrame([r for i, r in enumerate(rows) if i % 4 == n], STREAM_ENTRY)
+    jobs.cluster_batch(store, part(0), EMBED, loose, T0)
+    done = []
+
+    def others_commit(epoch):
+        done.append(epoch.number)
+        jobs.cluster_batch(store, part(1), EMBED, loose, T0)
+        assert jobs.split_wide_clusters(store, P, T0) == 1
+        jobs._write_batch(epoch, store, part(2), EMBED, loose, T0)
+        jobs.compact_state(store)
+
+    store.publish("slow", others_commit)
+    assert len(done) == 1                                          # embedded once
+    jobs.cluster_batch(store, part(3), EMBED, loose, T0)
+    check_invariants(store, 3 * P.golden_set_warmup)
+    jobs.compact_state(store)
+    check_invariants(store, 3 * P.golden_set_warmup)
+    assert store.log("assignments").count() == len(rows)
+
+
+def test_a_batch_writes_what_it_adds(spark, root):
+    """Bytes a batch writes do not grow with the clusters and goldens there are."""
+    store = StateStore(spark, root)
+    rng = np.random.RandomState(0)
+
+    def batch(start, count):
+        rows = [(f"r{i}", " ".join(f"w{x}" for x in rng.randint(0, 10**6, 6)), "text", T0) for i in range(start, start + count)]
+        jobs.cluster_batch(store, spark.createDataFrame(rows, STREAM_ENTRY), EMBED, replace(P, birch_threshold=0.1), T0)
+        epoch = store.last_epoch()
+        return sum(f.stat().st_size for f in Path(root).glob(f"*/epoch={epoch}/*.parquet"))
+
+    first = batch(0, 8)
+    batch(100, 600)
+    assert store.cluster_ids().count() > 500
+    assert batch(1000, 8) < 2 * first
 
 
 def test_a_moved_state_is_worked_on_again(spark, root):

@@ -89,6 +89,7 @@ def backfill_centroids(clusters: DataFrame) -> DataFrame:
 class Assigned:
     rows: DataFrame  # the batch plus cluster_id, never NULL
     clusters: DataFrame  # the next snapshot
+    deltas: DataFrame  # what the batch adds to clusters, and the clusters it founds
 
 
 def assign_batch(
@@ -101,18 +102,16 @@ def assign_batch(
     hits = scored.where(F.col("cluster_id").isNotNull())
     misses = scored.where(F.col("cluster_id").isNull()).drop("cluster_id")
     grown = grow_clusters(misses, params)
-    fresh = grown.clusters.select(
-        "cluster_id",
-        "n",
-        "ls",
-        "ss",
-        cf_centroid(F.col("n"), F.col("ls")).alias("centroid"),
-        now.alias("created_at"),
-        now.alias("updated_at"),
-    )
+    times = [now.alias("created_at"), now.alias("updated_at")]
+    founded = grown.clusters.select("cluster_id", "n", "ls", "ss", *times)
+    fresh = founded.withColumn("centroid", cf_centroid(F.col("n"), F.col("ls")))
     deltas = group_features(hits, ["cluster_id"], "request_embedding")
     rows = hits.unionByName(misses.join(grown.members, "response_id").select(*hits.columns))
-    return Assigned(rows, merge_deltas(clusters, deltas, now).unionByName(fresh))
+    return Assigned(
+        rows,
+        merge_deltas(clusters, deltas, now).unionByName(fresh),
+        deltas.select("cluster_id", "n", "ls", "ss", *times).unionByName(founded),
+    )
 
 
 def assign_goldens(goldens: DataFrame, clusters: DataFrame, params: Params) -> DataFrame:

@@ -18,7 +18,7 @@ from topicgauge.operators import assign, drift, evaluate, golden, normalize, rec
 from topicgauge.params import Params
 from topicgauge.session import broadcast_if_small, materialize, scratch
 from topicgauge.sources import outbox
-from topicgauge.sources.state import Epoch, StateMoved, StateStore
+from topicgauge.sources.state import ADDED, Epoch, StateMoved, StateStore
 
 
 def _at(now: datetime):
@@ -36,7 +36,7 @@ def log_calls(store: StateStore, calls: DataFrame, params: Params, batch_id: int
 def _write_calls(epoch: Epoch, store: StateStore, calls: DataFrame, params: Params) -> None:
     rows = normalize.validate_responses(normalize.normalize_calls(calls))
     good, dead = normalize.split_rejects(materialize(rows))
-    seen = store.snapshot("sampling").agg(F.max("rows_seen").alias("n")).first()["n"] or 0
+    seen = store.at(epoch.base).snapshot("sampling").agg(F.max("rows_seen").alias("n")).first()["n"] or 0
     order = ["created_at", "response_id"]
     marked = sampling.every_nth(good.select(*order), order, params.sampling_rate, start=seen)
     # Only the marked ids join back, 1 in `sampling_rate` rows.
@@ -86,20 +86,35 @@ def _write_batch(
         .join(store.log("assignments").select("response_id"), "response_id", "left_anti")
     )
     embedded = materialize(embed_pairs(fresh, embedder, params.embedding_dim))
-    done = assign.assign_batch(embedded, store.snapshot("clusters"), params, _at(now))
-    rows, clusters = materialize(done.rows), materialize(done.clusters)
+    # Another job that takes the same entries meanwhile must not count them too.
+    epoch.only_once("assignments", "response_id", embedded.select("response_id"))
+    clusters = store.snapshot("clusters")
+    done = assign.assign_batch(embedded, clusters, params, _at(now))
+    rows, deltas = materialize(done.rows), materialize(done.deltas)
     epoch.write("assignments", rows)
-    epoch.write("clusters", clusters)
+    epoch.write("cluster_deltas", deltas)
     goldens = store.snapshot("goldens")
     if params.golden_set_mode == "auto":
-        admitted = golden.admit(rows, goldens, clusters, params.golden_set_warmup)
-        goldens = materialize(golden.insert(goldens, admitted))
-        epoch.write("goldens", goldens)
+        live = clusters.select("cluster_id").unionByName(deltas.select("cluster_id")).distinct()
+        admitted = materialize(golden.admit(rows, goldens, live, params.golden_set_warmup))
+        epoch.write("golden_entries", admitted)
+        goldens = goldens.unionByName(admitted)
     flagged = evaluate.flagged_in_batch(rows, store.log("responses"))
     sampled = rows.join(flagged, "response_id", "left_semi")
     epoch.write("scores", evaluate.evaluate(sampled, goldens, params))
 
 
+def compact_state(store: StateStore) -> None:
+    """New bases of clusters and goldens, from the old ones and what was added since."""
+
+    def work(epoch: Epoch) -> None:
+        then = store.at(epoch.base)
+        for table in ADDED:
+            epoch.write(table, then.snapshot(table))
+
+    store.publish("compact", work)
+
+
 def evaluate_pending(store: StateStore, embedder: Embedder, params: Params) -> None:
     """Score sampled responses that have a cluster but no score yet."""
     epoch = store.open("evaluate")
@@ -148,6 +163,8 @@ def split_wide_clusters(store: StateStore, params: Params, now: datetime) -> int
 
 def _split_once(store: StateStore, params: Params, now: datetime) -> int:
     epoch = store.open("split")
+    # What batches commit from here on is added to the new base, so it must not be in it.
+    store = store.at(epoch.base)
     clusters = store.snapshot("clusters")
     with scratch(store.spark):
         wide = materialize(split.oversized(clusters, params.birch_threshold).select("cluster_id"))
@@ -181,9 +198,10 @@ def add_goldens(store: StateStore, entries: DataFrame, embedder: Embedder, param
     """Manual goldens from (response_text, description); returns the set's new size."""
 
     def work(epoch: Epoch) -> None:
+        then = store.at(epoch.base)
         rows = golden.manual_goldens(entries, embedder, _at(now))
-        everything = materialize(golden.insert(store.snapshot("goldens"), rows))
-        clusters = store.snapshot("clusters")
+        everything = materialize(golden.insert(then.snapshot("goldens"), rows))
+        clusters = then.snapshot("clusters")
         if not clusters.isEmpty():
             everything = assign.assign_goldens(everything, clusters, params)
         epoch.write("goldens", everything)
@@ -197,7 +215,7 @@ def clear_goldens(store: StateStore) -> int:
     """Empty the golden set; returns how many it held."""
 
     def work(epoch: Epoch) -> int:
-        empty, held = golden.cleared(store.snapshot("goldens"))
+        empty, held = golden.cleared(store.at(epoch.base).snapshot("goldens"))
         epoch.write("goldens", empty)
         return held
 

@@ -249,6 +249,8 @@ SQL: dict[str, str] = {
     "cluster_cf": f"""WITH {VECS}, {cf("vecs", key="label")}
       SELECT label AS cluster_id, n, round({RADIUS}, 6) AS radius,
              round(sqrt(list_inner_product(ls, ls)) / n, 6) AS centroid_length FROM cf""",
+    "state_deltas": f"""WITH {VECS}, {cf("vecs", key="label")}
+      SELECT label AS cluster_id, n, round({RADIUS}, 6) AS radius FROM cf""",
     "cluster_centroids": f"""WITH {GROUPED} SELECT cluster_id, pos AS dim, round(avg(x), 6) AS value FROM (
       SELECT cluster_id, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM grouped) GROUP BY cluster_id, pos""",
     "knn_centroids": KNN,

@@ -205,7 +205,34 @@ def interleaved_jobs(spark: SparkSession, folder: str) -> DataFrame:
     return store.current_scores().select("response_id", r6("quality_score").alias("quality_score"))
 
 
+def state_deltas(spark: SparkSession, folder: str) -> DataFrame:
+    """Clusters by label, added up from batches that commit in any order around a new base.
+
+    The first batch is in the base; the second is open while the base is made
+    and commits after it; the third comes later.
+    """
+    rows = src.vectors(spark, folder).withColumnRenamed("label", "cluster_id")
+    store = StateStore(spark, f"{_work_dir(spark, 'deltas')}/state")
+    now = F.lit(NOW.isoformat(sep=" ")).cast("timestamp")
+
+    def add(epoch, number: int) -> None:
+        part = vf.group_features(rows.where(F.col("vec_id") % 3 == number), ["cluster_id"], "embedding")
+        epoch.write("cluster_deltas", part.withColumns({"created_at": now, "updated_at": now}))
+
+    store.publish("first", lambda epoch: add(epoch, 0))
+    base, open_ = store.open("base"), store.open("second")
+    add(open_, 1)
+    open_.commit()
+    base.write("clusters", store.at(base.base).snapshot("clusters"))
+    base.commit()
+    store.publish("third", lambda epoch: add(epoch, 2))
+    return metrics.cluster_report(store.snapshot("clusters")).select(
+        "cluster_id", "n", r6("radius").alias("radius")
+    )
+
+
 STATEFUL = [
+    state_deltas,
     interleaved_jobs,
     grow_clusters, grow_membership, assign_batch, assign_goldens, latest_assignment, alert_outbox,
     stream_drift, stream_cluster, stream_cluster_coverage,

@@ -21,6 +21,11 @@ TABLES: dict[str, str] = {
         "cluster_id string, n bigint, ls array<double>, ss double, "
         "centroid array<double>, created_at timestamp, updated_at timestamp"
     ),
+    # What a batch adds to clusters and founds; summed on read.
+    "cluster_deltas": (
+        "cluster_id string, n bigint, ls array<double>, ss double, "
+        "created_at timestamp, updated_at timestamp"
+    ),
     "goldens": (
         "golden_id string, response_text string, expected_embedding array<float>, "
         "request_embedding array<float>, description string, cluster_id string, "
@@ -35,6 +40,9 @@ TABLES: dict[str, str] = {
     "sampling": "rows_seen bigint",
 }
 
+# What a batch adds to the goldens.
+TABLES["golden_entries"] = TABLES["goldens"]
+
 # Entry of the response stream: what the clustering job needs of a response.
 STREAM_ENTRY = (
     "response_id string, request_text string, response_text string, created_at timestamp"

@@ -1,33 +1,48 @@
-"""State in plain Parquet or ORC files: append logs and snapshots, published by epoch.
+"""State in plain Parquet or ORC files: append logs and bases, published by epoch.
 
 Every table is `root/<table>/epoch=<n>/`. A job takes a number of its own,
 writes its tables under it and commits last, naming the tables it wrote;
-readers only see committed epochs. Jobs may run side by side: numbers and
-commits are files that are created only if they do not exist yet. An epoch
-that writes a snapshot commits as the next version of the state, and only if no
-other job has made one since it was opened; else it is done again (`publish`).
+readers only see committed epochs. Commits are numbered files that appear whole
+or not at all, and only where no other has that number.
+
+Most tables are logs, and epochs that only append never wait for each other.
+Clusters and goldens are a base and a log beside it: clusters are summed from
+the base and all increments committed since it was read, so a batch writes what
+it adds and nothing else, and a split or a compaction replaces the base while
+batches go on. Two epochs that replace the same table, or append rows of the
+same id where that is ruled out, cannot both stay: the later commit fails with
+StateMoved and its work is done again (`publish`).
 """
 
 from __future__ import annotations
 
+import copy
 import json
+import os
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
+from topicgauge.functions.vectors import cf_centroid, vec_sum
 from topicgauge.schemas import TABLES
-from topicgauge.session import apply_settings
+from topicgauge.session import apply_settings, broadcast_if_small
 
 FORMATS = ("parquet", "orc")
 # One JSON file for each commit, whatever the format of the tables.
 COMMIT = (
     "epoch bigint, job string, batch_id bigint, stream string, tables array<string>, "
-    "version bigint, committed_at timestamp"
+    "seq bigint, base bigint, committed_at timestamp"
 )
 SNAPSHOTS = ("clusters", "goldens", "sampling")
+# Logs that add to a snapshot.
+ADDED = {"clusters": "cluster_deltas", "goldens": "golden_entries"}
+# Fixed value: what a file system says it can do that refuses to overwrite when a file is closed.
+CONDITIONAL = "fs.option.create.conditional.overwrite"
 
 
 class StateMoved(Exception):
@@ -43,8 +58,9 @@ class Epoch:
     job: str
     batch_id: int
     stream: str
-    base: int  # version of the state when the epoch was opened
+    base: int  # number of the last commit when the epoch was opened
     tables: list[str] = field(default_factory=list)
+    once: list[tuple[str, str, DataFrame]] = field(default_factory=list)
 
     def write(self, table: str, rows: DataFrame) -> None:
         fields = self.store.fields(table)
@@ -52,22 +68,36 @@ class Epoch:
         self.store.write(typed, self.store.path(table, self.number))
         self.tables.append(table)
 
+    def only_once(self, table: str, key: str, rows: DataFrame) -> None:
+        """The epoch must not commit if another one added rows of these keys meanwhile."""
+        self.once.append((table, key, rows))
+
     def commit(self) -> None:
-        """Publish the epoch; StateMoved if it is no longer built on the latest state."""
-        snapshot = any(t in SNAPSHOTS for t in self.tables)
-        version = self.base + 1 if snapshot else None
-        name = f"state-{version}" if snapshot else f"log-{self.number}"
-        entry = {
-            "epoch": self.number,
-            "job": self.job,
-            "batch_id": self.batch_id,
-            "stream": self.stream,
-            "tables": self.tables,
-            "version": version,
-            "committed_at": self.store.clock(),
-        }
-        if not self.store.create(f"commits/{name}.json", json.dumps(entry)):
-            raise StateMoved(f"version {version} of the state exists")
+        """Publish the epoch; StateMoved if what it is built on is no longer so."""
+        replaced = set(self.tables) & set(SNAPSHOTS)
+        seq, checked = self.base, self.base
+        while True:
+            newer = self.store.commits().where(F.col("seq") > checked).collect()
+            if any(replaced & set(e["tables"]) for e in newer):
+                raise StateMoved(f"another job has replaced {sorted(replaced)}")
+            for table, key, rows in self.once:
+                epochs = [e["epoch"] for e in newer if table in e["tables"]]
+                if epochs and not self.store.added(table, epochs).join(rows, key, "left_semi").isEmpty():
+                    raise StateMoved(f"another job has written the same rows of {table}")
+            checked = max([checked, *(e["seq"] for e in newer)])
+            seq = max(seq, checked) + 1
+            entry = {
+                "epoch": self.number,
+                "job": self.job,
+                "batch_id": self.batch_id,
+                "stream": self.stream,
+                "tables": self.tables,
+                "seq": seq,
+                "base": self.base,
+                "committed_at": self.store.clock(),
+            }
+            if self.store.create(f"commits/{seq:020d}.json", json.dumps(entry)):
+                return
 
 
 class StateStore:
@@ -78,6 +108,13 @@ class StateStore:
         self.spark = spark
         self.root = root.rstrip("/")
         self.file_format = file_format
+        self.upto: int | None = None  # the last commit that is seen, all if None
+
+    def at(self, seq: int) -> "StateStore":
+        """The state as of a commit."""
+        view = copy.copy(self)
+        view.upto = seq
+        return view
 
     def path(self, table: str, epoch: int) -> str:
         return f"{self.root}/{table}/epoch={epoch}"
@@ -95,35 +132,67 @@ class StateStore:
     # ---- commits ----
 
     def create(self, name: str, text: str) -> bool:
-        """Write a file of the state folder unless it is there already."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        """Publish a whole file of the state folder unless it is there already.
+
+        The text is written under a hidden name first, so a job that dies
+        leaves nothing a reader sees and no name taken. It then gets its name
+        in one step that fails if the name is taken: a link on a local disk, a
+        rename that refuses to overwrite elsewhere. Object stores, where a
+        rename is no such step, refuse when the file is closed.
+        """
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        conf = self.spark._jsc.hadoopConfiguration()
+        path = hadoop.Path(f"{self.root}/{name}")
+        files = path.getFileSystem(conf)
+        if files.exists(path):
+            return False
         try:
-            out = files.create(path, False)
-        except Exception as failure:
+            if files.hasPathCapability(path, CONDITIONAL):
+                self._fill(files.createFile(path).recursive().must(CONDITIONAL, True).build(), text)
+                return True
+            hidden = hadoop.Path(path.getParent(), f".{path.getName()}.{uuid.uuid4().hex}")
+            self._fill(files.create(hidden, False), text)
+            self._name(files, hidden, path)
+            return True
+        except (FileExistsError, Py4JJavaError):
             if files.exists(path):
                 return False
-            raise failure
+            raise
+
+    def _fill(self, out, text: str) -> None:
+        out.write(bytearray(text.encode()))
+        out.close()
+
+    def _name(self, files, hidden, path) -> None:
         try:
-            out.write(bytearray(text.encode()))
+            if files.getUri().getScheme() == "file":
+                os.link(hidden.toUri().getPath(), path.toUri().getPath())
+                return
+            hadoop = self.spark._jvm.org.apache.hadoop.fs
+            option = getattr(hadoop, "Options$Rename")
+            keep = self.spark.sparkContext._gateway.new_array(option, 1)
+            keep[0] = option.NONE
+            context = hadoop.FileContext.getFileContext(files.getUri(), files.getConf())
+            context.rename(hidden, path, keep)
         finally:
-            out.close()
-        return True
+            files.delete(hidden, False)
 
     def clock(self) -> str:
         return self.spark.range(1).select(F.current_timestamp().cast("string")).first()[0]
 
     def commits(self) -> DataFrame:
-        """epoch, job, batch_id, stream, tables, version, committed_at: one row per commit."""
-        return self._found(self.spark.read.schema(COMMIT).json, f"{self.root}/commits", COMMIT)
+        """epoch, job, batch_id, stream, tables, seq, base, committed_at: one row per commit."""
+        found = self._found(self.spark.read.schema(COMMIT).json, f"{self.root}/commits", COMMIT)
+        seen = found.where("seq IS NOT NULL")
+        return seen if self.upto is None else seen.where(F.col("seq") <= self.upto)
 
     def last_epoch(self) -> int:
         found = self.commits().agg(F.max("epoch").alias("e")).first()["e"]
         return -1 if found is None else found
 
     def version(self) -> int:
-        found = self.commits().agg(F.max("version").alias("v")).first()["v"]
+        """Number of the last commit, -1 before the first."""
+        found = self.commits().agg(F.max("seq").alias("v")).first()["v"]
         return -1 if found is None else found
 
     def committed(self, job: str, batch_id: int, stream: str = "") -> bool:
@@ -155,12 +224,25 @@ class StateStore:
     # ---- reading ----
 
     def snapshot(self, table: str) -> DataFrame:
-        """The latest committed version of a snapshot table."""
+        """A table as it is now: its last base, and what was added to it since."""
         holding = self.commits().where(F.array_contains("tables", table))
-        epoch = holding.agg(F.max("epoch").alias("e")).first()["e"]
-        if epoch is None:
-            return self.spark.createDataFrame([], TABLES[table])
-        return self._reader(TABLES[table]).load(self.path(table, epoch))
+        last = holding.orderBy(F.col("seq").desc()).select("epoch", "base").first()
+        base = self.spark.createDataFrame([], TABLES[table])
+        if last is not None:
+            base = self._reader(TABLES[table]).load(self.path(table, last["epoch"]))
+        if table not in ADDED:
+            return base
+        since = -1 if last is None else last["base"]
+        newer = self.commits().where((F.col("seq") > since) & F.array_contains("tables", ADDED[table]))
+        epochs = [e["epoch"] for e in newer.select("epoch").collect()]
+        if not epochs:
+            return base
+        more = self.added(ADDED[table], epochs)
+        return summed_clusters(base, more) if table == "clusters" else base.unionByName(more)
+
+    def added(self, table: str, epochs: list[int]) -> DataFrame:
+        """Rows that these epochs wrote."""
+        return self._reader(TABLES[table]).load([self.path(table, epoch) for epoch in epochs])
 
     def log(self, table: str) -> DataFrame:
         """All committed rows of an append table, with their epoch.
@@ -222,6 +304,25 @@ class StateStore:
         return latest(self.log("scores"), "response_id")
 
 
+def summed_clusters(base: DataFrame, deltas: DataFrame) -> DataFrame:
+    """Clusters of `base` with the increments in `deltas` (cluster_id, n, ls, ss, times).
+
+    Only touched clusters are summed anew; those that come to no rows are gone.
+    """
+    columns = ["cluster_id", "n", "ls", "ss", "created_at", "updated_at"]
+    ids = broadcast_if_small(deltas.select("cluster_id").distinct(), 64 << 20)
+    touched = base.join(ids, "cluster_id", "left_semi").select(columns).unionByName(deltas.select(columns))
+    fresh = touched.groupBy("cluster_id").agg(
+        F.sum("n").alias("n"),
+        vec_sum(F.col("ls")).alias("ls"),
+        F.sum("ss").alias("ss"),
+        F.min("created_at").alias("created_at"),
+        F.max("updated_at").alias("updated_at"),
+    )
+    fresh = fresh.where("n > 0").withColumn("centroid", cf_centroid(F.col("n"), F.col("ls")))
+    return base.join(ids, "cluster_id", "left_anti").unionByName(fresh.select(base.columns))
+
+
 def latest(log: DataFrame, key: str) -> DataFrame:
     """The row of the highest epoch per key."""
     newest = Window.partitionBy(key).orderBy(F.col("epoch").desc())
