@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from topicgauge.functions.embedding import HashedWords, ModelEmbedder
+from topicgauge.functions.embedding import HashedWords, ModelEmbedder, try_in_halves
 from topicgauge.functions.vectors import group_features
 from topicgauge.operators import drift
 from topicgauge.params import Params
@@ -230,6 +230,65 @@ def test_stream_batches_and_poison(spark, root, tmp_path):
     assert store.log("assignments").count() == 30 + good + 2
 
 
+class Kernel(Poisoned):
+    """The same failing texts, by an embedder whose kernel can be tried row by row."""
+
+    def kernel(self):
+        def make():
+            encode = EMBED.kernel()()
+
+            def checked(texts):
+                for t in texts:
+                    if t.startswith("poison"):
+                        raise ValueError("cannot read " + t)
+                return encode(texts)
+
+            return checked
+
+        return make
+
+
+def test_poison_rows_cost_one_job(spark, root, tmp_path):
+    """A third of a batch is bad: found inside the tasks, whatever their number."""
+    source = str(tmp_path / "in")
+    rows = [(f"r{i:04d}", ("poison " if i % 3 == 0 else "") + f"text {i % 7}", "answer", T0) for i in range(900)]
+    rows.append(("r0000", "text of a row sent again", "answer", T0))
+    spark.createDataFrame(rows, STREAM_ENTRY).coalesce(1).write.parquet(source)
+    runner = cluster_stream.BatchRunner(root, Kernel(), P)
+    store = StateStore(spark, root)
+    batch = spark.read.schema(STREAM_ENTRY).parquet(source)
+    runner._note(spark, "", 0, P.max_delivery_attempts, "failed before")
+    before = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("sift", "sift")
+    good, dead = runner._sifted(store, batch, P.max_delivery_attempts, T0)
+    assert len(before.getJobIdsForGroup("sift")) <= 2
+    assert (good.count(), dead.count()) == (601, 299)
+    runner(batch, 0)
+    letters = store.log("dead_letter").collect()
+    assert len(letters) == 299 and all(r["attempts"] == 3 and "cannot read" in r["error"] for r in letters)
+    assert store.log("assignments").count() == 601
+    check_invariants(store, P.golden_set_warmup)
+
+
+def test_halving_finds_every_bad_text_and_wrong_sizes():
+    calls = []
+
+    def encode(texts):
+        calls.append(len(texts))
+        if any(t == "bad" for t in texts):
+            raise RuntimeError
+        return np.ones((len(texts), 3 if "short" in texts else 2))
+
+    texts = ["a"] * 40
+    texts[7] = texts[8] = texts[31] = "bad"
+    texts[20] = "short"
+    vectors = np.zeros((40, 2), dtype=np.float32)
+    errors = try_in_halves(encode, texts, vectors)
+    assert [i for i, e in enumerate(errors) if e] == [7, 8, 20, 31] and errors[7] == "RuntimeError"
+    assert (vectors.sum(1) == 2).sum() == 36 and len(calls) < 50
+    assert try_in_halves(encode, [], np.zeros((0, 2))) == []
+
+
 def test_open_epochs_of_two_jobs_both_stay(spark, root):
     store = StateStore(spark, root)
     first, second = store.open("a"), store.open("b")

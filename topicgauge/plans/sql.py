@@ -249,6 +249,9 @@ SQL: dict[str, str] = {
     "cluster_cf": f"""WITH {VECS}, {cf("vecs", key="label")}
       SELECT label AS cluster_id, n, round({RADIUS}, 6) AS radius,
              round(sqrt(list_inner_product(ls, ls)) / n, 6) AS centroid_length FROM cf""",
+    "poison_rows": """SELECT doc_id, CASE WHEN contains(text, '###') THEN 'unreadable text' END AS error,
+      CASE WHEN NOT contains(text, '###') THEN 64 END::INTEGER AS dims,
+      CASE WHEN NOT contains(text, '###') THEN 1.0 END::DOUBLE AS length FROM documents""",
     "state_deltas": f"""WITH {VECS}, {cf("vecs", key="label")}
       SELECT label AS cluster_id, n, round({RADIUS}, 6) AS radius FROM cf""",
     "cluster_centroids": f"""WITH {GROUPED} SELECT cluster_id, pos AS dim, round(avg(x), 6) AS value FROM (

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicgauge.functions import vectors as vf
-from topicgauge.functions.embedding import HashedWords
+from topicgauge.functions.embedding import HashedWords, try_pairs
 from topicgauge.operators import assign, grow, metrics
 from topicgauge.plans.checked import PARAMS, _events, _goldens, _labels_as_clusters, r6
 from topicgauge.schemas import STREAM_ENTRY
@@ -205,6 +205,40 @@ def interleaved_jobs(spark: SparkSession, folder: str) -> DataFrame:
     return store.current_scores().select("response_id", r6("quality_score").alias("quality_score"))
 
 
+class Picky:
+    """Hashed words, of texts without a mark; any other fails the whole call."""
+
+    def __init__(self, dim: int, mark: str) -> None:
+        self.dim, self.mark = dim, mark
+
+    def kernel(self):
+        make, mark = HashedWords(self.dim).kernel(), self.mark
+
+        def picky():
+            encode = make()
+
+            def checked(texts: list[str]):
+                if any(mark in t for t in texts):
+                    raise ValueError("unreadable text")
+                return encode(texts)
+
+            return checked
+
+        return picky
+
+
+def poison_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents through an embedder that fails on some: only those are set aside, in one job."""
+    docs = src.table(spark, folder, "documents").select(
+        "doc_id", F.lit("question").alias("request_text"), F.col("text").alias("response_text")
+    )
+    tried = try_pairs(docs, Picky(PARAMS.embedding_dim, "###"), PARAMS.embedding_dim)
+    return tried.select(
+        "doc_id", "error", F.size("response_embedding").alias("dims"),
+        r6(vf.norm(vf.doubles(F.col("response_embedding")))).alias("length"),
+    )
+
+
 def state_deltas(spark: SparkSession, folder: str) -> DataFrame:
     """Clusters by label, added up from batches that commit in any order around a new base.
 
@@ -232,7 +266,7 @@ def state_deltas(spark: SparkSession, folder: str) -> DataFrame:
 
 
 STATEFUL = [
-    state_deltas,
+    state_deltas, poison_rows,
     interleaved_jobs,
     grow_clusters, grow_membership, assign_batch, assign_goldens, latest_assignment, alert_outbox,
     stream_drift, stream_cluster, stream_cluster_coverage,

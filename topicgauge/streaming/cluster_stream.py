@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from topicgauge.functions.embedding import Embedder, embed_pairs
+from topicgauge.functions.embedding import Embedder, embed_pairs, try_pairs
 from topicgauge.params import Params
 from topicgauge.plans.jobs import cluster_batch
 from topicgauge.schemas import STREAM_ENTRY
+from topicgauge.session import materialize, scratch
 from topicgauge.sources.state import StateStore
 
 ATTEMPT = "batch_id bigint, attempt int, error string"
@@ -65,8 +66,10 @@ class BatchRunner:
     A batch is committed once for each stream, whose id the checkpoint keeps. A
     failure counts as a delivery unless the embedder fails on any text at all,
     which is an outage and only delays the batch. After `max_delivery_attempts`
-    the batch is halved until the rows that fail on their own are found; those
-    go to the dead letters and all others are clustered.
+    the rows that fail on their own are found; those go to the dead letters and
+    all others are clustered. An embedder with a kernel tries its rows inside
+    the tasks, in one job whatever the number of bad rows; for one that is only a
+    column the batch is halved from here.
     """
 
     def __init__(self, root: str, embedder: Embedder, params: Params, job: str = "stream") -> None:
@@ -84,10 +87,10 @@ class BatchRunner:
             dead, batch = _unreadable(batch), batch.where("unreadable IS NULL").drop("unreadable")
         attempts, error = self._attempts(spark, stream, batch_id)
         if attempts >= self.params.max_delivery_attempts:
-            poison = self._poison(store, batch, attempts, now)
-            good = batch.join(poison.select("response_id"), "response_id", "left_anti")
-            dead = poison if dead is None else dead.unionByName(poison)
-            cluster_batch(store, good, self.embedder, self.params, now, self.job, batch_id, stream, dead)
+            with scratch(spark):
+                good, poison = self._sifted(store, batch, attempts, now)
+                dead = poison if dead is None else dead.unionByName(poison)
+                cluster_batch(store, good, self.embedder, self.params, now, self.job, batch_id, stream, dead)
             return
         try:
             cluster_batch(store, batch, self.embedder, self.params, now, self.job, batch_id, stream, dead)
@@ -105,6 +108,20 @@ class BatchRunner:
             return False
         return True
 
+    def _sifted(
+        self, store: StateStore, batch: DataFrame, attempts: int, now: datetime
+    ) -> tuple[DataFrame, DataFrame]:
+        """The rows that can be embedded, and the dead letters of the others."""
+        if not hasattr(self.embedder, "kernel"):
+            poison = self._poison(store, batch, attempts, now)
+            return batch.join(poison.select("response_id"), "response_id", "left_anti"), poison
+        tried = materialize(try_pairs(batch, self.embedder, self.params.embedding_dim))
+        poison = tried.where("error IS NOT NULL")
+        letters = poison.select("response_id", F.lit(attempts).alias("attempts"), "error")
+        # Rows of one id are one entry: a bad one sets aside no good one.
+        good = tried.where("error IS NULL").drop("error")
+        return good, letters.join(good, "response_id", "left_anti").dropDuplicates(["response_id"])
+
     def _poison(self, store: StateStore, batch: DataFrame, attempts: int, now: datetime) -> DataFrame:
         """Dead letters of the rows that cannot be embedded, found by halving on a hash.
 
