@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from topicgauge.params import SPLIT_ROUNDS
 from topicgauge.plans.checked import ABSORB, PARAMS, RUN_TS, SECRET
 from topicgauge.sources.tables import MODELS, SIGN_DIMS
@@ -202,6 +204,36 @@ turn AS (SELECT row_number() OVER (ORDER BY split_part(response_id, '-', 1)::BIG
 {GROWTH}"""
 GROWN_ID = "substr(sha256('cluster|' || {0}), 1, 32)"
 
+
+def _again(cte: str) -> str:
+    """The growth CTEs under names of their own."""
+    for name in ("steps", "turn", "grown", "owners"):
+        cte = re.sub(rf"\b{name}\b", f"{name}_2", cte)
+    return cte
+
+
+# Documents of the first five minutes grow clusters; the others are tested
+# against those as they then are, and what none absorbs grows more.
+_TURNS = """turn AS (SELECT row_number() OVER (ORDER BY response_id::BIGINT) AS i, response_id, v,
+  list_inner_product(v, v) AS vv FROM {0})"""
+TWO_BATCHES = f"""{DOCS},
+early AS (SELECT * FROM docvec WHERE response_id::BIGINT < 300),
+late AS (SELECT * FROM docvec WHERE response_id::BIGINT >= 300),
+{_TURNS.format("early")},
+{GROWTH},
+known AS (SELECT {GROWN_ID.format("f")} AS cluster_id, n, ls, ss FROM grown),
+{nearest("late", "response_id", "known")},
+{absorbed("response_id", 0.6)},
+missed AS (SELECT * FROM late WHERE response_id NOT IN (SELECT response_id FROM hit)),
+{_again(_TURNS.format("missed"))},
+{_again(GROWTH)},
+placed AS (
+  SELECT response_id, {GROWN_ID.format("founder")} AS cluster_id FROM owners
+  UNION ALL SELECT response_id, cluster_id FROM hit
+  UNION ALL SELECT response_id, {GROWN_ID.format("founder")} FROM owners_2),
+members AS (SELECT p.cluster_id, d.v FROM placed p JOIN docvec d USING (response_id)),
+{cf("members")}"""
+
 MODEL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{m}'" for k, m in MODELS.items()) + " ELSE 'other' END"
 CALLS = f"""calls AS (SELECT event_id, {MODEL} AS model, event_id % 2 = 0 AS stream,
   floor(value * 10)::INTEGER AS latency_ms, ts AS created_at FROM events)"""
@@ -388,7 +420,8 @@ SQL: dict[str, str] = {
         round(sqrt(greatest(0, ss / n - len * len / (n * n))), 6) AS radius FROM grown""",
     "grow_membership": f"""WITH RECURSIVE {GROWN}
       SELECT response_id, {GROWN_ID.format("founder")} AS cluster_id FROM owners""",
-    "assign_batch": "SELECT count(*) AS documents, 0::BIGINT AS wrong_counts FROM documents",
+    "assign_batch": f"""WITH RECURSIVE {TWO_BATCHES}
+      SELECT response_id, p.cluster_id, n, round({RADIUS}, 6) AS radius FROM placed p JOIN cf USING (cluster_id)""",
     "assign_goldens": f"""WITH {VECS}, {gold(10)}, {LABELS}, {cf("lab")}
       SELECT 'text ' || vec_id AS response_text, cluster_id FROM (
         SELECT g.vec_id, c.cluster_id, row_number() OVER (PARTITION BY g.vec_id

@@ -49,8 +49,8 @@ def grow_membership(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def assign_batch(spark: SparkSession, folder: str) -> DataFrame:
-    """Two batches of documents by time: the second is tested
-    against the clusters of the first, and the clusters count every document."""
+    """Two batches of documents by time, the second tested against the clusters
+    of the first: the cluster of every document, its size and its radius."""
     docs = materialize(src.embedded_documents(spark, folder))
     early = F.col("created_at") < F.lit("2024-01-01 00:05:00").cast("timestamp")
     none = spark.createDataFrame(
@@ -60,14 +60,9 @@ def assign_batch(spark: SparkSession, folder: str) -> DataFrame:
     now = F.lit(NOW.isoformat(sep=" ")).cast("timestamp")
     first = assign.assign_batch(docs.where(early), none, TOPIC, now)
     second = assign.assign_batch(docs.where(~early), materialize(first.clusters), TOPIC, now)
-    rows = first.rows.unionByName(second.rows)
-    counted = rows.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("rows"))
-    both = counted.join(second.clusters.select("cluster_id", "n"), "cluster_id", "full")
-    same = F.coalesce(F.col("rows") == F.col("n"), F.lit(False))
-    return both.agg(
-        F.sum("rows").alias("documents"),
-        F.coalesce(F.sum(F.when(~same, 1)), F.lit(0)).cast("bigint").alias("wrong_counts"),
-    )
+    rows = first.rows.unionByName(second.rows).select("response_id", "cluster_id")
+    sizes = metrics.cluster_report(second.clusters).select("cluster_id", "n", r6("radius").alias("radius"))
+    return rows.join(sizes, "cluster_id", "left").select("response_id", "cluster_id", "n", "radius")
 
 
 def assign_goldens(spark: SparkSession, folder: str) -> DataFrame:
