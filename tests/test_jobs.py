@@ -1,6 +1,7 @@
 """The jobs over the state store, and the streams, end to end."""
 
 import json
+import os
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 from datetime import datetime, timedelta
@@ -155,7 +156,7 @@ def test_alert_run(spark, root):
     ranked = store.log("responses").select(
         "response_id", F.when(F.col("created_at") < F.lit(T0 + timedelta(seconds=30)), 0.9).otherwise(0.3).alias("quality_score"),
         F.lit(None).cast("string").alias("reject_reason"))
-    epoch.write("scores", ranked)                                 # a later evaluation wins
+    jobs.write_scores(epoch, ranked, store.current_assignments())  # a later evaluation wins
     epoch.commit()
     assert store.current_scores().count() == store.log("responses").count()
     loud = replace(P, notification_channel="webhook", webhook_url="u", webhook_secret="s")
@@ -168,6 +169,33 @@ def test_alert_run(spark, root):
     assert store.log("alert_deliveries").where("sent").count() == 3
 
 
+def test_detection_reads_no_old_scores(spark, root):
+    """After a run the logs of scores and assignments are not looked at; a split finds older scores again."""
+    store = StateStore(spark, root)
+    jobs.log_calls(store, calls(spark, 150), replace(P, sampling_rate=1))
+    jobs.cluster_batch(store, entries(store), EMBED, replace(P, birch_threshold=0.99), T0)
+
+    def whole():
+        scored = drift.with_current_cluster(
+            store.current_scores().select("response_id", "quality_score"), store.current_assignments())
+        return sorted(map(tuple, drift.detect(scored, 0.15).collect()))
+
+    def merged():
+        return sorted(map(tuple, drift.detect(store.snapshot("recent"), 0.15).collect()))
+
+    assert jobs.detect_drift(store, P, T0) >= 0
+    assert merged() == whole() and store.snapshot("recent").count() == 50
+    hidden = root + "-hidden"
+    for table in ("scores", "assignments", "recent_entries"):
+        os.rename(f"{root}/{table}", f"{hidden}-{table}")
+    jobs.detect_drift(store, P, T0)
+    for table in ("scores", "assignments", "recent_entries"):
+        os.rename(f"{hidden}-{table}", f"{root}/{table}")
+    assert jobs.split_wide_clusters(store, P, T0) == 1
+    assert len(merged()) == 2 and merged() == whole()
+    assert store.snapshot("recent").count() > 50
+
+
 class Failing:
     def column(self, text):
         @F.udf("array<float>")

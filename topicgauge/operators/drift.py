@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from topicgauge.params import MIN_SCORES, SCORE_WINDOW
 
 
-def recent_scores(scores: DataFrame, window: int = SCORE_WINDOW) -> DataFrame:
+def recent_scores(scores: DataFrame, window: int = SCORE_WINDOW, *more: str) -> DataFrame:
     """The newest `window` non-null scores per cluster.
 
     Adds `newest_rank` (1 = newest). The literal rank bound lets Spark keep
@@ -19,13 +19,26 @@ def recent_scores(scores: DataFrame, window: int = SCORE_WINDOW) -> DataFrame:
         F.col("created_at").desc(), F.col("response_id").desc()
     )
     return (
-        scores.select("cluster_id", "response_id", "created_at", "quality_score")
+        scores.select("cluster_id", "response_id", "created_at", "quality_score", *more)
         .where(F.col("quality_score").isNotNull() & F.col("cluster_id").isNotNull())
         .withColumn("newest_rank", F.row_number().over(newest_first))
         .where(F.col("newest_rank") <= F.lit(window))
     )
 
 
+def merge_recent(scores: DataFrame, window: int = SCORE_WINDOW) -> DataFrame:
+    """The newest `window` scores per cluster of a base and of what came since.
+
+    `scores`: cluster_id, response_id, created_at, quality_score, evaluated. Of
+    one response the latest evaluation counts. The result is bounded by the
+    clusters and merges again: newest of (newest of a, b) is newest of a and b.
+    """
+    latest = Window.partitionBy("cluster_id", "response_id").orderBy(F.col("evaluated").desc())
+    once = scores.withColumn("_n", F.row_number().over(latest)).where("_n = 1").drop("_n")
+    kept = recent_scores(once, window, "evaluated").drop("newest_rank")
+    return kept.select("cluster_id", "response_id", "created_at", "quality_score", "evaluated")
+
+
 def half_means(
     scores: DataFrame, window: int = SCORE_WINDOW, min_scores: int = MIN_SCORES
 ) -> DataFrame:

@@ -18,7 +18,7 @@ from topicgauge.operators import assign, drift, evaluate, golden, normalize, rec
 from topicgauge.params import Params
 from topicgauge.session import broadcast_if_small, materialize, scratch
 from topicgauge.sources import outbox
-from topicgauge.sources.state import ADDED, Epoch, StateMoved, StateStore
+from topicgauge.sources.state import Epoch, StateMoved, StateStore
 
 
 def _at(now: datetime):
@@ -101,7 +101,16 @@ def _write_batch(
         goldens = goldens.unionByName(admitted)
     flagged = evaluate.flagged_in_batch(rows, store.log("responses"))
     sampled = rows.join(flagged, "response_id", "left_semi")
-    epoch.write("scores", evaluate.evaluate(sampled, goldens, params))
+    write_scores(epoch, evaluate.evaluate(sampled, goldens, params), sampled)
+
+
+def write_scores(epoch: Epoch, scores: DataFrame, scored: DataFrame) -> None:
+    """Scores, and beside them what detection needs: the cluster and time of each response in `scored`."""
+    scores = materialize(scores)
+    epoch.write("scores", scores)
+    placed = scored.select("response_id", "cluster_id", "created_at")
+    entries = scores.select("response_id", "quality_score").join(placed, "response_id")
+    epoch.write("recent_entries", entries.withColumn("evaluated", F.lit(epoch.number)))
 
 
 def compact_state(store: StateStore) -> None:
@@ -109,7 +118,7 @@ def compact_state(store: StateStore) -> None:
 
     def work(epoch: Epoch) -> None:
         then = store.at(epoch.base)
-        for table in ADDED:
+        for table in ("clusters", "goldens"):
             epoch.write(table, then.snapshot(table))
 
     store.publish("compact", work)
@@ -120,25 +129,31 @@ def evaluate_pending(store: StateStore, embedder: Embedder, params: Params) -> N
     epoch = store.open("evaluate")
     waiting = evaluate.pending_evaluations(
         store.log("responses").select("response_id", "raw_content", "sampled"),
-        store.members().select("response_id", "cluster_id", "response_embedding"),
+        store.members().select("response_id", "cluster_id", "created_at", "response_embedding"),
         store.log("scores"),
     )
-    full = evaluate.fill_embeddings(waiting, embedder)
-    epoch.write("scores", evaluate.evaluate(full, store.snapshot("goldens"), params))
-    epoch.commit()
+    with scratch(store.spark):
+        full = materialize(evaluate.fill_embeddings(waiting, embedder))
+        write_scores(epoch, evaluate.evaluate(full, store.snapshot("goldens"), params), full)
+        epoch.commit()
 
 
 def detect_drift(store: StateStore, params: Params, now: datetime) -> int:
-    """One detection run over all clusters; writes the events and returns the epoch."""
-    epoch = store.open("detect")
-    scored = drift.with_current_cluster(
-        store.current_scores().select("response_id", "quality_score"),
-        store.current_assignments(),
-    )
-    found = drift.detect(scored, params.drift_threshold)
-    epoch.write("drift_events", drift.drift_events(found, _at(now), params.notification_channel))
-    epoch.commit()
-    return epoch.number
+    """One detection run over all clusters; writes the events and returns the epoch.
+
+    Reads the newest scores as the last run left them and what was added since,
+    never the logs of scores and assignments.
+    """
+
+    def work(epoch: Epoch) -> int:
+        recent = materialize(drift.merge_recent(store.at(epoch.base).snapshot("recent")))
+        found = drift.detect(recent, params.drift_threshold)
+        epoch.write("recent", recent)
+        epoch.write("drift_events", drift.drift_events(found, _at(now), params.notification_channel))
+        return epoch.number
+
+    with scratch(store.spark):
+        return store.publish("detect", work)
 
 
 def send_alerts(store: StateStore, send: Callable[[dict], None], params: Params, now: datetime) -> None:
@@ -191,6 +206,14 @@ def _write_split(epoch: Epoch, store: StateStore, clusters, done: split.Split, n
         done.members.select("response_id", F.col("new_cluster_id").alias("cluster_id")),
     )
     epoch.write("goldens", split.remap_goldens(store.snapshot("goldens"), done.parts))
+    # The parts' newest scores are among all of the split clusters', not only their newest.
+    moved = done.members.select("response_id", F.col("new_cluster_id").alias("cluster_id"))
+    when = store.log("assignments").select("response_id", "created_at")
+    scores = store.current_scores().select("response_id", "quality_score", F.col("epoch").alias("evaluated"))
+    theirs = scores.join(moved, "response_id").join(when, "response_id")
+    gone = done.parts.select("cluster_id").distinct()
+    others = store.snapshot("recent").join(gone, "cluster_id", "left_anti")
+    epoch.write("recent", drift.merge_recent(others.unionByName(theirs.select(others.columns))))
     epoch.commit()
 
 

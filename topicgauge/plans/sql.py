@@ -438,4 +438,5 @@ SQL: dict[str, str] = {
     "stream_cluster_coverage": f"""WITH {PAIRS}
       SELECT conv_id || '-' || turn AS response_id, 1::BIGINT AS assignments, 1::BIGINT AS scores FROM pairs""",
 }
+SQL["drift_detect_merged"] = SQL["drift_detect"]
 SQL["centroid_backfill"] = SQL["cluster_centroids"]

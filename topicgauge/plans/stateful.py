@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from topicgauge.functions import vectors as vf
 from topicgauge.functions.embedding import HashedWords, try_pairs
-from topicgauge.operators import assign, grow, metrics
+from topicgauge.operators import assign, drift, grow, metrics
+from topicgauge.plans import jobs
 from topicgauge.plans.checked import PARAMS, _events, _goldens, _labels_as_clusters, r6
 from topicgauge.schemas import STREAM_ENTRY
 from topicgauge.session import SETTINGS, materialize, shared_dir
@@ -200,6 +201,22 @@ def interleaved_jobs(spark: SparkSession, folder: str) -> DataFrame:
     return store.current_scores().select("response_id", r6("quality_score").alias("quality_score"))
 
 
+def drift_detect_merged(spark: SparkSession, folder: str) -> DataFrame:
+    """Drift per user and event type, of scores that came in three parts with a detection after each."""
+    scores = src.scores(spark, folder).withColumn("part", F.col("response_id") % 3)
+    store = StateStore(spark, f"{_work_dir(spark, 'recent')}/state")
+    for part in range(3):
+        epoch = store.open("evaluate")
+        epoch.write("recent_entries", scores.where(F.col("part") == part).withColumn("evaluated", F.lit(epoch.number)))
+        epoch.commit()
+        jobs.detect_drift(store, PARAMS, NOW)
+    found = drift.detect(store.snapshot("recent"), PARAMS.drift_threshold)
+    return found.select(
+        F.col("cluster_id").cast("bigint").alias("cluster_id"), "n_scores", r6("baseline_score").alias("baseline_score"),
+        r6("current_score").alias("current_score"), r6("delta").alias("delta"), "alert_triggered",
+    )
+
+
 class Picky:
     """Hashed words, of texts without a mark; any other fails the whole call."""
 
@@ -261,7 +278,7 @@ def state_deltas(spark: SparkSession, folder: str) -> DataFrame:
 
 
 STATEFUL = [
-    state_deltas, poison_rows,
+    state_deltas, poison_rows, drift_detect_merged,
     interleaved_jobs,
     grow_clusters, grow_membership, assign_batch, assign_goldens, latest_assignment, alert_outbox,
     stream_drift, stream_cluster, stream_cluster_coverage,

@@ -17,6 +17,12 @@ TABLES: dict[str, str] = {
     # Written by splits: the cluster a response moved to; the latest epoch wins.
     "remaps": "response_id string, cluster_id string",
     "scores": "response_id string, quality_score double, reject_reason string",
+    # The newest scores of each cluster, as detection needs them: a base of at
+    # most a window a cluster, and what evaluations have added since.
+    "recent": (
+        "cluster_id string, response_id string, created_at timestamp, "
+        "quality_score double, evaluated bigint"
+    ),
     "clusters": (
         "cluster_id string, n bigint, ls array<double>, ss double, "
         "centroid array<double>, created_at timestamp, updated_at timestamp"
@@ -40,8 +46,9 @@ TABLES: dict[str, str] = {
     "sampling": "rows_seen bigint",
 }
 
-# What a batch adds to the goldens.
+# What a batch adds to the goldens and to the newest scores.
 TABLES["golden_entries"] = TABLES["goldens"]
+TABLES["recent_entries"] = TABLES["recent"]
 
 # Entry of the response stream: what the clustering job needs of a response.
 STREAM_ENTRY = (

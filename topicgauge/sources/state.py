@@ -38,9 +38,9 @@ COMMIT = (
     "epoch bigint, job string, batch_id bigint, stream string, tables array<string>, "
     "seq bigint, base bigint, committed_at timestamp"
 )
-SNAPSHOTS = ("clusters", "goldens", "sampling")
+SNAPSHOTS = ("clusters", "goldens", "sampling", "recent")
 # Logs that add to a snapshot.
-ADDED = {"clusters": "cluster_deltas", "goldens": "golden_entries"}
+ADDED = {"clusters": "cluster_deltas", "goldens": "golden_entries", "recent": "recent_entries"}
 # Fixed value: what a file system says it can do that refuses to overwrite when a file is closed.
 CONDITIONAL = "fs.option.create.conditional.overwrite"
 
