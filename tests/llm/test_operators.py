@@ -310,12 +310,16 @@ def test_top_k_of_odd_rows(spark):
         (None, [1.0, 1.0], "x"), (100, [-0.001, 0.3], "x"),
     ]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, parts string")
-    used = {0: [128, 64], 50: [256, -256], 11: [128, 64], 12: [128, 64], 13: [128, 0], 100: [-1, 76]}
+    # Every row is a candidate, of repeated ids and without one too; only the query's own is not.
+    used = [(0, [128, 64]), (50, [256, -256]), (50, [25, 25]), (11, [128, 64]), (12, [128, 64]), (13, [128, 0]),
+            (None, [256, 256]), (100, [-1, 76])]
+    last = lambda v: (v is None, v or 0)
     expected = []
-    for q in (0, 50, 100):
-        scores = sorted((-sum(a * b for a, b in zip(used[q], p)), v) for v, p in used.items() if v != q)
-        expected += [(q, i + 1, v, -s) for i, (s, v) in enumerate(scores[:5])]
-    assert sorted(tuple(r) for r in topk.search(df).collect()) == expected
+    for at, (q, own) in enumerate(used):
+        if q in (0, 50, 100):
+            scores = [(-sum(a * b for a, b in zip(own, p)), last(v), v) for n, (v, p) in enumerate(used) if n != at]
+            expected += [(q, i + 1, v, -s) for i, (s, _, v) in enumerate(sorted(scores)[:5])]
+    assert sorted(map(tuple, topk.search(df).collect()), key=repr) == sorted(expected, key=repr)
     assert topk.search(df.limit(0)).count() == 0
 
 

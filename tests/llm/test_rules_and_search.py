@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from topicgauge.llm import common, hard_negatives, lexical, quality_rules
+from topicgauge.llm import common, hard_negatives, lexical, quality_rules, topk
 
 SCHEMA = "doc_id long, text string, words string, rules string, n long, score double"
 STUTTER = "again " * 20_000
@@ -246,3 +246,53 @@ def test_intervals_hold_every_score_and_rule_cells_out(spark):
 def test_scores_beyond_doubles_stay_whole():
     a = np.array([[2.0**30 + 1, 3.0]])
     assert hard_negatives.scores(a, a, 2.0**30 + 1, 2.0**30 + 1)[0, 0] == (2**30 + 1) ** 2 + 9
+
+
+# ---- exact top-k --------------------------------------------------------------------------
+
+
+def _top(rows, every, k):
+    usable = [
+        (i, vec_id, [math.floor(256 * x) for x in v])
+        for i, (vec_id, v, *_) in enumerate(rows)
+        if v and all(x is not None and math.isfinite(x) for x in v)
+    ]
+    out = []
+    for at, query_id, a in usable:
+        if query_id is None or query_id % every:
+            continue
+        scored = [(-sum(p * q for p, q in zip(a, v)), i is None, i or 0, i) for n, i, v in usable if n != at]
+        out += [(query_id, r, s[3], -s[0]) for r, s in enumerate(sorted(scored)[:k], 1)]
+    return sorted(out, key=repr)
+
+
+def test_top_k_takes_every_row_as_a_candidate(spark, monkeypatch):
+    # Rows of one id with different vectors, rows without an id, and scores that doubles cannot hold.
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    monkeypatch.setattr(topk, "CHUNK", 5)
+    rows = _vectors(4, 300) + [(0, [0.5, 0.0, 0.0, 0.0, 0.0, 0.0], 1, "x", "x"), (1, [0.25, 0.0, 0.0, 0.0, 0.0, 0.0], 1, "x", "x")]
+    vectors = spark.createDataFrame(rows, VECTORS).repartition(2)
+    for slice_bytes in (1 << 20, 500):
+        monkeypatch.setattr(topk, "SLICE_BYTES", slice_bytes)
+        assert sorted(map(tuple, topk.search(vectors, 50, 5).collect()), key=repr) == _top(rows, 50, 5)
+    assert topk.search(vectors.limit(0)).count() == 0
+    large = [(50 * i, [float(2**22 + i), 3.0 * i, 1.0], 1, "x", "x") for i in range(8)]
+    vectors = spark.createDataFrame(large, VECTORS)
+    assert sorted(map(tuple, topk.search(vectors, 50, 3).collect()), key=repr) == _top(large, 50, 3)
+
+
+def test_reading_stops_early_where_the_bounds_allow_it():
+    rng = np.random.default_rng(0)
+    # Sparse vectors with few great components: lists need not be read far.
+    parts = np.where(rng.random((600, 12)) < 0.1, rng.integers(1, 4000, (600, 12)), 0).astype(float)
+    lists = topk.SortedLists(np.arange(600), parts)
+    asked = np.arange(0, 600, 20)
+    found = lists.best(asked, parts[asked], 3)
+    for i in asked:
+        scored = sorted((-int(parts[i] @ parts[j]), j) for j in range(600) if j != i)[:3]
+        assert [(-s, v) for s, v in scored] == [(s, v) for q, v, s in found if q == i]
+    assert sum(n for share, n in lists.read.items() if share <= 0.4) > len(asked) / 2
+    # A level from earlier blocks stops queries that can find nothing better at once.
+    again = topk.SortedLists(np.arange(600), parts)
+    assert again.best(asked, parts[asked], 3, np.full(len(asked), 1e12)) == []
+    assert set(again.read) == {topk.DEPTHS[0]}

@@ -73,7 +73,7 @@ def references(rows: DataFrame, count: int = REFERENCES, sample: int = SAMPLE) -
     """Unit directions that lie far apart, chosen in a bounded sample of the rows."""
     order = F.xxhash64("vec_id", F.col("parts").cast("string"))
     drawn = rows.where(F.exists("parts", lambda x: x != 0)).orderBy(order).limit(sample)
-    matrix = _matrix(drawn.select("parts").toArrow()["parts"])
+    matrix = matrix_of(drawn.select("parts").toArrow()["parts"])
     if not len(matrix):
         return np.zeros((0, 0))
     unit = matrix / np.linalg.norm(matrix, axis=1)[:, None]
@@ -85,7 +85,7 @@ def references(rows: DataFrame, count: int = REFERENCES, sample: int = SAMPLE) -
     return unit[chosen]
 
 
-def _matrix(lists: pa.ChunkedArray | pa.Array, width: int = 0) -> np.ndarray:
+def matrix_of(lists: pa.ChunkedArray | pa.Array, width: int = 0) -> np.ndarray:
     """Lists as rows of a matrix, padded with zeros."""
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.combine_chunks()
@@ -96,7 +96,7 @@ def _matrix(lists: pa.ChunkedArray | pa.Array, width: int = 0) -> np.ndarray:
     return out
 
 
-def _widened(matrix: np.ndarray, width: int) -> np.ndarray:
+def widened(matrix: np.ndarray, width: int) -> np.ndarray:
     return np.pad(matrix, ((0, 0), (0, max(0, width - matrix.shape[1]))))
 
 
@@ -107,10 +107,10 @@ def with_angles(rows: DataFrame, directions: np.ndarray) -> DataFrame:
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = shared.value
         for batch in batches:
-            parts = _matrix(batch["parts"], at.shape[1])
+            parts = matrix_of(batch["parts"], at.shape[1])
             norm = np.linalg.norm(parts, axis=1)
             unit = np.divide(parts, norm[:, None], out=np.zeros_like(parts), where=norm[:, None] > 0)
-            angles = np.arccos(np.clip(unit @ _widened(at, parts.shape[1]).T, -1.0, 1.0))
+            angles = np.arccos(np.clip(unit @ widened(at, parts.shape[1]).T, -1.0, 1.0))
             ends = pa.array(np.arange(len(parts) + 1, dtype=np.int32) * len(at))
             lists = pa.ListArray.from_arrays(ends, pa.array(angles.ravel()))
             yield pa.RecordBatch.from_arrays(
@@ -127,14 +127,14 @@ class Rows:
 
     def __init__(self, table: pa.Table):
         table = table.combine_chunks()
-        angles = _matrix(table["angles"])
+        angles = matrix_of(table["angles"])
         label = np.asarray(table["label"])
         if angles.shape[1]:
             order = np.lexsort((angles.min(axis=1), angles.argmin(axis=1), label))
         else:
             order = np.argsort(label, kind="stable")
         self.angles, self.label = angles[order], label[order]
-        self.parts = _matrix(table["parts"])[order]
+        self.parts = matrix_of(table["parts"])[order]
         self.norm = np.asarray(table["norm"])[order]
         self.row = np.asarray(table["row"])[order]
         self.ids = np.asarray(table["vec_id"].fill_null(_LAST_ID), dtype=np.int64)[order]
@@ -184,7 +184,7 @@ def intervals(a_norm, a_angles, norms, angles) -> tuple[np.ndarray, np.ndarray]:
 def scores(a: np.ndarray, x: np.ndarray, a_largest: float, x_largest: float) -> np.ndarray:
     """Integer inner products of all rows of `a` and `x`."""
     width = max(a.shape[1], x.shape[1])
-    a, x = _widened(a, width), _widened(x, width)
+    a, x = widened(a, width), widened(x, width)
     if width * a_largest * x_largest < 2**53:
         return (a @ x.T).astype(np.int64)
     return a.astype(np.int64) @ x.astype(np.int64).T

@@ -35,16 +35,16 @@ FROM j GROUP BY rid, doc_id
 
 TOP_K = f"""
 WITH v AS (
-  SELECT vec_id, max(list_transform(embedding, lambda x: floor(256 * x::DOUBLE))) AS parts
+  SELECT row_number() OVER () AS rid, vec_id,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS parts
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-  GROUP BY vec_id),
+  WHERE len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.parts, v.parts)::BIGINT AS score
-  FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0),
+  SELECT q.rid AS qid, q.vec_id AS query_id, v.vec_id, list_inner_product(q.parts, v.parts)::BIGINT AS score
+  FROM v AS q JOIN v ON q.rid <> v.rid WHERE q.vec_id % 50 = 0),
 r AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id NULLS LAST)::INTEGER AS rank
   FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {topk.K}
 """

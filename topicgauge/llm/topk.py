@@ -1,66 +1,83 @@
 """Exact top-k search by inner product with no-random-access aggregation.
 
-Vectors lie in blocks; a block keeps, for every component, its vectors sorted
-by that component. A query reads all lists of a block in step, from the end its
-own component's sign calls for. What has been read of a vector gives a lower
-bound of its score (unread components at the list's far end) and an upper bound
-(unread components at the reading depth). A query stops reading a block when
-its k best lower bounds exceed every other upper bound, those of unread vectors
-included; final scores are resolved for what is left. Bounds of all queries of
-a block are matrix products over the parts read so far.
-
-Stated queries meet all vectors in blocks; a block pair is one bounded task.
+Rows stay in their partitions and are read in blocks; a block keeps, for every
+component, its vectors sorted by that component, built once for all queries. A
+query reads all lists of a block in step, from the end its own component's sign
+calls for. What has been read of a vector gives a lower bound of its score
+(unread components at the list's far end) and an upper bound (unread components
+at the reading depth). The k-th best lower bound, or the k-th best score of the
+blocks before if that is higher, is a query's level: vectors whose upper bound is
+below it are left, and the query stops when unread vectors are below it too and
+few are left; those get their final scores. Bounds of all waiting queries are
+matrix products over the vectors still open.
+
+Queries pass in slices of bounded size; a task gives at most k rows a query.
 
 Defined results: vectors that are null, empty, or hold null or non-finite
-components take no part; of rows with one id the one with the greatest
-components is used; rows without an id take no part; shorter vectors count as
-padded with zeros. Scores are exact while dims * max(|component|)^2 < 2^53.
+components take no part; every row is a query and a candidate of its own, also
+when ids repeat; rows without an id are no queries, and stand after others of
+equal score; shorter vectors count as padded with zeros. Scores are exact while
+they are below 2^63; from 2^53 on lists are read to their ends.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from topicgauge.llm.hard_negatives import matrix_of, scores, widened
 from topicgauge.session import materialize
 
 K = 5
 BLOCK = 4096
-QUERY_BLOCK = 1024
-# Shares of a block's lists that are read before the bounds are looked at.
-DEPTHS = (0.4, 1.0)
+# Queries that meet a block at a time, and bytes of queries broadcast at a time.
+CHUNK = 256
+SLICE_BYTES = 16 << 20
+# Shares of a block's lists after which the bounds are looked at.
+DEPTHS = (0.05, 0.2, 0.4, 0.6, 0.7, 0.8, 0.9, 1.0)
+# A query with no more open vectors than this times k gets their final scores.
+FEW = 4
+_LAST_ID = np.iinfo(np.int64).max
+FOUND = "query long, query_id long, vec_id long, row long, score long"
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """(vec_id, parts): floor(scale * x) of each component, one row for each id."""
-    x = F.transform("embedding", lambda v: F.floor(F.lit(scale) * v.cast("double")))
+    """(row, vec_id, parts): floor(scale * x) of each component of the rows that take part."""
+    x = F.transform("embedding", lambda v: F.floor(F.lit(scale) * v.cast("double")).cast("double"))
     whole = F.forall(
         "embedding",
         lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf")),
     )
-    usable = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & whole
-    kept = vectors.where(usable).select("vec_id", x.alias("parts"))
-    return kept.groupBy("vec_id").agg(F.max("parts").alias("parts"))
+    kept = vectors.where((F.size("embedding") > 0) & whole)
+    return kept.select(
+        F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long"), x.alias("parts")
+    )
 
 
 class SortedLists:
     """A block's vectors with the place of each in the list of every component."""
 
-    def __init__(self, ids: np.ndarray, parts: np.ndarray):
-        order = np.argsort(ids)
-        self.ids, self.parts = ids[order], parts[order]
+    def __init__(self, ids: np.ndarray, parts: np.ndarray, rows: np.ndarray | None = None):
+        rows = ids if rows is None else rows
+        order = np.lexsort((rows, ids))
+        self.ids, self.rows, self.parts = ids[order], rows[order], parts[order]
         by_part = np.argsort(self.parts, axis=0, kind="stable")
         self.sorted = np.take_along_axis(self.parts, by_part, axis=0)
         self.place = np.empty_like(by_part)
         np.put_along_axis(self.place, by_part, np.arange(len(ids))[:, None], axis=0)
+        self.largest = float(np.abs(parts).max(initial=0))
+        self.read: dict[float, int] = {}  # queries that stopped, by depth
 
-    def bounds(self, queries: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Lower and upper bounds of all scores after `depth` reads of each list.
+    def bounds(
+        self, queries: np.ndarray, depth: int, at: np.ndarray | slice = slice(None)
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lower and upper bounds of the scores of the vectors `at` after `depth` reads of each list.
 
         The third result bounds the score of a vector that no list has shown.
         """
@@ -68,107 +85,147 @@ class SortedLists:
         up, down = np.maximum(queries, 0), np.minimum(queries, 0)
         top, low = self.sorted[n - depth], self.sorted[depth - 1]
         first, last = self.sorted[0], self.sorted[-1]
-        from_top, from_low = self.place >= n - depth, self.place < depth
+        parts, place = self.parts[at], self.place[at]
+        from_top, from_low = place >= n - depth, place < depth
         # Positive components are read from the greatest on, negative ones from the least.
-        least = up @ np.where(from_top, self.parts, first).T
-        least += down @ np.where(from_low, self.parts, last).T
-        most = up @ np.where(from_top, self.parts, top).T
-        most += down @ np.where(from_low, self.parts, low).T
+        least = up @ np.where(from_top, parts, first).T
+        least += down @ np.where(from_low, parts, last).T
+        most = up @ np.where(from_top, parts, top).T
+        most += down @ np.where(from_low, parts, low).T
         return least, most, up @ top + down @ low
 
-    def best(self, ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-        """(query, vector, score) of each query's k best, ties to the smaller id."""
-        n, out = len(self.ids), []
-        waiting = np.arange(len(queries))
-        for share in DEPTHS:
-            depth = max(1, min(n, int(np.ceil(n * share))))
-            least, most, unseen = self.bounds(queries[waiting], depth)
-            own = self.ids[None, :] == ids[waiting][:, None]
-            least[own] = most[own] = -np.inf
-            if depth == n:
-                unseen = np.full(len(waiting), -np.inf)
-            still = []
-            for row, at in enumerate(waiting):
-                level = -np.inf
-                if n > k:
-                    level = np.partition(least[row], n - k)[n - k]
-                left = np.flatnonzero((most[row] >= level) & (most[row] > -np.inf))
-                if depth < n and (len(left) > 4 * k or unseen[row] >= level):
-                    still.append(at)
-                    continue
-                scores = self.parts[left] @ queries[at]
-                order = np.lexsort((self.ids[left], -scores))[:k]
-                out += [(ids[at], self.ids[left[i]], int(scores[i])) for i in order]
-            waiting = np.array(still, dtype=np.int64)
-            if len(waiting) == 0:
-                break
-        return out
-
-
-def _packed(rows: DataFrame, blocks: int, name: str) -> DataFrame:
-    """One row for each block, with its ids and components as bytes."""
-
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        size = max(len(p) for p in group["parts"])
-        parts = np.zeros((len(group), size))
-        for i, p in enumerate(group["parts"]):
-            parts[i, : len(p)] = p
-        ids = group["vec_id"].to_numpy(dtype=np.int64)
-        return pd.DataFrame(
-            {
-                name: [int(group["_block"].iloc[0])],
-                f"{name}_ids": [ids.tobytes()],
-                f"{name}_parts": [parts.astype(np.float64).tobytes()],
-            }
-        )
+    def best(
+        self, own: np.ndarray, queries: np.ndarray, k: int, levels: np.ndarray | None = None
+    ) -> list[tuple[int, int, int]]:
+        """(query, vector, score) of each query's k best, ties to the smaller id.
 
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("_block")
-    return (
-        rows.select(block, "vec_id", "parts")
-        .groupBy("_block")
-        .applyInPandas(pack, f"{name} long, {name}_ids binary, {name}_parts binary")
+        `own` names the queries' rows, which they do not find. Scores below a
+        query's level may be left out.
+        """
+        levels = np.full(len(own), -np.inf) if levels is None else levels
+        found = self.found(own, queries, k, levels)
+        return [
+            (own[query], self.ids[at], int(score))
+            for query, places, values in found
+            for at, score in zip(places, values)
+        ]
+
+    def found(self, own, queries, k: int, levels) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query, places, scores) of every query that finds something."""
+        n = len(self.ids)
+        reach = float(np.abs(queries).max(initial=0))
+        exact = max(queries.shape[1], self.parts.shape[1]) * reach * self.largest < 2**53
+        waiting, open_ = np.arange(len(queries)), np.arange(n)
+        for share in DEPTHS if exact else (1.0,):
+            depth = max(1, min(n, math.ceil(n * share)))
+            least, most, unseen = self.bounds(queries[waiting], depth, open_)
+            if not exact:
+                # Sums that doubles cannot hold bound nothing.
+                least, most = np.full_like(least, -np.inf), np.full_like(most, np.inf)
+            mine = self.rows[open_][None, :] == own[waiting][:, None]
+            least[mine] = -np.inf
+            level = levels[waiting]
+            if len(open_) > k:
+                level = np.maximum(level, np.partition(least, len(open_) - k, axis=1)[:, len(open_) - k])
+            left = (most >= level[:, None]) & ~mine
+            more = (left.sum(axis=1) > FEW * k) | (unseen >= level)
+            more &= depth < n
+            for line in np.flatnonzero(~more):
+                at = open_[left[line]]
+                if len(at):
+                    value = scores(queries[waiting[line]][None], self.parts[at], reach, self.largest)[0]
+                    order = np.lexsort((self.rows[at], self.ids[at], -value))[:k]
+                    yield waiting[line], at[order], value[order]
+            self.read[share] = self.read.get(share, 0) + int((~more).sum())
+            waiting = waiting[more]
+            if not len(waiting):
+                return
+            # What no waiting query wants any more is not looked at again.
+            open_ = open_[left[more].any(axis=0)]
+
+
+def _level(held: tuple, k: int) -> float:
+    return float(held[0][-1]) if len(held[0]) == k else -np.inf
+
+
+def top_k(rows: DataFrame, is_query: Column, k: int = K, slice_bytes: int | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score): for every query row the k best other rows.
+
+    `rows`: row (unique), vec_id, parts.
+    """
+    queries = rows.where(is_query & F.col("vec_id").isNotNull())
+    size = queries.agg(F.sum(F.size("parts") * 8 + 128).alias("bytes")).first()["bytes"] or 0
+    slices = max(1, math.ceil(size / (slice_bytes or SLICE_BYTES)))
+    found = None
+    for at in range(slices):
+        part = queries.where(F.pmod(F.xxhash64("row"), F.lit(slices)) == at).toArrow()
+        if part.num_rows:
+            some = _met(rows, part, k)
+            found = some if found is None else found.unionByName(some)
+    if found is None:
+        none = "query_id long, rank int, vec_id long, score long"
+        return rows.sparkSession.createDataFrame([], none)
+    order = Window.partitionBy("query").orderBy(
+        F.col("score").desc(), F.col("vec_id").asc_nulls_last(), "row"
     )
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def _unpacked(ids: bytes, parts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    found = np.frombuffer(ids, dtype=np.int64)
-    return found, np.frombuffer(parts, dtype=np.float64).reshape(len(found), -1)
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """(query_id, rank, vec_id, score): for every query the k best other vectors.
-
-    Both frames have (vec_id, parts). Every query block meets every vector
-    block once; k rows a query and block go on to the final ranking.
-    """
-    n_blocks = max(1, -(-vectors.count() // BLOCK))
-    q_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    left = _packed(vectors, n_blocks, "v").withColumn(
-        "q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long")))
-    )
-    right = _packed(queries, q_blocks, "q").withColumn(
-        "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))
+def _met(rows: DataFrame, asked: pa.Table, k: int) -> DataFrame:
+    """Up to k rows a query and task."""
+    asked = asked.combine_chunks()
+    shared = rows.sparkSession.sparkContext.broadcast(
+        (np.asarray(asked["row"]), np.asarray(asked["vec_id"]), matrix_of(asked["parts"]))
     )
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, names, queries = shared.value
+        none = np.zeros(0, np.int64)
+        best = [(none, none, none)] * len(own)  # scores, ids, rows
+
+        def meet(held: list[pa.RecordBatch]) -> None:
+            table = pa.Table.from_batches(held)
+            width = queries.shape[1]
+            parts = matrix_of(table["parts"], width)
+            ids = np.asarray(table["vec_id"].fill_null(_LAST_ID), dtype=np.int64)
+            lists = SortedLists(ids, parts, np.asarray(table["row"]))
+            wide = widened(queries, parts.shape[1])
+            for start in range(0, len(own), CHUNK):
+                these = slice(start, start + CHUNK)
+                levels = np.array([_level(b, k) for b in best[these]])
+                for query, at, value in lists.found(own[these], wide[these], k, levels):
+                    old = best[start + query]
+                    joined = [np.concatenate(x) for x in zip(old, (value, lists.ids[at], lists.rows[at]))]
+                    order = np.lexsort((joined[2], joined[1], -joined[0]))[:k]
+                    best[start + query] = tuple(x[order] for x in joined)
+
+        held, count = [], 0
         for batch in batches:
-            for row in batch.itertuples():
-                ids, parts = _unpacked(row.v_ids, row.v_parts)
-                asked, wanted = _unpacked(row.q_ids, row.q_parts)
-                size = max(parts.shape[1], wanted.shape[1])
-                parts, wanted = (
-                    np.pad(x, ((0, 0), (0, size - x.shape[1]))) for x in (parts, wanted)
-                )
-                found = SortedLists(ids, parts).best(asked, wanted, k)
-                yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"], dtype="int64")
-
-    met = left.join(right, ["q", "v"]).mapInPandas(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    ranked = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+            held.append(batch)
+            count += batch.num_rows
+            if count >= BLOCK:
+                meet(held)
+                held, count = [], 0
+        if count:
+            meet(held)
+        sizes = [len(b[0]) for b in best]
+        score, ids, row = (np.concatenate([b[i] for b in best]) for i in range(3))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.repeat(own, sizes)),
+                pa.array(np.repeat(names, sizes)),
+                pa.array(ids, mask=ids == _LAST_ID),
+                pa.array(row),
+                pa.array(score),
+            ],
+            ["query", "query_id", "vec_id", "row", "score"],
+        )
+
+    return rows.mapInArrow(search, FOUND)
 
 
 def search(vectors: DataFrame, every: int = 50, k: int = K) -> DataFrame:
     """Top k of every `every`th id against all vectors."""
-    parts = materialize(quantised(vectors))
-    return top_k(parts, parts.where(F.pmod("vec_id", F.lit(every)) == 0), k)
+    rows = materialize(quantised(vectors))
+    return top_k(rows, F.pmod("vec_id", F.lit(every)) == 0, k)
