@@ -27,9 +27,16 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a learned language, with the language found as `lang`."""
+    """Keeps documents in a learned language, with the language found as `lang`.
+
+    Documents without a letter go, and those whose words are spread over more
+    languages than the share allows. Where no row has a language none can be
+    learned, nothing is known against any text, and all with a letter stay as they are.
+    """
     prepare(spark)
     model = language.fit(docs.select("doc_id", "text", "lang"))
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(COLUMNS)
     found = language.labelled(docs.select(COLUMNS), model)
     kept = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SHARE))
     return kept.withColumn("lang", F.col("lang_pred")).select(COLUMNS)
