@@ -4,6 +4,8 @@ A generalised suffix automaton holds every run of words of all templates.
 Streaming a text's words through it gives, at each place, the longest run that
 ends there and lies in some template. Long runs that follow each other in one
 template are chained into a span, with the share of the template it covers.
+The words that tell licences apart (versions, "lesser", "sharealike") decide: a
+span must hold all of its template's, and none may stand between its runs.
 Phrases are templates too: a phrase ends where the run is at least as long as
 it and the automaton's state has it as a suffix, so every place is found.
 
@@ -36,6 +38,11 @@ TEMPLATES = {
         "without restriction, including without limitation the rights to use, copy, modify, "
         "merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
         "permit persons to whom the Software is furnished to do so",
+        "The above copyright notice and this permission notice shall be included in all copies or "
+        "substantial portions of the Software.",
+        "The Software is provided as is, without warranty of any kind, express or implied, "
+        "including but not limited to the warranties of merchantability, fitness for a particular "
+        "purpose and noninfringement.",
     ],
     "apache-2": [
         "Licensed under the Apache License, Version 2.0.",
@@ -54,6 +61,33 @@ TEMPLATES = {
         "of the GNU General Public License as published by the Free Software Foundation, either "
         "version 3 of the License, or (at your option) any later version",
     ],
+    "lgpl-2.1": [
+        "under the terms of the GNU Lesser General Public License as published by the Free Software "
+        "Foundation; either version 2.1 of the License, or (at your option) any later version",
+        "Licensed under the GNU Lesser General Public License, version 2.1.",
+    ],
+    "lgpl-3": [
+        "under the terms of the GNU Lesser General Public License as published by the Free Software "
+        "Foundation, either version 3 of the License, or (at your option) any later version",
+        "Licensed under the GNU Lesser General Public License, version 3.",
+    ],
+    "agpl-3": [
+        "under the terms of the GNU Affero General Public License as published by the Free Software "
+        "Foundation, either version 3 of the License, or (at your option) any later version",
+        "Licensed under the GNU Affero General Public License, version 3.",
+    ],
+    "cc0": [
+        "CC0 1.0 Universal Public Domain Dedication",
+        "Creative Commons Zero v1.0 Universal",
+    ],
+    "cc-by-nd": [
+        "Licensed under CC BY-ND 4.0.",
+        "Creative Commons Attribution NoDerivatives 4.0 International License",
+    ],
+    "unlicense": [
+        "This is free and unencumbered software released into the public domain. Anyone is free to "
+        "copy, modify, publish, use, compile, sell, or distribute this software",
+    ],
     "gpl-2": [
         "This work is licensed under the GNU General Public License, version 2.",
         "under the terms of the GNU General Public License as published by the Free Software "
@@ -82,6 +116,16 @@ MAX_GAP = 8
 # Share of a template that a chain must cover to give its label.
 MIN_COVER = 0.75
 
+# Words that tell one licence from its kin; numbers do so too.
+DECISIVE = frozenset(
+    b"lesser library affero noncommercial nc nd sa sharealike noderivatives noderivs zero".split()
+)
+
+
+def is_decisive(word: bytes) -> bool:
+    return word in DECISIVE or word.isdigit()
+
+
 # Separators become blanks and A-Z lower case; other bytes belong to words.
 _FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32
@@ -111,6 +155,11 @@ class SuffixAutomaton:
             for label, texts in templates.items()
             for text in texts
         ]
+        # Places of each template's decisive words.
+        self.decisive: list[set[int]] = []
+        for texts in templates.values():
+            for text in texts:
+                self.decisive.append({i for i, w in enumerate(tokens(text)) if is_decisive(w)})
         for number, (label, run) in enumerate(coded):
             self.templates.append((label, len(run)))
             self._add(run)
@@ -217,20 +266,29 @@ class SuffixAutomaton:
         found = self.suffix_phrases[state]
         return [p for p in found if len(self.phrases[p][0]) <= size] if found else found
 
-    def chains(self, runs: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
+    def chains(
+        self, runs: list[tuple[int, int, int]], text_words: list[bytes] = ()
+    ) -> list[tuple[str, int, int, float]]:
         """(label, first word, end, share of the template covered) of all chained spans.
 
         Runs are met from left to right. A run goes on with the chain of its
         template that ends last, if it lies after it in the template and within
-        MAX_GAP words in text and template; else it starts a chain of its own.
+        MAX_GAP words in text and template, with no decisive word of
+        `text_words` in the gap; else it starts a chain of its own. Chains
+        without all decisive words of their template are none.
         """
-        open_chains: dict[int, list[int]] = {}
+        # By template: first word, end, last place in the template, words covered, decisive places.
+        open_chains: dict[int, list] = {}
         done: list[tuple[str, int, int, float]] = []
 
         def close(number: int) -> None:
-            first, end, _, covered = open_chains.pop(number)
+            first, end, _, covered, held = open_chains.pop(number)
             label, size = self.templates[number]
-            done.append((label, first, end, covered / size))
+            if held == self.decisive[number]:
+                done.append((label, first, end, covered / size))
+
+        def decided(number: int, last: int, size: int) -> set[int]:
+            return {x for x in self.decisive[number] if last - size < x <= last}
 
         for first, size, state in runs:
             last_of: dict[int, list[int]] = defaultdict(list)
@@ -242,14 +300,17 @@ class SuffixAutomaton:
                     # Words that both runs share count once.
                     fresh = min(size, first + size - chain[1])
                     fits = [x for x in lasts if chain[2] + fresh <= x <= chain[2] + fresh + MAX_GAP]
-                    if fits and fresh > 0 and first - chain[1] <= MAX_GAP:
+                    plain = not any(map(is_decisive, text_words[chain[1] : first]))
+                    if fits and fresh > 0 and first - chain[1] <= MAX_GAP and plain:
                         chain[1], chain[2] = first + size, fits[0]
                         chain[3] += fresh
+                        chain[4] |= decided(number, fits[0], size)
                         continue
                     if chain[3] > size and first - chain[1] <= MAX_GAP:
                         continue  # a shorter piece that does not follow
                     close(number)
-                open_chains[number] = [first, first + size, lasts[0], size]
+                last = lasts[0]
+                open_chains[number] = [first, first + size, last, size, decided(number, last, size)]
         for number in list(open_chains):
             close(number)
         return done
@@ -259,7 +320,7 @@ def scan_text(automaton: SuffixAutomaton, text: str | None) -> dict:
     found = tokens(text)
     places, runs = automaton.scan(found)
     base = {automaton.phrases[p][1] for _, p in places}
-    spans = [s for s in automaton.chains(runs) if s[3] >= MIN_COVER]
+    spans = [s for s in automaton.chains(runs, found) if s[3] >= MIN_COVER]
     score = 1.0 if base else max((s[3] for s in spans), default=0.0)
     return {
         "n_words": len(found),

@@ -33,7 +33,9 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and template spans of all documents."""
-    return licenses.scan(read(spark, sf_dir)).drop("spans")
+    found = licenses.scan(read(spark, sf_dir))
+    span = F.transform("spans", lambda s: F.concat_ws(":", s["label"], s["first"], s["end"]))
+    return found.withColumn("spans", F.array_join(span, ","))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
