@@ -18,7 +18,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 import zstandard
@@ -142,31 +144,48 @@ def _order(span: tuple[int, int, str]) -> tuple[int, int]:
 def novel_spans(
     text: str, novelty: Novelty, taken: list[tuple[int, int, str]]
 ) -> list[tuple[int, int, str]]:
-    """Incompressible strings after sensitive words, but those inside a span of `taken`."""
+    """Incompressible strings after sensitive words, but those inside a span of `taken`.
+
+    A run of characters that sensitive words lead into, or lie in, is measured
+    once from its first start, and if it is none once more in pieces, so the work
+    grows with the text. `taken` is in order.
+    """
     lower = text.encode().lower()
     if not any(word.encode() in lower for word in SENSITIVE):
         return []
-    out: dict[tuple[int, int], bool] = {}
+    # Runs by their end: where a candidate starts, and the sensitive word before it.
+    runs: dict[int, list[tuple[int, int]]] = {}
+    end = 0
     for word in _CONTEXT.finditer(text):
         # A string that starts within the reach has its least length by then.
         for match in _CANDIDATE.finditer(text, word.end(), word.end() + REACH + MIN_STRING - 1):
-            # The reach may end inside a string; the string counts whole.
-            match = _CANDIDATE.match(text, match.start())
-            span = match.span()
-            # A long random string may hold a run of digits that is a span by itself.
-            if span in out or any(a <= span[0] and span[1] <= b for a, b, _ in taken):
-                continue
-            string = match.group()
-            has_letter = any(c.isalpha() for c in string)
-            out[span] = (
-                has_letter
-                and novelty.is_novel(
-                    string,
-                    text[max(0, span[0] - AROUND) : span[0]],
-                    text[span[1] : span[1] + AROUND],
-                )
-            )
-    return [(a, b, "novel") for (a, b), secret in out.items() if secret]
+            # The reach may end inside a string; the string counts whole, and is walked once.
+            if match.start() >= end:
+                end = _CANDIDATE.match(text, match.start()).end()
+            starts = runs.setdefault(end, [])
+            if not starts or starts[-1][0] < match.start():
+                starts.append((match.start(), word.start()))
+    # Spans that start no later than a place: how far they reach at most.
+    begun, reached = [a for a, _, _ in taken], list(accumulate((b for _, b, _ in taken), max))
+
+    def secret(start: int, stop: int) -> bool:
+        # A long random string may hold a run of digits that is a span by itself.
+        at = bisect_right(begun, start)
+        if stop - start < MIN_STRING or (at and reached[at - 1] >= stop):
+            return False
+        string = text[start:stop]
+        before, after = text[max(0, start - AROUND) : start], text[stop : stop + AROUND]
+        return any(c.isalpha() for c in string) and novelty.is_novel(string, before, after)
+
+    out = []
+    for end, starts in runs.items():
+        if secret(starts[0][0], end):
+            out.append((starts[0][0], end, "novel"))
+        elif len(starts) > 1:
+            # No secret as a whole: the pieces between its sensitive words, each once.
+            stops = [word for _, word in starts[1:]] + [end]
+            out += [(at, stop, "novel") for (at, _), stop in zip(starts, stops) if secret(at, stop)]
+    return out
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
