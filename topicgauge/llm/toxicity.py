@@ -34,7 +34,6 @@ from topicgauge.session import materialize
 # Labelled rows of each class that the model is fitted on, at most about.
 SAMPLE = 12_000
 # Terms of the lexicon at most.
-TERMS = 4096
 MIN_LETTERS = 4
 FUZZY_LETTERS = 5
 STEMS = (4, 5)
@@ -250,6 +249,17 @@ def _evidence(k1: int, n1: int, k0: int, n0: int) -> tuple[float, float]:
     return ratio, math.log((k1 + 0.5) / (n1 + 1) * (n0 + 1) / (k0 + 0.5))
 
 
+def _evidence_column(n1: int, n0: int) -> Column:
+    """The first result of `_evidence` for the counts k1 and k0 of a row."""
+    k1, k0 = F.least("k1", F.lit(n1)), F.least("k0", F.lit(n0))
+    share = (k1 + k0) / float(n1 + n0)
+
+    def g(k: Column, n: int, p: Column) -> Column:
+        return F.when((k > 0) & (p > 0), k * F.log(k / (n * p))).otherwise(0.0)
+
+    return 2 * (g(k1, n1, share) + g(k0, n0, share) + g(n1 - k1, n1, 1 - share) + g(n0 - k0, n0, 1 - share))
+
+
 def _entries(text: str | None) -> set[str]:
     """Words and, marked by a star no word ends with twice, beginnings of words."""
     words = {w for w in words_of(text) if len(w) >= MIN_LETTERS}
@@ -284,18 +294,19 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
     counts = rows.where("part < 2").select("text", "toxic")
     counts = counts.mapInArrow(counted, "entry string, k1 long, k0 long")
     counts = materialize(counts.groupBy("entry").agg(F.sum("k1").alias("k1"), F.sum("k0").alias("k0")))
-    # Entries far more frequent in toxic documents; the exact test follows.
+    # Entries far more frequent in toxic documents: all that pass, and what passes
+    # is bounded by the sample, as each stands in three of its toxic documents at least.
     share = (F.col("k1") + 0.5) / (n1 + 1) * (n0 + 1) / (F.col("k0") + 0.5)
     found = (
         counts.where((F.col("k1") >= 3) & (F.log(share) >= MIN_ODDS))
+        .where(_evidence_column(n1, n0) >= MIN_EVIDENCE - 1e-6)
         .orderBy(F.col("k1").desc(), "entry")
-        .limit(2 * TERMS)
         .collect()
     )
     terms, stems = {}, {}
     for r in found:
         evidence, odds = _evidence(min(r["k1"], n1), n1, min(r["k0"], n0), n0)
-        if evidence >= MIN_EVIDENCE and len(terms) + len(stems) < TERMS:
+        if evidence >= MIN_EVIDENCE:
             if r["entry"].endswith("**"):
                 stems[r["entry"][:-2]] = odds
             else:
