@@ -346,3 +346,21 @@ def test_stages(spark, folder):
 def test_queries_equal_their_sql(spark, folder, name):
     df = queries.QUERIES[name](spark, folder)
     assert differences(df.collect(), df.columns, connect(folder), queries.SQL[name]) is None
+
+
+def test_an_unlabelled_corpus_passes_the_language_stage(spark, odd, empty):
+    docs = odd.withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.language_stage(spark, docs, "")
+    assert kept.columns == corpus_pipeline.COLUMNS
+    texts = [r.text for r in kept.collect()]
+    assert len(texts) == len([1 for r in ROWS if r[1] and any(c.isalpha() for c in r[1])])
+    assert corpus_pipeline.language_stage(spark, empty, "").count() == 0
+
+
+def test_stages_on_odd_rows_and_empty_tables(spark, odd, empty):
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        found = stage(spark, odd, "")
+        assert found.count() >= 0, name
+        if name in ("line_dedup", "near_dedup", "mix"):
+            assert found.columns == corpus_pipeline.COLUMNS, name
+        assert stage(spark, empty, "").count() == 0, name

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -260,3 +261,86 @@ def test_reading_stops_with_the_exact_best():
             least, most, unseen = lists.bounds(parts, depth)
             exact = parts @ lists.parts.T
             assert (least <= exact + 1e-6).all() and (exact <= most + 1e-6).all()
+
+
+def test_a_crafted_run_of_sensitive_words_costs_no_more_than_its_length():
+    novelty = secret_scan.Novelty()
+    draw = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+    def spent(count):
+        text = "".join("token" + "".join(draw.choices(letters, k=5)) for _ in range(count))
+        start = time.process_time()
+        secret_scan.scan_text(text, novelty)
+        return time.process_time() - start
+
+    small = spent(2_000)
+    # A megabyte: fifty times the text, and far from 2,500 times the work.
+    assert spent(100_000) < max(400 * small, 30)
+
+
+def test_a_secret_between_words_of_one_run_is_found():
+    novelty = secret_scan.Novelty()
+    wording = "the_customer_delivery_gateway_handler_of_the_journal_" * 30
+    text = f"token{wording}token_Zk3q9XvT7wLm2RbYc8Hd1eQ0token{wording}"
+    at = text.index("_Zk3")
+    assert secret_scan.scan_text(text, novelty)[4] == f"novel:{at}:{text.index('token' + wording, at)}"
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("This work is licensed under the GNU General Public License, version 1.", ""),
+        ("This work is licensed under the GNU General Public License, version 3.", "gpl-3"),
+        ("This work is licensed under the GNU General Public License, version 2.", "gpl-2"),
+        ("Licensed under the Apache License, Version 1.0", ""),
+        ("Licensed under the Apache License, Version 2.0", "apache-2"),
+        ("subject to the terms of the Mozilla Public License, v. 1.1. This Source Code Form is", ""),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2"),
+        (
+            "under the terms of the GNU Lesser General Public License as published by the Free Software "
+            "Foundation; either version 2.1 of the License, or (at your option) any later version.",
+            "lgpl-2.1",
+        ),
+        ("Licensed under CC BY-NC 4.0.", "cc-by-nc"),
+        ("Licensed under CC BY-ND 4.0.", "cc-by-nd"),
+        ("Licensed under CC BY 4.0.", "cc-by"),
+    ],
+)
+def test_decisive_words_tell_licences_apart(text, labels):
+    automaton = licenses.SuffixAutomaton(licenses.TEMPLATES, licenses.PHRASES)
+    for around in ("", "some words before it, "):
+        assert licenses.scan_text(automaton, around + text + " And more words after it")["labels"] == labels
+
+
+def test_chains_equal_plain_chaining():
+    """Covered spans of edited templates, against a search by place in the template."""
+    templates = {"one": ["a b c d e f g h i j 2 k l m n"], "two": ["p q r s t u v 3 w x"]}
+    automaton = licenses.SuffixAutomaton(templates, {"zz zz": "z"})
+    draw = random.Random(8)
+    for _ in range(300):
+        label = draw.choice(["one", "two"])
+        body = templates[label][0].split()
+        kept = [w for w in body if draw.random() > 0.08]
+        text = [w.encode() for w in ["x1", *kept, "x2"]]
+        _, runs = automaton.scan(text)
+        spans = [s for s in automaton.chains(runs, text) if s[3] >= licenses.MIN_COVER]
+        # Without repeated words a run is a stretch of neighbours in template and text.
+        stretches, last = [], None
+        for w in kept:
+            at = body.index(w)
+            if last is not None and at == last + 1:
+                stretches[-1].append(at)
+            else:
+                stretches.append([at])
+            last = at
+        long = [s for s in stretches if len(s) >= licenses.MIN_RUN]
+        number = next(i for i, w in enumerate(body) if w.isdigit())
+        held = {x for s in long for x in s}
+        expected = len(held) / len(body) if number in held else 0
+        # A number between two long runs parts them; none is left over here but the template's own.
+        loose = number not in held and body[number] in kept
+        if expected >= licenses.MIN_COVER and not loose:
+            assert [s[0] for s in spans] == [label] and abs(spans[0][3] - expected) < 1e-9
+        else:
+            assert spans == []
