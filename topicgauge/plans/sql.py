@@ -438,5 +438,36 @@ SQL: dict[str, str] = {
     "stream_cluster_coverage": f"""WITH {PAIRS}
       SELECT conv_id || '-' || turn AS response_id, 1::BIGINT AS assignments, 1::BIGINT AS scores FROM pairs""",
 }
+
+# Parts of the second epoch's split.
+_PART_ID = "substr(sha256('split|' || {0} || '|' || {1} || '|1'), 1, 32)"
+_OF_PART = _PART_ID.format("split_part(part, '/', 1)", "split_part(part, '/', 2)")
+_GIVEN = DOCS.replace("docvec AS", "given AS")
+SQL |= {
+    "split_job_clusters": f"""WITH {TWO_MEANS}, {PARTS}
+      SELECT {_OF_PART} AS cluster_id, n, round({RADIUS}, 6) AS radius,
+             (SELECT count(DISTINCT split_part(part, '/', 1)) FROM parts) AS splits FROM parts""",
+    "split_job_responses": f"""WITH {TWO_MEANS}
+      SELECT vec_id::VARCHAR AS response_id, cluster_id AS old_cluster,
+             {_PART_ID.format("cluster_id", "label")} AS cluster_id FROM labelled""",
+    "split_job_goldens": f"""WITH {TWO_MEANS}, {PARTS}, {gold(10)}
+      SELECT 'text ' || g.vec_id AS response_text, CASE
+          WHEN round(list_cosine_similarity(g.v, p0.ls), 12) >= round(list_cosine_similarity(g.v, p1.ls), 12)
+          THEN {_PART_ID.format("g.cluster_id", "0")} ELSE {_PART_ID.format("g.cluster_id", "1")} END AS cluster_id
+      FROM gold g JOIN parts p0 ON p0.part = g.cluster_id || '/0' JOIN parts p1 ON p1.part = g.cluster_id || '/1'""",
+    "manual_goldens": f"""WITH {VECS}, {LABELS}, {cf("lab")}, {_GIVEN}, {nearest("given", "response_id")}
+      SELECT response_id AS description, cluster_id, (SELECT count(*) FROM given)
+        + (SELECT sum(least(n, 10)) FROM cf)::BIGINT AS size FROM near WHERE rank = 1""",
+    "cleared_goldens": f"""WITH {VECS}, {gold(10)} SELECT (SELECT count(*) FROM gold) AS dropped,
+      0::BIGINT AS left, (SELECT count(*) FROM vecs) AS responses""",
+    "golden_embeddings": f"""WITH {VECS}, {gold(10)}, both_ AS (
+        SELECT '3' AS scope, * FROM gold WHERE cluster_id = '3' UNION ALL SELECT 'all', * FROM gold)
+      SELECT scope, cluster_id, count(*) AS goldens, round(sum(v[1]), 5) AS first_component
+      FROM both_ GROUP BY scope, cluster_id""",
+    "golden_counts": f"WITH {VECS}, {gold(10)} SELECT cluster_id, count(*) AS goldens FROM gold GROUP BY cluster_id",
+    "response_lookup": """SELECT vec_id::VARCHAR AS response_id, 'text ' || vec_id AS raw_content,
+      count(*) OVER () = 1 AS unknown_is_an_error FROM embeddings WHERE vec_id = 7""",
+    "cluster_ids": "SELECT DISTINCT label::VARCHAR AS cluster_id FROM embeddings",
+}
 SQL["drift_detect_merged"] = SQL["drift_detect"]
 SQL["centroid_backfill"] = SQL["cluster_centroids"]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from topicgauge.functions import vectors as vf
 from topicgauge.functions.embedding import HashedWords, try_pairs
-from topicgauge.operators import assign, drift, grow, metrics
+from topicgauge.operators import assign, drift, golden, grow, metrics
 from topicgauge.plans import jobs
 from topicgauge.plans.checked import PARAMS, _events, _goldens, _labels_as_clusters, r6
 from topicgauge.schemas import STREAM_ENTRY
@@ -101,6 +101,110 @@ def alert_outbox(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# ---- jobs over a state built from the tables ----------------------------------------
+
+
+def _labelled_state(spark: SparkSession, folder: str) -> StateStore:
+    """Embeddings as assigned responses, their labels as clusters, ten goldens each."""
+    store = StateStore(spark, f"{_work_dir(spark, 'labels')}/state")
+    members = src.members(spark, folder)
+    clusters = _labels_as_clusters(spark, folder)
+    now = F.lit(NOW.isoformat(sep=" ")).cast("timestamp")
+
+    def fill(epoch) -> None:
+        epoch.write("assignments", members)
+        epoch.write("cluster_deltas", clusters.withColumns({"created_at": now, "updated_at": now}))
+        epoch.write("golden_entries", _goldens(spark, folder))
+        nothing = {name: F.lit(None) for name, _ in store.fields("responses")}
+        known = members.select(F.col("response_id").alias("id"), F.col("response_text").alias("text"))
+        epoch.write("responses", known.select(*[
+            {"response_id": F.col("id"), "raw_content": F.col("text")}.get(n, c).alias(n) for n, c in nothing.items()
+        ]))
+
+    store.publish("fill", fill)
+    return store
+
+
+def _split_state(spark: SparkSession, folder: str) -> tuple[StateStore, int]:
+    store = _labelled_state(spark, folder)
+    return store, jobs.split_wide_clusters(store, replace(PARAMS, birch_threshold=0.9), NOW)
+
+
+def split_job_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Clusters after the split job: two new ones for each old one, which is gone."""
+    store, splits = _split_state(spark, folder)
+    return metrics.cluster_report(store.snapshot("clusters")).select(
+        "cluster_id", "n", r6("radius").alias("radius"), F.lit(splits).cast("bigint").alias("splits")
+    )
+
+
+def split_job_responses(spark: SparkSession, folder: str) -> DataFrame:
+    """Where every response belongs before and after the split job."""
+    store, _ = _split_state(spark, folder)
+    before = store.log("assignments").select("response_id", F.col("cluster_id").alias("old_cluster"))
+    return before.join(store.current_assignments().drop("created_at"), "response_id")
+
+
+def split_job_goldens(spark: SparkSession, folder: str) -> DataFrame:
+    """The clusters of all goldens after the split job."""
+    store, _ = _split_state(spark, folder)
+    return store.snapshot("goldens").select("response_text", "cluster_id")
+
+
+def manual_goldens(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents added as goldens by hand: the nearest cluster of each, and the set's size."""
+    store = _labelled_state(spark, folder)
+    given = src.table(spark, folder, "documents").select(
+        F.col("text").alias("response_text"), F.col("doc_id").cast("string").alias("description")
+    )
+    size = jobs.add_goldens(store, given, HashedWords(PARAMS.embedding_dim), PARAMS, NOW)
+    added = store.snapshot("goldens").where("description <> 'auto'")
+    return added.select("description", "cluster_id", F.lit(size).cast("bigint").alias("size"))
+
+
+def cleared_goldens(spark: SparkSession, folder: str) -> DataFrame:
+    """How many goldens clearing drops, how many are left, and the responses that stay."""
+    store = _labelled_state(spark, folder)
+    held = jobs.clear_goldens(store)
+    left = store.snapshot("goldens").count()
+    return store.log("assignments").agg(
+        F.lit(held).cast("bigint").alias("dropped"), F.lit(left).cast("bigint").alias("left"),
+        F.count(F.lit(1)).alias("responses"),
+    )
+
+
+def golden_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    """Goldens of one cluster beside those of all clusters: sums of what the look-up gives."""
+    goldens = _labelled_state(spark, folder).snapshot("goldens")
+    one, every = golden.of_cluster(goldens, "3"), golden.of_cluster(goldens)
+    both = one.withColumn("scope", F.lit("3")).unionByName(every.withColumn("scope", F.lit("all")))
+    return both.groupBy("scope", "cluster_id").agg(
+        F.count(F.lit(1)).alias("goldens"),
+        F.round(F.sum(F.element_at("expected_embedding", 1).cast("double")), 5).alias("first_component"),
+    )
+
+
+def golden_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return golden.counts(_labelled_state(spark, folder).snapshot("goldens"))
+
+
+def response_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """One response by its id, and an unknown one."""
+    store = _labelled_state(spark, folder)
+    found = store.response("7")
+    try:
+        store.response("nobody")
+        missing = False
+    except LookupError:
+        missing = True
+    rows = [(found["response_id"], found["raw_content"], missing)]
+    return spark.createDataFrame(rows, "response_id string, raw_content string, unknown_is_an_error boolean")
+
+
+def cluster_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return _labelled_state(spark, folder).cluster_ids()
+
+
 # ---- streams ------------------------------------------------------------------------
 
 
@@ -279,6 +383,8 @@ def state_deltas(spark: SparkSession, folder: str) -> DataFrame:
 
 STATEFUL = [
     state_deltas, poison_rows, drift_detect_merged,
+    split_job_clusters, split_job_responses, split_job_goldens, manual_goldens, cleared_goldens,
+    golden_embeddings, golden_counts, response_lookup, cluster_ids,
     interleaved_jobs,
     grow_clusters, grow_membership, assign_batch, assign_goldens, latest_assignment, alert_outbox,
     stream_drift, stream_cluster, stream_cluster_coverage,
