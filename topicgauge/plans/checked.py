@@ -467,6 +467,11 @@ def _chunks(pairs: DataFrame) -> DataFrame:
 
 
 def sse_openai(spark: SparkSession, folder: str) -> DataFrame:
+    return transcripts.assemble_openai(openai_lines(spark, folder))
+
+
+def openai_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Chat-completion transcripts of all conversation pairs, with noise around them."""
     pairs = src.pairs(spark, folder)
     one = F.struct(F.struct(F.col("piece").alias("content")).alias("delta"))
     body = F.to_json(F.struct(F.lit("gpt-4o-live").alias("model"), F.array(one).alias("choices")))
@@ -481,12 +486,16 @@ def sse_openai(spark: SparkSession, folder: str) -> DataFrame:
         _stream_id().alias("request_id"), F.explode(F.array(F.lit(-1), F.lit((1 << 40) + 1))).alias("seq")
     ).select("request_id", F.col("seq").cast("bigint").alias("seq"),
              F.when(F.col("seq") < 0, F.lit(": ping")).otherwise(F.lit('data: {"choices":[{"delta":{"content":"late"}}]}')).alias("line"))
-    lines = chunk.unionByName(ends).unionByName(noise).withColumn("provider", F.lit("openai")).withColumn(
+    return chunk.unionByName(ends).unionByName(noise).withColumn("provider", F.lit("openai")).withColumn(
         "request_model", F.lit("gpt-4o"))
-    return transcripts.assemble_openai(lines)
 
 
 def sse_anthropic(spark: SparkSession, folder: str) -> DataFrame:
+    return transcripts.assemble_anthropic(anthropic_lines(spark, folder))
+
+
+def anthropic_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Message transcripts of all conversation pairs."""
     pairs = src.pairs(spark, folder)
     rid = _stream_id().alias("request_id")
 
@@ -521,9 +530,8 @@ def sse_anthropic(spark: SparkSession, folder: str) -> DataFrame:
     stop = pairs.where(F.col("conv_id") % 3 != 2).select(
         rid, F.lit((1 << 40) + 2).alias("seq"), F.lit('data: {"type":"message_stop"}').alias("line")
     )
-    lines = start.unionByName(chunk).unionByName(change).unionByName(stop).withColumn(
+    return start.unionByName(chunk).unionByName(change).unionByName(stop).withColumn(
         "provider", F.lit("anthropic")).withColumn("request_model", F.lit("claude-3"))
-    return transcripts.assemble_anthropic(lines)
 
 
 def route_provider(spark: SparkSession, folder: str) -> DataFrame:

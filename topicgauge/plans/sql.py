@@ -469,5 +469,7 @@ SQL |= {
       count(*) OVER () = 1 AS unknown_is_an_error FROM embeddings WHERE vec_id = 7""",
     "cluster_ids": "SELECT DISTINCT label::VARCHAR AS cluster_id FROM embeddings",
 }
+SQL["stream_transcripts"] = f"""SELECT 'o-' || request_id AS request_id, * EXCLUDE (request_id) FROM ({SQL["sse_openai"]})
+  UNION ALL SELECT 'a-' || request_id, * EXCLUDE (request_id) FROM ({SQL["sse_anthropic"]})"""
 SQL["drift_detect_merged"] = SQL["drift_detect"]
 SQL["centroid_backfill"] = SQL["cluster_centroids"]

@@ -13,13 +13,15 @@ from topicgauge.functions import vectors as vf
 from topicgauge.functions.embedding import HashedWords, try_pairs
 from topicgauge.operators import assign, drift, golden, grow, metrics
 from topicgauge.plans import jobs
-from topicgauge.plans.checked import PARAMS, _events, _goldens, _labels_as_clusters, r6
+from topicgauge.plans.checked import (
+    PARAMS, _events, _goldens, _labels_as_clusters, anthropic_lines, openai_lines, r6,
+)
 from topicgauge.schemas import STREAM_ENTRY
 from topicgauge.session import SETTINGS, materialize, shared_dir
 from topicgauge.sources import outbox
 from topicgauge.sources import tables as src
 from topicgauge.sources.state import StateStore, latest
-from topicgauge.streaming import cluster_stream, drift_stream
+from topicgauge.streaming import cluster_stream, drift_stream, transcript_stream
 
 TOPIC = replace(PARAMS, birch_threshold=0.6)
 NOW = datetime(2024, 2, 1)
@@ -246,6 +248,38 @@ def stream_drift(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def stream_transcripts(spark: SparkSession, folder: str) -> DataFrame:
+    """Calls of both providers from lines that arrive in six batches, a third of them one batch late."""
+    both = openai_lines(spark, folder).select(F.concat(F.lit("o-"), "request_id").alias("request_id"), "seq",
+                                              "provider", "request_model", "line").unionByName(
+        anthropic_lines(spark, folder).select(F.concat(F.lit("a-"), "request_id").alias("request_id"), "seq",
+                                              "provider", "request_model", "line"))
+    part = F.split_part("request_id", F.lit("-"), F.lit(2)).cast("bigint") % 4
+    late = (F.pmod(F.xxhash64("request_id", "seq"), F.lit(3)) == 0).cast("int")
+    at = F.timestamp_millis(F.lit(1704067200000) + part * 1_000_000 + F.least(F.col("seq"), F.lit(900_000)))
+    lines = materialize(both.withColumns({"at": at, "file": part + late}))
+    work = _work_dir(spark, "transcripts")
+    # The last batch only says how late it is.
+    clock = spark.createDataFrame([("~", 0, "none", "", ": ping")], transcript_stream.LINES).withColumn(
+        "at", F.timestamp_millis(F.lit(1704067200000 + 10**8)))
+    for number in range(6):
+        rows = lines.where(F.col("file") == number).drop("file") if number < 5 else clock
+        rows.coalesce(1).write.mode("append").parquet(f"{work}/lines")
+    stream = spark.readStream.schema(clock.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/lines")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, SETTINGS[provider])
+    try:
+        transcript_stream.start(
+            stream, f"{work}/checkpoint",
+            lambda rows, n: rows.write.mode("overwrite").parquet(f"{work}/out/epoch={n}"),
+            "1500 seconds", available_now=True,
+        ).awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.parquet(f"{work}/out").drop("epoch")
+
+
 def _clustered_stream(spark: SparkSession, folder: str) -> tuple[StateStore, DataFrame]:
     """All conversation pairs through the clustering stream, into fresh state."""
     pairs = src.pairs(spark, folder)
@@ -382,7 +416,7 @@ def state_deltas(spark: SparkSession, folder: str) -> DataFrame:
 
 
 STATEFUL = [
-    state_deltas, poison_rows, drift_detect_merged,
+    state_deltas, poison_rows, drift_detect_merged, stream_transcripts,
     split_job_clusters, split_job_responses, split_job_goldens, manual_goldens, cleared_goldens,
     golden_embeddings, golden_counts, response_lookup, cluster_ids,
     interleaved_jobs,
