@@ -364,3 +364,16 @@ def test_stages_on_odd_rows_and_empty_tables(spark, odd, empty):
         if name in ("line_dedup", "near_dedup", "mix"):
             assert found.columns == corpus_pipeline.COLUMNS, name
         assert stage(spark, empty, "").count() == 0, name
+
+
+def test_lines_past_the_broadcast_limit_and_in_many_slices(spark, odd, folder, monkeypatch):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    both = docs.unionByName(odd.select("doc_id", "text"))
+    rows = lambda: sorted(map(tuple, lines.dedup(both).select("doc_id", "n_dropped", "kept").collect()), key=repr)
+    plain = rows()
+    assert sum(r[1] for r in plain) > 0
+    monkeypatch.setattr(lines, "MAX_BITS", 0)
+    assert rows() == plain
+    monkeypatch.setattr(lines, "MAX_TASKS", 2)
+    monkeypatch.setattr(lines, "BITS_PER_LINE", 100_000)  # hundreds of slices for two tasks
+    assert rows() == plain

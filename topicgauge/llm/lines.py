@@ -1,11 +1,13 @@
 """Line dedup with two Bloom filters, for keys seen once and keys seen twice.
 
-A first pass over the lines sends 8-byte hashes to the filter slice they
-belong to; each slice is built by one task of bounded memory, a hash that finds
-its bits set in the once-seen filter sets them in the twice-seen one. The
-twice-seen filter is broadcast, a second pass sends only lines it holds, and
-those are counted exactly by their text. The filter never loses a repeat; past
-its size limit it lets more single lines through and answers stay the same.
+A first pass over the lines sends 8-byte hashes to the slice of the once-seen
+filter they belong to. Slices grow with the data; a task meets its slices one
+after the other and holds the bits of one at a time. A hash that finds its bits
+set is a suspected repeat. The twice-seen filter holds these, so its size goes
+by the repeats and not by the lines; it is broadcast, a second pass sends only
+lines it holds, and those are counted exactly by their text. Where even that
+filter is too large to broadcast, hashes with their documents meet the suspects
+in a join, and only lines found there go on. No repeat is lost either way.
 
 Rule: a key (stripped, A-Z in lower case) of MIN_CHARS code points or more that
 lies in MIN_DOCS documents or more stays only in the document of largest id.
@@ -32,9 +34,11 @@ MIN_CHARS = 20
 MIN_DOCS = 3
 PROBES = 4
 BITS_PER_LINE = 12
-# Bits of the twice-seen filter at most (128 MB when broadcast), and of a slice.
+# Bits of a twice-seen filter that is broadcast at most (128 MB), and of a slice.
 MAX_BITS = 1 << 30
 SLICE_BITS = 1 << 19
+# Tasks that share the slices of the once-seen filter at most; each holds one slice at a time.
+MAX_TASKS = 20_000
 # Parts into which the lines of one key are dealt when decisions meet them.
 SALTS = 32
 
@@ -76,16 +80,18 @@ class TwoFilters:
     def __init__(self, bits: int = SLICE_BITS):
         self.once, self.twice = np.zeros(bits, dtype=bool), np.zeros(bits, dtype=bool)
 
-    def add(self, hashes: np.ndarray) -> None:
+    def add(self, hashes: np.ndarray) -> np.ndarray:
+        """Notes hashes; returns those that were seen before, or look so."""
         block, many = np.unique(hashes, return_counts=True)
         spots = probes(block, len(self.once))
         again = self.once[spots].all(axis=1) | (many > 1)
         self.twice[spots[again].ravel()] = True
         self.once[spots.ravel()] = True
+        return block[again]
 
 
-def twice_seen(docs: DataFrame, slices: int) -> bytes:
-    """The twice-seen filter over the lines of all documents, SLICE_BITS / 8 bytes a slice.
+def seen_again(docs: DataFrame, slices: int) -> DataFrame:
+    """(hash): hashes of lines that the once-seen filter meets again.
 
     A hash is sent once for each document that has it, at most twice a batch.
     """
@@ -102,23 +108,46 @@ def twice_seen(docs: DataFrame, slices: int) -> bytes:
                     names=["slice", "hash"],
                 )
 
-    def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters: dict[int, TwoFilters] = {}
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, pair = -1, TwoFilters()
         for batch in batches:
             where = batch.column(0).to_numpy()
             hashes = batch.column(1).to_numpy().view(np.uint64)
             for number in np.unique(where).tolist():
-                filters.setdefault(number, TwoFilters()).add(hashes[where == number])
-        for number, pair in filters.items():
+                if number != current:
+                    current, pair = number, TwoFilters()
+                again = pair.add(hashes[where == number])
+                if len(again):
+                    yield pa.RecordBatch.from_arrays([pa.array(again.view(np.int64))], names=["hash"])
+
+    sent = docs.select("text").mapInArrow(hashed, "slice long, hash long")
+    dealt = sent.repartition(min(slices, MAX_TASKS), "slice").sortWithinPartitions("slice")
+    return dealt.mapInArrow(met, "hash long").distinct()
+
+
+def filter_of(hashes: DataFrame, slices: int) -> bytes:
+    """The twice-seen filter: a Bloom filter of all `hashes`, SLICE_BITS / 8 bytes a slice."""
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number = slices_of(batch.column(0).to_numpy().view(np.uint64), slices)
+            yield pa.RecordBatch.from_arrays([pa.array(number), batch.column(0)], names=["slice", "hash"])
+
+    def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filters: dict[int, np.ndarray] = {}
+        for batch in batches:
+            where = batch.column(0).to_numpy()
+            found = batch.column(1).to_numpy().view(np.uint64)
+            for number in np.unique(where).tolist():
+                bits = filters.setdefault(number, np.zeros(SLICE_BITS, dtype=bool))
+                bits[probes(found[where == number], SLICE_BITS).ravel()] = True
+        for number, bits in filters.items():
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([number], pa.int64()),
-                    pa.array([np.packbits(pair.twice).tobytes()], pa.binary()),
-                ],
+                [pa.array([number], pa.int64()), pa.array([np.packbits(bits).tobytes()], pa.binary())],
                 names=["slice", "bits"],
             )
 
-    sent = docs.select("text").mapInArrow(hashed, "slice long, hash long")
+    sent = hashes.mapInArrow(named, "slice long, hash long")
     made = sent.repartition(slices, "slice").mapInArrow(built, "slice long, bits binary")
     # At most MAX_BITS / 8 bytes in all.
     out = bytearray(slices * SLICE_BITS // 8)
@@ -128,6 +157,35 @@ def twice_seen(docs: DataFrame, slices: int) -> bytes:
     return bytes(out)
 
 
+def met_suspects(docs: DataFrame, hashes: DataFrame) -> DataFrame:
+    """(doc_id, key) of all lines whose hash is among `hashes`, without a broadcast."""
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [(i, _hash(k)) for i, text in enumerate(batch.column(1).to_pylist()) for k in keys_of(text)]
+            at = pa.array([i for i, _ in own], pa.int64())
+            found = np.array([h for _, h in own], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found), batch.column(0).take(at)], names=["hash", "doc_id"])
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, keys = [], []
+            for row in batch.to_pylist():
+                held = set(row["held"])
+                own = [k for k in keys_of(row["text"]) if np.uint64(_hash(k)).view(np.int64) in held]
+                ids += [row["doc_id"]] * len(own)
+                keys += [k.decode() for k in own]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(keys, pa.string())], names=["doc_id", "key"]
+            )
+
+    narrow = docs.select("doc_id", "text").mapInArrow(sent, "hash long, doc_id long").distinct()
+    held = narrow.join(hashes, "hash", "left_semi").groupBy(F.col("doc_id").alias("_id"))
+    held = held.agg(F.collect_set("hash").alias("held"))
+    theirs = docs.join(held, F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "text", "held")
+    return theirs.mapInArrow(kept, "doc_id long, key string")
+
+
 def suspects(docs: DataFrame, twice: bytes, slices: int) -> DataFrame:
     """(doc_id, key) of all lines whose key the twice-seen filter holds."""
     sent = docs.sparkSession.sparkContext.broadcast(twice)
@@ -200,9 +258,15 @@ def dedup(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     n_lines = F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
     total = docs.agg(F.sum(n_lines)).first()[0] or 0
-    bits = min(MAX_BITS, BITS_PER_LINE * total)
+    slices = max(1, -(-BITS_PER_LINE * total // SLICE_BITS))
+    again = materialize(seen_again(docs, slices))
+    bits = BITS_PER_LINE * again.count()
     slices = max(1, -(-bits // SLICE_BITS))
-    found = materialize(suspects(docs, twice_seen(docs, slices), slices))
+    if bits <= MAX_BITS:
+        found = suspects(docs, filter_of(again, slices), slices)
+    else:
+        found = met_suspects(docs, again)
+    found = materialize(found)
     drops = repeated(found, min_docs).withColumnRenamed("doc_id", "_losing")
     rows = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("_losing")), "left")
     new = F.pandas_udf(_rewritten, REWRITTEN)(F.when(F.col("_drop").isNotNull(), text), "_drop")
