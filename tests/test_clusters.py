@@ -268,6 +268,30 @@ def test_split_matches_numpy_in_one_wave_or_many(spark, limit):
     assert sum(p["n"] for p in parts) == 160
 
 
+@pytest.mark.parametrize("limit", [128 << 20, 300])
+def test_a_split_reads_its_input_once(spark, limit):
+    """However many waves and rounds; one cluster holds most rows, and a row without a cluster is left out."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    _, v = topics(2, 60, noise=0.6)
+    rows = frame(spark, v).withColumn("number", F.substring("response_id", 2, 5).cast("int"))
+    owner = F.when(F.col("number") == 59, None).when(F.col("number") < 40, "hot").otherwise(
+        F.concat(F.lit("c"), F.col("number") % 4))
+    rows = rows.withColumn("cluster_id", owner.cast("string")).drop("number")
+    wide = rows.select("cluster_id").distinct()
+    done = split.split_clusters(
+        rows.mapInArrow(count, rows.schema), wide, replace(P, broadcast_limit_bytes=limit), rounds=3)
+    assert seen.value == 60
+    assert done.members.count() == 59 and done.parts.count() == 10
+    labels = {r["response_id"]: r["label"] for r in done.members.where("cluster_id = 'hot'").collect()}
+    assert labels == {f"r{i:05d}": int(x) for i, x in enumerate(two_means(v[:40], 3))}
+
+
 def test_clusters_that_cannot_be_split_are_left_alone(spark):
     same = np.tile(np.eye(8)[0], (6, 1))
     members = frame(spark, same).withColumn("cluster_id", F.lit("flat"))

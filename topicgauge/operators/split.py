@@ -5,16 +5,19 @@ Per pass, each task reduces its rows to one partial row per cluster in numpy
 cluster holding most rows is no hotter than the rest. The two centres of every
 cluster under split live on the driver between passes, as k-means centres do;
 clusters are taken in waves so that this state keeps under the broadcast limit.
+The input is read once, whatever the number of waves: the rows under split are
+written narrow, dealt by wave, and a wave's passes read its own folder only.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicgauge.functions.vectors import (
@@ -32,6 +35,10 @@ from topicgauge.params import SPLIT_MIN_N, SPLIT_ROUNDS, Params
 from topicgauge.session import broadcast_if_small, materialize
 
 STILL = 1e-12
+# Hash buckets in which the clusters under split are numbered.
+BUCKETS = 1024
+# Rows of a wave that one task writes, about.
+WAVE_ROWS = 1 << 17
 
 
 def oversized(clusters: DataFrame, threshold: float) -> DataFrame:
@@ -61,33 +68,34 @@ def split_clusters(
     Clusters that end with one label only are left out of the result.
     """
     spark = members.sparkSession
-    ids = wide.select("cluster_id").distinct()
+    ids = materialize(_numbered(wide.select("cluster_id").distinct()))
     rows = members.where(F.col("request_embedding").isNotNull()).select(
         "response_id", "cluster_id", "created_at", "request_embedding"
     )
+    held = materialize(rows.join(broadcast_if_small(ids, params.broadcast_limit_bytes), "cluster_id"))
     count = ids.count()
-    one = rows.select(F.size("request_embedding").alias("dims")).first()
+    one = held.select(F.size("request_embedding").alias("dims")).first()
     dims = one["dims"] if one else 1
-    waves = max(1, math.ceil(count * 2 * dims * 8 / params.broadcast_limit_bytes))
-    wave_of = F.pmod(F.xxhash64("cluster_id"), F.lit(waves))
-    labelled = None
+    size = max(1, params.broadcast_limit_bytes // (2 * dims * 8))
+    waves = math.ceil(count / size)
+    dealt = _dealt(held, size, waves)
+    labelled = []
     for wave in range(waves):
-        here = ids.where(wave_of == wave).orderBy("cluster_id").toArrow()["cluster_id"].to_pylist()
-        if not here:
-            continue
-        numbered = spark.createDataFrame(list(enumerate(here)), "slot int, cluster_id string")
-        # One narrow, columnar copy of the rows under split; every pass scans it.
-        held = materialize(rows.join(F.broadcast(numbered), "cluster_id"))
-        centres = _two_means(held, len(here), rounds)
-        done = held.withColumn("label", _labels(spark, centres)("slot", "request_embedding"))
-        labelled = done if labelled is None else labelled.unionByName(done)
-    if labelled is None:
-        labelled = rows.limit(0).withColumn("slot", F.lit(0)).withColumn("label", F.lit(0))
-    labelled = materialize(
-        labelled.where(F.col("label").isNotNull()).select(
-            "response_id", "cluster_id", "request_embedding", "label"
+        slots = min(size, count - wave * size)
+        here = dealt.where(F.col("wave") == wave)
+        centres = spark.sparkContext.broadcast(_two_means(here, slots, rounds))
+        done = here.withColumn("label", _labels(centres)("slot", "request_embedding"))
+        # Written wave by wave, so no more than one wave's centres are out at a time.
+        labelled.append(
+            materialize(
+                done.where(F.col("label").isNotNull()).select(
+                    "response_id", "cluster_id", "request_embedding", "label"
+                )
+            )
         )
-    )
+        centres.destroy()
+    none = held.limit(0).select("response_id", "cluster_id", "request_embedding", F.lit(0).alias("label"))
+    labelled = reduce(DataFrame.unionByName, labelled, none)
     parts = group_features(labelled, ["cluster_id", "label"], "request_embedding")
     both = parts.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("labels")).where("labels = 2")
     parts = parts.join(both.select("cluster_id"), "cluster_id", "left_semi").select(
@@ -109,6 +117,34 @@ def split_clusters(
     return Split(moved, parts)
 
 
+def _numbered(ids: DataFrame) -> DataFrame:
+    """`ids` with `number`, 0 and up without gaps: counted in hash buckets, whose sizes are added up."""
+    inside = Window.partitionBy("bucket").orderBy("cluster_id")
+    own = ids.where(F.col("cluster_id").isNotNull()).withColumn(
+        "bucket", F.pmod(F.xxhash64("cluster_id"), F.lit(BUCKETS))
+    ).withColumn("at", F.row_number().over(inside) - 1)
+    # At most BUCKETS rows.
+    sizes = own.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    return own.join(F.broadcast(starts), "bucket").select(
+        "cluster_id", (F.col("start") + F.col("at")).alias("number")
+    )
+
+
+def _dealt(held: DataFrame, size: int, waves: int) -> DataFrame:
+    """Rows with the `wave` of their cluster and its `slot` there, `size` clusters a wave."""
+    wave = F.floor(F.col("number") / size).cast("int")
+    slot = F.pmod("number", F.lit(size)).cast("int")
+    rows = held.withColumn("wave", wave).withColumn("slot", slot).drop("number")
+    if waves <= 1:
+        return rows
+    # A wave is many clusters, or one that holds most rows: tasks share it by row.
+    tasks = math.ceil(held.count() / waves / WAVE_ROWS)
+    salt = F.pmod(F.xxhash64("response_id"), F.lit(tasks))
+    return materialize(rows.repartition("wave", salt), "wave")
+
+
 def new_cluster_id(epoch: int) -> Column:
     return F.sha2(
         F.concat_ws("|", F.lit("split"), "cluster_id", F.col("label").cast("string"), F.lit(str(epoch))),
@@ -192,9 +228,7 @@ def _side(centres: np.ndarray, slots: np.ndarray, matrix: np.ndarray) -> np.ndar
     return label
 
 
-def _labels(spark, centres: np.ndarray):
-    shared = spark.sparkContext.broadcast(centres)
-
+def _labels(shared):
     @F.arrow_udf("int")
     def label(slot: pa.Array, v: pa.Array) -> pa.Array:
         matrix, _ = as_matrix(v)

@@ -97,18 +97,20 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, *by: str) -> DataFrame:
     """Write `df` to the shared folder and read it back.
 
     Cuts the lineage, survives lost executors, and stays columnar so later
-    passes read only the columns they use.
+    passes read only the columns they use, and of the folders `by` only theirs.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/topicgauge/{uuid.uuid4().hex}"
     if _scopes:
         _scopes[-1].append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*by).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    # Spark puts the columns of the folders last.
+    return back.select(df.columns) if by else back
 
 
 _scopes: list[list[str]] = []
