@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from topicgauge.functions import vectors as vf
-from topicgauge.operators import assign, golden, grow, split
+from topicgauge.operators import assign, cells, golden, grow, knn, split
 from topicgauge.params import Params
 from topicgauge.schemas import TABLES
 
@@ -332,3 +332,54 @@ def test_golden_cap_holds_and_dead_clusters_get_none(spark):
     more = golden.admit(golden_rows(spark, 20, start=100), held, live, 10)
     assert sorted(r["response_text"] for r in more.collect()) == ["t0", "t1", "t2"]
     assert golden.admit(golden_rows(spark, 5), golden.insert(held, more), live, 10).count() == 0
+
+
+def points(spark, v, prefix):
+    rows = [(f"{prefix}{i:05d}", [float(x) for x in row]) for i, row in enumerate(v)]
+    return spark.createDataFrame(rows, "id string, x array<double>")
+
+
+def singles(spark, v):
+    one = points(spark, v, "c").withColumnsRenamed({"id": "cluster_id", "x": "ls"})
+    return one.withColumn("n", F.lit(1)).withColumn("ss", F.lit(1.0))
+
+
+def candidate_rows(df):
+    return {r["item_id"]: [(c["cluster_id"], round(c["sim"], 9), c["absorbs"]) for c in r["candidates"]]
+            for r in df.collect()}
+
+
+def test_all_cells_together_give_the_exact_search(spark):
+    """A cell with most clusters, copies among them, is dealt into many blocks; null vectors find nothing."""
+    _, v = topics(6, 120, noise=0.2, hot=150)
+    v[-40:] = v[-1]
+    queries = points(spark, v[::3], "q").withColumnsRenamed({"id": "item_id", "x": "v"})
+    queries = queries.unionByName(queries.limit(1).withColumns(
+        {"item_id": F.lit("none"), "v": F.lit(None).cast("array<double>")}))
+    small = replace(P, group_rows=12)
+    index = cells.build(singles(spark, v), small)
+    assert len(index.centres) == 17 and index.sizes.agg(F.max("blocks")).first()[0] > 3
+    got = candidate_rows(cells.nearest(queries, index, small, probes=17))
+    assert got.pop("none") == [] and len(got) == 90
+    want = candidate_rows(knn.top_candidates(queries.where("v IS NOT NULL"), singles(spark, v), small))
+    assert got == want
+
+
+def test_few_cells_find_nearly_all_of_grouped_vectors(spark):
+    _, v = topics(8, 600, noise=0.1)
+    queries = points(spark, v[::50], "q").withColumnsRenamed({"id": "item_id", "x": "v"})
+    clusters = singles(spark, v)
+    found = cells.nearest(queries, cells.build(clusters, P), P, probes=8)
+    hits = cells.recall(found, knn.top_candidates(queries, clusters, P)).agg(F.sum("hits"), F.sum("wanted")).first()
+    assert hits[1] == 120 and hits[0] >= 0.9 * hits[1]
+
+
+def test_cells_of_no_clusters_and_of_a_tight_limit(spark):
+    _, v = topics(4, 40)
+    queries = points(spark, v[:3], "q").withColumnsRenamed({"id": "item_id", "x": "v"})
+    clusters = singles(spark, v)
+    none = cells.nearest(queries, cells.build(clusters.limit(0), P), P)
+    assert candidate_rows(none) == {f"q{i:05d}": [] for i in range(3)}
+    assert cells.nearest(queries.limit(0), cells.build(clusters, P), P).count() == 0
+    # Room for two directions of eight doubles: two cells, whatever is asked for.
+    assert len(cells.build(clusters, replace(P, broadcast_limit_bytes=200), cells=9).centres) == 2

@@ -33,6 +33,11 @@ def test_query(spark, folder, con, name):
         assert differences(rows, df.columns, con, catalog.SQL[name]) is None
 
 
+def test_cells_reach_their_recall(spark, folder):
+    found = catalog.QUERIES["knn_cells_recall"](spark, folder).agg({"hits": "sum", "wanted": "sum"}).first()
+    assert found["sum(hits)"] >= 0.9 * found["sum(wanted)"] > 0
+
+
 def test_contract(spark):
     assert set(contract.oracle_sql()) <= set(contract.queries())
     assert contract.entry(spark).count() > 0

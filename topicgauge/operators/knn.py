@@ -77,7 +77,7 @@ def joinable(queries: DataFrame, clusters: DataFrame, params: Params) -> DataFra
         part = live.where(slice_of == number).toArrow()
         if part.num_rows == 0:
             continue
-        search = once(_joinable_with(context.broadcast(_load(part)), k, threshold))
+        search = once(_joinable_with(context.broadcast(loaded(part)), k, threshold))
         queries = queries.withColumn("candidates", search("ls", "n", "ss", "block", "candidates"))
         if slices > 1:
             queries = materialize(queries)
@@ -91,8 +91,8 @@ def _joinable_with(block, k: int, threshold: float):
         if matrix.shape[1] == 0:
             return held
         weights = (np.asarray(a, dtype=np.float64) for a in (n, ss))
-        found = _search(block.value, matrix, k, threshold, *weights, own=np.asarray(own))
-        return _merge(held, _candidate_array(block.value, found), k)
+        found = top_of(block.value, matrix, k, threshold, *weights, own=np.asarray(own))
+        return _merge(held, candidate_array(block.value, found), k)
 
     return merged
 
@@ -100,7 +100,7 @@ def _joinable_with(block, k: int, threshold: float):
 # ---- the search itself, on one batch of queries and one set of clusters ------
 
 
-def _load(table: pa.Table) -> dict:
+def loaded(table: pa.Table) -> dict:
     """Cluster rows as arrays, ordered by id so that ties are settled by position."""
     table = table.combine_chunks().sort_by("cluster_id")
     matrix, _ = as_matrix(table["ls"])
@@ -139,7 +139,7 @@ def joined_radius(sim, a_n, a_ss, a_length, b_n, b_ss, b_length) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, variance))
 
 
-def _search(block: dict, points: np.ndarray, k: int, threshold: float, n=None, ss=None, own=None):
+def top_of(block: dict, points: np.ndarray, k: int, threshold: float, n=None, ss=None, own=None):
     """(cluster positions, sims, absorbs) of the top K of every point.
 
     `n` and `ss` make the points clusters themselves; clusters of a point's
@@ -169,7 +169,7 @@ def _search(block: dict, points: np.ndarray, k: int, threshold: float, n=None, s
     return position, sim, radius <= threshold
 
 
-def _candidate_array(block: dict, found) -> pa.Array:
+def candidate_array(block: dict, found) -> pa.Array:
     position, sim, absorbs = found
     there = sim > APART
     offsets = np.concatenate([[0], np.cumsum(there.sum(axis=1))]).astype(np.int32)
@@ -190,7 +190,7 @@ def _candidate_array(block: dict, found) -> pa.Array:
 
 
 def _by_broadcast(queries: DataFrame, live: DataFrame, params: Params) -> DataFrame:
-    block = queries.sparkSession.sparkContext.broadcast(_load(live.toArrow()))
+    block = queries.sparkSession.sparkContext.broadcast(loaded(live.toArrow()))
     k, threshold = params.ann_candidates, params.birch_threshold
 
     @F.arrow_udf(CANDIDATES)
@@ -198,7 +198,7 @@ def _by_broadcast(queries: DataFrame, live: DataFrame, params: Params) -> DataFr
         matrix, _ = as_matrix(v)
         if matrix.shape[1] == 0:
             return pa.array([[] for _ in range(len(v))], type=_CANDIDATES_ARROW)
-        return _candidate_array(block.value, _search(block.value, matrix, k, threshold))
+        return candidate_array(block.value, top_of(block.value, matrix, k, threshold))
 
     return queries.withColumn("candidates", once(candidates)("v"))
 
@@ -225,7 +225,7 @@ def _by_slices(queries: DataFrame, live: DataFrame, slices: int, params: Params)
         part = live.where(F.col("slice") == number).drop("slice").toArrow()
         if part.num_rows == 0:
             continue
-        block = context.broadcast(_load(part))
+        block = context.broadcast(loaded(part))
         search = once(_pass_of(block, k, threshold))
         out = materialize(out.withColumn("candidates", search("v", "candidates")))
         block.destroy()
@@ -240,7 +240,7 @@ def _pass_of(block, k: int, threshold: float):
         matrix, _ = as_matrix(v)
         if matrix.shape[1] == 0:
             return held
-        found = _candidate_array(block.value, _search(block.value, matrix, k, threshold))
+        found = candidate_array(block.value, top_of(block.value, matrix, k, threshold))
         return _merge(held, found, k)
 
     return merged

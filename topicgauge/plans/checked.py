@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from topicgauge.functions import messages, payloads, vectors as vf
 from topicgauge.functions.embedding import HashedWords
-from topicgauge.operators import assign, drift, evaluate, golden, metrics, normalize, recover
+from topicgauge.operators import assign, cells, drift, evaluate, golden, knn, metrics, normalize, recover
 from topicgauge.operators import sampling, split, transcripts
 from topicgauge.params import Params
 from topicgauge.schemas import TABLES
@@ -155,6 +155,36 @@ def knn_centroids_cells(spark: SparkSession, folder: str) -> DataFrame:
     return _knn(spark, folder, replace(PARAMS, broadcast_limit_bytes=6000))
 
 
+def _document_search(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Every 50th document as a query, and every document as a cluster of its own.
+
+    Texts without words have no direction and take no part.
+    """
+    docs = src.embedded_documents(spark, folder).select(
+        F.col("response_id").alias("cluster_id"), F.col("request_embedding").alias("ls")
+    )
+    docs = materialize(docs.where(F.exists("ls", lambda x: x != 0)))
+    queries = docs.where(F.col("cluster_id").cast("bigint") % 50 == 0)
+    clusters = docs.withColumn("n", F.lit(1)).withColumn("ss", vf.sq_norm_kernel("ls"))
+    return queries.select(F.col("cluster_id").alias("item_id"), F.col("ls").alias("v")), clusters
+
+
+def knn_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Nearest documents over coarse cells."""
+    queries, clusters = _document_search(spark, folder)
+    found = cells.nearest(queries, cells.build(clusters, PARAMS), PARAMS)
+    return found.select("item_id", F.posexplode("candidates").alias("pos", "c")).select(
+        "item_id", (F.col("pos") + 1).cast("bigint").alias("rank"), "c.cluster_id", r6("c.sim").alias("sim")
+    )
+
+
+def knn_cells_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """How many of each query's nearest documents the cells give, against the exact search."""
+    queries, clusters = _document_search(spark, folder)
+    found = cells.nearest(queries, cells.build(clusters, PARAMS), PARAMS)
+    return cells.recall(found, knn.top_candidates(queries, clusters, PARAMS))
+
+
 def cf_points(spark: SparkSession, folder: str) -> DataFrame:
     """Features of single points, of a point absorbed twice, and the absorb test."""
     point = F.col("embedding")
@@ -669,7 +699,7 @@ def delivered_alerts(spark: SparkSession, folder: str) -> DataFrame:
 CHECKED = [
     drift_detect, drift_by_user, drift_coverage, recent_scores, drift_event_rows,
     drift_alert_payload, drift_alert_text, webhook_signature,
-    vector_functions, cluster_cf, cluster_centroids, knn_centroids, knn_centroids_cells,
+    vector_functions, cluster_cf, cluster_centroids, knn_centroids, knn_centroids_cells, knn_cells, knn_cells_recall,
     birch_snapshot_assign, birch_absorb_merge, oversized_clusters, split_two_means,
     split_cluster_parts, split_golden_remap,
     golden_admit, golden_admit_topup, golden_list, golden_size, evaluate_quality,

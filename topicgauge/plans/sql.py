@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from topicgauge.operators.cells import PROBES
 from topicgauge.params import SPLIT_ROUNDS
 from topicgauge.plans.checked import ABSORB, PARAMS, RUN_TS, SECRET
 from topicgauge.sources.tables import MODELS, SIGN_DIMS
@@ -165,6 +166,34 @@ docvec AS (
   LEFT JOIN lengths l ON l.doc_id = d.doc_id
   GROUP BY d.doc_id, d.lang, d.source)"""
 
+
+def _ranked(name: str, items: str, others: str, other: str, k: int | str) -> str:
+    """CTE `name`: item_id, `other`, rank and sim of the K of `others` nearest to each item."""
+    return f"""{name} AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(sim, 12) DESC, {other}) AS rank
+    FROM (SELECT i.item_id, o.{other}, list_cosine_similarity(i.v, o.v) AS sim FROM {items} i, {others} o))
+  WHERE rank <= {k})"""
+
+
+# Documents indexed under the nearest of a sample of them, and searched over the cells near a query.
+CELLS = f"""{DOCS},
+pts AS (SELECT response_id AS item_id, response_id AS cluster_id, v FROM docvec WHERE list_inner_product(v, v) > 0),
+asked AS (SELECT * FROM pts WHERE item_id::BIGINT % 50 = 0),
+centres AS (
+  SELECT item_id AS cell, v FROM (SELECT *, row_number() OVER (ORDER BY md5(item_id), item_id) AS place FROM pts)
+  WHERE place <= (SELECT ceil(sqrt(count(*))) FROM pts)),
+{_ranked("home", "pts", "centres", "cell", 1)},
+{_ranked("probed", "asked", "centres", "cell", PROBES)},
+met AS (
+  SELECT q.item_id, p.cluster_id, list_cosine_similarity(q.v, p.v) AS sim
+  FROM probed b JOIN asked q USING (item_id) JOIN home h ON h.cell = b.cell JOIN pts p ON p.item_id = h.item_id),
+found AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(sim, 12) DESC, cluster_id) AS rank FROM met)
+  WHERE rank <= 10),
+{_ranked("exact", "asked", "pts", "cluster_id", 10)}"""
+
 # The online absorb-or-create algorithm, one document after the other: each goes to
 # the first of its 10 nearest clusters that stays within the radius, else founds one.
 # Documents of one block of `group_rows` grow like this; the data checked has one block.
@@ -290,6 +319,9 @@ SQL: dict[str, str] = {
       SELECT cluster_id, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM grouped) GROUP BY cluster_id, pos""",
     "knn_centroids": KNN,
     "knn_centroids_cells": KNN,
+    "knn_cells": f"WITH {CELLS} SELECT item_id, rank, cluster_id, round(sim, 6) AS sim FROM found",
+    "knn_cells_recall": f"""WITH {CELLS} SELECT e.item_id, count(f.cluster_id) AS hits, count(*) AS wanted
+      FROM exact e LEFT JOIN found f ON f.item_id = e.item_id AND f.cluster_id = e.cluster_id GROUP BY e.item_id""",
     "cf_points": f"""WITH {VECS} SELECT vec_id, 1::BIGINT AS n, round(list_inner_product(v, v), 6) AS ss,
       2::BIGINT AS n2, round(2 * list_inner_product(v, v), 6) AS ss2, round(2 * v[1], 6) AS first2,
       true AS same, sqrt(list_inner_product(v, v)) <= 0.9 AS opposite FROM vecs""",
