@@ -17,7 +17,7 @@ from topicgauge.functions.embedding import Embedder, embed_pairs
 from topicgauge.operators import assign, drift, evaluate, golden, normalize, recover, sampling, split
 from topicgauge.params import Params
 from topicgauge.session import broadcast_if_small, materialize, scratch
-from topicgauge.sources import outbox
+from topicgauge.sources import lookups, outbox
 from topicgauge.sources.state import Epoch, StateMoved, StateStore
 
 
@@ -81,10 +81,8 @@ def cluster_batch(
 def _write_batch(
     epoch: Epoch, store: StateStore, entries: DataFrame, embedder: Embedder, params: Params, now: datetime
 ) -> None:
-    fresh = (
-        entries.dropDuplicates(["response_id"])
-        .join(store.log("assignments").select("response_id"), "response_id", "left_anti")
-    )
+    assigned = lookups.known(store, "assigned", entries)
+    fresh = entries.dropDuplicates(["response_id"]).join(assigned, "response_id", "left_anti")
     embedded = materialize(embed_pairs(fresh, embedder, params.embedding_dim))
     # Another job that takes the same entries meanwhile must not count them too.
     epoch.only_once("assignments", "response_id", embedded.select("response_id"))
@@ -99,7 +97,7 @@ def _write_batch(
         admitted = materialize(golden.admit(rows, goldens, live, params.golden_set_warmup))
         epoch.write("golden_entries", admitted)
         goldens = goldens.unionByName(admitted)
-    flagged = evaluate.flagged_in_batch(rows, store.log("responses"))
+    flagged = lookups.known(store, "flagged", rows)
     sampled = rows.join(flagged, "response_id", "left_semi")
     write_scores(epoch, evaluate.evaluate(sampled, goldens, params), sampled)
 
@@ -124,6 +122,18 @@ def compact_state(store: StateStore) -> None:
     store.publish("compact", work)
 
 
+def compact_lookups(store: StateStore, bucket_rows: int = lookups.BUCKET_ROWS) -> None:
+    """New bases of the ids and of the waiting responses, so that look-ups read less."""
+
+    def work(epoch: Epoch) -> None:
+        then = store.at(epoch.base)
+        epoch.write("ids", lookups.compacted(then, bucket_rows))
+        epoch.write("waiting", lookups.waiting(then))
+
+    with scratch(store.spark):
+        store.publish("compact", work)
+
+
 def evaluate_pending(store: StateStore, embedder: Embedder, params: Params) -> None:
     """Score sampled responses that have a cluster but no score yet."""
     epoch = store.open("evaluate")
@@ -257,9 +267,7 @@ def recover_unclustered(
     All that wait are taken, or the oldest `limit` of them.
     """
     cutoff = _at(now - timedelta(seconds=params.recovery_min_age_s))
-    waiting = recover.unclustered(
-        store.log("responses"), store.log("assignments"), cutoff, store.log("dead_letter")
-    )
+    waiting = lookups.waiting(store).where(F.col("created_at") < cutoff)
     with scratch(store.spark):
         picked = materialize(recover.oldest(waiting, limit))
         entries, skipped = recover.split_recoverable(picked)

@@ -421,6 +421,8 @@ SQL: dict[str, str] = {
     "recovery_oldest": f"""WITH {RESPONSES}, {WAITING}
       SELECT response_id FROM waiting ORDER BY created_at, response_id LIMIT 100""",
     "recovery_all": f"""WITH {RESPONSES}, {WAITING} SELECT response_id, created_at FROM waiting""",
+    "recovery_compacted": f"""WITH {RESPONSES}, {WAITING} SELECT response_id, created_at FROM waiting""",
+    "known_ids": """SELECT event_id::VARCHAR AS response_id, value > 20 AS assigned, user_id % 3 = 0 AS flagged FROM events""",
     "pair_turns_gapped": """WITH t AS (
         SELECT conv_id, turn * 3 + conv_id % 2 AS turn, role, text FROM conversations
         WHERE (conv_id + turn) % 7 <> 3),

@@ -14,11 +14,11 @@ from topicgauge.functions.embedding import HashedWords, try_pairs
 from topicgauge.operators import assign, drift, golden, grow, metrics
 from topicgauge.plans import jobs
 from topicgauge.plans.checked import (
-    PARAMS, _events, _goldens, _labels_as_clusters, anthropic_lines, openai_lines, r6,
+    PARAMS, _events, _goldens, _labels_as_clusters, _recovery, anthropic_lines, openai_lines, r6,
 )
 from topicgauge.schemas import STREAM_ENTRY
 from topicgauge.session import SETTINGS, materialize, shared_dir
-from topicgauge.sources import outbox
+from topicgauge.sources import lookups, outbox
 from topicgauge.sources import tables as src
 from topicgauge.sources.state import StateStore, latest
 from topicgauge.streaming import cluster_stream, drift_stream, transcript_stream
@@ -415,7 +415,48 @@ def state_deltas(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _looked_up(spark: SparkSession, folder: str) -> StateStore:
+    """Events as responses, logged and assigned in parts, before and after the bases of look-ups were made."""
+    responses, done = _recovery(spark, folder)
+    store = StateStore(spark, f"{_work_dir(spark, 'lookups')}/state")
+
+    def add(table: str, rows: DataFrame, number: int) -> None:
+        part = rows.where(F.col("response_id") % 3 == number)
+        lacking = {n: F.lit(None) for n, _ in store.fields(table) if n not in part.columns}
+        store.publish("fill", lambda epoch: epoch.write(table, part.withColumns(lacking)))
+
+    add("responses", responses, 0)
+    add("assignments", done, 1)  # these are logged later
+    jobs.compact_lookups(store, bucket_rows=200)
+    add("responses", responses, 1)
+    add("assignments", done, 0)
+    jobs.compact_lookups(store, bucket_rows=200)
+    add("responses", responses, 2)
+    add("assignments", done, 2)
+    return store
+
+
+def recovery_compacted(spark: SparkSession, folder: str) -> DataFrame:
+    """What waits to be clustered, from the bases and what came since."""
+    waiting = lookups.waiting(_looked_up(spark, folder)).where("created_at < TIMESTAMP '2024-01-25'")
+    return waiting.select(
+        F.col("response_id").cast("bigint").alias("response_id"),
+        F.col("created_at").cast("timestamp_ntz").alias("created_at"),
+    )
+
+
+def known_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each response is assigned and flagged, by its id."""
+    store = _looked_up(spark, folder)
+    ids = src.table(spark, folder, "events").select(F.col("event_id").cast("string").alias("response_id"))
+    for kind in ("assigned", "flagged"):
+        found = lookups.known(store, kind, ids).withColumn(kind, F.lit(True))
+        ids = ids.join(found, "response_id", "left").withColumn(kind, F.coalesce(kind, F.lit(False)))
+    return ids
+
+
 STATEFUL = [
+    recovery_compacted, known_ids,
     state_deltas, poison_rows, drift_detect_merged, stream_transcripts,
     split_job_clusters, split_job_responses, split_job_goldens, manual_goldens, cleared_goldens,
     golden_embeddings, golden_counts, response_lookup, cluster_ids,

@@ -46,6 +46,12 @@ TABLES: dict[str, str] = {
     "sampling": "rows_seen bigint",
 }
 
+# Bases for look-ups by id: what is known of each id, and the responses that wait to be clustered.
+TABLES["ids"] = "response_id string, kind string, buckets int, bucket int"
+TABLES["waiting"] = TABLES["responses"]
+# Columns that are folders of a table.
+FOLDERS = {"ids": ("buckets", "kind", "bucket")}
+
 # What a batch adds to the goldens and to the newest scores.
 TABLES["golden_entries"] = TABLES["goldens"]
 TABLES["recent_entries"] = TABLES["recent"]

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from topicgauge.functions.vectors import cf_centroid, vec_sum
-from topicgauge.schemas import TABLES
+from topicgauge.schemas import FOLDERS, TABLES
 from topicgauge.session import apply_settings, broadcast_if_small
 
 FORMATS = ("parquet", "orc")
@@ -38,7 +38,7 @@ COMMIT = (
     "epoch bigint, job string, batch_id bigint, stream string, tables array<string>, "
     "seq bigint, base bigint, committed_at timestamp"
 )
-SNAPSHOTS = ("clusters", "goldens", "sampling", "recent")
+SNAPSHOTS = ("clusters", "goldens", "sampling", "recent", "ids", "waiting")
 # Logs that add to a snapshot.
 ADDED = {"clusters": "cluster_deltas", "goldens": "golden_entries", "recent": "recent_entries"}
 # Fixed value: what a file system says it can do that refuses to overwrite when a file is closed.
@@ -65,7 +65,7 @@ class Epoch:
     def write(self, table: str, rows: DataFrame) -> None:
         fields = self.store.fields(table)
         typed = rows.select(*[F.col(name).cast(kind).alias(name) for name, kind in fields])
-        self.store.write(typed, self.store.path(table, self.number))
+        self.store.write(typed, self.store.path(table, self.number), *FOLDERS.get(table, ()))
         self.tables.append(table)
 
     def only_once(self, table: str, key: str, rows: DataFrame) -> None:
@@ -119,8 +119,8 @@ class StateStore:
     def path(self, table: str, epoch: int) -> str:
         return f"{self.root}/{table}/epoch={epoch}"
 
-    def write(self, rows: DataFrame, path: str) -> None:
-        rows.write.mode("overwrite").format(self.file_format).save(path)
+    def write(self, rows: DataFrame, path: str, *folders: str) -> None:
+        rows.write.mode("overwrite").partitionBy(*folders).format(self.file_format).save(path)
 
     def _reader(self, schema: str):
         return self.spark.read.schema(schema).format(self.file_format)
@@ -225,21 +225,34 @@ class StateStore:
 
     def snapshot(self, table: str) -> DataFrame:
         """A table as it is now: its last base, and what was added to it since."""
-        holding = self.commits().where(F.array_contains("tables", table))
-        last = holding.orderBy(F.col("seq").desc()).select("epoch", "base").first()
-        base = self.spark.createDataFrame([], TABLES[table])
-        if last is not None:
-            base = self._reader(TABLES[table]).load(self.path(table, last["epoch"]))
+        base, seq = self.based(table)
         if table not in ADDED:
             return base
-        since = -1 if last is None else last["base"]
-        newer = self.commits().where((F.col("seq") > since) & F.array_contains("tables", ADDED[table]))
-        epochs = [e["epoch"] for e in newer.select("epoch").collect()]
+        epochs = self._epochs(ADDED[table], seq)
         if not epochs:
             return base
         more = self.added(ADDED[table], epochs)
         return summed_clusters(base, more) if table == "clusters" else base.unionByName(more)
 
+    def based(self, table: str) -> tuple[DataFrame, int]:
+        """The last base of a table, and the number of the commit up to which it holds all (-1: no base)."""
+        holding = self.commits().where(F.array_contains("tables", table))
+        last = holding.orderBy(F.col("seq").desc()).select("epoch", "base").first()
+        if last is None:
+            return self.spark.createDataFrame([], TABLES[table]), -1
+        return self._reader(TABLES[table]).load(self.path(table, last["epoch"])), last["base"]
+
+    def newer(self, table: str, seq: int) -> DataFrame:
+        """Rows of a log from the commits after `seq`."""
+        if seq < 0:
+            return self.log(table).drop("epoch")
+        epochs = self._epochs(table, seq)
+        return self.added(table, epochs) if epochs else self.spark.createDataFrame([], TABLES[table])
+
+    def _epochs(self, table: str, seq: int) -> list[int]:
+        later = self.commits().where((F.col("seq") > seq) & F.array_contains("tables", table))
+        return [e["epoch"] for e in later.select("epoch").collect()]
+
     def added(self, table: str, epochs: list[int]) -> DataFrame:
         """Rows that these epochs wrote."""
         return self._reader(TABLES[table]).load([self.path(table, epoch) for epoch in epochs])
