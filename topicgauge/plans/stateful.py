@@ -25,6 +25,7 @@ from topicgauge.streaming import cluster_stream, drift_stream, transcript_stream
 
 TOPIC = replace(PARAMS, birch_threshold=0.6)
 NOW = datetime(2024, 2, 1)
+FILE_LINES = 200_000
 
 
 def _work_dir(spark: SparkSession, name: str) -> str:
@@ -257,15 +258,19 @@ def stream_transcripts(spark: SparkSession, folder: str) -> DataFrame:
     part = F.split_part("request_id", F.lit("-"), F.lit(2)).cast("bigint") % 4
     late = (F.pmod(F.xxhash64("request_id", "seq"), F.lit(3)) == 0).cast("int")
     at = F.timestamp_millis(F.lit(1704067200000) + part * 1_000_000 + F.least(F.col("seq"), F.lit(900_000)))
-    lines = materialize(both.withColumns({"at": at, "file": part + late}))
+    lines = materialize(both.withColumns({"at": at, "file": part + late}), "file")
     work = _work_dir(spark, "transcripts")
     # The last batch only says how late it is.
     clock = spark.createDataFrame([("~", 0, "none", "", ": ping")], transcript_stream.LINES).withColumn(
         "at", F.timestamp_millis(F.lit(1704067200000 + 10**8)))
+    # Every batch is the same number of files, of at least FILE_LINES lines unless it is one.
+    counts = {r["file"]: r["count"] for r in lines.groupBy("file").count().collect()}
+    files = max(1, min(64, *(counts.get(number, 0) // FILE_LINES for number in range(5))))
     for number in range(6):
         rows = lines.where(F.col("file") == number).drop("file") if number < 5 else clock
-        rows.coalesce(1).write.mode("append").parquet(f"{work}/lines")
-    stream = spark.readStream.schema(clock.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/lines")
+        rows = rows.coalesce(1) if files == 1 or number == 5 else rows.repartition(files)
+        rows.write.mode("append").parquet(f"{work}/lines")
+    stream = spark.readStream.schema(clock.schema).option("maxFilesPerTrigger", files).parquet(f"{work}/lines")
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, SETTINGS[provider])

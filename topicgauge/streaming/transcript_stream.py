@@ -5,6 +5,10 @@ once its terminal line is there and the watermark has passed that line's time,
 so that no earlier line is still to come; its lines then go out together and the
 batch assembly makes the row. A call that falls silent without a terminal line
 is closed after `idle_s` seconds of event time and gives no row.
+
+Lines are packed as text before the state and unpacked behind it, and what a batch
+brings of a call is kept in runs of at most `RUN` lines, one entry of state each: the
+cost of state follows the calls and not the lines.
 """
 
 from __future__ import annotations
@@ -14,13 +18,17 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from topicgauge.operators.transcripts import DATA_PREFIX, assemble_anthropic, assemble_openai
+from topicgauge.operators.transcripts import DATA_PREFIX, RUN, assemble_anthropic, assemble_openai
+from topicgauge.session import materialize, scratch
 
 LINES = "request_id string, seq bigint, provider string, request_model string, line string"
+LINE = "seq bigint, provider string, request_model string, line string"
+# A run of a finished call: its packed lines, and the number of the call's last line.
+RUNS = "request_id string, run string, last_seq bigint"
 CALL = "ends_at bigint, last_at bigint, timer bigint, last_seq bigint"
 
 
@@ -32,19 +40,20 @@ class OpenCalls(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.lines = handle.getListState("lines", "seq bigint, provider string, request_model string, line string")
+        self.runs = handle.getListState("runs", "run string")
         self.call = handle.getValueState("call", CALL)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        ends_at, last_at, timer, last_seq = self.call.get() if self.call.exists() else (-1, -1, -1, -1)
+        ends_at, last_at, timer, last_seq = self.call.get() or (-1, -1, -1, -1)
         for frame in rows:
-            columns = (frame[c] for c in ("seq", "provider", "request_model", "line"))
-            self.lines.appendList([(int(seq), *rest) for seq, *rest in zip(*columns)])
-            last_at = max(last_at, int(frame["millis"].max()))
+            packed, seqs = frame["packed"].tolist(), frame["seq"]
+            self.runs.appendList([("\n".join(packed[at : at + RUN]),) for at in range(0, len(packed), RUN)])
+            millis = frame["millis"]
+            last_at = max(last_at, int(millis.max()))
             # The first terminal line counts; what follows it is no part of the call.
-            for end in frame[frame["done"]].sort_values("seq").head(1).itertuples():
-                if last_seq < 0 or end.seq < last_seq:
-                    ends_at, last_seq = int(end.millis), int(end.seq)
+            for at in frame["done"].to_numpy().nonzero()[0]:
+                if last_seq < 0 or seqs.iat[at] < last_seq:
+                    ends_at, last_seq = int(millis.iat[at]), int(seqs.iat[at])
         due = ends_at if ends_at >= 0 else last_at + self.idle_ms
         due = max(due, timerValues.getCurrentWatermarkInMs()) + 1
         if due != timer:
@@ -56,13 +65,11 @@ class OpenCalls(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         ends_at, _, _, last_seq = self.call.get()
-        rows = [x for x in self.lines.get() if ends_at >= 0 and x[0] <= last_seq]
-        self.lines.clear()
+        runs = [run for run, in self.runs.get()] if ends_at >= 0 else []
+        self.runs.clear()
         self.call.clear()
-        if rows:
-            frame = pd.DataFrame(rows, columns=["seq", "provider", "request_model", "line"])
-            frame.insert(0, "request_id", key[0])
-            yield frame
+        if runs:
+            yield pd.DataFrame({"request_id": key[0], "run": runs, "last_seq": last_seq})
 
     def close(self) -> None:
         pass
@@ -76,18 +83,29 @@ def finished_calls(lines: DataFrame, delay: str, idle_s: int = 3600) -> DataFram
         F.get_json_object(body, "$.type") == "message_stop"
     )
     done = F.col("line").startswith(DATA_PREFIX) & F.coalesce(ends, F.lit(False))
-    return (
+    runs = (
         lines.withWatermark("at", delay)
-        .withColumn("done", done)
-        .withColumn("millis", F.unix_millis("at"))
+        .select("request_id", "at", "seq", done.alias("done"), F.unix_millis("at").alias("millis"), packed().alias("packed"))
         .groupBy("request_id")
         .transformWithStateInPandas(
             statefulProcessor=OpenCalls(idle_s * 1000),
-            outputStructType=LINES,
+            outputStructType=RUNS,
             outputMode="Append",
             timeMode="EventTime",
         )
     )
+    return runs.select("request_id", "last_seq", unpacked("run")).where("seq <= last_seq").drop("last_seq")
+
+
+def packed() -> Column:
+    """A line as one text that holds no line break."""
+    return F.to_json(F.struct("seq", "provider", "request_model", "line"))
+
+
+def unpacked(run: str) -> Column:
+    """The lines of a run of packed ones, a row each."""
+    each = F.transform(F.split(run, "\n"), lambda x: F.from_json(x, LINE))
+    return F.inline(each)
 
 
 def start(
@@ -97,7 +115,10 @@ def start(
     """Assemble calls as they finish; `sink(rows, batch_id)` gets the uniform rows."""
 
     def assemble(batch: DataFrame, batch_id: int) -> None:
-        sink(assemble_openai(batch).unionByName(assemble_anthropic(batch)), batch_id)
+        # Written once: both assemblies read it, and either would run the state again.
+        with scratch(batch.sparkSession):
+            lines = materialize(batch)
+            sink(assemble_openai(lines).unionByName(assemble_anthropic(lines)), batch_id)
 
     writer = (
         finished_calls(lines, delay, idle_s).writeStream.foreachBatch(assemble)
