@@ -103,3 +103,20 @@ def test_a_batch_meanwhile_is_not_lost_to_the_new_bases(spark, root):
     epoch.commit()
     assert ids_of(lookups.waiting(store)) == ["b", "c"]
     assert ids_of(lookups.known(store, "assigned", frame(spark, ["a"]))) == ["a"]
+
+
+def test_small_buckets_do_not_make_ever_more_folders(spark, root, monkeypatch):
+    """Past the most folders they grow instead; the answers stay."""
+    monkeypatch.setattr(lookups, "MOST_FOLDERS", 8)
+    store = StateStore(spark, root)
+    names = [f"r{i}" for i in range(100)]
+    write(store, "responses", names, sampled=True)
+    write(store, "assignments", names[::2], created_at=T0)
+    jobs.compact_lookups(store, bucket_rows=2)
+    base, _ = store.based("ids")
+    assert base.groupBy("kind").agg(F.count_distinct("bucket").alias("n")).agg(F.max("n")).first()[0] <= 8
+    asked = frame(spark, ["r2", "r3", "new"])
+    found = lookups.known(store, "assigned", asked)
+    assert ids_of(asked.join(found, "response_id", "left_semi")) == ["r2"]
+    assert rows_scanned(found)[0] <= 3
+    assert ids_of(lookups.waiting(store)) == sorted(names[1::2])

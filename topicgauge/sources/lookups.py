@@ -2,7 +2,8 @@
 
 A base holds the ids that are assigned, flagged for evaluation or dead, in
 folders by hash of about `BUCKET_ROWS` ids: as the history grows there are more
-folders, not larger ones. A look-up reads the folders its ids fall into and the
+folders, not larger ones, up to `MOST_FOLDERS` of each kind; files cost more than
+rows beyond. A look-up reads the folders its ids fall into and the
 commits since the base was made, so for a batch of n ids at most 2 n folders
 however long the history is. A second base holds the responses that wait to be
 clustered. Both are rewritten by `plans.jobs.compact_lookups` alone; until that
@@ -22,6 +23,8 @@ from topicgauge.session import materialize
 from topicgauge.sources.state import StateStore
 
 BUCKET_ROWS = 1 << 20
+# Every folder is at least a file to write, to list and to open.
+MOST_FOLDERS = 1024
 # The log that tells of each kind, and which of its rows do.
 KINDS = {"assigned": ("assignments", "true"), "flagged": ("responses", "sampled"), "dead": ("dead_letter", "true")}
 
@@ -57,7 +60,7 @@ def compacted(store: StateStore, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     for kind in KINDS:
         rows = rows.unionByName(_since(store, kind, seq).withColumn("kind", F.lit(kind)))
     rows = materialize(rows.where(F.col("response_id").isNotNull()).distinct())
-    buckets = max(1, math.ceil(rows.count() / bucket_rows))
+    buckets = min(MOST_FOLDERS, max(1, math.ceil(rows.count() / bucket_rows)))
     return rows.withColumn("buckets", F.lit(buckets)).withColumn("bucket", _bucket(buckets)).repartition(
         "kind", "bucket"
     )
