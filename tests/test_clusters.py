@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from topicgauge.functions import vectors as vf
 from topicgauge.operators import assign, cells, golden, grow, knn, split
 from topicgauge.params import Params
-from topicgauge.schemas import TABLES
+from topicgauge.schemas import CANDIDATES, TABLES
 
 P = Params(embedding_dim=8, birch_threshold=0.25, group_rows=50)
 T0 = datetime(2024, 1, 1)
@@ -383,3 +383,27 @@ def test_cells_of_no_clusters_and_of_a_tight_limit(spark):
     assert cells.nearest(queries.limit(0), cells.build(clusters, P), P).count() == 0
     # Room for two directions of eight doubles: two cells, whatever is asked for.
     assert len(cells.build(clusters, replace(P, broadcast_limit_bytes=200), cells=9).centres) == 2
+
+
+def test_a_search_past_the_limit_sends_no_clusters_through_the_driver(spark, monkeypatch):
+    """Repeated and null ids among the queries, null vectors, several blocks: as with the whole matrix."""
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(300, 6))
+    clusters = singles(spark, v)
+    rows = [(i, [float(x) for x in v[j]] if j % 50 else None) for i, j in [(str(j), j) for j in range(60)] + [("1", 1), (None, 2)]]
+    queries = spark.createDataFrame(rows, "item_id string, v array<double>")
+    want = knn.top_candidates(queries, clusters, P).collect()
+
+    def refused(*_):
+        raise AssertionError("clusters sent to the driver")
+
+    monkeypatch.setattr(type(queries), "toArrow", refused)
+    small = replace(P, broadcast_limit_bytes=2000, group_rows=20)
+    found = knn.top_candidates(queries, clusters, small).collect()
+    bare = lambda rows: sorted((str(r["item_id"]), str(r["v"]), [(c["cluster_id"], round(c["sim"], 9), c["absorbs"]) for c in r["candidates"]]) for r in rows)
+    assert bare(found) == bare(want)
+    features = clusters.withColumn("item_id", F.col("cluster_id")).withColumn("block", F.pmod(F.xxhash64("cluster_id"), F.lit(7)))
+    asked = features.drop("cluster_id").withColumn("candidates", F.array().cast(CANDIDATES))
+    lists = [knn.joinable(asked, features.drop("item_id"), p).select("item_id", "candidates").collect() for p in (P, small)]
+    first, second = ({r["item_id"]: [(c["cluster_id"], round(c["sim"], 9)) for c in r["candidates"]] for r in rows} for rows in lists)
+    assert first == second and all(len(c) == P.ann_candidates for c in first.values())

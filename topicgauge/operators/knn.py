@@ -4,11 +4,13 @@ Two ways with the same answer:
 
 * the cluster matrix fits the broadcast limit: every executor gets it once and
   each Arrow batch of queries is one matrix product; nothing shuffles;
-* it does not: the same in passes, each with a slice of the matrix under the
-  limit; a query carries its best K from pass to pass. Nothing shuffles either;
-  the price is one reading of the queries for each slice.
+* it does not: the queries are dealt into parts and the clusters into blocks, and
+  a task compares one part with one block. A part meets every block in one shuffle,
+  so no cluster passes through the driver, and a task holds a part and a block of at
+  most `TILE_BYTES`, whatever the number of either.
 
-Pairs are never emitted: a query carries at most K candidates.
+The grower's search always goes the second way, since it is repeated every round.
+Pairs are never emitted: a query carries at most K candidates from each block.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicgauge.functions.vectors import as_matrix, once, unit_rows
@@ -28,6 +30,10 @@ from topicgauge.session import materialize
 TIE_DIGITS = 12
 # Similarity cells one matrix product may hold at a time (32 MB of doubles).
 PRODUCT_CELLS = 4 << 20
+# Largest matrix that every executor gets whole through the driver, and the largest
+# part or block of one task.
+BROADCAST_BYTES = 16 << 20
+TILE_BYTES = 16 << 20
 # Below any cosine: marks clusters that a query must not find.
 APART = -2.0
 
@@ -42,20 +48,26 @@ def top_candidates(queries: DataFrame, clusters: DataFrame, params: Params) -> D
     live = clusters.where(F.col("ls").isNotNull() & (F.col("n") > 0)).select(
         "cluster_id", "n", "ls", "ss"
     )
-    slices = _slices(live, params)
-    if slices == 0:
+    size = _size(live)
+    if size["rows"] == 0:
         return queries.withColumn("candidates", F.array().cast(CANDIDATES))
-    if slices == 1:
+    if size["bytes"] <= min(params.broadcast_limit_bytes, BROADCAST_BYTES):
         return _by_broadcast(queries, live, params)
-    return _by_slices(queries, live, slices, params)
+    numbered = _numbered(queries)
+    found = _by_tiles(numbered.select("_row", F.col("v").alias("ls")), live, params, size["bytes"])
+    lists = F.coalesce("found", F.array().cast(CANDIDATES))
+    return numbered.join(found, "_row", "left").withColumn("candidates", lists).drop("found", "_row")
 
 
-def _slices(live: DataFrame, params: Params) -> int:
-    """Slices of the cluster matrix that each keep under the broadcast limit."""
-    size = live.agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("ls")).alias("dims")).first()
-    bytes_needed = size["rows"] * ((size["dims"] or 0) + 4) * 8
-    # A slice needs a row, so no more slices than rows.
-    return min(size["rows"], math.ceil(bytes_needed / params.broadcast_limit_bytes))
+def _numbered(queries: DataFrame) -> DataFrame:
+    """`queries` with a number for each row, written so that it stays: ids may repeat."""
+    return materialize(queries.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def _size(rows: DataFrame) -> dict[str, int]:
+    """Rows, and the bytes of their matrix."""
+    size = rows.agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("ls")).alias("dims")).first()
+    return {"rows": size["rows"], "bytes": size["rows"] * (max(size["dims"] or 0, 0) + 4) * 8}
 
 
 def joinable(queries: DataFrame, clusters: DataFrame, params: Params) -> DataFrame:
@@ -66,35 +78,24 @@ def joinable(queries: DataFrame, clusters: DataFrame, params: Params) -> DataFra
     query's own block are not found. `absorbs` says whether the two together
     keep their radius within birch_threshold.
     """
-    context = queries.sparkSession.sparkContext
-    k, threshold = params.ann_candidates, params.birch_threshold
     live = clusters.select("cluster_id", "n", "ls", "ss", "block")
-    slices = _slices(live, params)
-    if slices > 1:
-        live = materialize(live)
-    slice_of = F.pmod(F.xxhash64("cluster_id"), F.lit(max(slices, 1)))
-    for number in range(slices):
-        part = live.where(slice_of == number).toArrow()
-        if part.num_rows == 0:
-            continue
-        search = once(_joinable_with(context.broadcast(loaded(part)), k, threshold))
-        queries = queries.withColumn("candidates", search("ls", "n", "ss", "block", "candidates"))
-        if slices > 1:
-            queries = materialize(queries)
-    return queries
-
-
-def _joinable_with(block, k: int, threshold: float):
-    @F.arrow_udf(CANDIDATES)
-    def merged(ls: pa.Array, n: pa.Array, ss: pa.Array, own: pa.Array, held: pa.Array) -> pa.Array:
-        matrix, _ = as_matrix(ls)
-        if matrix.shape[1] == 0:
-            return held
-        weights = (np.asarray(a, dtype=np.float64) for a in (n, ss))
-        found = top_of(block.value, matrix, k, threshold, *weights, own=np.asarray(own))
-        return _merge(held, candidate_array(block.value, found), k)
-
-    return merged
+    size = _size(live)
+    if size["rows"] == 0:
+        return queries
+    numbered = _numbered(queries)
+    found = _by_tiles(numbered.select("_row", "ls", "n", "ss", "block"), live, params, size["bytes"])
+    held = F.flatten(F.array("candidates", F.coalesce("found", F.array().cast(CANDIDATES))))
+    return numbered.join(found, "_row", "left").withColumn("candidates", _first(held, params)).drop("found", "_row")
+
+
+def _first(candidates: Column, params: Params) -> Column:
+    """The K nearest of a list, nearest first, ties to the smaller id."""
+    far, name = (lambda c: (-c["sim"]).alias("far")), (lambda c: c["cluster_id"].alias("cluster_id"))
+    order = F.transform(
+        candidates, lambda c: F.struct(far(c), c["cluster_id"].isNull().alias("unnamed"), name(c), c["absorbs"].alias("absorbs"))
+    )
+    best = F.slice(F.array_sort(order), 1, params.ann_candidates)
+    return F.transform(best, lambda c: F.struct(name(c), (-c["far"]).alias("sim"), c["absorbs"].alias("absorbs"))).cast(CANDIDATES)
 
 
 # ---- the search itself, on one batch of queries and one set of clusters ------
@@ -208,75 +209,50 @@ _CANDIDATES_ARROW = pa.list_(
 )
 
 
-# ---- the matrix in slices ------------------------------------------------------
+# ---- parts of the queries against blocks of the clusters ------------------------
 
 
-def _by_slices(queries: DataFrame, live: DataFrame, slices: int, params: Params) -> DataFrame:
-    """The whole-matrix search, one slice of the clusters after the other.
+def _by_tiles(queries: DataFrame, clusters: DataFrame, params: Params, cluster_bytes: int) -> DataFrame:
+    """(_row, found): up to K clusters of each query.
 
-    Queries stay where they are; each pass merges a slice's candidates into the
-    running top K and is written, so only one slice is held at a time.
+    `queries`: _row, ls, and n, ss, block where they are clusters themselves.
     """
-    context = queries.sparkSession.sparkContext
-    k, threshold = params.ann_candidates, params.birch_threshold
-    live = materialize(live.withColumn("slice", F.pmod(F.xxhash64("cluster_id"), F.lit(slices))))
-    out = queries.withColumn("candidates", F.array().cast(CANDIDATES))
-    for number in range(slices):
-        part = live.where(F.col("slice") == number).drop("slice").toArrow()
-        if part.num_rows == 0:
-            continue
-        block = context.broadcast(loaded(part))
-        search = once(_pass_of(block, k, threshold))
-        out = materialize(out.withColumn("candidates", search("v", "candidates")))
-        block.destroy()
-    return out
-
-
-def _pass_of(block, k: int, threshold: float):
-    """Search of one slice, merged into what earlier slices gave."""
-
-    @F.arrow_udf(CANDIDATES)
-    def merged(v: pa.Array, held: pa.Array) -> pa.Array:
-        matrix, _ = as_matrix(v)
-        if matrix.shape[1] == 0:
-            return held
-        found = candidate_array(block.value, top_of(block.value, matrix, k, threshold))
-        return _merge(held, found, k)
-
-    return merged
-
-
-def _merge(a: pa.Array, b: pa.Array, k: int) -> pa.Array:
-    """Row-wise top K of two candidate lists, nearest first, ties to the smaller id."""
-    parts = []
-    for lists in (a, b):
-        rows = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths().fill_null(0)))
-        flat = lists.flatten()
-        parts.append(
-            pa.table(
-                {
-                    "row": pa.array(rows),
-                    "far": pa.array(-np.asarray(flat.field("sim"), dtype=np.float64)),
-                    "cluster_id": flat.field("cluster_id"),
-                    "absorbs": flat.field("absorbs"),
-                }
-            )
-        )
-    both = pa.concat_tables(parts).sort_by(
-        [("row", "ascending"), ("far", "ascending"), ("cluster_id", "ascending")]
+    tile_bytes = min(params.broadcast_limit_bytes, TILE_BYTES)
+    blocks = max(1, math.ceil(cluster_bytes / tile_bytes))
+    size = _size(queries)
+    # At least as many tasks as there are cores, if the queries are many enough.
+    spare = queries.sparkSession.sparkContext.defaultParallelism // blocks
+    parts = max(1, math.ceil(size["bytes"] / tile_bytes), min(spare, math.ceil(size["rows"] / params.group_rows)))
+    left = queries.withColumn("_part", F.pmod(F.xxhash64("_row"), F.lit(parts)).cast("int")).withColumn(
+        "_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     )
-    both = both.combine_chunks()
-    row = np.asarray(both["row"])
-    first = np.searchsorted(row, np.arange(len(a) + 1))
-    keep = np.arange(len(row)) - first[row] < k
-    both = both.filter(pa.array(keep)).combine_chunks()
-    offsets = np.searchsorted(np.asarray(both["row"]), np.arange(len(a) + 1)).astype(np.int32)
-    sims = pa.array(-np.asarray(both["far"]))
-    columns = [_whole(both["cluster_id"]), sims, _whole(both["absorbs"])]
-    return pa.ListArray.from_arrays(
-        pa.array(offsets), pa.StructArray.from_arrays(columns, ["cluster_id", "sim", "absorbs"])
+    right = clusters.withColumn("_block", F.pmod(F.xxhash64("cluster_id"), F.lit(blocks)).cast("int")).withColumn(
+        "_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     )
-
-
-def _whole(column: pa.ChunkedArray) -> pa.Array:
-    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks or [pa.array([], column.type)])
+    found = left.groupBy("_part", "_block").cogroup(right.groupBy("_part", "_block")).applyInArrow(
+        _compared(params.ann_candidates, params.birch_threshold), f"_row bigint, found {CANDIDATES}"
+    )
+    if blocks == 1:
+        return found
+    lists = found.groupBy("_row").agg(F.flatten(F.collect_list("found")).alias("found"))
+    return lists.select("_row", _first(F.col("found"), params).alias("found"))
+
+
+def _compared(k: int, threshold: float):
+    """Top K of a part of the queries among one block of clusters."""
+
+    def compare(queries: pa.Table, clusters: pa.Table) -> pa.Table:
+        matrix, _ = as_matrix(queries["ls"])
+        if not queries.num_rows or not clusters.num_rows or matrix.shape[1] == 0:
+            nothing = pa.array([[] for _ in range(queries.num_rows)], type=_CANDIDATES_ARROW)
+            return pa.table({"_row": queries["_row"], "found": nothing})
+        names = [c for c in ("cluster_id", "n", "ls", "ss", "block") if c in clusters.column_names]
+        block = loaded(clusters.select(names))
+        clustered = {}
+        if "ss" in queries.column_names:
+            clustered = {c: np.asarray(queries[c], dtype=np.float64) for c in ("n", "ss")}
+            clustered["own"] = np.asarray(queries["block"])
+        found = candidate_array(block, top_of(block, matrix, k, threshold, **clustered))
+        return pa.table({"_row": queries["_row"], "found": found})
+
+    return compare
