@@ -4,10 +4,12 @@ from dataclasses import replace
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from topicgauge.functions import vectors as vf
+from topicgauge.functions.vectors import as_list_array
 from topicgauge.operators import assign, cells, golden, grow, knn, split
 from topicgauge.params import Params
 from topicgauge.schemas import CANDIDATES, TABLES
@@ -407,3 +409,67 @@ def test_a_search_past_the_limit_sends_no_clusters_through_the_driver(spark, mon
     lists = [knn.joinable(asked, features.drop("item_id"), p).select("item_id", "candidates").collect() for p in (P, small)]
     first, second = ({r["item_id"]: [(c["cluster_id"], round(c["sim"], 9)) for c in r["candidates"]] for r in rows} for rows in lists)
     assert first == second and all(len(c) == P.ann_candidates for c in first.values())
+
+
+class Unmultiplied(np.ndarray):
+    """Directions of clusters that may be looked up, but not multiplied as a whole."""
+
+    @property
+    def T(self):  # noqa: N802
+        raise AssertionError("all products in double precision")
+
+
+def test_the_search_measures_in_full_only_what_may_be_near():
+    """Twins, ties, clusters of the own block and opposite ones: the nearest of the whole product."""
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(900, 16))
+    v[300:340] = v[10] * rng.uniform(1, 3, (40, 1))
+    v[500] = -v[20]
+    table = pa.table({"cluster_id": [f"c{i:04d}" for i in range(900)], "n": np.ones(900, np.int64), "ls": as_list_array(v),
+                      "ss": (v * v).sum(1), "block": np.arange(900) % 7})
+    block = knn.loaded(table)
+    own = np.arange(60) % 9
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for mine in (None, own):
+        sim = np.round(unit[:60] @ unit.T, 12)
+        if mine is not None:
+            sim[mine[:, None] == (np.arange(900) % 7)[None, :]] = knn.APART
+        want = knn.nearest_columns(np.round(sim, 9), 10)
+        position, found, _ = knn.top_of(block | {"unit": block["unit"].view(Unmultiplied)}, v[:60], 10, 0.5, own=mine)
+        np.testing.assert_allclose(found, np.take_along_axis(sim, want, axis=1), atol=1e-9)
+        far = position != want
+        assert (np.abs(np.take_along_axis(sim, position, 1) - np.take_along_axis(sim, want, 1))[far] < 1e-9).all()
+
+
+def test_clusters_of_a_group_look_again_only_where_a_merge_matters(monkeypatch):
+    """Thirty clusters far from all and six of one topic: its merges leave the others' nearest as they are."""
+    seen, plain = [], grow.nearest_columns
+    monkeypatch.setattr(grow, "nearest_columns", lambda sim, keep: seen.append(len(sim)) or plain(sim, keep))
+    rng = np.random.default_rng(3)
+    v = np.eye(40)[np.minimum(np.arange(36), 30)]
+    v[:30, 39], v[30:, 31:39] = 0.5, 0.04 * rng.normal(size=(6, 8))
+    rows = [(f"r{i:03d}", i, 1, list(x), float(x @ x), i % 6) for i, x in enumerate(v)]
+    group = pa.Table.from_pylist([dict(zip(("item_id", "created_at", "n", "ls", "ss", "block"), r, strict=True)) for r in rows])
+    out = grow.merge_group(group, 2, 0.3)
+    want, rounds = merge_plainly([[r[0], r[1], 1, v[i], r[4], r[5], [i]] for i, r in enumerate(rows)], 2, 0.3)
+    assert {r["item_id"]: r["n"] for r in out.to_pylist() if r["n"]} == {c[0]: c[2] for c in want}
+    assert rounds >= 2 and seen[0] == len(v) and sum(seen[1:]) < rounds * len(v) / 2
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 100])
+def test_a_round_writes_little_and_equals_full_search(spark, monkeypatch, limit):
+    """Twins in every block, so that one hub takes them one by one: through the driver's
+    small tables or past its limit."""
+    _, v = topics(5, 60, noise=0.14, seed=9)
+    v[::7] = v[0]
+    writes = []
+    for module in (grow, knn):
+        plain = module.materialize
+        monkeypatch.setattr(module, "materialize", lambda df, plain=plain: writes.append(1) or plain(df))
+    params = replace(P, group_rows=6, ann_candidates=3, broadcast_limit_bytes=limit)
+    want, rounds, made = grow_plainly(v, 3, P.birch_threshold, 6)
+    assert made > 6 and rounds >= 3
+    grown = grow.grow_clusters(frame(spark, v, 3), params)
+    assert len(writes) <= (3 if limit > 100 else 5) * rounds + 9
+    got = {r["response_id"]: r["cluster_id"] for r in grown.members.collect()}
+    assert same_partition([got[i] for i in sorted(want)], [want[i] for i in sorted(want)])

@@ -12,7 +12,7 @@ The rounds run twice by that one rule: first inside groups of `group_rows`
 clusters in time order, all in one task, then over all clusters. There only the
 frontier searches anew: clusters that have changed, and those that held a
 changed one among their candidates; the others only add the changed clusters to
-what they hold. Nothing but `group_rows` and the rows themselves decides,
+what they hold, in the pass that writes the clusters of the next round. Nothing but `group_rows` and the rows themselves decides,
 whatever their number or layout. Rows of one block are exactly the online
 algorithm.
 """
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +29,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicgauge.functions.vectors import as_list_array, as_matrix, doubles, sq_norm_kernel, vec_add
-from topicgauge.operators.knn import APART, TIE_DIGITS, joinable, joined_radius, nearest_columns
+from topicgauge.operators.knn import (
+    APART, BROADCAST_BYTES, TIE_DIGITS, joinable, joined_radius, matrix_bytes, nearest_columns, renewed,
+)
 from topicgauge.operators.sampling import arrival_positions
 from topicgauge.params import Params
 from topicgauge.schemas import CANDIDATES
 from topicgauge.session import broadcast_if_small, materialize
 
+# Below APART: marks clusters that have gone into another.
+GONE = -3.0
+# Rounds whose moves are kept in files of their own.
+MOVES = 16
+# What an edge between two clusters takes, with its two ids.
+EDGE_BYTES = 128
+
 GROWN = "item_id string, founder_id string, created_at timestamp, n bigint, ls array<double>, ss double"
 CLUSTERS = "item_id string, top string, created_at timestamp, n bigint, ls array<double>, ss double, block bigint"
 
@@ -96,16 +106,43 @@ def merge_clusters(clusters: DataFrame, params: Params) -> tuple[DataFrame, Data
         # One group held them all: its rounds have ended, there are no others to meet.
         return left, tops
     none = F.array().cast(CANDIDATES)
-    left = left.withColumn("candidates", none).withColumn("changed", F.lit(True)).withColumn("frontier", F.lit(True))
+    size = left.agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("ls")).alias("dims")).first()
+    rows, dims = size["rows"], size["dims"]
+    left = _written(left.withColumn("candidates", none).withColumn("frontier", F.lit(True)))
+    moves: list[DataFrame] = []
+    while True:
+        left = _searched(left, params, dims, rows)
+        pairs, count = _partners(left, params, rows)
+        if not count:
+            return left.drop("candidates", "frontier", "_row"), _followed(tops, moves, params)
+        moves.append(pairs)
+        if len(moves) == MOVES:
+            moves = [materialize(reduce(DataFrame.unionByName, moves))]
+        left = _written(_merged(left, pairs, count, params, dims))
+        rows -= count
+
+
+def _written(clusters: DataFrame) -> DataFrame:
+    """The clusters of a round, with a number for each that stays."""
+    return materialize(clusters.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def _followed(tops: DataFrame, moves: list[DataFrame], params: Params) -> DataFrame:
+    """(item_id, top) after the pairs of all rounds; a cluster goes into another only once."""
+    if not moves:
+        return tops
+    moved = reduce(DataFrame.unionByName, moves)
     while True:
-        left = materialize(_searched(left, params))
-        pairs = materialize(_partners(left))
-        if pairs.isEmpty():
-            return left.drop("candidates", "changed", "frontier"), tops
-        moved = pairs.select(F.col("late").alias("top"), "early")
-        moved = tops.join(broadcast_if_small(moved, params.broadcast_limit_bytes), "top", "left")
-        tops = materialize(moved.select("item_id", F.coalesce("early", "top").alias("top")))
-        left = materialize(_merged(left, pairs, params))
+        # Each step follows twice as many moves.
+        on = moved.select(F.col("late").alias("early"), F.col("early").alias("further"))
+        steps = moved.join(broadcast_if_small(on, params.broadcast_limit_bytes), "early", "left")
+        further = F.col("further").isNotNull().alias("further")
+        moved = materialize(steps.select("late", F.coalesce("further", "early").alias("early"), further))
+        if moved.where("further").isEmpty():
+            break
+        moved = moved.drop("further")
+    moved = broadcast_if_small(moved.select(F.col("late").alias("top"), "early"), params.broadcast_limit_bytes)
+    return tops.join(moved, "top", "left").select("item_id", F.coalesce("early", "top").alias("top"))
 
 
 def _pass(items: DataFrame, params: Params) -> DataFrame:
@@ -118,21 +155,22 @@ def _pass(items: DataFrame, params: Params) -> DataFrame:
     return items.groupBy("block").applyInArrow(run, GROWN)
 
 
-def _searched(clusters: DataFrame, params: Params) -> DataFrame:
-    """The frontier's candidates among all clusters; the others' among the changed ones."""
+def _searched(clusters: DataFrame, params: Params, dims: int, rows: int) -> DataFrame:
+    """`clusters`, those of the frontier with their candidates among all of them."""
     named = clusters.withColumnRenamed("item_id", "cluster_id")
-    fresh = joinable(clusters.where("frontier"), named, params)
-    held = joinable(clusters.where("NOT frontier"), named.where("changed"), params)
-    return fresh.unionByName(held)
+    fresh = materialize(joinable(clusters.where("frontier"), named, params, dims, rows))
+    return clusters.where("NOT frontier").unionByName(fresh)
 
 
-def _partners(clusters: DataFrame) -> DataFrame:
-    """(early, late): pairs of clusters that merge in this round."""
+def _partners(clusters: DataFrame, params: Params, rows: int) -> tuple[DataFrame, int]:
+    """(early, late) and their number: pairs of the `rows` clusters that merge in this round."""
     first = F.try_element_at(F.filter("candidates", lambda c: c["absorbs"] & (c["sim"] > -1.0)), F.lit(1))
     found = clusters.select("item_id", "created_at", first.alias("c")).where("c IS NOT NULL")
     found = found.select("item_id", "created_at", F.col("c.cluster_id").alias("other_id"), F.col("c.sim").alias("sim"))
+    most = _limit(params) // EDGE_BYTES
+    few = rows <= most or found.count() <= most
     other = clusters.select(F.col("item_id").alias("other_id"), F.col("created_at").alias("other_at"))
-    both = found.join(other, "other_id")
+    both = (F.broadcast(found) if few else found).join(other, "other_id")
     first = F.struct("created_at", "item_id") < F.struct(
         F.col("other_at").alias("created_at"), F.col("other_id").alias("item_id")
     )
@@ -141,53 +179,81 @@ def _partners(clusters: DataFrame) -> DataFrame:
         F.when(first, F.col("item_id")).otherwise(F.col("other_id")).alias("early"),
         F.when(first, F.col("other_id")).otherwise(F.col("item_id")).alias("late"),
     )
+    if few:
+        table = edges.toArrow()
+        if not table.num_rows:
+            return edges.select("early", "late"), 0
+        ids, places = np.unique([*table["early"].to_pylist(), *table["late"].to_pylist()], return_inverse=True)
+        early, late = mutual(*np.split(places, 2), -np.asarray(table["sim"]))
+        pairs = pa.table({"early": pa.array(ids[early], pa.string()), "late": pa.array(ids[late], pa.string())})
+        return clusters.sparkSession.createDataFrame(pairs, "early string, late string"), len(early)
     # An edge seen from both sides is one; the best of all is the best of both its ends.
     ends = edges.withColumn("end", F.explode(F.array("early", "late")))
     # A hub is the end of many edges: least is an aggregate, so it needs no sorting in one task.
     best = ends.groupBy("end").agg(F.min(F.struct(-F.col("sim"), "early", "late")).alias("e"))
     pairs = best.select(F.col("e.early").alias("early"), F.col("e.late").alias("late"))
-    return pairs.groupBy("early", "late").agg(F.count(F.lit(1)).alias("sides")).where("sides = 2").drop("sides")
+    pairs = pairs.groupBy("early", "late").agg(F.count(F.lit(1)).alias("sides")).where("sides = 2").drop("sides")
+    pairs = materialize(pairs)
+    return pairs, pairs.count()
+
+
+def mutual(early: np.ndarray, late: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The edges that are the best of both their ends: nearest, then first by the numbers of the ends."""
+    end = np.concatenate([early, late])
+    edge = np.tile(np.arange(len(early)), 2)
+    order = np.lexsort((late[edge], early[edge], far[edge], end))
+    _, head = np.unique(end[order], return_index=True)
+    best = edge[order][head]
+    pairs, sides = np.unique(np.stack([early[best], late[best]], axis=1), axis=0, return_counts=True)
+    early, late = pairs[sides == 2].T
+    return early, late
 
 
-def _merged(clusters: DataFrame, pairs: DataFrame, params: Params) -> DataFrame:
-    """Clusters with the later one of each pair added to the earlier, and the next frontier."""
-    gone = pairs.select(F.col("late").alias("item_id"))
-    added = clusters.join(pairs.withColumnRenamed("late", "item_id"), "item_id").select(
-        F.col("early").alias("item_id"),
-        F.col("n").alias("more_n"),
-        F.col("ls").alias("more_ls"),
-        F.col("ss").alias("more_ss"),
+def _limit(params: Params) -> int:
+    """What may pass through the driver in a round."""
+    return min(params.broadcast_limit_bytes, BROADCAST_BYTES)
+
+
+def _merged(clusters: DataFrame, pairs: DataFrame, count: int, params: Params, dims: int) -> DataFrame:
+    """Clusters with the later one of each of `count` pairs added to the earlier, and the next frontier."""
+    none = F.array().cast(CANDIDATES)
+    few = matrix_bytes(count, dims) + 2 * count * EDGE_BYTES <= _limit(params)
+    ends = pairs.select(F.explode(F.array("early", "late")).alias("item_id"), F.col("early").alias("into"))
+    ends = F.broadcast(ends) if few else ends
+    both = clusters.drop("candidates", "frontier", "_row").join(ends, "item_id")
+    both = both if few else materialize(both)
+    added = both.where("item_id != into").select(
+        "into", F.col("n").alias("more_n"), F.col("ls").alias("more_ls"), F.col("ss").alias("more_ss")
     )
-    touched = pairs.select(F.explode(F.array("early", "late")).alias("other"))
-    touched = broadcast_if_small(touched, params.broadcast_limit_bytes)
-    held = clusters.select("item_id", F.explode("candidates.cluster_id").alias("other"))
-    lost = held.join(touched, "other", "left_semi").select("item_id").distinct().withColumn("lost", F.lit(True))
-    changed = F.col("more_n").isNotNull()
-    frontier = changed | F.coalesce("lost", F.lit(False))
-    return (
-        clusters.join(gone, "item_id", "left_anti")
-        .join(added, "item_id", "left")
-        .join(lost, "item_id", "left")
-        .select(
+    changed = materialize(
+        both.where("item_id = into").join(F.broadcast(added) if few else added, "into").select(
             "item_id",
             "created_at",
-            (F.col("n") + F.coalesce("more_n", F.lit(0))).alias("n"),
-            F.when(changed, vec_add(F.col("ls"), F.col("more_ls"))).otherwise(F.col("ls")).alias("ls"),
-            (F.col("ss") + F.coalesce("more_ss", F.lit(0.0))).alias("ss"),
+            (F.col("n") + F.col("more_n")).alias("n"),
+            vec_add(F.col("ls"), F.col("more_ls")).alias("ls"),
+            (F.col("ss") + F.col("more_ss")).alias("ss"),
             "block",
-            F.when(frontier, F.array().cast(CANDIDATES)).otherwise(F.col("candidates")).alias("candidates"),
-            changed.alias("changed"),
-            frontier.alias("frontier"),
         )
     )
+    rest = clusters.drop("_row").join(ends, "item_id", "left_anti")
+    if few:
+        named = changed.withColumnRenamed("item_id", "cluster_id").drop("created_at").toArrow()
+        touched = pairs.toArrow()
+        touched = pa.concat_arrays([c for name in ("early", "late") for c in touched[name].chunks])
+        rest = renewed(rest, named, touched, params)
+    else:
+        # Too many have changed to be held against all others in one go: all search anew.
+        rest = rest.withColumn("candidates", none).withColumn("frontier", F.lit(True))
+    return rest.unionByName(changed.withColumn("candidates", none).withColumn("frontier", F.lit(True)))
 
 
 def merge_group(group: pa.Table, k: int, threshold: float) -> pa.Table:
     """The rounds of merging inside one group of clusters.
 
     Every cluster comes back with the one it is part of; those that are left
-    also carry their features. Inner products are kept as a matrix, to which a
-    merge adds one row and one column.
+    also carry their features. Inner products and cosines are kept as matrices, to
+    which a merge adds one row and one column; the nearest of a cluster are kept
+    until a merge may alter them.
     """
     # In the order of ids, which settles ties, as everywhere.
     group = group.combine_chunks().sort_by("item_id")
@@ -201,49 +267,53 @@ def merge_group(group: pa.Table, k: int, threshold: float) -> pa.Table:
     age = np.empty(count, np.int64)
     age[np.asarray(in_time["at"])] = np.arange(count)
     gram = vectors @ vectors.T
+    length = np.sqrt(np.maximum(np.diagonal(gram), 0.0))
+    inverse = np.divide(1.0, length, out=np.zeros(count), where=length > 0)
+    sim = np.round(gram * inverse[:, None] * inverse[None, :], TIE_DIGITS)
+    sim[block[:, None] == block[None, :]] = APART
+    keep = min(k, count)
+    near = nearest_columns(sim, keep)
     top = np.arange(count)
-    alive = np.arange(count)
-    while len(alive) > 1:
-        length = np.sqrt(np.maximum(np.diagonal(gram), 0.0))
-        inverse = np.divide(1.0, length, out=np.zeros(len(alive)), where=length > 0)
-        sim = np.round(gram * inverse[:, None] * inverse[None, :], TIE_DIGITS)
-        sim[block[alive][:, None] == block[alive][None, :]] = APART
-        near = nearest_columns(sim, min(k, len(alive)))
-        sim = np.take_along_axis(sim, near, axis=1)
-        weight, square = n[alive], ss[alive]
+    gone = np.zeros(count, bool)
+    while True:
+        close = np.take_along_axis(sim, near, axis=1)
         radius = joined_radius(
-            sim, weight[near], square[near], length[near], weight[:, None], square[:, None], length[:, None]
+            close, n[near], ss[near], length[near], n[:, None], ss[:, None], length[:, None]
         )
-        fits = (radius <= threshold) & (sim > -1.0)
+        fits = (radius <= threshold) & (close > -1.0) & ~gone[:, None]
         asks = np.flatnonzero(fits.any(axis=1))
         if not len(asks):
             break
         first = fits[asks].argmax(axis=1)
-        other, sim = near[asks, first], sim[asks, first]
-        older = age[alive[asks]] < age[alive[other]]
+        other, far = near[asks, first], -close[asks, first]
+        older = age[asks] < age[other]
         early, late = np.where(older, asks, other), np.where(older, other, asks)
-        # The best edge of each end, then the edges that are the best of both.
-        end = np.concatenate([early, late])
-        edge = np.tile(np.arange(len(early)), 2)
-        order = np.lexsort((late[edge], early[edge], -sim[edge], end))
-        _, head = np.unique(end[order], return_index=True)
-        best = edge[order][head]
-        pairs, sides = np.unique(np.stack([early[best], late[best]], axis=1), axis=0, return_counts=True)
-        early, late = pairs[sides == 2].T
+        early, late = mutual(early, late, far)
         for values in (n, ss):
-            np.add.at(values, alive[early], values[alive[late]])
-        vectors[alive[early]] += vectors[alive[late]]
-        top[alive[late]] = alive[early]
+            np.add.at(values, early, values[late])
+        vectors[early] += vectors[late]
+        top[late] = early
+        gone[late] = True
         gram[early] += gram[late]
         gram[:, early] += gram[:, late]
-        stay = np.ones(len(alive), bool)
-        stay[late] = False
-        alive, gram = alive[stay], gram[np.ix_(stay, stay)]
+        # Only rows and columns of changed clusters are measured anew.
+        length[early] = np.sqrt(np.maximum(gram[early, early], 0.0))
+        inverse[early] = np.divide(1.0, length[early], out=np.zeros(len(early)), where=length[early] > 0)
+        apart = block[early][:, None] == block[None, :]
+        row = np.round(gram[early] * inverse[early][:, None] * inverse[None, :], TIE_DIGITS)
+        column = np.round(gram[:, early] * inverse[:, None] * inverse[None, early], TIE_DIGITS)
+        row[apart], column[apart.T] = APART, APART
+        row[:, gone], column[gone] = GONE, GONE
+        sim[early], sim[:, early], sim[late], sim[:, late] = row, column, GONE, GONE
+        # A cluster looks again if it or one of its nearest changed, or a changed one is as near.
+        touched = np.zeros(count, bool)
+        touched[early] = touched[late] = True
+        again = touched | touched[near].any(axis=1)
+        again |= (column >= close[:, -1:]).any(axis=1)
+        again = np.flatnonzero(again & ~gone)
+        near[again] = nearest_columns(sim[again], keep)
     while (top[top] != top).any():
         top = top[top]
-    left = np.zeros(count, bool)
-    left[alive] = True
-    gone = ~left
     return pa.table(
         {
             "item_id": group["item_id"],

@@ -19,6 +19,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,8 @@ PRODUCT_CELLS = 4 << 20
 # part or block of one task.
 BROADCAST_BYTES = 16 << 20
 TILE_BYTES = 16 << 20
+# Columns of a product whose one maximum stands for them in the bound of the K-th.
+SET = 64
 # Below any cosine: marks clusters that a query must not find.
 APART = -2.0
 
@@ -64,28 +67,98 @@ def _numbered(queries: DataFrame) -> DataFrame:
     return materialize(queries.withColumn("_row", F.monotonically_increasing_id()))
 
 
-def _size(rows: DataFrame) -> dict[str, int]:
-    """Rows, and the bytes of their matrix."""
-    size = rows.agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("ls")).alias("dims")).first()
-    return {"rows": size["rows"], "bytes": size["rows"] * (max(size["dims"] or 0, 0) + 4) * 8}
+def _size(rows: DataFrame, dims: int | None = None) -> dict[str, int]:
+    """Rows, and the bytes of their matrix; where `dims` is known, no vector is read."""
+    if dims is None:
+        size = rows.agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("ls")).alias("dims")).first()
+        return {"rows": size["rows"], "bytes": matrix_bytes(size["rows"], size["dims"] or 0)}
+    count = rows.count()
+    return {"rows": count, "bytes": matrix_bytes(count, dims)}
 
 
-def joinable(queries: DataFrame, clusters: DataFrame, params: Params) -> DataFrame:
+def matrix_bytes(rows: int, dims: int) -> int:
+    return rows * (max(dims, 0) + 4) * 8
+
+
+def joinable(
+    queries: DataFrame, clusters: DataFrame, params: Params, dims: int | None = None, rows: int | None = None
+) -> DataFrame:
     """`queries` with their `candidates` joined by the nearest of `clusters`, K in all.
 
     Both are clusters: queries with item_id, n, ls, ss, block and the candidates
     held so far, clusters with cluster_id, n, ls, ss, block. Clusters of a
     query's own block are not found. `absorbs` says whether the two together
-    keep their radius within birch_threshold.
+    keep their radius within birch_threshold. Callers that know them give the size
+    of the vectors, the number of clusters, and a `_row` of their own that stays.
     """
     live = clusters.select("cluster_id", "n", "ls", "ss", "block")
-    size = _size(live)
+    size = _size(live, dims) if rows is None else {"rows": rows, "bytes": matrix_bytes(rows, dims or 0)}
     if size["rows"] == 0:
         return queries
-    numbered = _numbered(queries)
-    found = _by_tiles(numbered.select("_row", "ls", "n", "ss", "block"), live, params, size["bytes"])
+    numbered = queries if "_row" in queries.columns else _numbered(queries)
+    found = _by_tiles(numbered.select("_row", "ls", "n", "ss", "block"), live, params, size["bytes"], dims)
     held = F.flatten(F.array("candidates", F.coalesce("found", F.array().cast(CANDIDATES))))
-    return numbered.join(found, "_row", "left").withColumn("candidates", _first(held, params)).drop("found", "_row")
+    listed = numbered.join(found, "_row", "left").withColumn("candidates", _first(held, params))
+    return listed.select(queries.columns)
+
+
+def renewed(queries: DataFrame, changed: pa.Table, touched: pa.Array, params: Params) -> DataFrame:
+    """`queries` with the `candidates` they hold once some clusters have changed, and `frontier`.
+
+    `queries` as in `joinable`, each with its K nearest clusters of other blocks or
+    all of them; `changed` the clusters as they now are, with the columns of the
+    clusters there; `touched` the ids that are no longer what they were. Changed
+    clusters that are near enough take their place. Whoever held a touched one may
+    now have others among its nearest: it is in the `frontier`, with no candidates.
+    """
+    k, threshold = params.ann_candidates, params.birch_threshold
+    block = queries.sparkSession.sparkContext.broadcast((loaded(changed), touched))
+
+    @F.arrow_udf(f"struct<lost:boolean,found:{CANDIDATES}>")
+    def look(ls: pa.Array, n: pa.Array, ss: pa.Array, own: pa.Array, candidates: pa.Array) -> pa.Array:
+        fresh, ids = block.value
+        matrix, _ = as_matrix(ls)
+        n, ss, own = (np.asarray(c, dtype=kind) for c, kind in ((n, float), (ss, float), (own, np.int64)))
+        held = candidates.flatten()
+        counts = np.asarray(candidates.value_lengths().fill_null(0))
+        sims = np.asarray(pc.struct_field(held, "sim"))
+        row = np.repeat(np.arange(len(counts)), counts)
+        lost = np.zeros(len(counts), bool)
+        lost[row[np.asarray(pc.is_in(pc.struct_field(held, "cluster_id"), value_set=ids))]] = True
+        # A changed cluster must be as near as the last of a full list.
+        floor = np.full(len(counts), APART)
+        full = counts >= k
+        floor[full] = sims[np.cumsum(counts)[full] - 1]
+        rows = np.flatnonzero(~lost & (matrix.shape[1] > 0))
+        rows = rows[_reached(matrix[rows], fresh, own[rows], floor[rows])] if len(rows) else rows
+        found = pa.array([], type=_CANDIDATES_ARROW)
+        if len(rows):
+            found = candidate_array(fresh, top_of(fresh, matrix[rows], k, threshold, n[rows], ss[rows], own[rows]))
+        place = np.full(len(counts), -1)
+        place[rows] = np.arange(len(rows))
+        return pa.StructArray.from_arrays(
+            [pa.array(lost), found.take(pa.array(place, mask=place < 0))], ["lost", "found"]
+        )
+
+    seen = queries.withColumn("_seen", once(look)("ls", "n", "ss", "block", "candidates"))
+    none = F.array().cast(CANDIDATES)
+    joined = F.when(F.size("_seen.found") > 0, _first(F.flatten(F.array("candidates", "_seen.found")), params))
+    return seen.withColumn(
+        "candidates", F.when(F.col("_seen.lost"), none).otherwise(F.coalesce(joined, F.col("candidates")))
+    ).withColumn("frontier", F.col("_seen.lost")).drop("_seen")
+
+
+def _reached(points: np.ndarray, block: dict, own: np.ndarray, floor: np.ndarray) -> np.ndarray:
+    """Which points may have a cluster of other blocks as near as their `floor`: none is missed."""
+    directions, _ = unit_rows(points)
+    step = max(1, PRODUCT_CELLS // len(block["n"]))
+    out = np.zeros(len(points), bool)
+    for at in range(0, len(points), step):
+        part = slice(at, at + step)
+        rough = directions[part].astype(np.float32) @ block["rough"].T
+        _leave_out(rough, block, own[part])
+        out[part] = rough.max(axis=1) >= np.maximum(floor[part] - _slack(points.shape[1]), APART / 2 - 0.5)
+    return out
 
 
 def _first(candidates: Column, params: Params) -> Column:
@@ -106,10 +179,16 @@ def loaded(table: pa.Table) -> dict:
     table = table.combine_chunks().sort_by("cluster_id")
     matrix, _ = as_matrix(table["ls"])
     directions, lengths = unit_rows(matrix)
-    own = {"block": np.asarray(table["block"])} if "block" in table.column_names else {}
+    own = {}
+    if "block" in table.column_names:
+        blocks = np.asarray(table["block"])
+        by_block = np.argsort(blocks, kind="stable")
+        names, starts = np.unique(blocks[by_block], return_index=True)
+        own["columns"] = dict(zip(names.tolist(), np.split(by_block, starts[1:]), strict=True))
     return own | {
         "ids": table["cluster_id"].combine_chunks(),
         "unit": directions,
+        "rough": directions.astype(np.float32),
         "length": lengths,
         "n": np.asarray(table["n"], dtype=np.float64),
         "ss": np.asarray(table["ss"], dtype=np.float64),
@@ -133,6 +212,53 @@ def nearest_columns(sim: np.ndarray, keep: int) -> np.ndarray:
     return np.take_along_axis(cols, order, axis=1)
 
 
+def _nearest(directions: np.ndarray, block: dict, keep: int, own: np.ndarray | None):
+    """(positions, sims) of the `keep` nearest clusters of each direction.
+
+    A product in single precision leaves out what cannot be among them, whatever its
+    error; what is left is measured in full. The bound is the `keep`-th of the maxima
+    of sets of columns: as many columns reach it.
+    """
+    rows, clusters = len(directions), len(block["n"])
+    size = min(SET, clusters // (4 * keep))
+    if size >= 2:
+        rough = directions.astype(np.float32) @ block["rough"].T
+        if own is not None:
+            _leave_out(rough, block, own)
+        sets = clusters // size
+        peaks = rough[:, : sets * size].reshape(rows, size, sets).max(axis=1)
+        bound = np.partition(peaks, sets - keep, axis=1)[:, sets - keep]
+        row, column = np.divmod(np.flatnonzero(rough >= (bound - np.float32(_slack(directions.shape[1])))[:, None]), clusters)
+        if len(row) <= rough.size // 8 and bound.min() > APART / 2 and not np.isnan(peaks).any():
+            exact = np.empty(len(row))
+            for at in range(0, len(row), 1 << 15):
+                r, c = row[at : at + (1 << 15)], column[at : at + (1 << 15)]
+                exact[at : at + (1 << 15)] = np.einsum("ij,ij->i", directions[r], block["unit"][c])
+            exact = np.round(exact, TIE_DIGITS)
+            order = np.lexsort((column, -exact, row))
+            first = np.searchsorted(row, np.arange(rows))
+            best = order[first[:, None] + np.arange(keep)[None, :]]
+            return column[best], exact[best]
+    sim = np.round(directions @ block["unit"].T, TIE_DIGITS)
+    if own is not None:
+        _leave_out(sim, block, own)
+    columns = nearest_columns(sim, keep)
+    return columns, np.take_along_axis(sim, columns, axis=1)
+
+
+def _slack(dims: int) -> float:
+    """Twice the error of a cosine in single precision, and ties after rounding."""
+    return (dims + 8) * 2.0**-23 + 10.0 ** (1 - TIE_DIGITS)
+
+
+def _leave_out(sim: np.ndarray, block: dict, own: np.ndarray) -> None:
+    """Marks the clusters of each row's own block."""
+    for name in np.unique(own):
+        mine = block["columns"].get(name)
+        if mine is not None:
+            sim[np.ix_(np.flatnonzero(own == name), mine)] = APART
+
+
 def joined_radius(sim, a_n, a_ss, a_length, b_n, b_ss, b_length) -> np.ndarray:
     """Radius of two clustering features together, from their cosine."""
     joined = a_length**2 + 2 * sim * a_length * b_length + b_length**2
@@ -150,17 +276,13 @@ def top_of(block: dict, points: np.ndarray, k: int, threshold: float, n=None, ss
     clusters = len(block["n"])
     keep = min(k, clusters)
     step = max(1, PRODUCT_CELLS // clusters)
-    positions, sims = [], []
+    # Points of one block next to each other, so that few blocks are left out of a product.
+    order = np.arange(len(points)) if own is None else np.argsort(own, kind="stable")
+    position = np.empty((len(points), keep), np.int64)
+    sim = np.empty((len(points), keep))
     for at in range(0, len(points), step):
-        exact = directions[at : at + step] @ block["unit"].T
-        sim = np.round(exact, TIE_DIGITS)
-        if own is not None:
-            sim[block["block"][None, :] == own[at : at + step, None]] = APART
-        cols = nearest_columns(sim, keep)
-        positions.append(cols)
-        sims.append(np.take_along_axis(sim, cols, axis=1))
-    position = np.vstack(positions)
-    sim = np.vstack(sims)
+        rows = order[at : at + step]
+        position[rows], sim[rows] = _nearest(directions[rows], block, keep, None if own is None else own[rows])
     n = np.ones(len(points)) if n is None else n
     ss = lengths**2 if ss is None else ss
     radius = joined_radius(
@@ -212,14 +334,16 @@ _CANDIDATES_ARROW = pa.list_(
 # ---- parts of the queries against blocks of the clusters ------------------------
 
 
-def _by_tiles(queries: DataFrame, clusters: DataFrame, params: Params, cluster_bytes: int) -> DataFrame:
+def _by_tiles(
+    queries: DataFrame, clusters: DataFrame, params: Params, cluster_bytes: int, dims: int | None = None
+) -> DataFrame:
     """(_row, found): up to K clusters of each query.
 
     `queries`: _row, ls, and n, ss, block where they are clusters themselves.
     """
     tile_bytes = min(params.broadcast_limit_bytes, TILE_BYTES)
     blocks = max(1, math.ceil(cluster_bytes / tile_bytes))
-    size = _size(queries)
+    size = _size(queries, dims)
     # At least as many tasks as there are cores, if the queries are many enough.
     spare = queries.sparkSession.sparkContext.defaultParallelism // blocks
     parts = max(1, math.ceil(size["bytes"] / tile_bytes), min(spare, math.ceil(size["rows"] / params.group_rows)))
