@@ -456,10 +456,11 @@ def test_clusters_of_a_group_look_again_only_where_a_merge_matters(monkeypatch):
     assert rounds >= 2 and seen[0] == len(v) and sum(seen[1:]) < rounds * len(v) / 2
 
 
-@pytest.mark.parametrize("limit", [1 << 20, 100])
-def test_a_round_writes_little_and_equals_full_search(spark, monkeypatch, limit):
-    """Twins in every block, so that one hub takes them one by one: through the driver's
-    small tables or past its limit."""
+@pytest.mark.parametrize(("limit", "cells"), [(1 << 20, 1 << 31), (1 << 20, 0), (100, 0)])
+def test_a_round_writes_little_and_equals_full_search(spark, monkeypatch, limit, cells):
+    """Twins in every block, so that one hub takes them one by one: in one task, through
+    the driver's small tables, or past its limit."""
+    monkeypatch.setattr(grow, "LAST_CELLS", cells, raising=False)
     _, v = topics(5, 60, noise=0.14, seed=9)
     v[::7] = v[0]
     writes = []
@@ -470,6 +471,28 @@ def test_a_round_writes_little_and_equals_full_search(spark, monkeypatch, limit)
     want, rounds, made = grow_plainly(v, 3, P.birch_threshold, 6)
     assert made > 6 and rounds >= 3
     grown = grow.grow_clusters(frame(spark, v, 3), params)
-    assert len(writes) <= (3 if limit > 100 else 5) * rounds + 9
+    assert len(writes) <= (0 if cells else 3 if limit > 100 else 5) * rounds + 10
     got = {r["response_id"]: r["cluster_id"] for r in grown.members.collect()}
     assert same_partition([got[i] for i in sorted(want)], [want[i] for i in sorted(want)])
+
+
+@pytest.mark.parametrize("k", [1, 3, 10])
+def test_the_last_rounds_in_one_task_equal_those_with_full_searches(k):
+    """Hubs, twins, zero vectors, few and many blocks; lists held from before, whole or cut at k."""
+    rng = np.random.default_rng(k)
+    for _ in range(40):
+        count, dim = int(rng.integers(2, 120)), int(rng.integers(2, 8))
+        v = rng.normal(size=(4, dim))[rng.integers(0, 4, count)] + rng.choice([0, 0.1, 0.4]) * rng.normal(size=(count, dim))
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        v[rng.integers(0, count)] *= rng.integers(0, 2)
+        n = rng.integers(1, 4, count).astype(float)
+        group = pa.table({"item_id": [f"r{i:03d}" for i in range(count)], "created_at": rng.integers(0, 20, count), "n": n.astype(np.int64),
+                          "ls": as_list_array(v * n[:, None]), "ss": n * (v * v).sum(1), "block": rng.integers(0, 6, count)})
+        block = knn.loaded(group.rename_columns({"item_id": "cluster_id"}))
+        lists = knn.candidate_array(block, knn.top_of(block, v * n[:, None], k, 0.3, n, n * (v * v).sum(1), np.asarray(group["block"])))
+        want = grow.merge_group(group, k, 0.3)
+        none = pa.array([[]] * count, type=lists.type)
+        for candidates, frontier in ((none, True), (lists, False)):
+            asked = group.append_column("candidates", candidates).append_column("frontier", pa.array(np.full(count, frontier)))
+            got = grow.merge_rest(asked, k, 0.3)
+            assert got["top"].equals(want["top"]) and got["n"].equals(want["n"])

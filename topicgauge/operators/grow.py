@@ -12,7 +12,9 @@ The rounds run twice by that one rule: first inside groups of `group_rows`
 clusters in time order, all in one task, then over all clusters. There only the
 frontier searches anew: clusters that have changed, and those that held a
 changed one among their candidates; the others only add the changed clusters to
-what they hold, in the pass that writes the clusters of the next round. Nothing but `group_rows` and the rows themselves decides,
+what they hold, in the pass that writes the clusters of the next round. Once a
+round is little work and the clusters are under the broadcast limit, one task ends
+the rounds: often only a hub is left, which takes its partners one by one. Nothing but `group_rows` and the rows themselves decides,
 whatever their number or layout. Rows of one block are exactly the online
 algorithm.
 """
@@ -25,12 +27,14 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicgauge.functions.vectors import as_list_array, as_matrix, doubles, sq_norm_kernel, vec_add
+from topicgauge.functions.vectors import as_list_array, as_matrix, doubles, sq_norm_kernel, unit_rows, vec_add
 from topicgauge.operators.knn import (
-    APART, BROADCAST_BYTES, TIE_DIGITS, joinable, joined_radius, matrix_bytes, nearest_columns, renewed,
+    APART, BROADCAST_BYTES, PRODUCT_CELLS, TIE_DIGITS, by_block, joinable, joined_radius, matrix_bytes, nearest_columns,
+    nearest_rows, renewed, slack,
 )
 from topicgauge.operators.sampling import arrival_positions
 from topicgauge.params import Params
@@ -43,6 +47,10 @@ GONE = -3.0
 MOVES = 16
 # What an edge between two clusters takes, with its two ids.
 EDGE_BYTES = 128
+# Cosines of a round that one task may take on for the others.
+LAST_CELLS = 1 << 31
+# A list that is looked for in the last rounds holds so many times the candidates.
+SPARE = 3
 
 GROWN = "item_id string, founder_id string, created_at timestamp, n bigint, ls array<double>, ss double"
 CLUSTERS = "item_id string, top string, created_at timestamp, n bigint, ls array<double>, ss double, block bigint"
@@ -110,7 +118,7 @@ def merge_clusters(clusters: DataFrame, params: Params) -> tuple[DataFrame, Data
     rows, dims = size["rows"], size["dims"]
     left = _written(left.withColumn("candidates", none).withColumn("frontier", F.lit(True)))
     moves: list[DataFrame] = []
-    while True:
+    while matrix_bytes(rows, dims) > params.broadcast_limit_bytes or left.where("frontier").count() * rows > LAST_CELLS:
         left = _searched(left, params, dims, rows)
         pairs, count = _partners(left, params, rows)
         if not count:
@@ -120,6 +128,16 @@ def merge_clusters(clusters: DataFrame, params: Params) -> tuple[DataFrame, Data
             moves = [materialize(reduce(DataFrame.unionByName, moves))]
         left = _written(_merged(left, pairs, count, params, dims))
         rows -= count
+    done = materialize(left.groupBy().applyInArrow(_last_rounds(k, threshold), CLUSTERS))
+    moves.append(done.where("top != item_id").select(F.col("top").alias("early"), F.col("item_id").alias("late")))
+    return done.where(F.col("n").isNotNull()).drop("top"), _followed(tops, moves, params)
+
+
+def _last_rounds(k: int, threshold: float):
+    def run(group: pa.Table) -> pa.Table:
+        return merge_rest(group, k, threshold)
+
+    return run
 
 
 def _written(clusters: DataFrame) -> DataFrame:
@@ -261,11 +279,7 @@ def merge_group(group: pa.Table, k: int, threshold: float) -> pa.Table:
     vectors = as_matrix(group["ls"])[0].copy()
     n, ss = (np.asarray(group[c], dtype=np.float64).copy() for c in ("n", "ss"))
     block = np.asarray(group["block"])
-    in_time = group.append_column("at", pa.array(np.arange(count))).sort_by(
-        [("created_at", "ascending"), ("item_id", "ascending")]
-    )
-    age = np.empty(count, np.int64)
-    age[np.asarray(in_time["at"])] = np.arange(count)
+    age = _ages(group)
     gram = vectors @ vectors.T
     length = np.sqrt(np.maximum(np.diagonal(gram), 0.0))
     inverse = np.divide(1.0, length, out=np.zeros(count), where=length > 0)
@@ -312,6 +326,23 @@ def merge_group(group: pa.Table, k: int, threshold: float) -> pa.Table:
         again |= (column >= close[:, -1:]).any(axis=1)
         again = np.flatnonzero(again & ~gone)
         near[again] = nearest_columns(sim[again], keep)
+    return _joined(group, top, gone, vectors, n, ss)
+
+
+def _ages(group: pa.Table) -> np.ndarray:
+    """The places of clusters in the order of time."""
+    count = group.num_rows
+    in_time = group.select(["created_at", "item_id"]).append_column("at", pa.array(np.arange(count))).sort_by(
+        [("created_at", "ascending"), ("item_id", "ascending")]
+    )
+    age = np.empty(count, np.int64)
+    age[np.asarray(in_time["at"])] = np.arange(count)
+    return age
+
+
+def _joined(group: pa.Table, top: np.ndarray, gone: np.ndarray, vectors: np.ndarray, n: np.ndarray, ss: np.ndarray) -> pa.Table:
+    """The clusters of a group after its rounds, each with the one it is part of."""
+    count = group.num_rows
     while (top[top] != top).any():
         top = top[top]
     return pa.table(
@@ -327,6 +358,111 @@ def merge_group(group: pa.Table, k: int, threshold: float) -> pa.Table:
     )
 
 
+def merge_rest(group: pa.Table, k: int, threshold: float) -> pa.Table:
+    """The rounds that are left once few clusters change in each, all in one task.
+
+    `group` is all clusters with their candidates and `frontier`. More than `k` are
+    kept of those that are looked for anew, so that a cluster whose near ones go into
+    others need not look again each time: its list is whole down to its `floor`, a
+    (cosine, place) after which others may come. The result is as of `merge_group`.
+    """
+    group = group.combine_chunks().sort_by("item_id")
+    count, ids = group.num_rows, group["item_id"].combine_chunks()
+    keep = min(SPARE * k, count)
+    vectors = as_matrix(group["ls"])[0].copy()
+    n, ss = (np.asarray(group[c], dtype=np.float64).copy() for c in ("n", "ss"))
+    blocks = np.asarray(group["block"])
+    age = _ages(group)
+    unit, length = unit_rows(vectors)
+    all_of = {"n": n, "unit": unit, "rough": unit.astype(np.float32), "columns": by_block(blocks)}
+    held = group["candidates"].combine_chunks()
+    sizes = np.asarray(held.value_lengths().fill_null(0))
+    flat, row = held.flatten(), np.repeat(np.arange(count), sizes)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    near = np.full((count, keep), count)
+    sim = np.full((count, keep), GONE)
+    near[row, at] = np.asarray(pc.index_in(pc.struct_field(flat, "cluster_id"), value_set=ids))
+    sim[row, at] = np.asarray(pc.struct_field(flat, "sim"))
+    floor, floor_at = np.full(count, GONE), np.full(count, count)
+    full = sizes >= k
+    last = min(k, keep) - 1
+    floor[full], floor_at[full] = sim[full, last], near[full, last]
+    partner, far = np.full(count, -1), np.zeros(count)
+    top, gone = np.arange(count), np.zeros(count, bool)
+    look, dirty = np.asarray(group["frontier"]).copy(), np.ones(count, bool)
+    while True:
+        rows = np.flatnonzero(look)
+        step = max(1, PRODUCT_CELLS // count)
+        for i in range(0, len(rows), step):
+            part = rows[i : i + step]
+            position, found = nearest_rows(unit[part], all_of, keep, blocks[part])
+            there = found > APART
+            near[part], sim[part] = np.where(there, position, count), np.where(there, found, GONE)
+            floor[part] = np.where(there[:, -1], found[:, -1], GONE)
+            floor_at[part] = near[part, -1]
+        rows = np.flatnonzero(dirty & ~gone)
+        others, close = np.minimum(near[rows, :k], count - 1), sim[rows, :k]
+        radius = joined_radius(
+            close, n[others], ss[others], length[others], n[rows][:, None], ss[rows][:, None], length[rows][:, None]
+        )
+        fits = (radius <= threshold) & (close > -1.0)
+        first, line = fits.argmax(axis=1), np.arange(len(rows))
+        partner[rows] = np.where(fits[line, first], others[line, first], -1)
+        far[rows] = -close[line, first]
+        asks = np.flatnonzero((partner >= 0) & ~gone)
+        if not len(asks):
+            break
+        older = age[asks] < age[partner[asks]]
+        early, late = np.where(older, asks, partner[asks]), np.where(older, partner[asks], asks)
+        early, late = mutual(early, late, far[asks])
+        for values in (n, ss):
+            np.add.at(values, early, values[late])
+        vectors[early] += vectors[late]
+        top[late] = early
+        gone[late] = True
+        unit[early], length[early] = unit_rows(vectors[early])
+        all_of["rough"][early] = unit[early]
+        all_of["gone"] = np.flatnonzero(gone)
+        # Ends of pairs leave the lists; a list that is then too short is looked for anew.
+        touched = np.zeros(count + 1, bool)
+        touched[early] = touched[late] = True
+        dirty = touched[near].any(axis=1)
+        rows = np.flatnonzero(dirty)
+        lost = touched[near[rows]]
+        near[rows], sim[rows] = _in_order(
+            np.where(lost, count, near[rows]), np.where(lost, GONE, sim[rows])
+        )
+        step = max(1, PRODUCT_CELLS // count)
+        for i, one in enumerate(early):
+            # Who may have the changed cluster in its list: none is missed, as floors only rise.
+            if i % step == 0:
+                rough = all_of["rough"][early[i : i + step]] @ all_of["rough"].T
+                bar = np.where(touched[:count] | gone, np.inf, floor - slack(vectors.shape[1]))
+            rows = np.flatnonzero(rough[i % step] >= bar)
+            rows = rows[blocks[rows] != blocks[one]]
+            exact = np.round(np.einsum("ij,ij->i", unit[rows], unit[np.full(len(rows), one)]), TIE_DIGITS)
+            inside = (exact > floor[rows]) | ((exact == floor[rows]) & (one < floor_at[rows]))
+            rows, exact = rows[inside], exact[inside]
+            listed, cosine = _in_order(
+                np.column_stack([near[rows], np.full(len(rows), one)]), np.column_stack([sim[rows], exact])
+            )
+            near[rows], sim[rows] = listed[:, :keep], cosine[:, :keep]
+            over = cosine[:, keep] > GONE
+            floor[rows[over]], floor_at[rows[over]] = cosine[over, keep - 1], listed[over, keep - 1]
+            dirty[rows] = True
+        look = (sim[:, last] <= GONE) & (floor > GONE)
+        look[early] = True
+        look &= ~gone
+        dirty |= look
+    return _joined(group, top, gone, vectors, n, ss)
+
+
+def _in_order(near: np.ndarray, sim: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lists nearest first, ties to the first place."""
+    order = np.lexsort((near, -sim), axis=1)
+    return np.take_along_axis(near, order, axis=1), np.take_along_axis(sim, order, axis=1)
+
+
 def absorb_in_order(group: pa.Table, k: int, threshold: float) -> pa.Table:
     """Absorb-or-create over one group's CFs in (created_at, item_id) order.
 

@@ -156,8 +156,8 @@ def _reached(points: np.ndarray, block: dict, own: np.ndarray, floor: np.ndarray
     for at in range(0, len(points), step):
         part = slice(at, at + step)
         rough = directions[part].astype(np.float32) @ block["rough"].T
-        _leave_out(rough, block, own[part])
-        out[part] = rough.max(axis=1) >= np.maximum(floor[part] - _slack(points.shape[1]), APART / 2 - 0.5)
+        leave_out(rough, block, own[part])
+        out[part] = rough.max(axis=1) >= np.maximum(floor[part] - slack(points.shape[1]), APART / 2 - 0.5)
     return out
 
 
@@ -179,12 +179,7 @@ def loaded(table: pa.Table) -> dict:
     table = table.combine_chunks().sort_by("cluster_id")
     matrix, _ = as_matrix(table["ls"])
     directions, lengths = unit_rows(matrix)
-    own = {}
-    if "block" in table.column_names:
-        blocks = np.asarray(table["block"])
-        by_block = np.argsort(blocks, kind="stable")
-        names, starts = np.unique(blocks[by_block], return_index=True)
-        own["columns"] = dict(zip(names.tolist(), np.split(by_block, starts[1:]), strict=True))
+    own = {"columns": by_block(np.asarray(table["block"]))} if "block" in table.column_names else {}
     return own | {
         "ids": table["cluster_id"].combine_chunks(),
         "unit": directions,
@@ -195,6 +190,13 @@ def loaded(table: pa.Table) -> dict:
     }
 
 
+def by_block(blocks: np.ndarray) -> dict[int, np.ndarray]:
+    """The places of each block's clusters."""
+    order = np.argsort(blocks, kind="stable")
+    names, starts = np.unique(blocks[order], return_index=True)
+    return dict(zip(names.tolist(), np.split(order, starts[1:]), strict=True))
+
+
 def nearest_columns(sim: np.ndarray, keep: int) -> np.ndarray:
     """Columns of the `keep` greatest of each row, greatest first, ties to the first column."""
     columns = sim.shape[1]
@@ -212,7 +214,7 @@ def nearest_columns(sim: np.ndarray, keep: int) -> np.ndarray:
     return np.take_along_axis(cols, order, axis=1)
 
 
-def _nearest(directions: np.ndarray, block: dict, keep: int, own: np.ndarray | None):
+def nearest_rows(directions: np.ndarray, block: dict, keep: int, own: np.ndarray | None):
     """(positions, sims) of the `keep` nearest clusters of each direction.
 
     A product in single precision leaves out what cannot be among them, whatever its
@@ -224,11 +226,11 @@ def _nearest(directions: np.ndarray, block: dict, keep: int, own: np.ndarray | N
     if size >= 2:
         rough = directions.astype(np.float32) @ block["rough"].T
         if own is not None:
-            _leave_out(rough, block, own)
+            leave_out(rough, block, own)
         sets = clusters // size
         peaks = rough[:, : sets * size].reshape(rows, size, sets).max(axis=1)
         bound = np.partition(peaks, sets - keep, axis=1)[:, sets - keep]
-        row, column = np.divmod(np.flatnonzero(rough >= (bound - np.float32(_slack(directions.shape[1])))[:, None]), clusters)
+        row, column = np.divmod(np.flatnonzero(rough >= (bound - np.float32(slack(directions.shape[1])))[:, None]), clusters)
         if len(row) <= rough.size // 8 and bound.min() > APART / 2 and not np.isnan(peaks).any():
             exact = np.empty(len(row))
             for at in range(0, len(row), 1 << 15):
@@ -241,18 +243,20 @@ def _nearest(directions: np.ndarray, block: dict, keep: int, own: np.ndarray | N
             return column[best], exact[best]
     sim = np.round(directions @ block["unit"].T, TIE_DIGITS)
     if own is not None:
-        _leave_out(sim, block, own)
+        leave_out(sim, block, own)
     columns = nearest_columns(sim, keep)
     return columns, np.take_along_axis(sim, columns, axis=1)
 
 
-def _slack(dims: int) -> float:
+def slack(dims: int) -> float:
     """Twice the error of a cosine in single precision, and ties after rounding."""
     return (dims + 8) * 2.0**-23 + 10.0 ** (1 - TIE_DIGITS)
 
 
-def _leave_out(sim: np.ndarray, block: dict, own: np.ndarray) -> None:
-    """Marks the clusters of each row's own block."""
+def leave_out(sim: np.ndarray, block: dict, own: np.ndarray) -> None:
+    """Marks the clusters of each row's own block, and those that are gone."""
+    if "gone" in block:
+        sim[:, block["gone"]] = APART
     for name in np.unique(own):
         mine = block["columns"].get(name)
         if mine is not None:
@@ -282,7 +286,7 @@ def top_of(block: dict, points: np.ndarray, k: int, threshold: float, n=None, ss
     sim = np.empty((len(points), keep))
     for at in range(0, len(points), step):
         rows = order[at : at + step]
-        position[rows], sim[rows] = _nearest(directions[rows], block, keep, None if own is None else own[rows])
+        position[rows], sim[rows] = nearest_rows(directions[rows], block, keep, None if own is None else own[rows])
     n = np.ones(len(points)) if n is None else n
     ss = lengths**2 if ss is None else ss
     radius = joined_radius(
