@@ -25,53 +25,42 @@ def _data(lines: DataFrame, provider: str) -> DataFrame:
     )
 
 
-# What a line can contribute, as the `kind` of its event.
-TEXT, START, CHANGE = 0, 1, 2
-
-
-def _event(kind: int, text: Column | None = None, name: Column | None = None, tokens: Column | None = None) -> Column:
-    nothing = F.lit(None)
-    return F.struct(
-        F.col("seq").cast("bigint").alias("seq"),
-        F.lit(kind).alias("kind"),
-        (nothing if text is None else text).cast("string").alias("text"),
-        (nothing if name is None else name).cast("string").alias("name"),
-        (nothing if tokens is None else tokens).cast("int").alias("tokens"),
-    )
-
-
-def _of_kind(events: str, kind: int) -> Column:
-    return F.filter(events, lambda e: e["kind"] == kind)
-
+def _join_calls(lines: DataFrame, first: str = "", last: tuple[str, ...] = ()) -> DataFrame:
+    """(request_id, seq, request_model, done, text, facts) lines → one row per
+    finished call: content, the earliest fact `first`, the latest ones `last`.
+
+    Facts are structs that begin with `seq`, and null on lines without one. Places
+    and texts of the pieces are collected as two plain lists, which shuffle in far
+    fewer bytes than a struct a line; both skip the same lines. Lines without a
+    piece or fact are not filtered out but simply not collected: a filter on parsed
+    values would be pushed down and parse every line twice.
+    """
+    seq, end, firsts = F.col("seq"), F.col("end"), [first] if first else []
 
-def _join_calls(lines: DataFrame) -> DataFrame:
-    """(request_id, seq, request_model, done, event) lines → one row per
-    finished call: content, the first and last START, the last CHANGE.
+    def counts(fact: Column) -> Column:
+        return end.isNull() | (fact["seq"] < end)
 
-    Lines without an event are not filtered out but simply not collected: a
-    filter on parsed values would be pushed down and parse every line twice.
-    """
-    seq, end = F.col("seq"), F.col("end")
     runs = (
         lines.groupBy("request_id", F.floor(seq / RUN).alias("run"))
         .agg(
             F.min(F.when(F.col("done"), seq)).alias("end"),
             F.max("request_model").alias("request_model"),
-            F.collect_list("event").alias("events"),
-        )
-        .withColumn(
-            "events",
-            F.sort_array(F.filter("events", lambda e: end.isNull() | (e["seq"] < end))),
+            F.collect_list(F.when(F.col("text").isNotNull(), seq)).alias("seqs"),
+            F.collect_list("text").alias("texts"),
+            *[F.min(c).alias(c) for c in firsts],
+            *[F.collect_list(c).alias(c) for c in last],
         )
+        # Lines without a number share a run; their list of places is empty and reads as nulls.
+        .withColumn("pieces", F.zip_with("seqs", "texts", lambda s, t: F.struct(s.alias("seq"), t.alias("text"))))
+        .withColumn("pieces", F.sort_array(F.filter("pieces", counts)))
         .select(
             "request_id",
             "run",
             "end",
             "request_model",
-            F.array_join(F.transform("events", lambda e: e["text"]), "").alias("text"),
-            F.try_element_at(_of_kind("events", START), F.lit(1)).alias("first_start"),
-            F.try_element_at(_of_kind("events", START), F.lit(-1)).alias("last_start"),
-            F.try_element_at(_of_kind("events", CHANGE), F.lit(-1)).alias("last_change"),
+            F.array_join(F.transform("pieces", lambda e: e["text"]), "").alias("text"),
+            *[F.when(counts(F.col(c)), F.col(c)).alias(c) for c in firsts],
+            *[F.array_max(F.filter(c, counts)).alias(c) for c in last],
         )
     )
     calls = (
@@ -79,7 +68,7 @@ def _join_calls(lines: DataFrame) -> DataFrame:
         .agg(
             F.min("end").alias("end"),
             F.max("request_model").alias("request_model"),
-            F.collect_list(F.struct("run", "text", "first_start", "last_start", "last_change")).alias("runs"),
+            F.collect_list(F.struct("run", "text", *firsts, *last)).alias("runs"),
         )
         .where(end.isNotNull())
         .withColumn("runs", F.sort_array(F.filter("runs", lambda r: r["run"] <= F.floor(end / RUN))))
@@ -92,16 +81,15 @@ def _join_calls(lines: DataFrame) -> DataFrame:
         "request_id",
         "request_model",
         F.array_join(F.transform("runs", lambda r: r["text"]), "").alias("content"),
-        F.try_element_at(present("first_start"), F.lit(1)).alias("first_start"),
-        F.try_element_at(present("last_start"), F.lit(-1)).alias("last_start"),
-        F.try_element_at(present("last_change"), F.lit(-1)).alias("last_change"),
+        *[F.try_element_at(present(c), F.lit(1)).alias(c) for c in firsts],
+        *[F.try_element_at(present(c), F.lit(-1)).alias(c) for c in last],
     )
 
 
 def assemble_openai(lines: DataFrame) -> DataFrame:
     """Chat-completion chunks up to `[DONE]`: the first chunk names the model,
     token counts are 0 and the reason is 'stop'."""
-    v = F.col("v")
+    v, seq = F.col("v"), F.col("seq").cast("bigint").alias("seq")
     text = F.try_variant_get(v, "$.choices[0].delta.content", "string")
     model = F.coalesce(F.try_variant_get(v, "$.model", "string"), F.lit(""))
     parsed = (
@@ -114,13 +102,14 @@ def assemble_openai(lines: DataFrame) -> DataFrame:
             "request_model",
             "done",
             # Every chunk may carry text, and the first one names the model.
-            F.when(v.isNotNull(), _event(START, text, model)).alias("event"),
+            F.when(v.isNotNull(), text).alias("text"),
+            F.when(v.isNotNull(), F.struct(seq, text.alias("text"), model.alias("name"))).alias("chunk"),
         )
     )
-    return _join_calls(parsed).select(
+    return _join_calls(parsed, first="chunk").select(
         "request_id",
         "content",
-        F.coalesce(F.col("first_start")["name"], F.col("request_model"), F.lit("")).alias("model"),
+        F.coalesce(F.col("chunk")["name"], F.col("request_model"), F.lit("")).alias("model"),
         F.lit(0).alias("prompt_tokens"),
         F.lit(0).alias("completion_tokens"),
         F.lit("stop").alias("finish_reason"),
@@ -146,6 +135,10 @@ def assemble_anthropic(lines: DataFrame) -> DataFrame:
     reason = F.when(
         F.variant_get(v, "$.delta.stop_reason", "variant").isNull(), F.lit("")
     ).otherwise(string("$.delta.stop_reason"))
+
+    def fact(of: str, name: Column, tokens: Column) -> Column:
+        return F.when(kind == of, F.struct(F.col("seq").cast("bigint").alias("seq"), name.alias("name"), tokens.alias("tokens")))
+
     is_text = (kind == "content_block_delta") & (string("$.delta.type") == "text_delta")
     parsed = (
         _data(lines, "anthropic")
@@ -156,20 +149,13 @@ def assemble_anthropic(lines: DataFrame) -> DataFrame:
             "seq",
             "request_model",
             F.coalesce(kind == "message_stop", F.lit(False)).alias("done"),
-            F.when(is_text, _event(TEXT, text=string("$.delta.text")))
-            .when(
-                kind == "message_start",
-                _event(START, name=string("$.message.model"), tokens=count("$.message.usage.input_tokens")),
-            )
-            .when(
-                kind == "message_delta",
-                _event(CHANGE, name=reason, tokens=count("$.usage.output_tokens")),
-            )
-            .alias("event"),
+            F.when(is_text, string("$.delta.text")).alias("text"),
+            fact("message_start", string("$.message.model"), count("$.message.usage.input_tokens")).alias("start"),
+            fact("message_delta", reason, count("$.usage.output_tokens")).alias("change"),
         )
     )
-    start, change = F.col("last_start"), F.col("last_change")
-    return _join_calls(parsed).select(
+    start, change = F.col("start"), F.col("change")
+    return _join_calls(parsed, last=("start", "change")).select(
         "request_id",
         "content",
         F.coalesce(start["name"], F.col("request_model"), F.lit("")).alias("model"),
