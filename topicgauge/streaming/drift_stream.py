stream_drift: read scores as Arrow batches and rows, not data frames

Symptom: stream_drift spent most of its CPU in Python workers.
Evidence: over the 100,000 events of sf0.1, six cores: 997 CPU seconds a GB (inputs under 0.01 GB count as that), Python 774 and JVM 199, GC 19; the tasks with the state ran 12 s in all, 1 s of it JVM CPU. For every cluster the state built, joined, deduplicated and sorted data frames.
Fix: the cut ahead of the shuffle sorts Arrow batches; the state takes plain rows and lists (transformWithState), asks for its window once and sorts only the rows of one cluster. Order, repeated ids and scores without a time count as before.
Effect: at 1 GB of input CPU 671 -> 418 s, shuffle 0.19 -> 0.19 GB, spill 0.00 -> 0.00 GB, read 0.09 -> 0.09 GB, longest task 9 -> 7 s, most memory of a task 35 -> 35 MB; at 6 GB of input CPU 2893 -> 1461 s, shuffle 1.25 -> 1.26 GB, spill 0.00 -> 0.00 GB, read 0.64 -> 0.64 GB, longest task 20 -> 13 s, most memory of a task 42 -> 42 MB; with hot keys, at 1 GB of input CPU 718 -> 404 s, shuffle 0.14 -> 0.14 GB, spill 0.00 -> 0.00 GB, read 0.09 -> 0.09 GB, longest task 10 -> 8 s, most memory of a task 36 -> 36 MB.

@@ -5,9 +5,11 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -18,16 +20,28 @@ OUTPUT = (
     "cluster_id string, n_scores bigint, baseline_score double, current_score double, "
     "delta double, alert_triggered boolean"
 )
-BY_TIME = ["micros", "response_id"]
+NEWEST_FIRST = [("cluster_id", "ascending"), ("micros", "descending"), ("response_id", "descending")]
 
 
-def newest_per_cluster(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def newest_per_cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keep what can still matter of a batch before it is shuffled: at most
-    the newest SCORE_WINDOW scores per cluster."""
-    for frame in frames:
-        scored = frame[frame["quality_score"].notna() & frame["cluster_id"].notna()]
-        newest = scored.sort_values(BY_TIME, ascending=False)
-        yield newest.groupby("cluster_id", sort=False).head(SCORE_WINDOW)
+    the newest SCORE_WINDOW scores per cluster, scores without a time last."""
+    for batch in batches:
+        missing = pc.or_(pc.is_null(batch["quality_score"], nan_is_null=True), pc.is_null(batch["cluster_id"]))
+        scored = batch.filter(pc.invert(missing))
+        newest = scored.take(pc.sort_indices(scored, sort_keys=NEWEST_FIRST))
+        at = np.arange(newest.num_rows)
+        cluster = newest["cluster_id"]
+        first = np.ones(newest.num_rows, dtype=bool)
+        first[1:] = pc.not_equal(cluster[1:], cluster[:-1]).to_numpy(zero_copy_only=False)
+        rank = at - np.maximum.accumulate(np.where(first, at, 0))
+        yield newest.filter(pa.array(rank < SCORE_WINDOW))
+
+
+def by_time(score: list) -> tuple[bool, int, bool, str]:
+    """Order of scores; those without a time, and at one time without an id, come last."""
+    micros, id, _ = score
+    return micros is None, micros or 0, id is None, id or ""
 
 
 class RollingDrift(StatefulProcessor):
@@ -45,38 +59,34 @@ class RollingDrift(StatefulProcessor):
             "micros array<bigint>, ids array<string>, scores array<double>",
         )
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frames = [f[["micros", "response_id", "quality_score"]] for f in rows]
-        if self.window.exists():
-            micros, ids, scores = self.window.get()
-            held = pd.DataFrame(
-                {"micros": list(micros), "response_id": list(ids), "quality_score": list(scores)}
-            )
-            frames.append(held)
-        every = pd.concat(frames, ignore_index=True).drop_duplicates("response_id")
-        kept = every.sort_values(BY_TIME).tail(SCORE_WINDOW)
-        self.window.update(
-            (
-                kept["micros"].tolist(),
-                kept["response_id"].tolist(),
-                kept["quality_score"].tolist(),
-            )
-        )
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        # Of one response the score that comes first counts, new ones before those held.
+        every, timeless = {}, False
+        for _, *score in rows:
+            timeless |= score[0] is None
+            every.setdefault(score[1], score)
+        held = self.window.get() or ([], [], [])
+        for score in zip(*held):
+            every.setdefault(score[1], score)
+        kept = sorted(every.values(), key=by_time)[-SCORE_WINDOW:]
+        micros, ids, scores = map(list, zip(*kept))
+        # A score without a time leaves none to those held with it.
+        if timeless or 0 < list(held[0]).count(None) < len(held[0]):
+            micros = [None] * len(kept)
+        self.window.update((micros, ids, scores))
         n = len(kept)
         if n < MIN_SCORES:
             return
-        values = kept["quality_score"].to_numpy()
+        values = np.array(scores)
         baseline, current = float(values[: n // 2].mean()), float(values[n // 2 :].mean())
         delta = (baseline - current) / baseline if baseline > 0 else 0.0
-        yield pd.DataFrame(
-            {
-                "cluster_id": [key[0]],
-                "n_scores": [n],
-                "baseline_score": [baseline],
-                "current_score": [current],
-                "delta": [delta],
-                "alert_triggered": [delta > self.threshold],
-            }
+        yield Row(
+            cluster_id=key[0],
+            n_scores=n,
+            baseline_score=baseline,
+            current_score=current,
+            delta=delta,
+            alert_triggered=delta > self.threshold,
         )
 
     def close(self) -> None:
@@ -95,9 +105,9 @@ def rolling_drift(scores: DataFrame, threshold: float) -> DataFrame:
             F.col("response_id").cast("string").alias("response_id"),
             "quality_score",
         )
-        .mapInPandas(newest_per_cluster, SCORE)
+        .mapInArrow(newest_per_cluster, SCORE)
         .groupBy("cluster_id")
-        .transformWithStateInPandas(
+        .transformWithState(
             statefulProcessor=RollingDrift(threshold),
             outputStructType=OUTPUT,
             outputMode="Update",
