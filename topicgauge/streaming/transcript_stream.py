@@ -16,6 +16,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
@@ -44,23 +45,28 @@ class OpenCalls(StatefulProcessor):
         self.call = handle.getValueState("call", CALL)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        ends_at, last_at, timer, last_seq = self.call.get() or (-1, -1, -1, -1)
+        known = self.call.get() or (-1, -1, -1, -1)
+        ends_at, last_at, timer, last_seq = known
         for frame in rows:
-            packed, seqs = frame["packed"].tolist(), frame["seq"]
+            packed = frame["packed"].tolist()
             self.runs.appendList([("\n".join(packed[at : at + RUN]),) for at in range(0, len(packed), RUN)])
-            millis = frame["millis"]
-            last_at = max(last_at, int(millis.max()))
+            millis = frame["millis"].to_numpy()
+            last_at = max(last_at, int(np.nanmax(millis)))
             # The first terminal line counts; what follows it is no part of the call.
-            for at in frame["done"].to_numpy().nonzero()[0]:
-                if last_seq < 0 or seqs.iat[at] < last_seq:
-                    ends_at, last_seq = int(millis.iat[at]), int(seqs.iat[at])
+            done = frame["done"].to_numpy().nonzero()[0]
+            seqs = frame["seq"].to_numpy() if len(done) else ()
+            for at in done:
+                if last_seq < 0 or seqs[at] < last_seq:
+                    ends_at, last_seq = int(millis[at]), int(seqs[at])
         due = ends_at if ends_at >= 0 else last_at + self.idle_ms
         due = max(due, timerValues.getCurrentWatermarkInMs()) + 1
         if due != timer:
             if timer >= 0:
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(due)
-        self.call.update((ends_at, last_at, due, last_seq))
+        # Once the end is known, it does not matter when the last line came.
+        if ends_at < 0 or (ends_at, due, last_seq) != (known[0], timer, known[3]):
+            self.call.update((ends_at, last_at, due, last_seq))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -79,8 +85,10 @@ def finished_calls(lines: DataFrame, delay: str, idle_s: int = 3600) -> DataFram
     """Streaming lines (with their time `at`) → the lines of calls, each call whole, once it is finished."""
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     body = F.substring("line", F.lit(len(DATA_PREFIX) + 1), F.length("line"))
-    ends = F.when(F.col("provider") == "openai", F.trim(body) == "[DONE]").otherwise(
-        F.get_json_object(body, "$.type") == "message_stop"
+    # Only a line that holds the word, as it is or in escapes, is worth parsing.
+    may_stop = body.contains("message_stop") | body.contains("\\")
+    ends = F.when(F.col("provider") == "openai", F.trim(body) == "[DONE]").when(
+        may_stop, F.get_json_object(body, "$.type") == "message_stop"
     )
     done = F.col("line").startswith(DATA_PREFIX) & F.coalesce(ends, F.lit(False))
     runs = (
@@ -103,9 +111,9 @@ def packed() -> Column:
 
 
 def unpacked(run: str) -> Column:
-    """The lines of a run of packed ones, a row each."""
-    each = F.transform(F.split(run, "\n"), lambda x: F.from_json(x, LINE))
-    return F.inline(each)
+    """The lines of a run of packed ones, a row each; the run is parsed once, as one array."""
+    array = F.concat(F.lit("["), F.replace(F.col(run), F.lit("\n"), F.lit(",")), F.lit("]"))
+    return F.inline(F.from_json(array, f"array<struct<{LINE}>>"))
 
 
 def start(
